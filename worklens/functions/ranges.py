@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from worklens.functions.sequence import day_chunk, scan_rows
+from worklens.functions.sequence import day_chunk, scan_rows, span_islands
 
 
 def _bucket(ts: Column, seconds: int) -> Column:
@@ -82,12 +82,10 @@ def asof_join(
 
 def merge_intervals(df: DataFrame, keys: Sequence[str], start: str, end: str, chunk: Column | None = None) -> DataFrame:
     """Merge spans of a key that overlap or touch (``start <= end so far``): keys, start, end, n."""
-    from worklens.functions.sequence import islands
-
-    marked = islands(
-        df.select(*keys, start, end), keys, [start, end], chunk if chunk is not None else day_chunk(start),
-        lambda: F.col(start) > F.col("__maxend"), out="__isl", max_before={"__maxend": F.col(end)},
+    marked = span_islands(
+        df.select(*keys, start, end), keys, start, end, [end], chunk if chunk is not None else day_chunk(start),
+        lambda s, seen: s > seen, out="__isl",
+    )
+    return marked.groupBy(*keys, F.col("__isl").alias(start)).agg(
+        F.max(end).alias(end), F.count(F.lit(1)).alias("n_merged")
     )
-    return marked.groupBy(*keys, "__isl").agg(
-        F.min(start).alias(start), F.max(end).alias(end), F.count(F.lit(1)).alias("n_merged")
-    ).drop("__isl")

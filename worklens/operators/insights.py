@@ -159,7 +159,7 @@ def app_streaks(intervals: DataFrame, keys: list[str]) -> DataFrame:
     """Longest and mean run of one app, in minutes, and the number of switches."""
     runs = islands(
         intervals, keys, ORDER, day_chunk("timestamp_start"),
-        lambda: F.col("__app") != F.col("app"), out="run", lag={"__app": F.col("app")},
+        lambda: F.col("__app") != F.col("app"), out="run", lag={"__app": F.col("app")}, uses=["app"],
     )
     per_run = runs.groupBy(*keys, "run").agg(F.sum(scoring.interval_minutes()).alias("minutes"))
     return per_run.groupBy(*keys).agg(
@@ -181,7 +181,7 @@ def focus_periods(
     )
     runs = islands(
         scored, keys, ORDER, day_chunk("timestamp_start"), broken, out="period",
-        lag={"__ok": F.col("ok"), "__end": F.col("timestamp_end")},
+        lag={"__ok": F.col("ok"), "__end": F.col("timestamp_end")}, uses=["ok", "timestamp_start"],
     ).filter("ok")
     order = F.struct(*ORDER)
     apps = runs.filter("app is not null").groupBy(*keys, "period", "app").agg(

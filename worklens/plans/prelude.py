@@ -56,7 +56,7 @@ SELECT *, least(1.0, greatest(0.0, 0.5 * input_score + 0.3 * system_score + 0.2
 """)
 
 view("front", ["scored"], """
-SELECT *, user_id::VARCHAR || '-' || sum(brk) OVER (PARTITION BY user_id ORDER BY timestamp_start, event_id)::VARCHAR AS session_id FROM (
+SELECT *, user_id::VARCHAR || '-' || (epoch_us(max(CASE WHEN brk = 1 THEN timestamp_start END) OVER (PARTITION BY user_id ORDER BY timestamp_start, event_id)) // 1000000)::VARCHAR AS session_id FROM (
   SELECT *, CASE WHEN epoch_us(timestamp_start) - epoch_us(max(timestamp_end) OVER (PARTITION BY user_id ORDER BY timestamp_start, event_id
       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) < 18000000000 THEN 0 ELSE 1 END AS brk
   FROM scored WHERE NOT is_background) t

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from worklens.functions import scoring
-from worklens.functions.sequence import day_chunk, islands
+from worklens.functions.sequence import day_chunk, span_islands
 
 IDLE_GAP_SECONDS = 5 * 3600
 MIN_SEGMENT_MINUTES = 600.0
@@ -101,15 +101,14 @@ def intervals_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sessionize(rows: DataFrame, idle_seconds: float = 300, chunk: Column | None = None) -> DataFrame:
     """A row that starts ``idle_seconds`` or more after all earlier activity of the user opens a
     new session. Adds ``session_id``."""
-    idle = F.unix_micros("timestamp_start") - F.unix_micros("__seen")
-    marked = islands(
-        rows, ["user_id"], ["timestamp_start", "event_id"],
+    idle = int(idle_seconds * 1_000_000)
+    marked = span_islands(
+        rows, ["user_id"], "timestamp_start", "timestamp_end", ["event_id"],
         chunk if chunk is not None else day_chunk("timestamp_start"),
-        lambda: idle >= int(idle_seconds * 1_000_000),
-        out="__n", max_before={"__seen": F.col("timestamp_end")},
+        lambda start, seen: F.unix_micros(start) - F.unix_micros(seen) >= idle, out="__at",
     )
-    sid = F.concat_ws("-", F.col("user_id").cast("string"), F.col("__n").cast("string"))
-    return marked.withColumn("session_id", sid).drop("__n", "__seen")
+    sid = F.concat_ws("-", F.col("user_id").cast("string"), F.unix_seconds("__at").cast("string"))
+    return marked.withColumn("session_id", sid).drop("__at")
 
 
 def interval_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
