@@ -62,12 +62,14 @@ def segment_features(marked: DataFrame, min_segment_minutes: float = 10.0) -> Da
     The intervals are aggregated once per (segment, app, title); the primary app, the modal title
     and the distinct counts come from those few rows, so no list of intervals is ever built.
     """
-    parts = _parts(marked)
+    parts = _parts(marked).repartition(*KEY)  # one shuffle serves the windows and the final groups
     by_app = Window.partitionBy(*KEY, "app")
     by_title = Window.partitionBy(*KEY, "window_title")
     ranked = parts.withColumns({
         "app_minutes": F.sum("minutes").over(by_app), "app_first": F.min("first").over(by_app),
         "title_n": F.sum("n").over(by_title), "title_first": F.min("first").over(by_title),
+        "new_app": F.when(F.col("app").isNotNull() & (F.row_number().over(by_app.orderBy("first")) == 1), 1).otherwise(0),
+        "new_title": F.when(F.col("window_title").isNotNull() & (F.row_number().over(by_title.orderBy("first")) == 1), 1).otherwise(0),
     })
     # earliest wins on equal weight: smaller (-weight, first seen) is better
     seg = ranked.groupBy(*KEY).agg(
@@ -86,7 +88,7 @@ def segment_features(marked: DataFrame, min_segment_minutes: float = 10.0) -> Da
         (F.sum("mic") / F.sum("n")).alias("mic_active_ratio"), (F.sum("camera") / F.sum("n")).alias("camera_active_ratio"),
         F.min_by("app", F.when(F.col("app").isNotNull(), F.struct(-F.col("app_minutes"), "app_first"))).alias("primary_app"),
         F.min_by("window_title", F.when(F.col("window_title").isNotNull(), F.struct(-F.col("title_n"), "title_first"))).alias("primary_window_title"),
-        F.countDistinct("app").alias("unique_apps"), F.countDistinct("window_title").alias("unique_titles"),
+        F.sum("new_app").alias("unique_apps"), F.sum("new_title").alias("unique_titles"),
         F.coalesce(F.sum("switches"), F.lit(0)).alias("app_switches"),
     )
     start, end = F.col("first.timestamp_start"), F.col("last.timestamp_end")

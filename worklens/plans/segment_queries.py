@@ -63,12 +63,8 @@ FROM (SELECT *, total_mouse_clicks / duration_minutes AS mouse_intensity_avg FRO
 SEG = with_views("seg")
 
 
-def marked(spark, sf):
-    return segments.mark_segments(src.interval_signals(spark, sf), src.SPLIT_GAP_MINUTES)
-
-
-def seg(spark, sf):
-    return segments.segment_features(marked(spark, sf), src.MIN_SEGMENT_MINUTES)
+marked = src.interval_segments
+seg = src.segments
 
 
 SEG_NUM = ["duration_minutes", "total_mouse_distance", "keyboard_intensity_avg", "mouse_intensity_avg", "mean_cpu_usage", "max_cpu_usage",

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from worklens.functions import scoring
 from worklens.functions.sequence import day_chunk, span_islands
+from worklens.session import stored
 
 IDLE_GAP_SECONDS = 5 * 3600
 MIN_SEGMENT_MINUTES = 600.0
@@ -113,6 +114,10 @@ def sessionize(rows: DataFrame, idle_seconds: float = 300, chunk: Column | None
 
 def interval_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Foreground intervals with their session, and background intervals with session NULL."""
+    return stored(spark, sf_dir, "interval_signals", lambda: _interval_signals(spark, sf_dir))
+
+
+def _interval_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     flat = intervals_flat(spark, sf_dir)
     front = sessionize(flat.filter(~F.col("is_background")), IDLE_GAP_SECONDS)
     back = flat.filter("is_background").withColumn("session_id", F.lit(None).cast("string"))
@@ -144,8 +149,29 @@ def session_rows(intervals: DataFrame) -> DataFrame:
 
 
 def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    flat = intervals_flat(spark, sf_dir)
-    return session_rows(sessionize(flat.filter(~F.col("is_background")), IDLE_GAP_SECONDS))
+    return stored(
+        spark, sf_dir, "sessions",
+        lambda: session_rows(interval_signals(spark, sf_dir).filter("session_id is not null")),
+    )
+
+
+def interval_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Interval signals with the number of their work segment."""
+    from worklens.operators.segments import mark_segments
+
+    return stored(
+        spark, sf_dir, "interval_segments",
+        lambda: mark_segments(interval_signals(spark, sf_dir), SPLIT_GAP_MINUTES),
+    )
+
+
+def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from worklens.operators.segments import segment_features
+
+    return stored(
+        spark, sf_dir, "segments",
+        lambda: segment_features(interval_segments(spark, sf_dir), MIN_SEGMENT_MINUTES),
+    )
 
 
 def task_events(spark: SparkSession, sf_dir: str) -> DataFrame:
