@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 COVERS: dict[str, str] = {}
+NUDGE = 1e-9
 
 
 def tidy(df: DataFrame) -> DataFrame:
@@ -19,7 +20,8 @@ def tidy(df: DataFrame) -> DataFrame:
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            c = F.round(c.cast("double"), 6)
+            c = c.cast("double")
+            c = F.round(c + F.signum(c) * NUDGE, 6)
             c = F.when(c == 0, F.lit(0.0)).otherwise(c)
         elif isinstance(f.dataType, (T.IntegerType, T.ShortType, T.ByteType)):
             c = c.cast("long")
@@ -45,4 +47,28 @@ def query(name: str, covers: str, sql: str | None = None):
 
 
 def _outer(sql: str) -> str:
-    return sql.strip()
+    """Nudge every ``round(x, 6)`` away from exact halves, as ``tidy`` does, because the two engines
+    represent a half slightly differently."""
+    out, i = [], 0
+    while True:
+        j = sql.find("round(", i)
+        if j < 0:
+            out.append(sql[i:])
+            return "".join(out).strip()
+        depth, k, comma, quoted = 1, j + 6, -1, False
+        while depth:
+            ch = sql[k]
+            if ch == "'":
+                quoted = not quoted
+            elif not quoted:
+                depth += (ch in "([{") - (ch in ")]}")
+                if ch == "," and depth == 1:
+                    comma = k
+            k += 1
+        word_start = j == 0 or not (sql[j - 1].isalnum() or sql[j - 1] == "_")
+        if word_start and comma > 0 and sql[comma + 1 : k - 1].strip() == "6":
+            x = _outer(sql[j + 6 : comma])
+            out.append(f"{sql[i:j]}round(({x}) + sign({x}) * {NUDGE}, 6)")
+        else:
+            out.append(sql[i : j + 6] + _outer(sql[j + 6 : k]))
+        i = k
