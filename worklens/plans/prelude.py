@@ -95,3 +95,31 @@ view("raw_inputs", ["ev", "flat"], """
 SELECT ev.user_id, ts, ev.event_id, CASE event_type WHEN 'click' THEN 'click' WHEN 'view' THEN 'key' ELSE 'move' END AS kind,
   value AS amount, flat.app, flat.window_title, ev.k FROM ev JOIN flat USING (event_id)
 """)
+
+view("task_segments", ["front"], """
+SELECT event_id AS segment_id, user_id, session_id, list_extract(['Administrative Work - ChatGPT', 'deep_development', 'Technical Research: docs', 'T3',
+    'team_meeting | zoom.exe', 'Strategic Planning'], (k % 6) + 1) AS task_id, timestamp_start AS start_time, CASE WHEN k % 17 <> 0 THEN timestamp_end END AS end_time,
+  ((k * 37) % 100) / 100.0::DOUBLE AS confidence, list_extract(['initial_administrative_work', 'continuing_deep_development', 'window_change',
+    'behavioral_transition_admin_to_coding', 'app_change_a_to_b', 'transition', 'behavioral_team_meeting'], (k % 7) + 1) AS reason, (k % 50) / 100.0::DOUBLE AS distance,
+  k % 29 <> 0 AS is_json, app, window_title, k, minutes FROM front
+""")
+
+view("session_minutes", ["front"], """
+SELECT user_id, session_id, date_trunc('minute', timestamp_start) AS minute, sum(trunc(keyboard_intensity))::BIGINT AS keys, sum(mouse_clicks)::BIGINT AS clicks,
+  sum(trunc(mouse_distance))::BIGINT AS mouse_distance FROM front GROUP BY 1, 2, 3
+""")
+
+view("state_changes", ["ev"], """
+SELECT user_id, ts, event_id, CASE WHEN event_type = 'error' THEN 'IDLE' WHEN k < 50 THEN 'ACTIVE_UNALIGNED' ELSE 'ACTIVE_ALIGNED' END AS state,
+  'T' || (k % 5)::VARCHAR AS active_task, 'r' || (k % 3)::VARCHAR AS reason, k / 100.0::DOUBLE AS confidence FROM ev WHERE event_type IN ('error', 'signup')
+""")
+
+view("wide", [], """
+SELECT l_suppkey AS key, l_shipdate AS start_time, l_shipdate + to_days(CAST(l_quantity AS INTEGER)) AS end_time, l_returnflag AS app, CAST(l_quantity AS BIGINT) AS keys,
+  l_orderkey, l_linenumber FROM lineitem
+""")
+
+view("lifecycle_log", ["ev"], """
+SELECT user_id, 'S' || (k % 3)::VARCHAR AS session_id, ts, event_id, CASE event_type WHEN 'click' THEN 'START' WHEN 'view' THEN 'PAUSE' WHEN 'purchase' THEN 'RESUME'
+  WHEN 'signup' THEN 'END' ELSE 'REOPEN' END AS command FROM ev
+""")

@@ -209,3 +209,63 @@ def raw_input_columns(ev: DataFrame) -> DataFrame:
         _lookup(F.col("event_type"), APP_OF_EVENT).alias("app"),
         F.element_at(F.array(*[F.lit(t) for t in TITLES]), (F.col("k") % 10) + 1).alias("window_title"), "k",
     )
+
+
+# fixed values: task ids and reasons of the stored task segments
+SEGMENT_TASKS = ["Administrative Work - ChatGPT", "deep_development", "Technical Research: docs", "T3", "team_meeting | zoom.exe", "Strategic Planning"]
+SEGMENT_REASONS = [
+    "initial_administrative_work", "continuing_deep_development", "window_change", "behavioral_transition_admin_to_coding",
+    "app_change_a_to_b", "transition", "behavioral_team_meeting",
+]
+
+
+def task_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored output of the online classifier: one row per foreground interval. Some are still open,
+    some carry a feature text that is not JSON."""
+    k = F.col("k")
+    pick = lambda values, i: F.element_at(F.array(*[F.lit(v) for v in values]), i + 1)
+    vector = F.to_json(F.struct(F.col("app").alias("active_app"), F.col("window_title").alias("active_window_title"), (k / 10.0).alias("input_rate_per_minute"), (k % 2 == 0).alias("has_browser")))
+    return interval_signals(spark, sf_dir).filter("session_id is not null").select(
+        F.col("event_id").alias("segment_id"), "user_id", "session_id", pick(SEGMENT_TASKS, k % 6).alias("task_id"),
+        F.col("timestamp_start").alias("start_time"), F.when(k % 17 != 0, F.col("timestamp_end")).alias("end_time"),
+        (((k * 37) % 100) / 100.0).alias("confidence"), pick(SEGMENT_REASONS, k % 7).alias("reason"), ((k % 50) / 100.0).alias("distance"),
+        F.when(k % 29 == 0, F.lit("not json")).otherwise(vector).alias("feature_vector"),
+    )
+
+
+def session_minutes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Minute buckets of each session: keys, clicks, mouse distance."""
+    return interval_signals(spark, sf_dir).filter("session_id is not null").groupBy(
+        "user_id", "session_id", F.date_trunc("minute", "timestamp_start").alias("minute")).agg(
+        F.sum(F.col("keyboard_intensity").cast("long")).alias("keys"), F.sum("mouse_clicks").alias("clicks"),
+        F.sum(F.col("mouse_distance").cast("long")).alias("mouse_distance"))
+
+
+def state_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """State-change events with their payload columns."""
+    k = F.col("k")
+    return (
+        events(spark, sf_dir).filter(F.col("event_type").isin("error", "signup"))
+        .select("user_id", "ts", "event_id", F.when(F.col("event_type") == "error", "IDLE").when(k < 50, "ACTIVE_UNALIGNED").otherwise("ACTIVE_ALIGNED").alias("state"),
+                F.concat(F.lit("T"), (k % 5).cast("string")).alias("active_task"), F.concat(F.lit("r"), (k % 3).cast("string")).alias("reason"),
+                (k / 100.0).alias("confidence"))
+        .withColumn("payload", F.struct("state", "active_task", "reason", "confidence"))
+    )
+
+
+def intervals_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Long overlapping spans: line items of a supplier from ship date, quantity days long."""
+    schema = "l_suppkey bigint, l_shipdate timestamp, l_quantity double, l_orderkey bigint, l_linenumber int, l_returnflag string"
+    rows = spark.read.schema(schema).parquet(f"{sf_dir}/lineitem.parquet")
+    return rows.select(
+        F.col("l_suppkey").alias("key"), F.col("l_shipdate").alias("start_time"),
+        F.timestamp_micros(F.unix_micros("l_shipdate") + F.col("l_quantity").cast("long") * 86_400_000_000).alias("end_time"),
+        F.col("l_returnflag").alias("app"), F.col("l_quantity").cast("long").alias("keys"), F.col("l_orderkey"), F.col("l_linenumber"),
+    )
+
+
+def lifecycle_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accepted session commands: three sessions per user."""
+    command = _lookup(F.col("event_type"), {"click": "START", "view": "PAUSE", "purchase": "RESUME", "signup": "END", "error": "REOPEN"})
+    return events(spark, sf_dir).select(
+        "user_id", F.concat(F.lit("S"), (F.col("k") % 3).cast("string")).alias("session_id"), "ts", "event_id", command.alias("command"))
