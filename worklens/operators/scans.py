@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from worklens.functions import scoring, text
 from worklens.functions.ranges import overlap_join
+from worklens.functions.sequence import day_chunk, scan_rows
 
 
 def newest(df: DataFrame, ts: str, limit: int | None, *tie: str) -> DataFrame:
@@ -78,9 +79,9 @@ def segment_listing(segments: DataFrame, sessions: DataFrame, min_seconds: float
 def session_segments_flat(segments: DataFrame, sessions: DataFrame, since: Column) -> DataFrame:
     """Sessions that start after ``since`` with their segments. The nested list of the studied
     reader is given as one row per segment with its position, so a long session is never one row."""
-    w = Window.partitionBy("session_id").orderBy("start_time", "segment_id")
     recent = sessions.filter(F.col("start_time") >= since).select("session_id", F.col("start_time").alias("session_start"))
-    return recent.join(segments.withColumn("position", F.row_number().over(w)), "session_id", "left")
+    placed = scan_rows(segments, ["session_id"], ["start_time", "segment_id"], day_chunk("start_time"), run_sum={"position": F.lit(1)})
+    return recent.join(placed, "session_id", "left")
 
 
 def segment_metrics(segments: DataFrame, intervals: DataFrame, widen_seconds: int = 120) -> DataFrame:
@@ -167,8 +168,6 @@ def closed_segments(segments: DataFrame) -> DataFrame:
 def fragmentation(segments: DataFrame) -> DataFrame:
     """Switches and short segments of a session (the first segment is not counted as short but is
     in the ratio), with distinct apps and tasks. A session's segments follow one another in time."""
-    from worklens.functions.sequence import day_chunk, scan_rows
-
     seen = scan_rows(segments, ["session_id"], ["start_time", "segment_id"], day_chunk("start_time"),
                      lag={"p": F.struct(F.col("app").alias("a"), F.col("normalized_title").alias("t"), F.col("generic_task").alias("g"))})
     diff = lambda f, c: F.sum(F.when(F.col(f"p.{f}") != F.col(c), 1).otherwise(0))
