@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from worklens.functions import scoring
 from worklens.functions.ranges import merge_intervals, overlap_join
 from worklens.functions.sequence import day_chunk, scan_rows
+from worklens.session import cut_lineage
 
 TASK = ["user_id", "task_id"]
 CLOSING = ["PAUSED", "COMPLETED", "ABANDONED"]
@@ -81,7 +82,7 @@ def task_stats(segments: DataFrame, sessions: DataFrame) -> DataFrame:
 
 def coverage_gaps(spans: DataFrame, keys: list[str], start: str, end: str, minutes: float = 30.0) -> DataFrame:
     """Gaps of at least ``minutes`` between merged spans."""
-    merged = merge_intervals(spans, keys, start, end)
+    merged = cut_lineage(merge_intervals(spans, keys, start, end))
     seen = scan_rows(merged, keys, [start], day_chunk(start), lead={"gap_end": F.col(start)})
     return seen.withColumn("gap_seconds", scoring.seconds_between(end, "gap_end").cast("long")).filter(
         F.col("gap_seconds") >= minutes * 60).select(*keys, F.col(end).alias("gap_start"), "gap_end", "gap_seconds")

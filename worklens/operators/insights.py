@@ -184,23 +184,16 @@ def focus_periods(
         lag={"__ok": F.col("ok"), "__end": F.col("timestamp_end")}, uses=["ok", "timestamp_start"],
     ).filter("ok")
     order = F.struct(*ORDER)
-    apps = runs.filter("app is not null").groupBy(*keys, "period", "app").agg(
-        F.count(F.lit(1)).alias("n"), F.min(order).alias("first_seen"),
-    )
-    primary = apps.groupBy(*keys, "period").agg(
-        F.min_by("app", F.struct(-F.col("n"), F.col("first_seen"))).alias("primary_app"),
-        F.count(F.lit(1)).alias("n_apps"),
-    )
-    spans = runs.groupBy(*keys, "period").agg(
-        F.min("timestamp_start").alias("start_time"),
-        F.max_by("timestamp_end", order).alias("end_time"),
-        F.avg("score").alias("avg_focus_score"),
-        F.count(F.lit(1)).alias("interval_count"),
-    )
+    per_app = runs.groupBy(*keys, "period", "app").agg(
+        F.count(F.lit(1)).alias("n"), F.min(order).alias("first"), F.max(F.struct(*ORDER, "timestamp_end")).alias("last"), F.sum("score").alias("score"))
+    named = F.col("app").isNotNull()
+    periods = per_app.groupBy(*keys, "period").agg(
+        F.min("first").alias("first"), F.max("last").alias("last"), (F.sum("score") / F.sum("n")).alias("avg_focus_score"), F.sum("n").alias("interval_count"),
+        F.min_by("app", F.when(named, F.struct(-F.col("n"), F.col("first")))).alias("primary_app"), F.count("app").alias("n_apps"))
     return (
-        spans.join(primary, [*keys, "period"], "left")
+        periods.withColumns({"start_time": F.col("first.timestamp_start"), "end_time": F.col("last.timestamp_end")})
         .withColumn("duration_minutes", scoring.minutes_between("start_time", "end_time"))
-        .drop("period")
+        .drop("period", "first", "last")
     )
 
 

@@ -10,7 +10,7 @@ from worklens.functions import scoring
 from worklens.functions.sequence import day_chunk, islands, scan_rows
 from worklens.operators.daily import entropy_of
 from worklens.operators.metrics import intensity, intensity_share
-from worklens.operators.statelog import change_only
+from worklens.session import cut_lineage
 
 ORDER = ["ts", "event_id"]
 # fixed values: processes that never count as engagement
@@ -96,7 +96,7 @@ def trailing_count(rows: DataFrame, keys: list[str], seconds: float, out: str) -
 def engagement(inputs: DataFrame, keys: list[str], warmup: float = 30, at_least: int = 5, within: float = 30, stable: float = 10) -> DataFrame:
     """The first moment of each key at which, after the warm-up, enough inputs came in the last
     ``within`` seconds and a window that is no system process has not changed for ``stable`` seconds."""
-    counted = trailing_count(inputs, keys, within, "recent")
+    counted = cut_lineage(trailing_count(inputs, keys, within, "recent"))
     window = F.concat_ws("\0", "app", "window_title")
     seen = scan_rows(counted.withColumn("__w", window), keys, ORDER, day_chunk("ts"), lag={"__before": F.col("__w")})
     opened = F.when(F.col("__before").isNull() | (F.col("__before") != F.col("__w")), F.col("ts"))

@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from worklens.functions import scoring
 from worklens.functions.sequence import day_chunk, islands, scan_rows
 from worklens.operators.attribution import active_intervals
+from worklens.session import cut_lineage
 
 ORDER = ["ts", "event_id"]
 # fixed values: seconds a new state has to last before it is committed
@@ -48,6 +49,7 @@ def committed_states(candidates: DataFrame, keys: list[str], hold_seconds: dict[
     ok = (F.col("run") == 1) | ((F.col("event_id") != F.col("s.event_id")) & (F.col("elapsed") >= hold))
     done = later.filter(ok).groupBy(*keys, "run").agg(
         F.min("ts").alias("ts"), F.min("event_id").alias("event_id"), F.first("candidate").alias("to_state"), F.first("s.ts").alias("since"))
+    done = cut_lineage(done)  # one row per run; the scans below read it several times
     seen = scan_rows(done, keys, ["ts", "run"], day_chunk("ts"), lag={"__to": F.col("to_state")})
     kept = seen.filter(F.col("__to").isNull() | (F.col("__to") != F.col("to_state")))
     out = scan_rows(kept, keys, ["ts", "run"], day_chunk("ts"), lag={"from_state": F.col("to_state"), "__since": F.col("since")})
@@ -93,6 +95,7 @@ def replay_tasks(commands: DataFrame) -> DataFrame:
         .when(F.col("o") == F.col("f_end"), "end").when(F.col("o") == F.col("f_again"), "again")
     )
     rows = rows.withColumn("kind", kind).filter("kind is not null").drop("f_end", "f_again", "o")
+    rows = cut_lineage(rows)  # read several times by the two scans
     started = scan_rows(rows, ["user_id"], ORDER, day_chunk("ts"), known_before={"cur": F.when(F.col("kind") == "start", F.col("task_id"))})
     marker = F.when(F.col("kind") == "start", F.col("task_id")).when(F.col("kind").isin("pause", "end") & (F.col("task_id") == F.col("cur")), "")
     seen = scan_rows(started.withColumn("m", marker), ["user_id"], ORDER, day_chunk("ts"), known_before={"was": F.col("m")})

@@ -16,6 +16,7 @@ from pyspark.sql.window import Window
 from worklens.functions import rules, scoring, text
 from worklens.functions.sequence import day_chunk, islands, scan_rows
 from worklens.functions.stats import index_percentiles
+from worklens.session import cut_lineage
 
 Side = Callable[[str], Column]
 
@@ -244,6 +245,7 @@ def merged_segments(clustered: DataFrame) -> DataFrame:
     """One row per session and cluster: modal app and task, mean confidence, duration, and the three
     most frequent title words (a single title stays as it is)."""
     group = ["session_id", "cluster"]
+    clustered = cut_lineage(clustered)  # feeds four aggregates
     base = clustered.groupBy(*group).agg(
         F.min("start_time").alias("start_time"), F.max_by("end_time", F.struct("start_time", "segment_id")).alias("end_time"), (F.sum("duration_seconds") / 60).alias("duration_minutes"),
         F.count(F.lit(1)).alias("segment_count"), F.avg("confidence").alias("confidence"), F.count_if(F.col("normalized_title") != "").alias("titles"),

@@ -55,7 +55,7 @@ def title_case_sql(c: str) -> str:
 SELECT doc_id, md5({clean_sql('text')}) AS clean, length({clean_sql('text')}) AS clean_chars,
   md5({interval_clean_sql('text')}) AS plain, length({interval_clean_sql('text')}) AS plain_chars FROM documents""")
 def document_title_cleaning(spark, sf):
-    docs = src.table(spark, sf, "documents").select("doc_id", "text")
+    docs = src.documents(spark, sf).select("doc_id", "text")
     done = docs.select("doc_id", text.clean_title(F.col("text")).alias("c"), text.clean_interval_title(F.col("text")).alias("p"))
     return done.select("doc_id", F.md5("c").alias("clean"), F.length("c").alias("clean_chars"), F.md5("p").alias("plain"), F.length("p").alias("plain_chars"))
 
@@ -71,7 +71,7 @@ FROM (SELECT doc_id, f, list_filter(f, lambda w: NOT list_contains({q(rules.FEAT
   FROM (SELECT doc_id, text, {feature_tokens_sql('text')} AS f FROM documents) a) b""")
 def document_tokens(spark, sf):
     t = F.col("text")
-    lists = src.table(spark, sf, "documents").select(
+    lists = src.documents(spark, sf).select(
         "doc_id", text.feature_tokens(t).alias("f"), text.naming_keywords(t).alias("n"), text.cluster_tokens(t).alias("c"),
         text.distance_tokens(t).alias("d"),
     )
@@ -236,7 +236,7 @@ def rule_classification(spark, sf):
 @query("document_title_rules", "H12", f"""
 SELECT doc_id, {title_rule_sql('lower(text)', 'task')} AS task, {title_rule_sql('lower(text)', 'conf')}::DOUBLE AS confidence FROM documents""")
 def document_title_rules(spark, sf):
-    docs = src.table(spark, sf, "documents")
+    docs = src.documents(spark, sf)
     hit = classify.by_title(F.col("t"))
     return docs.select("doc_id", F.lower("text").alias("t")).select("doc_id", hit.alias("h")).select("doc_id", F.col("h")["task"].alias("task"), F.col("h")["confidence"].alias("confidence"))
 

@@ -58,3 +58,17 @@ def stored(spark: SparkSession, source: str, name: str, build: Callable[[], Data
         build().write.parquet(path)
         _STORED[key] = path
     return spark.read.parquet(_STORED[key])
+
+
+_SPLITS: dict[tuple[str, str], int] = {}
+
+
+def spread(df: DataFrame, source: str) -> DataFrame:
+    """Spread a scan that has fewer splits than the session has cores. A large table has many splits
+    and is left as it is, without a shuffle."""
+    spark = df.sparkSession
+    key = (spark.sparkContext.applicationId, source)
+    if key not in _SPLITS:
+        _SPLITS[key] = df.rdd.getNumPartitions()
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if _SPLITS[key] < min(cores, 64) else df
