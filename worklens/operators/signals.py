@@ -8,7 +8,6 @@ from pyspark.sql.window import Window
 
 from worklens.functions import scoring
 from worklens.functions.sequence import day_chunk, islands, scan_rows
-from worklens.operators.daily import entropy_of
 from worklens.operators.metrics import intensity, intensity_share
 from worklens.session import cut_lineage
 
@@ -138,29 +137,41 @@ VECTOR = [
 ]
 
 
-def _streaks(rows: DataFrame, keys: list[str], chunk: Column) -> DataFrame:
+def _stretch_sums(intervals: DataFrame, keys: list[str], chunk: Column | None) -> DataFrame:
+    """One row per key out of its runs of one app: lengths of the runs, sums over the intervals, and the
+    spread of time over apps. Everything comes from the same per-run rows, so the intervals are
+    aggregated once."""
+    chunk = chunk if chunk is not None else F.date_trunc("hour", "timestamp_start")
+    rows = intervals.withColumn("app", F.coalesce("app", F.lit("unknown")))
     runs = islands(rows, keys, ["timestamp_start", "event_id"], chunk, lambda: F.col("__a") != F.col("app"), out="run", lag={"__a": F.col("app")}, uses=["app"])
-    order = F.struct("timestamp_start", "event_id")
-    each = runs.groupBy(*keys, "run").agg(F.min("timestamp_start").alias("s"), F.max_by("timestamp_end", order).alias("e"))
-    d = scoring.minutes_between("s", "e")
-    return each.groupBy(*keys).agg(F.greatest(F.lit(0.0), F.max(d)).alias("streak_max"), F.avg(d).alias("streak_avg"), (F.count(F.lit(1)) - 1).alias("switches"))
+    m = scoring.minutes_between("timestamp_start", "timestamp_end")
+    m, kb = F.when(m > 0, m).otherwise(1.0 / 60.0), F.coalesce("keyboard_intensity", F.lit(0.0))
+    clicks = F.coalesce("mouse_clicks", F.lit(0))
+    each = runs.groupBy(*keys, "run", "app").agg(
+        F.min("timestamp_start").alias("s"), F.max(F.struct("timestamp_start", "event_id", F.coalesce("timestamp_end", "timestamp_start").alias("end"))).alias("e"),
+        F.count(F.lit(1)).alias("c"), F.sum(m).alias("m"), F.sum(kb * m).alias("typed"), F.sum(clicks).alias("clicks"),
+        F.sum(kb).alias("k1"), F.sum(kb * kb).alias("k2"), F.count(F.when(kb != 0, 1)).alias("kn"))
+    by_app = Window.partitionBy(*keys, "app")
+    each = each.repartition(*keys).withColumns({
+        "d": scoring.minutes_between("s", "e.end"), "app_c": F.sum("c").over(by_app), "new": F.when(F.row_number().over(by_app.orderBy("run")) == 1, 1).otherwise(0)})
+    variance = lambda n: F.greatest(F.lit(0.0), F.sum("k2") / n - F.pow(F.sum("k1") / n, F.lit(2.0)))
+    n, kn = F.sum("c"), F.sum("kn")
+    return each.groupBy(*keys).agg(
+        n.alias("n"), F.sum("m").alias("minutes"), (F.sum("typed") + F.sum("clicks")).alias("inputs"), F.sum("clicks").alias("clicks"),
+        variance(n).alias("spread"), F.when(kn > 0, variance(kn)).alias("typed_spread"), F.sum("new").alias("apps"),
+        F.sum(F.when((F.col("new") == 1) & (F.col("app") != "unknown"), 1).otherwise(0)).alias("known_apps"),
+        (F.log2(n) - F.sum(F.when(F.col("new") == 1, F.col("app_c") * F.log2("app_c"))) / n).alias("mix"),
+        F.greatest(F.lit(0.0), F.max("d")).alias("streak_max"), F.avg("d").alias("streak_avg"), (F.count(F.lit(1)) - 1).alias("switches"),
+        F.min("s").alias("s"), F.max("e")["end"].alias("e"))
 
 
 def live_vectors(intervals: DataFrame, keys: list[str], chunk: Column | None = None) -> DataFrame:
     """Feature vector of the intervals of each key (a user or session and a window of time)."""
-    chunk = chunk if chunk is not None else F.date_trunc("hour", "timestamp_start")
-    rows = intervals.withColumn("app", F.coalesce("app", F.lit("unknown")))
-    m = scoring.minutes_between("timestamp_start", "timestamp_end")
-    m = F.when(m > 0, m).otherwise(1.0 / 60.0)
-    kb = F.coalesce("keyboard_intensity", F.lit(0.0))
-    base = rows.groupBy(*keys).agg(
-        F.sum(m).alias("minutes"), (F.sum(kb * m) + F.sum(F.coalesce("mouse_clicks", F.lit(0)))).alias("inputs"), F.var_pop(kb).alias("spread"), F.count(F.lit(1)).alias("n"))
-    apps = rows.groupBy(*keys, "app").agg(F.count(F.lit(1)).alias("c"))
-    mixed = entropy_of(apps, keys, "c").join(apps.groupBy(*keys).agg(F.count(F.lit(1)).alias("apps")), keys)
-    out = base.join(mixed, keys).join(_streaks(rows, keys, chunk), keys)
+    out = _stretch_sums(intervals, keys, chunk)
     cap = lambda c: F.least(c, F.lit(1.0))
+    mix = F.when(F.col("apps") > 1, cap(F.greatest(F.lit(0.0), F.col("mix") / F.log2("apps")))).otherwise(0.0)
     return out.select(
-        *keys, F.when(F.col("apps") > 1, F.col("entropy")).otherwise(0.0).alias("context_switch_entropy"),
+        *keys, mix.alias("context_switch_entropy"),
         (1.0 - cap(F.col("switches") / F.greatest(F.col("n") - 1, F.lit(1)))).alias("focus_continuity_score"),
         cap(F.col("streak_max") / 300.0).alias("max_sustained_minutes"), cap(F.col("streak_avg") / 120.0).alias("avg_focus_window_minutes"),
         (1.0 / (1.0 + F.col("spread") / 1000.0)).alias("focus_consistency"), cap(F.col("apps") / 20.0).alias("app_diversity"),
@@ -170,23 +181,15 @@ def live_vectors(intervals: DataFrame, keys: list[str], chunk: Column | None = N
 def activity_vectors(intervals: DataFrame, keys: list[str], chunk: Column | None = None) -> DataFrame:
     """The session-free variant: other normalisers, continuity equals consistency, and the span
     of the window as its length. Interval rows store no key counts, so clicks are the only inputs."""
-    chunk = chunk if chunk is not None else F.date_trunc("hour", "timestamp_start")
-    order = F.struct("timestamp_start", "event_id")
-    kb = F.when(F.col("keyboard_intensity") != 0, F.col("keyboard_intensity"))
-    base = intervals.groupBy(*keys).agg(
-        F.min("timestamp_start").alias("s"), F.max_by(F.coalesce("timestamp_end", "timestamp_start"), order).alias("e"),
-        F.sum("mouse_clicks").alias("clicks"), F.var_pop(kb).alias("spread"))
-    apps = intervals.filter("app is not null").select(*keys, "app").distinct().groupBy(*keys).agg(F.count(F.lit(1)).alias("apps"))
-    rows = intervals.withColumn("app", F.coalesce("app", F.lit("unknown")))
-    out = base.join(apps, keys, "left").na.fill(0, ["apps"]).join(_streaks(rows, keys, chunk), keys)
+    out = _stretch_sums(intervals, keys, chunk)
     cap = lambda c: F.least(c, F.lit(1.0))
     m = scoring.minutes_between("s", "e")
     minutes = F.when(m == 0, 1.0).otherwise(m)
-    steady = F.coalesce(1.0 / (1.0 + F.col("spread") / 1000.0), F.lit(0.5))
+    steady = F.coalesce(1.0 / (1.0 + F.col("typed_spread") / 1000.0), F.lit(0.5))
     return out.select(
-        *keys, cap(F.greatest(F.col("apps") - 1, F.lit(0)) / 5.0).alias("context_switch_entropy"), steady.alias("focus_continuity_score"),
+        *keys, cap(F.greatest(F.col("known_apps") - 1, F.lit(0)) / 5.0).alias("context_switch_entropy"), steady.alias("focus_continuity_score"),
         cap(F.col("streak_max") / 300.0).alias("max_sustained_minutes"), cap(F.col("streak_avg") / 120.0).alias("avg_focus_window_minutes"),
-        steady.alias("focus_consistency"), cap(F.col("apps") / 10.0).alias("app_diversity"), cap(minutes / 480.0).alias("session_duration_minutes"),
+        steady.alias("focus_consistency"), cap(F.col("known_apps") / 10.0).alias("app_diversity"), cap(minutes / 480.0).alias("session_duration_minutes"),
         F.when(minutes > 0, cap(F.col("clicks") / minutes / 8.0)).otherwise(0.0).alias("input_intensity"))
 
 

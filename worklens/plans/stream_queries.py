@@ -6,12 +6,17 @@ from worklens.functions import text
 from worklens.operators import classify, folds, scans, vectors
 from worklens.plans import signal_queries as sig
 from worklens.plans.prelude import view, with_views
-from worklens.plans.registry import query
+from worklens.plans import attribution_queries  # noqa: F401  (registers committed_states)
+from worklens.plans.registry import ORACLE, query
 from worklens.plans.text_queries import named
 from worklens.session import stored
 from worklens.sources import tables as src
 from worklens.streaming import jobs, stateful
 
+def recursive(sql: str) -> str:
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
 # a window is emitted once the watermark (newest event minus ten minutes) has passed its end
 CLOSED = "(SELECT max(ts) - INTERVAL 10 MINUTE FROM events)"
 
@@ -71,7 +76,7 @@ def _write(batch, batch_id):
     return path
 
 
-@query("stream_committed_states", "I06", None)
+@query("stream_committed_states", "I06", ORACLE["committed_states"])
 def stream_committed_states(spark, sf):
     k = F.col("k")
     state = F.when(k < 30, "IDLE").when(k < 60, "ACTIVE_UNALIGNED").otherwise("ACTIVE_ALIGNED")
@@ -110,7 +115,21 @@ def latent(spark, sf):
         rows, ["user_id"], ["start_time", "session_id"], folds.LatentTasks, f"user_id bigint, {folds.LatentTasks.SCHEMA}"))
 
 
-@query("latent_tasks", "J05 I15", None)
+view("svec_n", ["svec"], "SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY start_time, session_id) AS r FROM svec")
+GAP = "least(1.0, sqrt(list_sum(list_transform(generate_series(1, 8), lambda j: pow(s.vector[j] - t.m[j], 2))) / 8.0))"
+LATENT = f"""
+, walk AS (
+  SELECT user_id, session_id, r, [{{'m': vector, 'n': 1::BIGINT}}] AS tasks, 1::BIGINT AS pos, 1.0::DOUBLE AS confidence FROM svec_n WHERE r = 1
+  UNION ALL
+  SELECT user_id, session_id, r, CASE WHEN joins THEN list_transform(tasks, lambda t, i: CASE WHEN i = best THEN {{'m': list_transform(generate_series(1, 8), lambda j: t.m[j] * (1 - least(0.2, 1.0 / (t.n + 1))) + vector[j] * least(0.2, 1.0 / (t.n + 1))), 'n': t.n + 1}}
+      ELSE t END) ELSE list_append(tasks, {{'m': vector, 'n': 1::BIGINT}}) END, CASE WHEN joins THEN best ELSE len(tasks) + 1 END, CASE WHEN joins THEN sure ELSE 0.5 END
+  FROM (SELECT *, d <= 0.35 AND sure >= 0.6 AS joins FROM (SELECT *, least(1.0, 1 - d / 0.35 + tasks[best].n / 3.0 * 0.2) AS sure FROM (
+    SELECT *, list_min(ds) AS d, list_position(ds, list_min(ds))::BIGINT AS best FROM (
+      SELECT s.user_id, s.session_id, s.r, s.vector, w.tasks, list_transform(w.tasks, lambda t: {GAP}) AS ds FROM walk w JOIN svec_n s ON s.user_id = w.user_id AND s.r = w.r + 1) a) b) c) d)
+SELECT user_id, session_id, 'latent-' || user_id::VARCHAR || '-' || pos::VARCHAR AS task_id, round(confidence, 6) AS confidence, tasks[pos].n AS members FROM walk"""
+
+
+@query("latent_tasks", "J05 I15", recursive(with_views("svec_n") + LATENT))
 def latent_tasks(spark, sf):
     return latent(spark, sf).select("user_id", "session_id", "task_id", "confidence", "members")
 
@@ -137,10 +156,32 @@ def online_points(spark, sf):
     return titled.select("session_id", "ts", "event_id", "until", "app", text.clean_title(F.col("window_title")).alias("clean_title"), "task", "confidence", "task_name")
 
 
-@query("online_segments", "I07", None)
+view("points", ["recommended_task", "naming", "front"], """
+SELECT f.session_id, n.timestamp_start AS ts, n.event_id, f.timestamp_end AS until, n.app, n.clean AS title, r.task, r.confidence, row_number() OVER (PARTITION BY f.session_id ORDER BY n.timestamp_start, n.event_id) AS p
+FROM recommended_task r JOIN naming n USING (event_id) JOIN front f USING (event_id)
+""")
+STICKY = "('" + "', '".join(sorted(folds.STICKY)) + "')"
+ONLINE = f"""
+, walk AS (
+  SELECT session_id, p, ts, until, task AS base, ts AS start_time, confidence AS sure, app, title, 'initial_' || task AS reason, 1::BIGINT AS seg FROM points WHERE p = 1
+  UNION ALL
+  SELECT session_id, p, ts, until, CASE WHEN moved OR ctx IS NOT NULL THEN task ELSE base END, CASE WHEN moved OR ctx IS NOT NULL THEN ts ELSE start_time END,
+    CASE WHEN moved OR ctx IS NOT NULL THEN confidence WHEN task = base THEN greatest(sure, confidence) ELSE sure END, app, title,
+    CASE WHEN moved AND ctx IS NOT NULL THEN 'behavioral_and_context_change' WHEN ctx IS NOT NULL THEN ctx WHEN moved THEN 'behavioral_transition_' || base || '_to_' || task ELSE reason END,
+    CASE WHEN moved OR ctx IS NOT NULL THEN seg + 1 ELSE seg END
+  FROM (SELECT q.*, w.base, w.start_time, w.sure, w.reason, w.seg,
+      CASE WHEN w.base = q.task THEN false WHEN w.base IN {STICKY} THEN q.confidence - w.sure >= 0.10 OR ((epoch_us(q.ts) - epoch_us(w.start_time)) / 1e6 / 3600 >= 10 AND q.confidence - w.sure >= -0.05)
+        ELSE q.confidence - w.sure > 0.03 OR (abs(q.confidence - w.sure) <= 0.15 AND (epoch_us(q.ts) - epoch_us(w.start_time)) / 1e6 / 3600 >= 3) OR ((epoch_us(q.ts) - epoch_us(w.start_time)) / 1e6 / 3600 >= 5 AND q.confidence > 0.5) END AS moved,
+      CASE WHEN epoch_us(q.ts) - epoch_us(w.start_time) < 3600000000 OR q.confidence < 0.6 THEN NULL WHEN w.app <> q.app THEN 'app_change_' || w.app || '_to_' || q.app WHEN w.title <> q.title THEN 'window_change' END AS ctx
+    FROM walk w JOIN points q ON q.session_id = w.session_id AND q.p = w.p + 1) x),
+segs AS (SELECT session_id, seg, any_value(base) AS base_category, any_value(start_time) AS start_time, max(until) FILTER (WHERE true) AS u, arg_max(until, p) AS last_until, arg_max(sure, p) AS sure, any_value(reason) AS reason, arg_max(app, p) AS app, arg_max(title, p) AS window_title FROM walk GROUP BY 1, 2)
+SELECT session_id, base_category, start_time, coalesce(lead(start_time) OVER (PARTITION BY session_id ORDER BY seg), last_until) AS end_time, round(sure, 6) AS confidence, reason, app, window_title FROM segs"""
+
+
+@query("online_segments", "I07", recursive(with_views("points") + ONLINE))
 def online_segments(spark, sf):
     make = lambda: folds.OnlineSegments(min_seconds=3600, minute=3600.0)
-    return folds.fold_rows(online_points(spark, sf), ["session_id"], ["ts", "event_id"], make, f"session_id string, {folds.OnlineSegments.SCHEMA}")
+    return folds.fold_rows(online_points(spark, sf), ["session_id"], ["ts", "event_id"], make, f"session_id string, {folds.OnlineSegments.SCHEMA}").drop("task_id")
 
 
 def assignments(spark, sf):
@@ -151,12 +192,27 @@ def assignments(spark, sf):
     return folds.fold_rows(points, ["user_id"], ["ts", "session_id"], make, f"user_id bigint, {folds.StreamingAssignment.SCHEMA}")
 
 
-@query("streaming_assignments", "I14", None)
+view("offers", ["near", "sess"], """
+SELECT n.user_id, n.start_time AS ts, n.name AS task_id, 1 - least(n.d / 0.35, 1.0) AS confidence, s.keys + s.clicks AS inputs FROM near n JOIN sess s ON s.session_id = n.session_id WHERE n.r = 1
+""")
+view("good_offers", ["offers"], "SELECT * FROM offers WHERE inputs >= 30 AND confidence >= CASE WHEN inputs < 100 THEN 0.60 ELSE 0.70 END")
+ASSIGNED = """
+, taken AS (SELECT user_id, min(ts) AS ts FROM good_offers GROUP BY 1
+  UNION ALL SELECT g.user_id, min(g.ts) FROM taken t JOIN good_offers g ON g.user_id = t.user_id AND g.ts >= t.ts + INTERVAL 2 DAY GROUP BY g.user_id, t.ts)
+"""
+
+
+@query("streaming_assignments", "I14", recursive(with_views("good_offers") + ASSIGNED + """
+SELECT g.user_id, g.ts, g.task_id, round(g.confidence, 6) AS confidence, g.inputs::BIGINT AS inputs, CASE WHEN g.confidence >= 0.85 THEN 'high_confidence' WHEN g.confidence >= 0.70 THEN 'good_match' ELSE 'sufficient_data' END AS reason
+FROM taken t JOIN good_offers g ON g.user_id = t.user_id AND g.ts = t.ts"""))
 def streaming_assignments(spark, sf):
     return assignments(spark, sf)
 
 
-@query("assignment_summary", "D60", None)
+@query("assignment_summary", "D60", recursive(with_views("good_offers") + ASSIGNED + """,
+a AS (SELECT g.* FROM taken t JOIN good_offers g ON g.user_id = t.user_id AND g.ts = t.ts)
+SELECT x.user_id, x.task_id, round(x.m, 6) AS max_confidence, x.n AS assignments, y.t AS current_task, round(y.c, 6) AS current_confidence FROM (SELECT user_id, task_id, max(confidence) AS m, count(*) AS n FROM a GROUP BY 1, 2) x
+JOIN (SELECT user_id, max_by(task_id, epoch_us(ts)) AS t, max_by(confidence, epoch_us(ts)) AS c FROM a GROUP BY 1) y ON y.user_id = x.user_id"""))
 def assignment_summary(spark, sf):
     rows = assignments(spark, sf)
     top = rows.groupBy("user_id", "task_id").agg(F.max("confidence").alias("max_confidence"), F.count(F.lit(1)).alias("assignments"))
