@@ -201,3 +201,39 @@ def pearson(df: DataFrame, x: str, y: str, keys: list[str] | None = None) -> Dat
     """Correlation, NULL below two rows or without variance."""
     usable = (F.count(F.lit(1)) >= 2) & (F.stddev_pop(x) > 0) & (F.stddev_pop(y) > 0)
     return df.groupBy(*(keys or [])).agg(F.count(F.lit(1)).alias("n"), F.when(usable, F.corr(x, y)).alias("corr"))
+
+
+def report_rows(section: str, df: DataFrame, key: Column, values: list[str]) -> DataFrame:
+    """A result as (section, key, metric, value) rows."""
+    one = F.explode(F.array(*[F.struct(F.lit(v).alias("metric"), F.col(v).cast("double").alias("value")) for v in values]))
+    return df.select(F.lit(section).alias("section"), key.cast("string").alias("key"), one.alias("m")).select("section", "key", "m.metric", "m.value")
+
+
+def insights_report(intervals: DataFrame, segments: DataFrame, keys: list[str], focus_threshold: float = 0.6, max_gap_minutes: float = 1.5,
+                    audio_threshold: float = 0.5) -> DataFrame:
+    """The interval reports of a period in one table. The parts share the scans of two stored
+    tables; each is reduced to at most a few rows per hour, session or user."""
+    hour = F.col("hour")
+    whole = F.lit("all")
+    focus = focus_periods(intervals, keys, focus_threshold, max_gap_minutes).groupBy().agg(
+        F.count(F.lit(1)).alias("periods"), F.avg("duration_minutes").alias("avg_minutes"), F.avg("avg_focus_score").alias("avg_focus_score"))
+    switches = context_switches(intervals, keys).groupBy("hour").agg(F.sum("switches").alias("switches"))
+    meetings = meeting_periods(segments).groupBy().agg(F.count(F.lit(1)).alias("meetings"), F.coalesce(F.sum("duration_minutes"), F.lit(0.0)).alias("meeting_minutes"))
+    heavy = heavy_segments(segments).groupBy().agg(F.count(F.lit(1)).alias("heavy_segments"))
+    parts = [
+        report_rows("peak_hours", peak_hours(intervals), hour, ["avg_focus_score", "interval_count"]),
+        report_rows("interaction", interaction_trends(intervals), hour, ["keys_per_min", "clicks_per_min", "copy_paste_density"]),
+        report_rows("audio_video", audio_video_series(intervals), hour, ["mic_ratio", "camera_ratio", "audio_avg"]),
+        report_rows("system", system_series(intervals), hour, ["cpu_avg", "ram_avg", "gpu_avg"]),
+        report_rows("heatmap", heatmap(intervals), hour, ["focus_avg", "input_avg", "system_avg", "audio_avg"]),
+        report_rows("context_switches", switches, hour, ["switches"]),
+        report_rows("focus_periods", focus, whole, ["periods", "avg_minutes", "avg_focus_score"]),
+        report_rows("audio_engagement", audio_engagement(intervals, audio_threshold), whole, ["engaged_minutes", "engaged_ratio"]),
+        report_rows("meetings", meetings, whole, ["meetings", "meeting_minutes"]),
+        report_rows("heavy_computation", heavy, whole, ["heavy_segments"]),
+        report_rows("correlation", pearson(intervals, "cpu_usage", "keyboard_intensity"), whole, ["corr"]),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

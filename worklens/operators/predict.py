@@ -82,9 +82,9 @@ def task_risks(current: DataFrame, tasks: DataFrame, typical: DataFrame, keys: l
     return rows.select(*keys, "session_id", F.explode(found).alias("r")).select(*keys, "session_id", "r.*")
 
 
-def schedule_risks(current: DataFrame, hours: DataFrame) -> DataFrame:
-    """Sessions running in an hour whose mean continuity is below .5."""
-    rows = current.join(_hour_side(hours), "hour").filter(F.col("hour_continuity") < 0.5)
+def schedule_risks(current: DataFrame, hours: DataFrame, low_focus: float = 0.5) -> DataFrame:
+    """Sessions running in an hour whose mean continuity is below ``low_focus``."""
+    rows = current.join(_hour_side(hours), "hour").filter(F.col("hour_continuity") < low_focus)
     return rows.select(
         "session_id", "hour", F.lit("low").alias("risk_level"), F.lit("schedule").alias("category"),
         F.concat(F.lit("Hour "), F.col("hour").cast("string"), F.lit(" historically has low focus")).alias("message"),

@@ -159,9 +159,9 @@ def task_risks(spark, sf):
 
 @query("schedule_risks", "J18", with_views("sess_class", "hour_ok") + """
 SELECT session_id, h.hour, 'low' AS risk_level, 'schedule' AS category, 'Hour ' || h.hour::VARCHAR || ' historically has low focus' AS message, h.avg_focus_continuity AS evidence
-FROM sess_class s JOIN hour_ok h ON h.hour = hour(s.start_time) WHERE h.avg_focus_continuity < 0.5""")
+FROM sess_class s JOIN hour_ok h ON h.hour = hour(s.start_time) WHERE h.avg_focus_continuity < 0.54""")
 def schedule_risks(spark, sf):
-    return predict.schedule_risks(running(spark, sf), hour_base(spark, sf))
+    return predict.schedule_risks(running(spark, sf), hour_base(spark, sf), low_focus=0.54)
 
 
 view("stuck", ["task_events"], """
@@ -206,11 +206,11 @@ def recent_hour_dips(spark, sf):
 
 @query("alerts", "J21", with_views("risks", "hour_ok", "stuck") + """
 SELECT 'risk' AS type, r.risk_level AS level, session_id AS subject, r.message AS message FROM risks WHERE r.risk_level = 'high'
-UNION ALL SELECT 'schedule', 'low', session_id, 'Hour ' || h.hour::VARCHAR || ' historically has low focus' FROM sess_class s JOIN hour_ok h ON h.hour = hour(s.start_time) WHERE h.avg_focus_continuity < 0.5
+UNION ALL SELECT 'schedule', 'low', session_id, 'Hour ' || h.hour::VARCHAR || ' historically has low focus' FROM sess_class s JOIN hour_ok h ON h.hour = hour(s.start_time) WHERE h.avg_focus_continuity < 0.54
 UNION ALL SELECT 'bottleneck', CASE WHEN hours_since < 48 THEN 'medium' ELSE 'high' END, 'stuck-' || user_id::VARCHAR || '-' || task_id, 'No recent activity' FROM stuck""")
 def alerts(spark, sf):
     return predict.alerts(
-        risk_rows(spark, sf), predict.schedule_risks(running(spark, sf), hour_base(spark, sf)),
+        risk_rows(spark, sf), predict.schedule_risks(running(spark, sf), hour_base(spark, sf), low_focus=0.54),
         predict.stuck_tasks(src.task_events(spark, sf), KEYS, src.as_of()))
 
 
