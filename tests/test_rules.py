@@ -135,3 +135,21 @@ def test_similarity_parts_stay_in_range_and_self_is_one(spark):
     parts = tasks.similarity(F.col, F.col)
     got = df.select(*[c.alias(n) for n, c in parts.items()], tasks.total_similarity(parts).alias("all")).first()
     assert abs(got["all"] - 1.0) < 1e-9
+
+
+def test_nearest_in_blocks_equals_one_array(spark):
+    from worklens.operators import vectors
+
+    rows = spark.createDataFrame([(i, [i / 10.0, (i * 7 % 10) / 10.0]) for i in range(10)], "id long, vector array<double>")
+    centres = spark.createDataFrame([(f"c{i}", [i / 5.0, 1 - i / 5.0], i + 1) for i in range(6)], "name string, centroid array<double>, members long")
+    pick = lambda block: {r.id: [(round(n.distance, 9), n.name) for n in r.nearest] for r in vectors.nearest_in_space(rows, centres, "id", "name", 2, dimensions=2, block=block).collect()}
+    assert pick(100) == pick(2) and all(len(v) == 2 for v in pick(2).values())
+
+
+def test_filters_and_columns_reach_the_scan(spark):
+    from worklens.sources import tables
+
+    df = scans.in_period(tables.intervals_flat(spark, "/root/testdata/sf0.001"), "timestamp_start", "timestamp_end", None, "2024-01-12").select("event_id", "timestamp_start")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(ts), LessThan(ts," in plan
+    assert "ReadSchema: struct<event_id:bigint,ts:timestamp>" in plan

@@ -47,6 +47,25 @@ def nearest_tasks(rows: DataFrame, centres: DataFrame, keys: list[str], name: st
     return rows.join(packed, keys).withColumn("nearest", F.slice(F.array_sort(scored), 1, k)).drop("__c")
 
 
+def nearest_in_space(rows: DataFrame, centres: DataFrame, row_id: str, name: str, k: int = 1, vector: str = "vector", dimensions: int = DIMENSIONS, block: int = 1024) -> DataFrame:
+    """C12 / C14 without a key: the ``k`` nearest of all centroids for every row.
+
+    The centroids are counted first. Up to ``block`` of them are one short array that is broadcast; above
+    that they are cut into blocks, every row meets the blocks by block number, keeps its ``k`` best of
+    each, and the bests are merged per row.
+    """
+    blocks = max(1, -(-centres.count() // block))
+    packed = centres.withColumn("__b", F.pmod(F.xxhash64(name), F.lit(blocks)).cast("int")).groupBy("__b").agg(
+        F.collect_list(F.struct(F.col(name).alias("name"), "centroid", "members")).alias("__c"))
+    scored = F.transform("__c", lambda c: F.struct(distance(F.col(vector), c["centroid"], dimensions).alias("distance"), c["name"].alias("name"), c["members"].alias("members")))
+    best = F.slice(F.array_sort(scored), 1, k)
+    if blocks == 1:
+        return rows.withColumn("__b", F.lit(0)).join(F.broadcast(packed), "__b").withColumn("nearest", best).drop("__b", "__c")
+    tried = rows.select(row_id, vector, F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("__b")).join(packed, "__b")
+    per_row = tried.select(row_id, F.explode(best).alias("n")).groupBy(row_id).agg(F.slice(F.array_sort(F.collect_list("n")), 1, k).alias("nearest"))
+    return rows.join(per_row, row_id)
+
+
 def match_confidence(d: Column) -> Column:
     return 1.0 - F.least(d / MATCH_DISTANCE, F.lit(1.0))
 

@@ -305,9 +305,8 @@ WITH e AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS v, generate_subscr
 d AS (SELECT e.vec_id, c.label, least(1.0, sqrt(sum(pow(e.v - c.m, 2)) / 64.0)) AS d FROM e JOIN c ON c.i = e.i GROUP BY 1, 2)
 SELECT vec_id, label::BIGINT AS nearest_label, round(d, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, label) AS r FROM d) t WHERE r = 1""")
 def embedding_nearest_label(spark, sf):
-    rows = src.table(spark, sf, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("vector"), F.lit(0).alias("space"))
-    centres = vectors.centroids(rows, ["space", "label"])  # one row per label, ten in all
-    near = vectors.nearest_tasks(rows.drop("label"), centres, ["space"], "label", 1, dimensions=64)
+    rows = src.table(spark, sf, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("vector"))
+    near = vectors.nearest_in_space(rows.drop("label"), vectors.centroids(rows, ["label"]), "vec_id", "label", 1, dimensions=64)
     return near.select("vec_id", F.col("nearest")[0]["name"].alias("nearest_label"), F.col("nearest")[0]["distance"].alias("distance"))
 
 

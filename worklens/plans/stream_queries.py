@@ -117,16 +117,32 @@ def latent(spark, sf):
 
 view("svec_n", ["svec"], "SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY start_time, session_id) AS r FROM svec")
 GAP = "least(1.0, sqrt(list_sum(list_transform(generate_series(1, 8), lambda j: pow(s.vector[j] - t.m[j], 2))) / 8.0))"
-LATENT = f"""
+ZERO = "[0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0]::DOUBLE[]"
+FRESH = f"{{'m': vector, 'v': {ZERO}, 'w': {ZERO}, 'n': 1::BIGINT, 'sure': 0.5::DOUBLE, 'drift': 0.0::DOUBLE, 'far': 0.0::DOUBLE}}"
+EIGHT = "generate_series(1, 8)"
+WALK = f"""
 , walk AS (
-  SELECT user_id, session_id, r, [{{'m': vector, 'n': 1::BIGINT}}] AS tasks, 1::BIGINT AS pos, 1.0::DOUBLE AS confidence FROM svec_n WHERE r = 1
+  SELECT user_id, session_id, r, [{FRESH}] AS tasks, 1::BIGINT AS pos, 1.0::DOUBLE AS confidence FROM svec_n WHERE r = 1
   UNION ALL
-  SELECT user_id, session_id, r, CASE WHEN joins THEN list_transform(tasks, lambda t, i: CASE WHEN i = best THEN {{'m': list_transform(generate_series(1, 8), lambda j: t.m[j] * (1 - least(0.2, 1.0 / (t.n + 1))) + vector[j] * least(0.2, 1.0 / (t.n + 1))), 'n': t.n + 1}}
-      ELSE t END) ELSE list_append(tasks, {{'m': vector, 'n': 1::BIGINT}}) END, CASE WHEN joins THEN best ELSE len(tasks) + 1 END, CASE WHEN joins THEN sure ELSE 0.5 END
-  FROM (SELECT *, d <= 0.35 AND sure >= 0.6 AS joins FROM (SELECT *, least(1.0, 1 - d / 0.35 + tasks[best].n / 3.0 * 0.2) AS sure FROM (
+  SELECT user_id, session_id, r, CASE WHEN joins THEN list_transform(tasks, lambda t, i: CASE WHEN i = best THEN nt ELSE t END) ELSE list_append(tasks, {FRESH}) END,
+    CASE WHEN joins THEN best ELSE len(tasks) + 1 END, CASE WHEN joins THEN sure ELSE 0.5 END
+  FROM (SELECT *, {{'m': nm, 'v': nv, 'w': nw, 'n': n1, 'sure': greatest(0.0, least(0.4 * least(n1 / 3.0, 1.5) + 0.35 * greatest(0.0, 1 - list_sum(nv) / 8) + 0.25 * greatest(0.0, 1 - 2 * drift), 1.0)), 'drift': drift, 'far': least(bt.far + shift, 10.0)}} AS nt
+  FROM (SELECT *, greatest(0.0, least(bt.drift * 0.5 + shift * 0.3 + list_sum(nw) / 8 * 0.2, 1.0)) AS drift
+  FROM (SELECT *, least(1.0, sqrt(list_sum(list_transform({EIGHT}, lambda j: pow(bt.m[j] - nm[j], 2))) / 8.0)) AS shift
+  FROM (SELECT *, list_transform({EIGHT}, lambda j: bt.m[j] * (1 - a) + vector[j] * a) AS nm, list_transform({EIGHT}, lambda j: (1 - a) * (bt.v[j] + a * pow(vector[j] - bt.m[j], 2))) AS nv,
+      list_transform({EIGHT}, lambda j: bt.w[j] * (1 - a) + abs(vector[j] - bt.m[j]) * a) AS nw
+  FROM (SELECT *, d <= 0.35 AND sure >= 0.6 AS joins, bt.n + 1 AS n1, least(0.2, 1.0 / (bt.n + 1)) AS a
+  FROM (SELECT *, tasks[best] AS bt, least(1.0, 1 - d / 0.35 + tasks[best].n / 3.0 * 0.2) AS sure FROM (
     SELECT *, list_min(ds) AS d, list_position(ds, list_min(ds))::BIGINT AS best FROM (
-      SELECT s.user_id, s.session_id, s.r, s.vector, w.tasks, list_transform(w.tasks, lambda t: {GAP}) AS ds FROM walk w JOIN svec_n s ON s.user_id = w.user_id AND s.r = w.r + 1) a) b) c) d)
+      SELECT s.user_id, s.session_id, s.r, s.vector, w.tasks, list_transform(w.tasks, lambda t: {GAP}) AS ds FROM walk w JOIN svec_n s ON s.user_id = w.user_id AND s.r = w.r + 1) a) b) c) d0) e) f) g) h)"""
+LATENT = WALK + """
 SELECT user_id, session_id, 'latent-' || user_id::VARCHAR || '-' || pos::VARCHAR AS task_id, round(confidence, 6) AS confidence, tasks[pos].n AS members FROM walk"""
+CENTRES = WALK + """,
+last AS (SELECT user_id, arg_max(tasks, r) AS tasks FROM walk GROUP BY 1),
+cen AS (SELECT user_id, 'latent-' || user_id::VARCHAR || '-' || i::VARCHAR AS task_id, t.n AS members, t.sure AS centroid_confidence, t.drift AS drift, t.far AS drift_cumulative, list_sum(t.w) / 8 AS feature_drift_avg, t.m[1] AS entropy, t.m[2] AS continuity
+  FROM (SELECT user_id, unnest(tasks) AS t, generate_subscripts(tasks, 1) AS i FROM last) x)
+"""
+CENTRE_COLS = "user_id, task_id, members, " + ", ".join(f"round({c}, 6) AS {c}" for c in ("centroid_confidence", "drift", "drift_cumulative", "feature_drift_avg", "entropy", "continuity"))
 
 
 @query("latent_tasks", "J05 I15", recursive(with_views("svec_n") + LATENT))
@@ -134,7 +150,7 @@ def latent_tasks(spark, sf):
     return latent(spark, sf).select("user_id", "session_id", "task_id", "confidence", "members")
 
 
-@query("latent_task_summary", "J23", None)
+@query("latent_task_summary", "J23", recursive(with_views("svec_n") + CENTRES + f"SELECT {CENTRE_COLS} FROM cen"))
 def latent_task_summary(spark, sf):
     return _centroids(spark, sf)
 
@@ -143,7 +159,8 @@ def _centroids(spark, sf):
     return scans.latest_per_key(latent(spark, sf).drop("confidence", "session_id"), ["user_id", "task_id"], ["members"])
 
 
-@query("unstable_tasks", "B14 H34", None)
+@query("unstable_tasks", "B14 H34", recursive(with_views("svec_n") + CENTRES + f"""SELECT {CENTRE_COLS}, CASE WHEN drift > 0.35 THEN 'critical' ELSE 'high' END AS severity FROM cen
+WHERE drift > 0.15 OR drift_cumulative > 1.0 OR feature_drift_avg > 0.08"""))
 def unstable_tasks(spark, sf):
     return vectors.unstable_tasks(_centroids(spark, sf))
 

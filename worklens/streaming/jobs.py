@@ -86,9 +86,9 @@ def periodic_report(spark: SparkSession, sf_dir: str, lookback_minutes: int = 12
 
     def report(batch: DataFrame, batch_id: int) -> None:
         rows = src.interval_columns(batch)
-        newest = rows.agg(F.max("timestamp_start").alias("newest"))
-        recent = rows.join(F.broadcast(newest)).filter(scoring.minutes_between("timestamp_start", "newest") <= lookback_minutes)
-        insights.heatmap(recent.drop("newest")).withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(base)
+        newest = F.lit(rows.agg(F.max("timestamp_start")).first()[0]).cast("timestamp")
+        recent = rows.filter(scoring.minutes_between(F.col("timestamp_start"), newest) <= lookback_minutes)
+        insights.heatmap(recent).withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(base)
 
     run_available(event_stream(spark, sf_dir), each=report)
     return spark.read.parquet(base)
