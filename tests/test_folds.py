@@ -1,6 +1,7 @@
 """Window forms, batch folds and streams of the order-dependent rules against plain folds."""
 
 import random
+from functools import partial
 from datetime import datetime, timedelta
 
 import pytest
@@ -50,7 +51,7 @@ def test_committed_states_windows_equal_the_fold(spark, seed):
     df = spark.createDataFrame(data, "user_id long, ts timestamp, event_id long, candidate string")
     pick = lambda d: sorted((r.user_id, r.ts, r.from_state, r.to_state, r.since, r.duration_prev) for r in d.collect())
     assert pick(statelog.committed_states(df, ["user_id"], hold)) == sorted(want)
-    fold = folds.fold_rows(df, ["user_id"], ["ts", "event_id"], lambda: folds.Hysteresis(hold), f"user_id bigint, {folds.Hysteresis.SCHEMA}")
+    fold = folds.fold_rows(df, ["user_id"], ["ts", "event_id"], partial(folds.Hysteresis, hold), f"user_id bigint, {folds.Hysteresis.SCHEMA}")
     assert pick(fold) == sorted(want)
 
 
@@ -99,7 +100,7 @@ def test_stream_hysteresis_equals_batch_over_several_micro_batches(spark, tmp_pa
         lo, hi = T0 + timedelta(days=10 * i), T0 + timedelta(days=10 * i + 10)
         rows.filter((F.col("ts") >= F.lit(lo)) & (F.col("ts") < F.lit(hi))).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    got = jobs.run_available(stateful.fold_stream(stream, ["user_id"], ["ts", "event_id"], lambda: folds.Hysteresis(hold), f"user_id bigint, {folds.Hysteresis.SCHEMA}"))
+    got = jobs.run_available(stateful.fold_stream(stream, ["user_id"], ["ts", "event_id"], partial(folds.Hysteresis, hold), f"user_id bigint, {folds.Hysteresis.SCHEMA}"))
     pick = lambda d: sorted((r.user_id, r.ts, r.to_state, r.since, r.duration_prev) for r in d.collect())
     assert pick(got) == pick(statelog.committed_states(rows, ["user_id"], hold))
 
@@ -141,3 +142,17 @@ def test_streaming_assignments_keep_their_distance(spark):
     for ts in by.values():
         ts.sort()
         assert all((b - a).total_seconds() >= 2 * 86400 for a, b in zip(ts, ts[1:]))
+
+
+def test_steps_travel_without_the_package(tmp_path):
+    """What runs in a task must not import this package: executors have no copy of it."""
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    makers = [partial(folds.Hysteresis, {"A": 1}), folds.LatentTasks, folds.OnlineSegments, partial(folds.StreamingAssignment, 60)]
+    (tmp_path / "steps").write_bytes(cloudpickle.dumps(makers))
+    code = "import pickle, sys; made = [m() for m in pickle.load(open('steps', 'rb'))]; assert 'worklens' not in sys.modules; print(len(made))"
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, env={"PATH": "/usr/bin:/bin"})
+    assert done.stdout.strip() == "4", done.stderr

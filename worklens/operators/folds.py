@@ -10,14 +10,20 @@ from __future__ import annotations
 
 import json
 import math
+import sys
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 
 from worklens.functions import rules
 from worklens.operators.statelog import HOLD_SECONDS
 
+# executors need no copy of this package: the step classes travel with the task. Give ``fold_rows`` a
+# class or a functools.partial of one.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def fold_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], make: Callable[[], "Step"], schema: str) -> DataFrame:
     n = len(keys)

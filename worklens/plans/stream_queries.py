@@ -1,5 +1,7 @@
 """Streams over the event file, and ordered folds."""
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from worklens.functions import text
@@ -82,7 +84,7 @@ def stream_committed_states(spark, sf):
     state = F.when(k < 30, "IDLE").when(k < 60, "ACTIVE_UNALIGNED").otherwise("ACTIVE_ALIGNED")
     rows = jobs.event_stream(spark, sf).select("user_id", "ts", "event_id", state.alias("candidate"))
     hold = {"IDLE": 36000, "ACTIVE_UNALIGNED": 18000, "ACTIVE_ALIGNED": 0}
-    return jobs.run_available(stateful.fold_stream(rows, ["user_id"], ["ts", "event_id"], lambda: folds.Hysteresis(hold), f"user_id bigint, {folds.Hysteresis.SCHEMA}"))
+    return jobs.run_available(stateful.fold_stream(rows, ["user_id"], ["ts", "event_id"], partial(folds.Hysteresis, hold), f"user_id bigint, {folds.Hysteresis.SCHEMA}"))
 
 
 @query("periodic_report", "I17 D39", with_views("scored") + """,
@@ -197,7 +199,7 @@ SELECT session_id, base_category, start_time, coalesce(lead(start_time) OVER (PA
 
 @query("online_segments", "I07", recursive(with_views("points") + ONLINE))
 def online_segments(spark, sf):
-    make = lambda: folds.OnlineSegments(min_seconds=3600, minute=3600.0)
+    make = partial(folds.OnlineSegments, min_seconds=3600, minute=3600.0)
     return folds.fold_rows(online_points(spark, sf), ["session_id"], ["ts", "event_id"], make, f"session_id string, {folds.OnlineSegments.SCHEMA}").drop("task_id")
 
 
@@ -205,7 +207,7 @@ def assignments(spark, sf):
     rows = sig.nearest(spark, sf, 1).join(src.sessions(spark, sf).select("session_id", (F.col("keys") + F.col("clicks")).alias("inputs")), "session_id")
     best = F.col("nearest")[0]
     points = rows.select("user_id", F.col("start_time").alias("ts"), "session_id", best["name"].alias("task_id"), vectors.match_confidence(best["distance"]).alias("confidence"), "inputs")
-    make = lambda: folds.StreamingAssignment(every_seconds=2 * 86400)
+    make = partial(folds.StreamingAssignment, every_seconds=2 * 86400)
     return folds.fold_rows(points, ["user_id"], ["ts", "session_id"], make, f"user_id bigint, {folds.StreamingAssignment.SCHEMA}")
 
 
