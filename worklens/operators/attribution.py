@@ -47,6 +47,7 @@ def attribute_sessions(sessions: DataFrame, intervals: DataFrame, now: Column, m
     if merge:
         closed = merge_intervals(closed.filter(F.col("a_end") > F.col("a_start")), TASK, "a_start", "a_end").drop("n_merged")
     per_task = session_overlaps(sessions, closed, now).groupBy("user_id", "session_id", "task_id").agg(F.sum("seconds").alias("s"))
+    per_task = cut_lineage(per_task)  # read for the tasks and for the remainder
     covered = per_task.groupBy("user_id", "session_id").agg(F.sum("s").alias("covered"))
     rest = (
         sessions.select("user_id", "session_id", scoring.seconds_between("start_time", "end_time").alias("d"))

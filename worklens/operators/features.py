@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from worklens.functions import rules, scoring, text
 from worklens.functions.sequence import day_chunk, scan_rows
+from worklens.session import cut_lineage
 
 
 def one_hot(value: Column, values: list[str], other_last: bool = False) -> Column:
@@ -61,6 +62,7 @@ def sequence_context(segments: DataFrame) -> DataFrame:
     two segments ago."""
     order = ["start_time", "segment_id"]
     one = scan_rows(segments, ["session_id"], order, day_chunk("start_time"), lag={"previous_task": F.col("generic_task")}, run_sum={"__n": F.lit(1)})
+    one = cut_lineage(one)
     two = scan_rows(one, ["session_id"], order, day_chunk("start_time"), lag={"__two": F.col("previous_task")})
     return two.withColumns({
         "position": F.col("__n") - 1, "is_task_return": F.coalesce((F.col("__n") > 2) & (F.col("__two") == F.col("generic_task")), F.lit(False))}).drop("__n", "__two")

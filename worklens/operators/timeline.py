@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from worklens.functions import scoring
 from worklens.functions.ranges import asof_join, merge_intervals
 from worklens.functions.sequence import day_chunk, islands, span_islands
+from worklens.session import cut_lineage
 
 KEY = ["user_id", "session_id", "day"]
 
@@ -37,6 +38,7 @@ def minute_states(sessions: DataFrame, minutes: DataFrame, state_changes: DataFr
     real = F.count("minute").over(Window.partitionBy(*KEY))
     rows = rows.withColumn("real", real).filter("minute is not null or real = 0").select(
         *KEY, F.coalesce("minute", "day_start").alias("minute"), F.coalesce("keys", F.lit(0)).alias("keys"), F.coalesce("clicks", F.lit(0)).alias("clicks"))
+    rows = cut_lineage(rows)  # the as-of scan reads it several times
     return asof_join(rows, state_changes, ["user_id"], "minute", "ts", "payload", "payload", "event_id")
 
 
@@ -49,6 +51,7 @@ def timeline(states: DataFrame) -> DataFrame:
         rows, KEY, ["minute"], F.date_trunc("hour", "minute"),
         lambda: (F.col("__s") != F.col("state")) | ~F.col("__t").eqNullSafe(F.col("task")), out="stretch",
         lag={"__s": F.col("state"), "__t": F.col("task")}, uses=["state", "task"])
+    runs = cut_lineage(runs)  # feeds two aggregates
     group = [*KEY, "stretch", "state", "task"]
     minutes = F.count(F.lit(1))
     base = runs.groupBy(*group).agg(

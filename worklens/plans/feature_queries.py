@@ -77,7 +77,7 @@ PLACED = """app_at + (12 + part) + (16 + bin) + 21 * ln(1 + m) + 22 * hour(start
   + 37 * least(nt / 20.0, 1.0) + 38 * least(nw / 10.0, 1.0) + """ + " + ".join(f"{39 + i} * f{i}" for i in range(9)) + " + coalesce(list_sum(list_transform(bow, lambda p: 47 + p)), 0)"
 
 
-@query("segment_features", "J11 J13 H07 H19 H27 H28 A25", with_views("feat") + f"SELECT segment_id, generic_task, 97 AS dimensions, round({PLACED}, 6) AS placed_sum, len(coalesce(bow, [])) AS known_words FROM feat")
+@query("segment_features", "J11 J13 H07 H19 H27 H28 A25", with_views("feat") + f"SELECT segment_id, generic_task, 97::BIGINT AS dimensions, round({PLACED}, 6) AS placed_sum, len(coalesce(bow, [])) AS known_words FROM feat")
 def segment_features(spark, sf):
     rows = segment_vectors(spark, sf)
     placed = F.aggregate(F.transform("features", lambda v, i: v * (i + 1)), F.lit(0.0), lambda s, v: s + v)

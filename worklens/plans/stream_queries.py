@@ -1,5 +1,6 @@
 """Streams over the event file, and ordered folds."""
 
+import uuid
 from functools import partial
 
 from pyspark.sql import functions as F
@@ -69,8 +70,6 @@ def stream_task_moments(spark, sf):
 
 
 def _write(batch, batch_id):
-    import uuid
-
     from worklens.session import shared_folder
 
     path = f"{shared_folder(batch.sparkSession)}/worklens-moments-{uuid.uuid4().hex[:8]}"
@@ -211,6 +210,19 @@ def assignments(spark, sf):
     return folds.fold_rows(points, ["user_id"], ["ts", "session_id"], make, f"user_id bigint, {folds.StreamingAssignment.SCHEMA}")
 
 
+@query("stream_latent_tasks", "I15", recursive(with_views("svec_n") + LATENT))
+def stream_latent_tasks(spark, sf):
+    """The session vectors written as a table and read back as a stream."""
+    from worklens.session import shared_folder
+
+    path = f"{shared_folder(spark)}/worklens-vectors-{uuid.uuid4().hex[:8]}"
+    rows = sig.svec(spark, sf).select("user_id", "session_id", "start_time", "vector")
+    rows.write.parquet(path)
+    stream = spark.readStream.schema(rows.schema).parquet(path).withColumn("owner", F.col("user_id"))
+    done = jobs.run_available(stateful.fold_stream(stream, ["owner"], ["start_time", "session_id"], folds.LatentTasks, f"user_id bigint, {folds.LatentTasks.SCHEMA}"))
+    return done.select("user_id", "session_id", "task_id", "confidence", "members")
+
+
 view("offers", ["near", "sess"], """
 SELECT n.user_id, n.start_time AS ts, n.name AS task_id, 1 - least(n.d / 0.35, 1.0) AS confidence, s.keys + s.clicks AS inputs FROM near n JOIN sess s ON s.session_id = n.session_id WHERE n.r = 1
 """)

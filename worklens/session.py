@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -43,7 +44,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-_STORED: dict[tuple[str, str, str], str] = {}
+_STORED: dict[tuple[str, str, str], tuple[str, StructType]] = {}
 
 
 def stored(spark: SparkSession, source: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
@@ -55,9 +56,11 @@ def stored(spark: SparkSession, source: str, name: str, build: Callable[[], Data
     key = (spark.sparkContext.applicationId, source, name)
     if key not in _STORED:
         path = f"{shared_folder(spark)}/worklens-{key[0]}/{uuid.uuid4().hex[:8]}/{name}"
-        build().write.parquet(path)
-        _STORED[key] = path
-    return spark.read.parquet(_STORED[key])
+        df = build()
+        df.write.parquet(path)
+        _STORED[key] = (path, df.schema)
+    path, schema = _STORED[key]
+    return spark.read.schema(schema).parquet(path)
 
 
 _SPLITS: dict[tuple[str, str], int] = {}
