@@ -48,7 +48,7 @@ def scan_rows(
     max_before     maximum strictly before the row
     run_sum        running sum including the row
 
-    ``chunk`` must not decrease along ``order``.
+    ``chunk`` must not decrease along ``order``; keys and order columns must not be NULL.
     """
     lag, lead, known = lag or {}, lead or {}, known or {}
     known_before, max_before, run_sum = known_before or {}, max_before or {}, run_sum or {}

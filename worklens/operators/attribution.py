@@ -35,7 +35,7 @@ def session_overlaps(sessions: DataFrame, intervals: DataFrame, now: Column) ->
     """One row per overlapping session and active interval, with the seconds in common."""
     closed = intervals.withColumn("a_end", F.coalesce("a_end", now)).filter(F.col("a_end") > F.col("a_start"))
     spans = sessions.select("user_id", "session_id", "start_time", "end_time")
-    pairs = overlap_join(spans, closed, ["user_id"], ("start_time", "end_time"), ("a_start", "a_end"), bucket_seconds=86400)
+    pairs = overlap_join(spans, closed, ["user_id"], ("start_time", "end_time"), ("a_start", "a_end"), bucket_seconds=21600)
     both = scoring.seconds_between(F.greatest("start_time", "a_start"), F.least("end_time", "a_end"))
     return pairs.withColumn("seconds", both).filter("seconds > 0")
 
@@ -95,7 +95,7 @@ def background_to_sessions(events: DataFrame, sessions: DataFrame, max_gap_secon
     point = events.select("event_id", "user_id", F.col("ts").alias("p0"), F.col("ts").alias("p1"))
     reach = F.expr(f"interval {max_gap_seconds} seconds")
     wide = sessions.select("user_id", "session_id", "start_time", "end_time", (F.col("start_time") - reach).alias("w0"), (F.col("end_time") + reach).alias("w1"))
-    pairs = overlap_join(point, wide, ["user_id"], ("p0", "p1"), ("w0", "w1"), bucket_seconds=86400, closed=True)
+    pairs = overlap_join(point, wide, ["user_id"], ("p0", "p1"), ("w0", "w1"), bucket_seconds=21600, closed=True)
     inside = F.col("p0").between(F.col("start_time"), F.col("end_time"))
     gap = F.least(F.abs(scoring.seconds_between("start_time", "p0")), F.abs(scoring.seconds_between("end_time", "p0")))
     rows = pairs.withColumns({"inside": inside, "gap": F.when(inside, 0.0).otherwise(gap)})
@@ -109,7 +109,7 @@ def bucket_totals_in_intervals(minutes: DataFrame, intervals: DataFrame) -> Data
     intervals do not overlap, so a bucket meets each task once."""
     merged = merge_intervals(intervals, TASK, "a_start", "a_end").drop("n_merged")
     point = minutes.select("user_id", "minute", (F.col("minute") + F.expr("interval 1 microsecond")).alias("m1"), "keys", "clicks", "mouse_distance")
-    pairs = overlap_join(point, merged, ["user_id"], ("minute", "m1"), ("a_start", "a_end"), bucket_seconds=86400).filter(F.col("a_start") <= F.col("minute"))
+    pairs = overlap_join(point, merged, ["user_id"], ("minute", "m1"), ("a_start", "a_end"), bucket_seconds=21600).filter(F.col("a_start") <= F.col("minute"))
     return pairs.groupBy("task_id").agg(
         F.count(F.lit(1)).alias("buckets"), F.sum(F.col("keys") + F.col("clicks") + F.col("mouse_distance")).alias("total"))
 
@@ -124,7 +124,7 @@ def task_day_report(segments: DataFrame, minutes: DataFrame) -> DataFrame:
     time = clipped.groupBy("user_id", "day", "task_id").agg(F.sum("seconds").alias("seconds"), F.count(F.lit(1)).alias("segments"))
     point = minutes.select("user_id", "session_id", "minute", (F.col("minute") + F.expr("interval 1 microsecond")).alias("m1"), "keys", "clicks")
     hits = overlap_join(point, clipped.select("user_id", "session_id", "day", "task_id", "c0", "c1"), ["user_id", "session_id"],
-                        ("minute", "m1"), ("c0", "c1"), bucket_seconds=86400).filter(F.col("c0") <= F.col("minute"))
+                        ("minute", "m1"), ("c0", "c1"), bucket_seconds=21600).filter(F.col("c0") <= F.col("minute"))
     inputs = hits.groupBy("user_id", "day", "task_id").agg(F.sum("keys").alias("keys"), F.sum("clicks").alias("clicks"))
     return time.join(inputs, ["user_id", "day", "task_id"], "left").na.fill(0, ["keys", "clicks"])
 

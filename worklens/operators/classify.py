@@ -136,3 +136,15 @@ def reclassification_summary(changes: DataFrame) -> DataFrame:
         F.struct(F.lit("reason").alias("kind"), F.col("reason").alias("value")),
     )).alias("r")).select("r.*")
     return rows.groupBy("kind", "value").agg(F.count(F.lit(1)).alias("segments"))
+
+
+def apply_reclassification(segments: DataFrame, changes: DataFrame, dry_run: bool = True) -> DataFrame:
+    """Segments with the new task, confidence and reason of ``changes`` (segment_id, new_task,
+    new_confidence, new_reason). A dry run leaves them and only marks what would change."""
+    rows = segments.join(changes, "segment_id", "left")
+    differs = F.coalesce(F.col("new_task") != F.col("task_id"), F.lit(False))
+    if dry_run:
+        return rows.withColumn("would_change", differs).drop("new_task", "new_confidence", "new_reason")
+    pick = lambda new, old: F.when(differs, F.col(new)).otherwise(F.col(old)).alias(old)
+    kept = [c for c in segments.columns if c not in ("task_id", "confidence", "reason")]
+    return rows.select(*kept, pick("new_task", "task_id"), pick("new_confidence", "confidence"), pick("new_reason", "reason"))

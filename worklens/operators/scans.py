@@ -91,7 +91,7 @@ def segment_metrics(segments: DataFrame, intervals: DataFrame, widen_seconds: in
         "session_id", "timestamp_start", "timestamp_end", "cpu_usage", "ram_usage", "gpu_usage", "audio_volume", "keyboard_intensity", "mouse_clicks")
 
     def measured(rows: DataFrame, mark: str) -> DataFrame:
-        pairs = overlap_join(rows, iv, ["session_id"], ("s", "e"), ("timestamp_start", "timestamp_end"), bucket_seconds=86400)
+        pairs = overlap_join(rows, iv, ["session_id"], ("s", "e"), ("timestamp_start", "timestamp_end"), bucket_seconds=3600)
         zero = lambda c: F.coalesce(F.avg(F.coalesce(c, F.lit(0.0))), F.lit(0.0))
         return pairs.groupBy("segment_id").agg(
             zero("cpu_usage").alias(f"cpu{mark}"), zero("ram_usage").alias(f"ram{mark}"), F.coalesce(F.avg("gpu_usage"), F.lit(0.0)).alias(f"gpu{mark}"),
@@ -113,7 +113,7 @@ def segment_context(events: DataFrame, segments: DataFrame) -> DataFrame:
     a segment, both ends included. ``events`` has session_id, ts, event_id, is_window, app, title."""
     point = events.select("session_id", F.col("ts").alias("t0"), F.col("ts").alias("t1"), "event_id", "is_window", "app", "title")
     spans = segments.filter("end_time is not null").select("session_id", "segment_id", F.col("start_time").alias("s"), F.col("end_time").alias("e"))
-    pairs = overlap_join(point, spans, ["session_id"], ("t0", "t1"), ("s", "e"), bucket_seconds=86400, closed=True)
+    pairs = overlap_join(point, spans, ["session_id"], ("t0", "t1"), ("s", "e"), bucket_seconds=3600, closed=True)
     order = F.min(F.struct("t0", "event_id"))
     counts = pairs.groupBy("segment_id", "app", "title").agg(
         F.sum(F.col("is_window").cast("int")).alias("n"), F.sum((~F.col("is_window")).cast("int")).alias("inputs"),

@@ -215,3 +215,13 @@ def split_decisions(segments: DataFrame, keys: list[str], min_seconds: float = 6
         .when(F.col("p.app") != F.col("app"), F.concat(F.lit("app_change_"), F.col("p.app"), F.lit("_to_"), F.col("app")))
         .when(F.col("p.normalized_title") != F.col("normalized_title"), "window_change").otherwise("no_context_change"))
     return seen.withColumn("reason", reason).withColumn("split", F.col("reason").startswith("app_change") | (F.col("reason") == "window_change")).drop("p")
+
+
+def trailing_totals(minutes: DataFrame, windows: list[float]) -> DataFrame:
+    """Inputs of a session in the trailing windows (in minutes, back from its latest bucket) and in
+    the whole session."""
+    last = minutes.groupBy("session_id").agg(F.max("minute").alias("now"))
+    rows = minutes.join(last, "session_id").withColumn("age", scoring.minutes_between("minute", "now"))
+    inside = lambda w, c: F.sum(F.when(F.col("age") < w, F.col(c)).otherwise(0))
+    cols = [inside(w, c).alias(f"{c}_{int(w)}") for w in windows for c in ("keys", "clicks", "mouse_distance")]
+    return rows.groupBy("session_id").agg(*cols, *[F.sum(c).alias(f"{c}_all") for c in ("keys", "clicks", "mouse_distance")])

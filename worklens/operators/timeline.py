@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from worklens.functions import scoring
-from worklens.functions.ranges import asof_join, merge_intervals
-from worklens.functions.sequence import day_chunk, islands, span_islands
+from worklens.functions.ranges import asof_join
+from worklens.functions.sequence import islands, span_islands
 from worklens.session import cut_lineage
 
 KEY = ["user_id", "session_id", "day"]

@@ -252,7 +252,7 @@ l AS (SELECT user_id, ts, event_id, CASE event_type WHEN 'view' THEN 'FINALIZING
 SELECT event_id, from_state, state FROM (SELECT *, coalesce(lag(state) OVER (PARTITION BY user_id ORDER BY ts, event_id), 'INACTIVE') AS from_state FROM l) t
 WHERE from_state <> state AND from_state || '>' || state NOT IN ('INACTIVE>ACTIVE', 'ACTIVE>FINALIZING', 'ACTIVE>INACTIVE', 'FINALIZING>FINALIZED', 'FINALIZING>INACTIVE', 'FINALIZED>INACTIVE')""")
 def invalid_session_transitions(spark, sf):
-    log = src.events(spark, sf).select("user_id", "ts", "event_id", src._lookup(F.col("event_type"), SESSION_STATE).alias("state"))
+    log = src.events(spark, sf).select("user_id", "ts", "event_id", src.lookup(F.col("event_type"), SESSION_STATE).alias("state"))
     return statelog.invalid_transitions(log, ["user_id"]).select("event_id", "from_state", "state")
 
 

@@ -137,3 +137,15 @@ def transition_decisions(spark, sf):
     seen = scan_rows(rows, ["session_id"], ["start_time", "segment_id"], day_chunk("start_time"), lag={"p": F.struct("generic_task", "confidence", "start_time")}).filter("p is not null")
     moves = classify.should_transition(F.col("p.generic_task"), F.col("generic_task"), F.col("p.confidence"), F.col("confidence"), scoring.minutes_between(F.col("p.start_time"), "start_time"))
     return seen.select("segment_id", moves.alias("moves"))
+
+
+@query("reclassified_segments", "J14", with_views("task_segments", "recommended_task") + """
+SELECT s.segment_id, r.task AS task_id, round(CASE WHEN r.task <> s.task_id THEN r.confidence ELSE s.confidence END, 6) AS confidence, CASE WHEN r.task <> s.task_id THEN r.reason ELSE s.reason END AS reason
+FROM task_segments s JOIN recommended_task r ON r.event_id = s.segment_id""")
+def reclassified_segments(spark, sf):
+    from worklens.plans.text_queries import named
+
+    done = classify.recommend(named(spark, sf)).select(
+        F.col("event_id").alias("segment_id"), F.col("task").alias("new_task"), F.col("confidence").alias("new_confidence"), F.col("reason").alias("new_reason"))
+    seg = src.task_segments(spark, sf).select("segment_id", "task_id", "confidence", "reason")
+    return classify.apply_reclassification(seg, done, dry_run=False)

@@ -4,7 +4,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from worklens.operators import features, insights, scans, trends
+from worklens.operators import insights, trends
 from worklens.plans import daily_queries as days
 from worklens.plans import feature_queries, insight_queries, segment_queries  # noqa: F401  (define the views)
 from worklens.plans.prelude import with_views

@@ -2,12 +2,10 @@
 
 from pyspark.sql import functions as F
 
-from worklens.functions import scoring
 from worklens.operators import daily, metrics, signals, vectors
 from worklens.plans import daily_queries  # noqa: F401  (defines the session views)
 from worklens.plans.prelude import view, with_views
 from worklens.plans.registry import query
-from worklens.session import stored
 from worklens.sources import tables as src
 
 FOCUS = metrics.Metric("focus", "keyboard_intensity")
@@ -333,3 +331,13 @@ def normalized_metadata(spark, sf):
         "avg_ram": F.col("avg_cpu"), "avg_gpu": F.col("avg_cpu"), "event_count": F.col("total_events")})
     return vectors.normalized_metadata(rows).select(
         "session_id", "cpu_normalized", "input_intensity_normalized", "signal_quality", F.array_join("top_apps", ",").alias("top_apps"))
+
+
+TRAIL = ", ".join(f"sum(CASE WHEN age < {w} THEN {c} ELSE 0 END)::BIGINT AS {c}_{w}" for w in (60, 300, 600) for c in ("keys", "clicks", "mouse_distance"))
+
+
+@query("session_signal_totals", "D55", with_views("session_minutes") + f"""
+SELECT session_id, {TRAIL}, sum(keys)::BIGINT AS keys_all, sum(clicks)::BIGINT AS clicks_all, sum(mouse_distance)::BIGINT AS mouse_distance_all FROM (
+  SELECT *, (epoch_us(max(minute) OVER (PARTITION BY session_id)) - epoch_us(minute)) / 6e7 AS age FROM session_minutes) t GROUP BY 1""")
+def session_signal_totals(spark, sf):
+    return signals.trailing_totals(src.session_minutes(spark, sf), [60, 300, 600])

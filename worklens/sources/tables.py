@@ -63,7 +63,7 @@ def as_of() -> Column:
     return F.lit(AS_OF).cast("timestamp")
 
 
-def _lookup(key: Column, pairs: dict[str, str]) -> Column:
+def lookup(key: Column, pairs: dict[str, str]) -> Column:
     out = None
     for k, v in pairs.items():
         out = F.when(key == k, v) if out is None else out.when(key == k, v)
@@ -79,7 +79,7 @@ def interval_columns(ev: DataFrame) -> DataFrame:
         "user_id",
         F.col("ts").alias("timestamp_start"),
         (F.col("ts") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(10) + k * 6)).alias("timestamp_end"),
-        _lookup(F.col("event_type"), APP_OF_EVENT).alias("app"),
+        lookup(F.col("event_type"), APP_OF_EVENT).alias("app"),
         F.element_at(titles, (k % 10) + 1).alias("window_title"),
         F.col("value").alias("keyboard_intensity"),
         ((k % 25) * 60).alias("mouse_clicks"),
@@ -181,7 +181,7 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def task_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    state = _lookup(F.col("event_type"), {
+    state = lookup(F.col("event_type"), {
         "click": "ACTIVE", "view": "ACTIVE", "purchase": "PAUSED", "signup": "COMPLETED", "error": "ABANDONED",
     })
     return events(spark, sf_dir).select(
@@ -212,7 +212,7 @@ def raw_input_columns(ev: DataFrame) -> DataFrame:
     kind = F.when(F.col("event_type") == "click", "click").when(F.col("event_type") == "view", "key").otherwise("move")
     return ev.select(
         "user_id", "ts", "event_id", kind.alias("kind"), F.col("value").alias("amount"),
-        _lookup(F.col("event_type"), APP_OF_EVENT).alias("app"),
+        lookup(F.col("event_type"), APP_OF_EVENT).alias("app"),
         F.element_at(F.array(*[F.lit(t) for t in TITLES]), (F.col("k") % 10) + 1).alias("window_title"), "k",
     )
 
@@ -272,6 +272,6 @@ def intervals_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def lifecycle_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Accepted session commands: three sessions per user."""
-    command = _lookup(F.col("event_type"), {"click": "START", "view": "PAUSE", "purchase": "RESUME", "signup": "END", "error": "REOPEN"})
+    command = lookup(F.col("event_type"), {"click": "START", "view": "PAUSE", "purchase": "RESUME", "signup": "END", "error": "REOPEN"})
     return events(spark, sf_dir).select(
         "user_id", F.concat(F.lit("S"), (F.col("k") % 3).cast("string")).alias("session_id"), "ts", "event_id", command.alias("command"))
