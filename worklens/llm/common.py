@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from worklens.session import cut_lineage, shared_folder
 
@@ -25,6 +26,11 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def with_fields(df: DataFrame, ddl: str) -> T.StructType:
+    """The schema of ``df`` and the fields of ``ddl`` after it."""
+    return T.StructType([*df.schema.fields, *T.StructType.fromDDL(ddl).fields])
+
+
 def lower_az(text: Column) -> Column:
     """``text`` with only A-Z lower-cased, null as empty. ``lower`` does just that on ASCII text, and faster."""
     text = F.coalesce(text.cast("string"), F.lit(""))

@@ -54,7 +54,7 @@ def exact_dedup(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     rows; other columns are not read.
     """
     index = written(entries(docs))
-    cells = written(directory(index, capacity).coalesce(1))
+    cells = written(directory(index, capacity))
     index = index.join(F.broadcast(cells), "cell").select("bucket", "key", "text_sha256", "keep_id", "group_size")
     probe = keyed(docs).select("doc_id", "cell", "key", F.sha2("norm", 256).alias("text_sha256")).join(F.broadcast(cells), "cell")
     return probe.join(index, ["bucket", "key", "text_sha256"]).select(
