@@ -135,7 +135,7 @@ class Model:
             where.extend([at] * len(part))
             blank = self.trim and part.endswith(" ") if part else blank
             at += size
-        while self.trim and out and out[-1] == " ":
+        while self.trim and out and out[-1] in (" ", MARK):
             out.pop()
             at = where.pop()
         if self.dummy and self.suffix:
