@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -42,6 +46,15 @@ def crc_fold(doc_id: Column) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(5))
 
 
+def slices(texts: pa.Array, size: int = 4_000_000) -> Iterator[tuple[int, int]]:
+    """(first row, rows) of runs of ``texts`` of about ``size`` bytes, so that a worker's arrays stay small; a longer text
+    makes a run of its own."""
+    bytes_ = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    run = (np.cumsum(bytes_) - bytes_) // size if len(bytes_) else bytes_
+    starts = np.flatnonzero(np.diff(run, prepend=-1))
+    yield from zip(starts.tolist(), np.diff(starts, append=len(run)).tolist(), strict=True)
+
+
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """(node, component) for every node of ``edges``; the component is its smallest node.
 

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from worklens.llm.common import crc_fold, with_fields
+from worklens.llm.common import crc_fold, slices, with_fields
 
 BITS = 20
 #: Labelled rows to learn from: a bounded sample in the order of the id's hash. Passes over them.
@@ -126,10 +126,13 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> np.ndar
 
 
 def score(texts: pa.Array, w: np.ndarray) -> np.ndarray:
-    total = np.zeros(len(texts))
-    for at, b, n in buckets(texts):
-        total += np.bincount(at, w[b], minlength=len(texts)) if len(at) else 0.0
-    return _sigmoid(w[-1] + total / np.maximum(n, 1))
+    out = np.zeros(len(texts))
+    for first, rows in slices(texts):
+        total = np.zeros(rows)
+        for at, b, n in buckets(texts.slice(first, rows)):
+            total += np.bincount(at, w[b], minlength=rows) if len(at) else 0.0
+        out[first : first + rows] = _sigmoid(w[-1] + total / np.maximum(n, 1))
+    return out
 
 
 def score_documents(docs: DataFrame, w: np.ndarray, threshold: float = THRESHOLD) -> DataFrame:
