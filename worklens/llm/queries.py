@@ -11,6 +11,7 @@ from worklens.llm import packing, pieces, quality
 from worklens.llm.common import table
 from worklens.llm.exact_dedup import exact_dedup
 from worklens.llm.simhash import simhash_groups
+from worklens.llm.substring import remove_repeats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -61,3 +62,8 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_sentencepiece")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query("op8_substring_dedup")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
