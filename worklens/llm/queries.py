@@ -7,9 +7,10 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from worklens.llm import packing, pieces, quality
+from worklens.llm import packing, pieces, quality, urls
 from worklens.llm.common import table
 from worklens.llm.exact_dedup import exact_dedup
+from worklens.llm.pivots import near_dedup
 from worklens.llm.simhash import simhash_groups
 from worklens.llm.substring import remove_repeats
 
@@ -67,3 +68,13 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_substring_dedup")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op4_pivot_near_dedup")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(table(spark, sf_dir, "embeddings"))
+
+
+@query("op6_url_filter")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"))
