@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from worklens.llm import packing, pieces, quality, urls
+from worklens.llm import extraction, packing, pieces, quality, urls
 from worklens.llm.common import table
 from worklens.llm.exact_dedup import exact_dedup
 from worklens.llm.pivots import near_dedup
@@ -78,3 +78,9 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_url_filter")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"))
+
+
+@query("op1_html_text")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return extraction.extract_pages(pages, extraction.train(pages))
