@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from worklens.llm import extraction, packing, pieces, quality, urls
+from worklens.llm import extraction, lm, packing, pieces, quality, urls
 from worklens.llm.common import table
 from worklens.llm.exact_dedup import exact_dedup
 from worklens.llm.pivots import near_dedup
@@ -84,3 +84,8 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     return extraction.extract_pages(pages, extraction.train(pages))
+
+
+@query("op5_context_tree_lm")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_documents(table(spark, sf_dir, "documents"))
