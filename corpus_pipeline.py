@@ -2,19 +2,48 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from worklens.llm import exact_dedup
+from worklens.llm import exact_dedup, packing, quality, simhash, substring
 from worklens.llm.common import table, written
 
 
-def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier does not reject. It learns from the labelled rows of folds 1 to 4."""
+    weights = quality.train(docs, table(spark, sf_dir, "labels"))
+    return quality.score_documents(docs, weights).where("predicted = 1").select(docs.columns)
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts: the one with the largest doc_id."""
     return exact_dedup.keep_documents(docs)
 
 
-STAGES = [("exact dedup", exact)]
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near SimHash fingerprints: the one with the smallest doc_id."""
+    return simhash.keep_documents(docs)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the sentences of passages that stand in an earlier place too."""
+    return substring.clean_documents(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces of the documents and their places in sequences of 1024."""
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("quality classifier", keep_quality),
+    ("exact dedup", drop_copies),
+    ("SimHash near-dedup", drop_near_copies),
+    ("substring dedup", cut_repeats),
+    ("best-fit packing", pack),
+]
 
-#: A trained model and component search can't be stated in SQL; tests hold the stages against brute force.
+#: A learned model, component search and the packing can't be stated in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
