@@ -21,6 +21,8 @@ MIN_COSINE = 0.9
 PIVOTS = 128
 NEAREST = 8
 SHARED = 4
+#: Cosine between pivots taken from the sample, at most.
+APART = 0.5
 #: Vectors that the pivots are chosen from, a bounded sample in the order of a hash.
 SAMPLE = 1024
 #: Vectors of one posting list that are compared in one task; longer lists are cut into blocks, and blocks meet in pairs.
@@ -34,16 +36,17 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 
 def choose_pivots(sample: np.ndarray, n: int = PIVOTS) -> np.ndarray:
-    """``n`` reference points far from each other: the sample's, farthest first, then random directions if it is short."""
-    rng = np.random.default_rng(7)
-    extra = rng.normal(size=(max(n, 2), sample.shape[1]))
-    pool = np.concatenate([unit(sample), unit(extra)]) if len(sample) < n else unit(sample)
+    """``n`` reference points: the sample's, farthest first, as long as one is left with a cosine below ``APART`` to all chosen;
+    random directions for the rest. Pivots inside one dense group would tell its own vectors apart."""
+    extra = unit(np.random.default_rng(7).normal(size=(n, sample.shape[1])))
+    if not len(sample):
+        return extra
+    pool = unit(sample)
     chosen, near = [0], pool @ pool[0]
-    while len(chosen) < n:
-        k = int(np.argmin(near))
-        chosen.append(k)
-        near = np.maximum(near, pool @ pool[k])
-    return pool[chosen]
+    while len(chosen) < n and near.min() < APART:
+        chosen.append(int(np.argmin(near)))
+        near = np.maximum(near, pool @ pool[chosen[-1]])
+    return np.concatenate([pool[chosen], extra[: n - len(chosen)]])
 
 
 def postings(vectors: np.ndarray, pivots: np.ndarray, nearest: int = NEAREST, shared: int = SHARED) -> tuple[np.ndarray, np.ndarray]:
