@@ -124,10 +124,10 @@ _PARTS = re.compile(r"[^\W\d_]+|\d+")
 
 
 def token_buckets(words: list[str], path: str) -> list[int]:
-    """Hashed tokens of one URL: the host's words and the path's runs of letters (lower case) or, by their length, digits."""
+    """Hashed tokens of one URL, each once: the host's words and the path's runs of letters (lower case) or, by their length, digits."""
     tokens = ["h:" + w for w in words]
     tokens += ["p:#" + str(len(t)) if t[0].isdigit() else "p:" + t for t in _PARTS.findall(path.lower())]
-    return [xxhash.xxh64_intdigest(t) >> (64 - BITS) for t in tokens]
+    return [xxhash.xxh64_intdigest(t) >> (64 - BITS) for t in dict.fromkeys(tokens)]
 
 
 def _token_counts(located_pages: DataFrame) -> DataFrame:
