@@ -298,17 +298,22 @@ def examples(sources: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def train(pages: DataFrame, rows: int = TRAIN_PAGES) -> Trees:
-    """Trees learned in one task from a sample of ``rows`` pages at most, in the order of a hash; only the trees come back."""
+    """Trees learned in one task from a sample of ``rows`` pages at most, in the order of a hash; only the trees come back.
+    Without pages they keep nothing."""
     sample = pages.select(F.col("html").cast("string").alias("html")).where("html IS NOT NULL").orderBy(F.xxhash64("html"), "html").limit(rows).repartition(1).sortWithinPartitions(F.xxhash64("html"), "html")
 
     def learn(batches):
         sources = [s for b in batches for s in b.column("html").to_pylist()]
-        x, y = examples(sources or ["<p>.</p>"])
+        if not sources:
+            return
+        x, y = examples(sources)
         t = Trees.fit(x, y)
         parts = [t.edges, t.feature, t.cut, t.value, np.array([t.start])]
         yield pa.RecordBatch.from_arrays([pa.array([p.astype(float).tobytes() for p in parts]), pa.array([list(p.shape) for p in parts], pa.list_(pa.int32()))], ["data", "shape"])
 
     got = sample.mapInArrow(learn, "data binary, shape array<int>").toArrow()
+    if not len(got):
+        return Trees(np.zeros((1, 1)), np.zeros((0, 1), np.int32), np.zeros((0, 1)), np.zeros((0, 2)), 0.0)
     parts = [np.frombuffer(d).reshape(s) for d, s in zip(got["data"].to_pylist(), got["shape"].to_pylist(), strict=True)]
     return Trees(parts[0], parts[1].astype(np.int32), parts[2], parts[3], float(parts[4][0]))
 
