@@ -116,12 +116,6 @@ def test_retention_is_strict_and_keeps_sessions_in_progress(spark):
     assert {r.id: r.action for r in retention.stale_sessions(rows, F.lit(at(0))).collect()} == {"a": "archive", "b": "keep", "c": "keep"}
 
 
-def test_feature_vector_has_97_named_positions():
-    names = features.feature_names()
-    assert len(names) == 97 and len(set(names)) == 97
-    assert names[:2] == ["app_firefox", "app_chrome"] and names[47] == "bow_0"
-
-
 def test_reconcile_keeps_the_last_start(spark):
     rows = [(1, "a", "ACTIVE", at(0)), (1, "b", "ACTIVE", at(5)), (1, "c", "PAUSED", at(9)), (2, "d", "ACTIVE", None)]
     got = statelog.reconcile(spark.createDataFrame(rows, "user_id long, task_id string, state string, started_at timestamp")).collect()

@@ -41,13 +41,3 @@ def mode_of(df: DataFrame, keys: Sequence[str], value: str, first_seen: Column,
     counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(
         F.count(F.lit(1)).alias("__n"), F.min(first_seen).alias("__first"))
     return counts.groupBy(*keys).agg(F.min_by(value, F.struct(-F.col("__n"), F.col("__first"))).alias(out))
-
-
-def top_values(df: DataFrame, keys: Sequence[str], value: str, k: int) -> DataFrame:
-    """The ``k`` most frequent values of each key, by count and then value. Spark keeps
-    only k rows per key and task before the shuffle of the ranking window."""
-    from pyspark.sql.window import Window
-
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy(*keys).orderBy(F.desc("n"), value)
-    return counts.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)

@@ -190,9 +190,9 @@ def generic_task(reason: Column, task: Column) -> Column:
     """Category out of the reason of a segment, else out of its task id."""
     parts = F.split(F.coalesce(reason, F.lit("")), "_")
     head, n = parts[0], F.size(parts)
-    rest = F.array_join(F.slice(parts, 2, 10000), "_")
+    rest = F.array_join(F.slice(parts, 2, F.size(parts)), "_")
     to_at = F.array_position(parts, "to").cast("int")
-    after_to = F.when((to_at > 0) & (to_at < n), F.array_join(F.slice(parts, to_at + 1, 10000), "_")).otherwise(F.lit("unknown"))
+    after_to = F.when((to_at > 0) & (to_at < n), F.array_join(F.slice(parts, to_at + 1, F.size(parts)), "_")).otherwise(F.lit("unknown"))
     first = (
         F.when(n < 2, "unknown")
         .when(head.isin("initial", "continuing", "behavioral"), rest)

@@ -84,11 +84,3 @@ def session_breakdown(sessions: DataFrame) -> DataFrame:
         F.grouping_id().alias("g"), F.count(F.lit(1)).alias("sessions"), F.avg("minutes").alias("avg_minutes"))
     kind = F.when(F.col("g") == 3, "hour").when(F.col("g") == 5, "device").when(F.col("g") == 6, "date").otherwise("all")
     return sets.select(kind.alias("kind"), F.coalesce("hour", "device_id", "date", F.lit("all")).alias("value"), "sessions", "avg_minutes")
-
-
-def welford_merge(parts: DataFrame, keys: list[str]) -> DataFrame:
-    """I16: merge partial (n, mean, m2) rows of a key into one; used by the streaming baselines."""
-    total = F.sum("n")
-    mean = F.sum(F.col("n") * F.col("mean")) / total
-    m2 = F.sum("m2") + F.sum(F.col("n") * F.col("mean") * F.col("mean")) - total * mean * mean
-    return parts.groupBy(*keys).agg(total.alias("n"), mean.alias("mean"), F.greatest(F.lit(0.0), m2).alias("m2"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from worklens.functions import rules, scoring, text
@@ -41,11 +41,14 @@ def title_flags(title: Column, tokens: Column) -> list[Column]:
     return [F.coalesce(f, F.lit(False)).cast("double") for f in flags]
 
 
-def duration_history(segments: DataFrame, newest: int = 500) -> DataFrame:
-    """Per task id, durations among the newest closed segments."""
-    minutes = scoring.minutes_between("start_time", "end_time")
-    rows = segments.filter("end_time is not null").orderBy(F.desc("start_time"), F.desc("segment_id")).limit(newest)
-    return rows.withColumn("m", minutes).filter("m > 0").groupBy("task_id").agg(
+def duration_history(segments: DataFrame, newest: int | None = None) -> DataFrame:
+    """Per user and task id, durations of the closed segments; with ``newest`` only of a user's newest
+    so many, which then are ranked by user in windows that keep no more rows than that."""
+    rows = segments.filter("end_time is not null")
+    if newest is not None:
+        w = Window.partitionBy("user_id").orderBy(F.desc("start_time"), F.desc("segment_id"))
+        rows = rows.withColumn("__r", F.row_number().over(w)).filter(F.col("__r") <= newest)
+    return rows.withColumn("m", scoring.minutes_between("start_time", "end_time")).filter("m > 0").groupBy("user_id", "task_id").agg(
         F.avg("m").alias("avg_task_duration"), F.min("m").alias("min_task_duration"), F.max("m").alias("max_task_duration"), F.count(F.lit(1)).alias("task_frequency"))
 
 
@@ -71,11 +74,11 @@ def sequence_context(segments: DataFrame) -> DataFrame:
 def segment_vectors(segments: DataFrame, history: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """Vector of 97 values for closed segments (see ``scans.closed_segments``).
 
-    ``history`` has one row per task id of at most 500 segments, ``vocabulary`` is one row of at most
-    50 words: both have a fixed bound and are broadcast.
+    ``history`` has one row per user and task id and is joined on them, ``vocabulary`` is one row of at
+    most 50 words and is broadcast.
     """
-    h = F.broadcast(history.select(F.col("task_id").alias("generic_task"), "avg_task_duration", "task_frequency"))
-    rows = sequence_context(segments).join(h, "generic_task", "left")
+    h = history.select("user_id", F.col("task_id").alias("generic_task"), "avg_task_duration", "task_frequency")
+    rows = sequence_context(segments).join(h, ["user_id", "generic_task"], "left")
     rows = rows.withColumn("__one", F.lit(1)).join(F.broadcast(vocabulary.withColumn("__one", F.lit(1))), "__one").drop("__one")
     title = F.when(F.col("normalized_title") != "", F.col("normalized_title")).otherwise(F.col("window_title"))
     rows = rows.withColumns({"title": title, "minutes": F.col("duration_seconds") / 60.0}).withColumns({
@@ -97,19 +100,6 @@ def segment_vectors(segments: DataFrame, history: DataFrame, vocabulary: DataFra
     return rows.select("segment_id", "session_id", "task_id", "generic_task", "start_time", "confidence", F.concat(*groups).alias("features"))
 
 
-def feature_names() -> list[str]:
-    """Names of the 97 positions, in order."""
-    apps = [f"app_{a.removesuffix('.exe').replace('pycharm64', 'pycharm').replace('sublime_text', 'sublime')}" for a in rules.ONEHOT_APPS]
-    tasks = ["prev_admin", "prev_development", "prev_research", "prev_switching", "prev_meeting", "prev_planning"]
-    context = ["duration_log", "hour_norm", "weekday_norm", "is_weekend", "is_work_hours"]
-    behaviour = ["switch_count_norm", "is_task_return", "task_freq_norm", "duration_ratio", "is_session_start"]
-    flags = [n for n, _ in rules.DOMAIN_WORDS] + [n for n, _ in rules.TITLE_PARTS]
-    return [
-        *apps, *[f"time_{t}" for t in rules.ONEHOT_TIMES], *[f"dur_{t}" for t in rules.ONEHOT_DURATIONS], *context, *tasks, *behaviour,
-        "title_len_norm", "keyword_count_norm", *flags, *[f"bow_{i}" for i in range(50)],
-    ]
-
-
 def title_hash(title: Column, dimensions: int = 10) -> Column:
     """Share of characters per bucket; a character falls into (code point + position) mod 10."""
     chars = F.split(title, "")

@@ -70,15 +70,11 @@ def against_long_term(df: DataFrame, metric: Metric, ts: str, now: Column, days:
 
 
 # fixed values: five-minute baselines and weights per preset (keys, clicks, mouse, app changes)
-PRESET_TEXT = """
-DEFAULT | 35 6 300 1.5  | 0.45 0.20 0.25 0.10
-ACTIVE  | 55 10 500 2   | 0.50 0.20 0.20 0.10
-HYBRID  | 30 6 350 1.5  | 0.40 0.20 0.30 0.10
-PASSIVE | 12 3 120 0.8  | 0.25 0.20 0.35 0.20
-"""
 PRESETS = {
-    name.strip(): ([float(x) for x in base.split()], [float(x) for x in weight.split()])
-    for name, base, weight in (line.split("|") for line in PRESET_TEXT.strip().splitlines())
+    "DEFAULT": ([35.0, 6.0, 300.0, 1.5], [0.45, 0.20, 0.25, 0.10]),
+    "ACTIVE": ([55.0, 10.0, 500.0, 2.0], [0.50, 0.20, 0.20, 0.10]),
+    "HYBRID": ([30.0, 6.0, 350.0, 1.5], [0.40, 0.20, 0.30, 0.10]),
+    "PASSIVE": ([12.0, 3.0, 120.0, 0.8], [0.25, 0.20, 0.35, 0.20]),
 }
 
 

@@ -158,7 +158,7 @@ def closed_segments(segments: DataFrame) -> DataFrame:
     """Closed segments with app, cleaned title and the category of an initial or continuing reason."""
     vector = F.from_json("feature_vector", "active_app string, active_window_title string")
     parts = F.split(F.coalesce("reason", F.lit("")), "_")
-    task = F.when((F.size(parts) > 1) & parts[0].isin("initial", "continuing"), F.array_join(F.slice(parts, 2, 10000), "_")).otherwise("unknown")
+    task = F.when((F.size(parts) > 1) & parts[0].isin("initial", "continuing"), F.array_join(F.slice(parts, 2, F.size(parts)), "_")).otherwise("unknown")
     return segments.filter("end_time is not null").withColumn("v", vector).select(
         "segment_id", "user_id", "session_id", "task_id", "start_time", "end_time", scoring.seconds_between("start_time", "end_time").alias("duration_seconds"),
         F.coalesce("v.active_app", F.lit("unknown")).alias("app"), F.coalesce("v.active_window_title", F.lit("")).alias("window_title"),

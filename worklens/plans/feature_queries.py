@@ -29,8 +29,8 @@ def segment_vectors(spark, sf):
 
 
 view("hist", ["task_segments"], """
-SELECT task_id, avg(m) AS avg_task_duration, min(m) AS min_task_duration, max(m) AS max_task_duration, count(*) AS task_frequency FROM (
-  SELECT *, minutes AS m FROM task_segments WHERE end_time IS NOT NULL ORDER BY start_time DESC, segment_id DESC LIMIT 500) t GROUP BY 1
+SELECT user_id, task_id, avg(minutes) AS avg_task_duration, min(minutes) AS min_task_duration, max(minutes) AS max_task_duration, count(*) AS task_frequency
+FROM task_segments WHERE end_time IS NOT NULL AND minutes > 0 GROUP BY 1, 2
 """)
 view("vocab", ["closed"], f"""
 SELECT word, row_number() OVER (ORDER BY n DESC, word) AS p FROM (SELECT word, count(*) AS n FROM (
@@ -43,7 +43,7 @@ WINDOW w AS (PARTITION BY session_id ORDER BY start_time, segment_id)
 
 
 @query("duration_history", "J12 H36", with_views("hist") + """
-SELECT task_id, round(avg_task_duration, 6) AS avg_task_duration, min_task_duration, max_task_duration, task_frequency FROM hist""")
+SELECT user_id, task_id, round(avg_task_duration, 6) AS avg_task_duration, min_task_duration, max_task_duration, task_frequency FROM hist""")
 def duration_history(spark, sf):
     return history(spark, sf)
 
@@ -69,7 +69,7 @@ SELECT x.*, {FLAG_SQL}, coalesce(list_position({q(rules.ONEHOT_APPS[:-1])}, lowe
 FROM (SELECT *, list_filter(tokens, lambda w: NOT list_contains({q(rules.FEATURE_STOPWORDS)}, w)) AS words FROM (
   SELECT c.*, {feature_tokens_sql("CASE WHEN c.normalized_title <> '' THEN c.normalized_title ELSE c.window_title END")} AS tokens, CASE WHEN c.normalized_title <> '' THEN c.normalized_title ELSE c.window_title END AS title,
     c.duration_seconds / 60 AS m, coalesce(h.task_frequency, 0) AS freq, CASE WHEN h.avg_task_duration > 0 THEN c.duration_seconds / 60 / h.avg_task_duration ELSE 1.0 END AS ratio
-  FROM ctx c LEFT JOIN hist h ON h.task_id = c.generic_task) y) x
+  FROM ctx c LEFT JOIN hist h ON h.user_id = c.user_id AND h.task_id = c.generic_task) y) x
 """)
 # position sums: every feature times its place in the vector, so that a shifted or wrong value shows
 PLACED = """app_at + (12 + part) + (16 + bin) + 21 * ln(1 + m) + 22 * hour(start_time) / 24.0 + 23 * (isodow(start_time) - 1) / 7.0 + 24 * (isodow(start_time) >= 6)::INT + 25 * (hour(start_time) >= 9 AND hour(start_time) < 17)::INT

@@ -63,18 +63,7 @@ def stream_gap_sessions(spark, sf):
 @query("stream_task_moments", "I16", with_views("ev") + """
 SELECT 'T' || (k % 5)::VARCHAR AS task_id, count(value) AS n, round(avg(value), 6) AS mean, round(var_pop(value) * count(value), 2) AS m2 FROM ev GROUP BY 1""")
 def stream_task_moments(spark, sf):
-    kept = {}
-    jobs.run_available(jobs.task_moments(jobs.event_stream(spark, sf)), mode="complete",
-                       each=lambda batch, i: kept.update(path=_write(batch, i)))
-    return spark.read.parquet(kept["path"]).withColumn("m2", F.round("m2", 2))
-
-
-def _write(batch, batch_id):
-    from worklens.session import shared_folder
-
-    path = f"{shared_folder(batch.sparkSession)}/worklens-moments-{uuid.uuid4().hex[:8]}"
-    batch.write.parquet(path)
-    return path
+    return jobs.run_complete(jobs.task_moments(jobs.event_stream(spark, sf))).withColumn("m2", F.round("m2", 2))
 
 
 @query("stream_committed_states", "I06", ORACLE["committed_states"])
@@ -89,7 +78,7 @@ def stream_committed_states(spark, sf):
 @query("periodic_report", "I17 D39", with_views("scored") + """,
 r AS (SELECT * FROM scored WHERE epoch_us((SELECT max(timestamp_start) FROM scored)) - epoch_us(timestamp_start) <= 7200 * 60000000::BIGINT),
 a AS (SELECT hour(timestamp_start) AS h, avg(focus_score) AS f, avg(input_score) AS i, avg(system_score) AS s, avg(audio_volume) AS v FROM r GROUP BY 1)
-SELECT hours.h::BIGINT AS hour, round(coalesce(f, 0.0), 6) AS focus_avg, round(coalesce(i, 0.0), 6) AS input_avg, round(coalesce(s, 0.0), 6) AS system_avg, round(coalesce(v, 0.0), 6) AS audio_avg, 0::BIGINT AS batch_id
+SELECT hours.h::BIGINT AS hour, round(coalesce(f, 0.0), 6) AS focus_avg, round(coalesce(i, 0.0), 6) AS input_avg, round(coalesce(s, 0.0), 6) AS system_avg, round(coalesce(v, 0.0), 6) AS audio_avg
 FROM range(24) hours(h) LEFT JOIN a ON a.h = hours.h""")
 def periodic_report(spark, sf):
     return jobs.periodic_report(spark, sf, lookback_minutes=7200)

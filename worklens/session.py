@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -26,11 +28,13 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor can reach: the session's ``spark.checkpoint.dir``. Only when the
-    session names none (tests on one machine) a temporary folder is made."""
+    """The folder every executor can reach: the session's ``spark.checkpoint.dir``. A session on one
+    machine (tests, the bench) may name none and gets a temporary folder; a cluster must name one."""
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if folder is None:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="worklens-ckpt-")
         sc.setCheckpointDir(folder)
     return folder
@@ -44,34 +48,35 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-_STORED: dict[tuple[str, str, str], tuple[str, StructType]] = {}
+def source_state(spark: SparkSession, source: str, tables: tuple[str, ...]) -> str:
+    """Digest of the names, sizes and change times of the files of ``tables`` in the folder ``source``."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    seen = []
+    for name in tables:
+        path = jvm.org.apache.hadoop.fs.Path(f"{source}/{name}.parquet")
+        files = path.getFileSystem(conf).listFiles(path, True)
+        while files.hasNext():
+            f = files.next()
+            seen.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return hashlib.sha256(repr(sorted(seen)).encode()).hexdigest()
 
 
-def stored(spark: SparkSession, source: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """A derived table, written once per application as Parquet in the shared folder.
+_STORED: dict[tuple[str, str, str], tuple[str, str, StructType]] = {}
 
-    Interval signals, sessions and segments are stored tables of the data model; every report reads
-    them with column pruning instead of deriving them again in each branch of its plan.
+
+def stored(spark: SparkSession, source: str, name: str, build: Callable[[], DataFrame], tables: tuple[str, ...] = ("events",)) -> DataFrame:
+    """A derived table, written as Parquet in the shared folder and read back with column pruning.
+
+    Interval signals, sessions and segments are stored tables of the data model. A stored table is used
+    again only while the files of the ``tables`` it is built from are the same (name, size, change time);
+    after any change it is built anew at another path. Plans made before keep reading the older table.
     """
     key = (spark.sparkContext.applicationId, source, name)
-    if key not in _STORED:
+    state = source_state(spark, source, tables)
+    if key not in _STORED or _STORED[key][0] != state:
         path = f"{shared_folder(spark)}/worklens-{key[0]}/{uuid.uuid4().hex[:8]}/{name}"
         df = build()
         df.write.parquet(path)
-        _STORED[key] = (path, df.schema)
-    path, schema = _STORED[key]
+        _STORED[key] = (state, path, df.schema)
+    _, path, schema = _STORED[key]
     return spark.read.schema(schema).parquet(path)
-
-
-_SPLITS: dict[tuple[str, str], int] = {}
-
-
-def spread(df: DataFrame, source: str) -> DataFrame:
-    """Spread a scan that has fewer splits than the session has cores. A large table has many splits
-    and is left as it is, without a shuffle."""
-    spark = df.sparkSession
-    key = (spark.sparkContext.applicationId, source)
-    if key not in _SPLITS:
-        _SPLITS[key] = df.rdd.getNumPartitions()
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if _SPLITS[key] < min(cores, 64) else df

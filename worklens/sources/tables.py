@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from worklens.functions import scoring
 from worklens.functions.sequence import day_chunk, span_islands
-from worklens.session import spread, stored
+from worklens.session import stored
 
 IDLE_GAP_SECONDS = 5 * 3600
 MIN_SEGMENT_MINUTES = 600.0
@@ -50,13 +50,11 @@ EVENT_SCHEMA = "event_id bigint, ts timestamp, user_id bigint, event_type string
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{sf_dir}/events.parquet"
-    df = spread(spark.read.schema(EVENT_SCHEMA).parquet(path), path)
-    return df.withColumn("k", F.get_json_object("props", "$.k").cast("int"))
+    return spark.read.schema(EVENT_SCHEMA).parquet(path).withColumn("k", F.get_json_object("props", "$.k").cast("int"))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{sf_dir}/documents.parquet"
-    return spread(spark.read.parquet(path).select("doc_id", "text"), path)
+    return table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
 def as_of() -> Column:

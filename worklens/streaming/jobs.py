@@ -14,9 +14,11 @@ from worklens.session import shared_folder
 from worklens.sources import tables as src
 
 WATERMARK = "10 minutes"
+#: Files of a micro-batch, so that the first one is not the whole history.
+FILES_PER_TRIGGER = 64
 
 
-def event_stream(spark: SparkSession, sf_dir: str, files_per_trigger: int | None = None) -> DataFrame:
+def event_stream(spark: SparkSession, sf_dir: str, files_per_trigger: int | None = FILES_PER_TRIGGER) -> DataFrame:
     """The event table as a file stream; a checkpoint remembers which files were read."""
     reader = spark.readStream.schema(src.EVENT_SCHEMA).option("pathGlobFilter", "events*.parquet")
     if files_per_trigger:
@@ -37,6 +39,19 @@ def run_available(stream: DataFrame, mode: str = "append", each: Callable[[DataF
     return spark.read.schema(stream.schema).parquet(f"{base}/rows")
 
 
+def run_complete(stream: DataFrame) -> DataFrame:
+    """The result table of a complete-mode aggregate after everything that is there: each micro-batch replaces it."""
+    spark = stream.sparkSession
+    base, last = f"{shared_folder(spark)}/worklens-result-{uuid.uuid4().hex[:8]}", {}
+
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        _replace_batch(batch, base, batch_id)
+        last["batch"] = batch_id
+
+    run_available(stream, mode="complete", each=keep)
+    return spark.read.parquet(f"{base}/batch_id={last['batch']}")
+
+
 def raw_inputs(events: DataFrame) -> DataFrame:
     return src.raw_input_columns(events).withWatermark("ts", WATERMARK)
 
@@ -79,27 +94,38 @@ def task_moments(events: DataFrame) -> DataFrame:
         F.count("amount").alias("n"), F.avg("amount").alias("mean"), (F.var_pop("amount") * F.count("amount")).alias("m2"))
 
 
-def periodic_report(spark: SparkSession, sf_dir: str, lookback_minutes: int = 120) -> DataFrame:
-    """With every micro-batch the hourly heat-map of the last ``lookback_minutes`` of that batch is
-    written; on a running stream the trigger is 60 seconds of processing time."""
+def _replace_batch(rows: DataFrame, base: str, batch_id: int) -> None:
+    """Write a micro-batch under its own id: after a restart the same batch replaces itself."""
+    rows.write.mode("overwrite").parquet(f"{base}/batch_id={batch_id}")
+
+
+def periodic_report(spark: SparkSession, sf_dir: str, lookback_minutes: int = 120, files_per_trigger: int | None = FILES_PER_TRIGGER) -> DataFrame:
+    """With every micro-batch the hourly heat-map of the last ``lookback_minutes`` of the log so far is
+    written; on a running stream the trigger is 60 seconds of processing time. Returns the newest report.
+
+    The intervals of a batch go to the stored log first and the report reads the log, so it does not matter how the log is cut into batches or in which order the files come."""
     base = f"{shared_folder(spark)}/worklens-report-{uuid.uuid4().hex[:8]}"
+    newest = {}
 
     def report(batch: DataFrame, batch_id: int) -> None:
         rows = src.interval_columns(batch)
-        newest = F.lit(rows.agg(F.max("timestamp_start")).first()[0]).cast("timestamp")
-        recent = rows.filter(scoring.minutes_between(F.col("timestamp_start"), newest) <= lookback_minutes)
-        insights.heatmap(recent).withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(base)
+        _replace_batch(rows, f"{base}/log", batch_id)
+        log = spark.read.schema(rows.schema).parquet(f"{base}/log")
+        last = log.agg(F.max("timestamp_start").alias("__last"))  # footers' statistics; one row
+        recent = log.join(F.broadcast(last)).filter(scoring.minutes_between(F.col("timestamp_start"), F.col("__last")) <= lookback_minutes).drop("__last")
+        _replace_batch(insights.heatmap(recent), f"{base}/report", batch_id)
+        newest["batch"] = batch_id
 
-    run_available(event_stream(spark, sf_dir), each=report)
-    return spark.read.parquet(base)
+    run_available(event_stream(spark, sf_dir, files_per_trigger), each=report)
+    return spark.read.parquet(f"{base}/report/batch_id={newest['batch']}")
 
 
-def live_scores(spark: SparkSession, sf_dir: str, predict: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Every micro-batch is scored by ``predict`` and appended."""
+def live_scores(spark: SparkSession, sf_dir: str, predict: Callable[[DataFrame], DataFrame], files_per_trigger: int | None = FILES_PER_TRIGGER) -> DataFrame:
+    """Every micro-batch is scored by ``predict`` and written under its id."""
     base = f"{shared_folder(spark)}/worklens-live-{uuid.uuid4().hex[:8]}"
 
     def score(batch: DataFrame, batch_id: int) -> None:
-        predict(batch).write.mode("append").parquet(base)
+        _replace_batch(predict(batch), base, batch_id)
 
-    run_available(event_stream(spark, sf_dir), each=score)
-    return spark.read.parquet(base)
+    run_available(event_stream(spark, sf_dir, files_per_trigger), each=score)
+    return spark.read.parquet(base).drop("batch_id")
