@@ -209,29 +209,47 @@ def report_rows(section: str, df: DataFrame, key: Column, values: list[str]) ->
     return df.select(F.lit(section).alias("section"), key.cast("string").alias("key"), one.alias("m")).select("section", "key", "m.metric", "m.value")
 
 
-def insights_report(intervals: DataFrame, segments: DataFrame, keys: list[str], focus_threshold: float = 0.6, max_gap_minutes: float = 1.5,
-                    audio_threshold: float = 0.5) -> DataFrame:
-    """The interval reports of a period in one table. The parts share the scans of two stored
-    tables; each is reduced to at most a few rows per hour, session or user."""
-    hour = F.col("hour")
-    whole = F.lit("all")
-    focus = focus_periods(intervals, keys, focus_threshold, max_gap_minutes).groupBy().agg(
-        F.count(F.lit(1)).alias("periods"), F.avg("duration_minutes").alias("avg_minutes"), F.avg("avg_focus_score").alias("avg_focus_score"))
-    switches = context_switches(intervals, keys).groupBy("hour").agg(F.sum("switches").alias("switches"))
+def insights_report(intervals: DataFrame, segments: DataFrame, chained: DataFrame, tasks: DataFrame, keys: list[str], focus_threshold: float = 0.6,
+                    max_gap_minutes: float = 1.5, audio_threshold: float = 0.5) -> DataFrame:
+    """The interval, segment and task reports of a period in one table of (section, key, metric, value).
+
+    ``chained`` are the segments with their cluster (``tasks.chain_segments``), ``tasks`` the tasks made of them. The parts
+    share the scans of stored tables; each is reduced to at most a few rows per hour, session or task."""
+    hour, whole = F.col("hour"), F.lit("all")
+    cluster = F.concat_ws("/", *[F.col(k).cast("string") for k in keys], F.col("cluster").cast("string"))
+    minutes = scoring.interval_minutes()
+    scored = intervals.withColumns({"focus": scoring.focus_score(), "mic": _flag("mic_active"), "camera": _flag("camera_active"), "audio": _zero("audio_volume")})
+    periods = focus_periods(intervals, keys, focus_threshold, max_gap_minutes).groupBy().agg(
+        F.count(F.lit(1)).alias("periods"), F.avg("duration_minutes").alias("avg_minutes"), F.avg("avg_focus_score").alias("avg_focus_score"),
+        F.coalesce(F.sum("duration_minutes"), F.lit(0.0)).alias("focus_minutes"))
+    copied = _zero("copy_count") + _zero("paste_count")
+    totals = scored.groupBy().agg(
+        F.sum(minutes).alias("active_minutes"), F.avg("focus").alias("avg_focus_score"), F.sum(copied).alias("copy_paste_events"), (F.sum(copied) / F.sum(minutes)).alias("copy_paste_density"))
+    focus = periods.select("focus_minutes").join(F.broadcast(totals.select("active_minutes")))  # one row beside one row
+    focus = focus.withColumn("focus_ratio", F.when(F.col("active_minutes") > 0, F.col("focus_minutes") / F.col("active_minutes")).otherwise(0.0))
+    hourly = context_switches(intervals, keys).groupBy("hour").agg(F.sum("switches").alias("switches"))
     meetings = meeting_periods(segments).groupBy().agg(F.count(F.lit(1)).alias("meetings"), F.coalesce(F.sum("duration_minutes"), F.lit(0.0)).alias("meeting_minutes"))
     heavy = heavy_segments(segments).groupBy().agg(F.count(F.lit(1)).alias("heavy_segments"))
+    use = task_resource_usage(chained, [*keys, "cluster"])
     parts = [
         report_rows("peak_hours", peak_hours(intervals), hour, ["avg_focus_score", "interval_count"]),
         report_rows("interaction", interaction_trends(intervals), hour, ["keys_per_min", "clicks_per_min", "copy_paste_density"]),
+        report_rows("interaction", totals, whole, ["copy_paste_events", "copy_paste_density"]),
         report_rows("audio_video", audio_video_series(intervals), hour, ["mic_ratio", "camera_ratio", "audio_avg"]),
         report_rows("system", system_series(intervals), hour, ["cpu_avg", "ram_avg", "gpu_avg"]),
+        report_rows("system_by_session", system_by_session(intervals), F.col("session_id"), ["cpu_avg", "ram_avg", "gpu_avg", "interval_count"]),
+        report_rows("system_by_task", use, cluster, ["cpu_avg", "ram_avg", "gpu_avg", "duration_minutes"]),
         report_rows("heatmap", heatmap(intervals), hour, ["focus_avg", "input_avg", "system_avg", "audio_avg"]),
-        report_rows("context_switches", switches, hour, ["switches"]),
-        report_rows("focus_periods", focus, whole, ["periods", "avg_minutes", "avg_focus_score"]),
+        report_rows("context_switches", hourly, hour, ["switches"]),
+        report_rows("focus_periods", periods, whole, ["periods", "avg_minutes", "avg_focus_score"]),
+        report_rows("productivity", focus, whole, ["focus_minutes", "active_minutes", "focus_ratio"]),
+        report_rows("productivity", totals, whole, ["avg_focus_score"]),
         report_rows("audio_engagement", audio_engagement(intervals, audio_threshold), whole, ["engaged_minutes", "engaged_ratio"]),
         report_rows("meetings", meetings, whole, ["meetings", "meeting_minutes"]),
         report_rows("heavy_computation", heavy, whole, ["heavy_segments"]),
-        report_rows("correlation", pearson(intervals, "cpu_usage", "keyboard_intensity"), whole, ["corr"]),
+        report_rows("heavy_tasks", heavy_tasks(use), cluster, ["cpu_avg", "ram_avg"]),
+        report_rows("task_timeline", tasks, cluster, ["duration_minutes", "avg_activity", "confidence"]),
+        *[report_rows("correlation", pearson(scored, x, "focus").withColumnRenamed("corr", f"{x}_focus"), whole, [f"{x}_focus"]) for x in ("mic", "camera", "audio")],
     ]
     out = parts[0]
     for p in parts[1:]:

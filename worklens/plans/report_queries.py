@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from worklens.operators import insights, trends
 from worklens.plans import daily_queries as days
-from worklens.plans import feature_queries, insight_queries, segment_queries  # noqa: F401  (define the views)
+from worklens.plans import feature_queries, insight_queries, segment_queries, task_queries  # noqa: F401  (define the views)
 from worklens.plans.prelude import with_views
 from worklens.plans.registry import query
 from worklens.session import shared_folder
@@ -28,7 +28,11 @@ FP = """fp AS (SELECT user_id, period, avg(focus_score) AS s, (epoch_us(max_by(t
 sw AS (SELECT hour(timestamp_start) AS h, count(*) AS n FROM (SELECT *, lag(app) OVER (PARTITION BY user_id ORDER BY timestamp_start, event_id) AS prev FROM scored) t WHERE prev <> app GROUP BY 1)"""
 
 
-@query("insights_report", "D39", with_views("focus_runs", "seg") + ",\n" + FP + "\n" + " UNION ALL ".join([
+MEANS = {"cpu_avg": "round(avg(cpu_usage), 6)", "ram_avg": "round(avg(ram_usage), 6)", "gpu_avg": "round(avg(gpu_usage), 6)"}
+TASK_MEANS = {m: e.replace("avg(", "avg(mean_") for m, e in MEANS.items()}
+
+
+@query("insights_report", "D39", with_views("focus_runs", "seg", "iv", "chained", "task_rows") + ",\n" + FP + "\n" + " UNION ALL ".join([
     hour_rows("peak_hours", {"avg_focus_score": "avg(focus_score)", "interval_count": "count(*)"}, fill=False),
     hour_rows("interaction", {"keys_per_min": "sum(trunc(keyboard_intensity * minutes)) / sum(minutes)", "clicks_per_min": "sum(mouse_clicks) / sum(minutes)", "copy_paste_density": "sum(copy_count + paste_count) / sum(minutes)"}),
     hour_rows("audio_video", {"mic_ratio": "avg(mic_active::INT)", "camera_ratio": "avg(camera_active::INT)", "audio_avg": "avg(audio_volume)"}),
@@ -41,10 +45,20 @@ sw AS (SELECT hour(timestamp_start) AS h, count(*) AS n FROM (SELECT *, lag(app)
     "SELECT 'meetings', 'all', 'meetings', count(*)::DOUBLE FROM seg WHERE mic_active_ratio >= 0.6 OR camera_active_ratio >= 0.4",
     "SELECT 'meetings', 'all', 'meeting_minutes', round(sum(duration_minutes), 5) FROM seg WHERE mic_active_ratio >= 0.6 OR camera_active_ratio >= 0.4",
     "SELECT 'heavy_computation', 'all', 'heavy_segments', count(*)::DOUBLE FROM seg WHERE mean_cpu_usage >= 0.7 OR mean_ram_usage >= 0.8 OR coalesce(mean_gpu_usage, 0) >= 0.6",
-    "SELECT 'correlation', 'all', 'corr', round(corr(cpu_usage, keyboard_intensity), 6) FROM scored"]))
+    "SELECT 'interaction', 'all', 'copy_paste_events', sum(copy_count + paste_count)::DOUBLE FROM scored",
+    "SELECT 'interaction', 'all', 'copy_paste_density', round(sum(copy_count + paste_count) / sum(minutes), 6) FROM scored",
+    *[f"SELECT 'system_by_session', coalesce(session_id, 'unassigned'), '{m}', {e} FROM iv GROUP BY 2" for m, e in {**MEANS, "interval_count": "count(*)::DOUBLE"}.items()],
+    *[f"SELECT 'system_by_task', user_id::VARCHAR || '/' || cluster::VARCHAR, '{m}', {e} FROM chained GROUP BY 2" for m, e in {**TASK_MEANS, "duration_minutes": "round(sum(duration_minutes), 6)"}.items()],
+    *[f"SELECT 'heavy_tasks', user_id::VARCHAR || '/' || cluster::VARCHAR, '{m}', {TASK_MEANS[m]} FROM chained GROUP BY 2 HAVING avg(mean_cpu_usage) >= 0.7 OR avg(mean_ram_usage) >= 0.8" for m in ("cpu_avg", "ram_avg")],
+    *[f"SELECT 'task_timeline', user_id::VARCHAR || '/' || cluster::VARCHAR, '{m}', round({m}, 6) FROM task_rows" for m in ("duration_minutes", "avg_activity", "confidence")],
+    "SELECT 'productivity', 'all', 'focus_minutes', round(sum(d), 4) FROM fp", "SELECT 'productivity', 'all', 'active_minutes', round(sum(minutes), 4) FROM scored",
+    "SELECT 'productivity', 'all', 'focus_ratio', round((SELECT sum(d) FROM fp) / sum(minutes), 6) FROM scored", "SELECT 'productivity', 'all', 'avg_focus_score', round(avg(focus_score), 6) FROM scored",
+    *[f"SELECT 'correlation', 'all', '{n}_focus', round(corr({e}, focus_score), 6) FROM scored" for n, e in {"mic": "mic_active::INT", "camera": "camera_active::INT", "audio": "audio_volume"}.items()]]))
 def insights_report(spark, sf):
-    out = insights.insights_report(src.interval_signals(spark, sf), src.segments(spark, sf), ["user_id"], max_gap_minutes=src.FOCUS_GAP_MINUTES)
-    return out.withColumn("value", F.when(F.col("metric") == "meeting_minutes", F.round("value", 5)).otherwise(F.col("value")))
+    out = insights.insights_report(src.interval_signals(spark, sf), src.segments(spark, sf), task_queries.chained(spark, sf), task_queries.task_table(spark, sf),
+                                   ["user_id"], max_gap_minutes=src.FOCUS_GAP_MINUTES)
+    total = F.col("metric").isin("focus_minutes", "active_minutes")
+    return out.withColumn("value", F.when(F.col("metric") == "meeting_minutes", F.round("value", 5)).when(total, F.round("value", 4)).otherwise(F.col("value")))
 
 
 @query("day_report", "D59", with_views("numday") + f"""
