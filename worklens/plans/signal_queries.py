@@ -233,14 +233,18 @@ def activity_states(spark, sf):
     return ev.select("event_id", state.alias("state"))
 
 
-view("svec", ["sess_class"], """
-SELECT session_id, user_id, task_id, start_time, [least(entropy, 1.0), least(focus_continuity, 1.0), least(s_minutes / 300, 1.0), least(s_minutes / n_apps / 120, 1.0), 1.0 / n_apps, least(n_apps / 20.0, 1.0), least(s_minutes / 480, 1.0), least(input_per_minute / 8, 1.0)] AS vector FROM sess_class
+view("svec", ["sess_class", "daily"], """
+SELECT s.session_id, s.user_id, s.task_id, s.start_time, [least(d.context_switch_entropy, 1.0), least(d.focus_continuity_score, 1.0), least(d.max_sustained_minutes / 300, 1.0), least(d.avg_focus_window_minutes / 120, 1.0),
+  least(d.focus_consistency, 1.0), least(n_apps / 20.0, 1.0), least(s_minutes / 480, 1.0), least(input_per_minute / 8, 1.0)] AS vector FROM sess_class s JOIN daily d ON d.user_id = s.user_id AND d.day = s.day
 """)
 
 
 def svec(spark, sf):
-    rows = daily.with_class(src.sessions(spark, sf)).withColumns({
-        "max_sustained": F.col("minutes"), "avg_focus": F.col("minutes") / F.col("n_apps"), "consistency": 1.0 / F.col("n_apps")})
+    """The first five values are the summary of the session's day (D24, D25, D26), the others its own."""
+    days = daily_queries.daily_table(spark, sf).select(
+        "user_id", "day", F.col("context_switch_entropy").alias("entropy"), F.col("focus_continuity_score").alias("focus_continuity"), F.col("max_sustained_minutes").alias("max_sustained"),
+        F.col("avg_focus_window_minutes").alias("avg_focus"), F.col("focus_consistency").alias("consistency"))
+    rows = daily.with_class(src.sessions(spark, sf)).drop("entropy", "focus_continuity").join(days, ["user_id", "day"])
     return vectors.session_vectors(rows).select("session_id", "user_id", "task_id", "start_time", "vector")
 
 
