@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from worklens.functions.sequence import day_chunk, scan_rows
 
 DIMENSIONS = 8
 MATCH_DISTANCE = 0.35
@@ -83,10 +84,14 @@ def live_predictions(rows: DataFrame) -> DataFrame:
 
 
 def smoothed(predictions: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """At every prediction the most confident of the last three of the key, the earliest of equals."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(-2, 0)
-    best = F.max_by(F.struct("task", "confidence"), F.col("confidence")).over(w)
-    return predictions.withColumn("best", best).select(*predictions.columns, F.col("best.task").alias("smoothed_task"), F.col("best.confidence").alias("smoothed_confidence"))
+    """At every prediction the most confident of the last three of the key, the earliest of equals. Two
+    chunked scans, so a key with very many predictions is not one task."""
+    chunk = day_chunk(order[0])
+    one = scan_rows(predictions, keys, order, chunk, lag={"__1": F.struct("task", "confidence")})
+    two = scan_rows(one, keys, order, chunk, lag={"__2": F.col("__1")})
+    older = F.when(F.col("__2.confidence") >= F.col("__1.confidence"), F.col("__2")).otherwise(F.col("__1"))
+    best = F.when(older["confidence"] >= F.col("confidence"), older).otherwise(F.struct("task", "confidence"))
+    return two.withColumn("best", best).select(*predictions.columns, F.col("best.task").alias("smoothed_task"), F.col("best.confidence").alias("smoothed_confidence"))
 
 
 def feature_variances(rows: DataFrame, vector: str, top_n: int = 20) -> DataFrame:

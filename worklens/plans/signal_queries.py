@@ -297,9 +297,11 @@ def live_predictions(spark, sf):
 
 
 @query("smoothed_predictions", "I13", with_views("live") + """
-SELECT session_id, round(max(confidence) OVER w, 6) AS smoothed_confidence FROM live WINDOW w AS (PARTITION BY user_id ORDER BY start_time ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)""")
+SELECT session_id, best.t AS smoothed_task, round(-best.c, 6) AS smoothed_confidence FROM (
+  SELECT session_id, list_extract(list_sort(list({'c': -confidence, 'at': epoch_us(start_time), 't': task}) OVER w), 1) AS best FROM live
+  WINDOW w AS (PARTITION BY user_id ORDER BY start_time ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)) x""")
 def smoothed_predictions(spark, sf):
-    return vectors.smoothed(live(spark, sf), ["user_id"], ["start_time"]).select("session_id", "smoothed_confidence")
+    return vectors.smoothed(live(spark, sf), ["user_id"], ["start_time"]).select("session_id", "smoothed_task", "smoothed_confidence")
 
 
 @query("embedding_nearest_label", "C12 H32", """
