@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -86,10 +86,21 @@ def consistency(stretches: DataFrame, sessions: DataFrame) -> DataFrame:
         "ok", ~F.col("has_overlap") & (F.abs(F.col("session_seconds") - F.col("timeline_seconds")) <= 60))
 
 
-def merge_sessions(sessions: DataFrame, keys: list[str], start: str, end: str, tie: list[str], chunk) -> DataFrame:
+def mark_merged(sessions: DataFrame, keys: list[str], start: str, end: str, tie: list[str], chunk) -> DataFrame:
+    """Every session with ``merged_start``, the start of the merged session that it belongs to."""
+    return span_islands(sessions, keys, start, end, tie, chunk, lambda s, seen: s > seen, out="merged_start")
+
+
+def merge_sessions(sessions: DataFrame, keys: list[str], start: str, end: str, tie: list[str], chunk, counters: tuple[str, ...] = ("keys", "clicks", "mouse_distance")) -> DataFrame:
     """Sessions of a key that overlap or touch become one: latest end, summed counters,
     distinct apps counted from their own small table."""
-    marked = span_islands(sessions, keys, start, end, tie, chunk, lambda s, seen: s > seen, out="merged_start")
-    base = marked.groupBy(*keys, "merged_start").agg(F.max(end).alias("merged_end"), F.sum("keys").alias("keys"), F.count(F.lit(1)).alias("sessions"))
+    marked = mark_merged(sessions, keys, start, end, tie, chunk)
+    base = marked.groupBy(*keys, "merged_start").agg(F.max(end).alias("merged_end"), *[F.sum(c).alias(c) for c in counters], F.count(F.lit(1)).alias("sessions"))
     apps = marked.select(*keys, "merged_start", "app").distinct().groupBy(*keys, "merged_start").agg(F.array_join(F.array_sort(F.collect_list("app")), ",").alias("apps"))
     return base.join(apps, [*keys, "merged_start"])
+
+
+def merged_totals(marked: DataFrame, keys: list[str], part: str | Column, values: list[str]) -> DataFrame:
+    """Counters of the sessions (``mark_merged``, or their child rows joined to it) by merged session
+    and ``part``: the time bucket of a timeline, or the intent."""
+    return marked.groupBy(*keys, "merged_start", part).agg(*[F.sum(v).alias(v) for v in values])

@@ -101,12 +101,34 @@ def coverage_gaps(spark, sf):
     return attribution.coverage_gaps(src.intervals_flat(spark, sf), ["user_id"], "timestamp_start", "timestamp_end", minutes=300)
 
 
-@query("merged_wide_sessions", "G08 S03", with_views("wide") + """
-SELECT key, min(start_time) AS merged_start, max(end_time) AS merged_end, sum(keys)::BIGINT AS keys, count(*) AS sessions, array_to_string(list_sort(list(DISTINCT app)), ',') AS apps FROM (
+view("wide_merged", ["wide"], """
+SELECT *, min(start_time) OVER (PARTITION BY key, g) AS merged_start FROM (
   SELECT *, sum(CASE WHEN start_time <= seen THEN 0 ELSE 1 END) OVER (PARTITION BY key ORDER BY start_time, l_orderkey, l_linenumber) AS g FROM (
-    SELECT *, max(end_time) OVER (PARTITION BY key ORDER BY start_time, l_orderkey, l_linenumber ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM wide) a) b GROUP BY key, g""")
+    SELECT *, max(end_time) OVER (PARTITION BY key ORDER BY start_time, l_orderkey, l_linenumber ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM wide) a) b
+""")
+WIDE = (["key"], "start_time", "end_time", ["l_orderkey", "l_linenumber"])
+
+
+@query("merged_wide_sessions", "G08 S03", with_views("wide_merged") + """
+SELECT key, merged_start, max(end_time) AS merged_end, sum(keys)::BIGINT AS keys, sum(clicks)::BIGINT AS clicks, sum(mouse_distance)::BIGINT AS mouse_distance, count(*) AS sessions,
+  array_to_string(list_sort(list(DISTINCT app)), ',') AS apps FROM wide_merged GROUP BY 1, 2""")
 def merged_wide_sessions(spark, sf):
-    return timeline.merge_sessions(src.intervals_wide(spark, sf), ["key"], "start_time", "end_time", ["l_orderkey", "l_linenumber"], F.trunc("start_time", "month"))
+    return timeline.merge_sessions(src.intervals_wide(spark, sf), *WIDE, F.trunc("start_time", "month"))
+
+
+@query("merged_session_timeline", "G08", with_views("wide_merged") + """
+SELECT key, merged_start, date_trunc('month', start_time)::DATE::VARCHAR AS bucket, sum(keys)::BIGINT AS keys, sum(clicks)::BIGINT AS clicks FROM wide_merged GROUP BY 1, 2, 3""")
+def merged_session_timeline(spark, sf):
+    """The bucket-wise counters of the sessions (buckets of a month, as the spans last weeks) by merged session."""
+    month = F.trunc("start_time", "month")
+    return timeline.merged_totals(timeline.mark_merged(src.intervals_wide(spark, sf), *WIDE, month), ["key"], month.alias("bucket"), ["keys", "clicks"])
+
+
+@query("merged_session_intents", "G08", with_views("wide_merged") + """
+SELECT key, merged_start, intent, sum((epoch_us(end_time) - epoch_us(start_time)) // 1000000)::BIGINT AS seconds FROM wide_merged GROUP BY 1, 2, 3""")
+def merged_session_intents(spark, sf):
+    rows = src.intervals_wide(spark, sf).withColumn("seconds", F.unix_seconds("end_time") - F.unix_seconds("start_time"))
+    return timeline.merged_totals(timeline.mark_merged(rows, *WIDE, F.trunc("start_time", "month")), ["key"], "intent", ["seconds"])
 
 
 @query("background_events_to_sessions", "C01 A04", with_views("ev", "sess") + """,

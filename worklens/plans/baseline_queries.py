@@ -222,6 +222,15 @@ def prediction_history(spark, sf):
     return predict.last_per_key(made, KEYS, ["start_time"], 30).select(*KEYS, "session_id", "minutes_remaining", "age_rank")
 
 
+@query("risk_history", "J25 J17", with_views("risks") + """
+SELECT user_id, task_id, session_id, r.risk_level AS risk_level, r.category AS category, r.message AS message, age_rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY user_id, task_id ORDER BY start_time DESC, r.message DESC) AS age_rank FROM risks) t WHERE age_rank <= 50""")
+def risk_history(spark, sf):
+    """The newest 50 risk signals of each task (the report's own limit)."""
+    rows = risk_rows(spark, sf).join(src.sessions(spark, sf).select("session_id", "start_time"), "session_id")
+    return predict.last_per_key(rows, KEYS, ["start_time", "message"], 50).select(*KEYS, "session_id", "risk_level", "category", "message", "age_rank")
+
+
 @query("task_lifecycle", "J22", with_views("task_base") + """
 SELECT user_id, task_id, session_count AS total_sessions, duration_mean_minutes AS avg_session_minutes, round(duration_mean_minutes * session_count, 6) AS total_minutes,
   1.0::DOUBLE AS completion_rate, continuity_mean AS focus_continuity FROM task_base""")

@@ -116,7 +116,7 @@ SELECT user_id, ts, event_id, CASE WHEN event_type = 'error' THEN 'IDLE' WHEN k
 
 view("wide", [], """
 SELECT l_suppkey AS key, l_shipdate AS start_time, l_shipdate + to_days(CAST(l_quantity AS INTEGER)) AS end_time, l_returnflag AS app, CAST(l_quantity AS BIGINT) AS keys,
-  l_orderkey, l_linenumber FROM lineitem
+  CAST(l_linenumber AS BIGINT) AS clicks, CAST(trunc(l_extendedprice) AS BIGINT) AS mouse_distance, l_linestatus AS intent, l_orderkey, l_linenumber FROM lineitem
 """)
 
 view("lifecycle_log", ["ev"], """

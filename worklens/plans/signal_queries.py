@@ -1,11 +1,15 @@
 """Metric graphs, input windows, vectors and live predictions."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from worklens.operators import daily, metrics, signals, vectors
 from worklens.plans import daily_queries  # noqa: F401  (defines the session views)
 from worklens.plans.prelude import view, with_views
 from worklens.plans.registry import query
+from worklens.session import shared_folder
+from worklens.sources import sinks
 from worklens.sources import tables as src
 
 FOCUS = metrics.Metric("focus", "keyboard_intensity")
@@ -296,6 +300,20 @@ def live_predictions(spark, sf):
     return live(spark, sf).select("session_id", "task", "distance", "confidence", "alternatives")
 
 
+@query("live_prediction_log", "A13 I11", with_views("live", "near") + """
+SELECT CAST(l.start_time AS DATE)::VARCHAR AS date, l.session_id, l.task AS task_id, round(l.confidence, 6) AS confidence, round(l.distance, 6) AS distance_to_centroid, 300 AS feature_window_seconds,
+  coalesce(a.alts, '') AS alternatives, 8 AS features FROM live l LEFT JOIN (SELECT session_id, string_agg(name, ',' ORDER BY r) AS alts FROM near WHERE r BETWEEN 2 AND 3 GROUP BY 1) a USING (session_id)""")
+def live_prediction_log(spark, sf):
+    path = f"{shared_folder(spark)}/worklens-predictions-{uuid.uuid4().hex[:8]}"
+    made = live(spark, sf).join(svec(spark, sf).select("session_id", "vector"), "session_id")
+    sinks.log_live_predictions(made.select(
+        F.col("start_time").alias("ts"), "session_id", F.col("task").alias("task_id"), "confidence", F.col("distance").alias("distance_to_centroid"), F.lit("nearest").alias("reason"),
+        F.lit(300).alias("feature_window_seconds"), F.col("vector").alias("feature_vector"), F.split("alternatives", ",").alias("alternative_tasks")), path)
+    back = spark.read.parquet(path)
+    return back.select(F.col("date").cast("string").alias("date"), "session_id", "task_id", "confidence", "distance_to_centroid", "feature_window_seconds",
+                       F.array_join(F.from_json("alternative_tasks", "array<string>"), ",").alias("alternatives"), F.size(F.from_json("feature_vector", "array<double>")).alias("features"))
+
+
 @query("smoothed_predictions", "I13", with_views("live") + """
 SELECT session_id, best.t AS smoothed_task, round(-best.c, 6) AS smoothed_confidence FROM (
   SELECT session_id, list_extract(list_sort(list({'c': -confidence, 'at': epoch_us(start_time), 't': task}) OVER w), 1) AS best FROM live

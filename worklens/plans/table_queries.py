@@ -5,7 +5,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from worklens.functions import scoring
-from worklens.operators import retention, scans, segments
+from worklens.operators import insights, retention, scans, segments
 from worklens.plans.prelude import view, with_views
 from worklens.plans.registry import query
 from worklens.plans.text_queries import clean_sql
@@ -126,6 +126,31 @@ def appended_events_by_date(spark, sf):
         F.count(F.lit(1)).alias("events"), F.max("ts").alias("newest"))
 
 
+def _folder(spark, name):
+    return f"{shared_folder(spark)}/worklens-{name}-{uuid.uuid4().hex[:8]}"
+
+
+@query("state_change_log", "A08", with_views("state_changes") + """
+SELECT CAST(ts AS DATE)::VARCHAR AS date, 'dev' || (user_id % 3)::VARCHAR AS session_id, state, count(*) AS changes, min(ts) AS first_ts, max(ts) AS last_ts FROM state_changes GROUP BY 1, 2, 3""")
+def state_change_log(spark, sf):
+    path = _folder(spark, "states")
+    sinks.log_state_changes(src.state_changes(spark, sf).withColumn("session_id", F.concat(F.lit("dev"), (F.col("user_id") % 3).cast("string"))), path)
+    return spark.read.parquet(path).groupBy(F.col("date").cast("string").alias("date"), "session_id", "state").agg(
+        F.count(F.lit(1)).alias("changes"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+
+
+@query("analytics_snapshots", "A11 D39", with_views("scored") + """
+SELECT hour(timestamp_start)::BIGINT AS hour, round(avg(focus_score), 6) AS focus_avg, TIMESTAMP '2024-01-31 00:00:00' AS ts, TIMESTAMP '2024-01-01 00:00:00' AS start_time FROM scored GROUP BY 1""")
+def analytics_snapshots(spark, sf):
+    """The hourly focus report saved as snapshots and read back out of its payload."""
+    path = _folder(spark, "snapshots")
+    reports = insights.heatmap(src.intervals_flat(spark, sf)).withColumn("ts", src.as_of())
+    sinks.save_snapshots(reports, path, F.lit("2024-01-01").cast("timestamp"), src.as_of())
+    back = spark.read.parquet(path).withColumn("r", F.from_json("payload", "hour int, focus_avg double"))
+    seen = src.intervals_flat(spark, sf).select(F.hour("timestamp_start").alias("hour")).distinct()
+    return back.select("r.hour", "r.focus_avg", "ts", "start_time").join(seen, "hour", "left_semi")
+
+
 @query("segments_with_position", "A20 G16", with_views("task_segments", "sess") + """
 SELECT s.session_id, s.start_time AS session_start, t.segment_id, t.task_id, t.position FROM sess s LEFT JOIN (
   SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY start_time, segment_id) AS position FROM task_segments) t ON t.session_id = s.session_id

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -16,6 +16,24 @@ def append(df: DataFrame, path: str, ts: str | None = None) -> None:
     dated.repartition("date", F.pmod(F.xxhash64(ts), F.lit(32))).write.mode("append").partitionBy("date").parquet(path)
 
 
+def log_state_changes(changes: DataFrame, path: str) -> None:
+    """session_id, ts and state of every change, by date."""
+    append(changes.select("session_id", "ts", "state"), path, "ts")
+
+
+def save_snapshots(reports: DataFrame, path: str, start: Column, end: Column) -> None:
+    """One row per report with its time, the covered period and the whole report as JSON."""
+    rest = [c for c in reports.columns if c != "ts"]
+    append(reports.select("ts", start.alias("start_time"), end.alias("end_time"), F.to_json(F.struct(*rest)).alias("payload")), path, "ts")
+
+
+def log_live_predictions(predictions: DataFrame, path: str) -> None:
+    """One row per prediction; the feature vector and the alternatives as JSON."""
+    text = {"feature_vector": F.to_json("feature_vector"), "alternative_tasks": F.to_json("alternative_tasks")}
+    names = ["ts", "session_id", "task_id", "confidence", "distance_to_centroid", "reason", "feature_window_seconds", *text]
+    append(predictions.withColumns(text).select(*names), path, "ts")
+
+
 def with_raw_json(df: DataFrame) -> DataFrame:
     """The whole row as JSON beside its columns."""
     return df.withColumn("raw_json", F.to_json(F.struct("*")))

@@ -259,12 +259,13 @@ def state_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def intervals_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Long overlapping spans: line items of a supplier from ship date, quantity days long."""
-    schema = "l_suppkey bigint, l_shipdate timestamp, l_quantity double, l_orderkey bigint, l_linenumber int, l_returnflag string"
+    schema = "l_suppkey bigint, l_shipdate timestamp, l_quantity double, l_extendedprice double, l_orderkey bigint, l_linenumber int, l_returnflag string, l_linestatus string"
     rows = spark.read.schema(schema).parquet(f"{sf_dir}/lineitem.parquet")
     return rows.select(
         F.col("l_suppkey").alias("key"), F.col("l_shipdate").alias("start_time"),
         F.timestamp_micros(F.unix_micros("l_shipdate") + F.col("l_quantity").cast("long") * 86_400_000_000).alias("end_time"),
-        F.col("l_returnflag").alias("app"), F.col("l_quantity").cast("long").alias("keys"), F.col("l_orderkey"), F.col("l_linenumber"),
+        F.col("l_returnflag").alias("app"), F.col("l_quantity").cast("long").alias("keys"), F.col("l_linenumber").cast("long").alias("clicks"),
+        F.col("l_extendedprice").cast("long").alias("mouse_distance"), F.col("l_linestatus").alias("intent"), F.col("l_orderkey"), F.col("l_linenumber"),
     )
 
 
