@@ -93,14 +93,17 @@ def test_replayed_tasks_equal_the_fold(spark, seed):
     assert sorted(got) == sorted(want)
 
 
-def test_stream_hysteresis_equals_batch_over_several_micro_batches(spark, tmp_path):
+@pytest.mark.parametrize("files, newest_first", [(1, False), (2, False), (5, False), (5, True)])
+def test_stream_hysteresis_does_not_depend_on_the_files(spark, tmp_path, files, newest_first):
     rows = src.candidates(spark, SF)
     hold = {"IDLE": 36000, "ACTIVE_UNALIGNED": 18000, "ACTIVE_ALIGNED": 0}
-    for i in range(3):  # three files in time order
-        lo, hi = T0 + timedelta(days=10 * i), T0 + timedelta(days=10 * i + 10)
+    for i in sorted(range(files), reverse=newest_first):
+        lo, hi = T0 + timedelta(days=30 / files * i), T0 + timedelta(days=30 / files * (i + 1))
         rows.filter((F.col("ts") >= F.lit(lo)) & (F.col("ts") < F.lit(hi))).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    got = jobs.run_available(stateful.fold_stream(stream, ["user_id"], ["ts", "event_id"], partial(folds.Hysteresis, hold), f"user_id bigint, {folds.Hysteresis.SCHEMA}"))
+    # files out of order need a watermark that waits for them
+    fold = lambda df: stateful.fold_stream(df, ["user_id"], ["ts", "event_id"], partial(folds.Hysteresis, hold), f"user_id bigint, {folds.Hysteresis.SCHEMA}", "40 days" if newest_first else "10 minutes")
+    got = stateful.run_fold(spark, stream, fold, "ts").filter("user_id is not null")
     pick = lambda d: sorted((r.user_id, r.ts, r.to_state, r.since, r.duration_prev) for r in d.collect())
     assert pick(got) == pick(statelog.committed_states(rows, ["user_id"], hold))
 

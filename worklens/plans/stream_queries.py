@@ -68,11 +68,16 @@ def stream_task_moments(spark, sf):
 
 @query("stream_committed_states", "I06", ORACLE["committed_states"])
 def stream_committed_states(spark, sf):
+    return committed_stream(spark, jobs.event_stream(spark, sf))
+
+
+def committed_stream(spark, events, delay="10 minutes"):
     k = F.col("k")
     state = F.when(k < 30, "IDLE").when(k < 60, "ACTIVE_UNALIGNED").otherwise("ACTIVE_ALIGNED")
-    rows = jobs.event_stream(spark, sf).select("user_id", "ts", "event_id", state.alias("candidate"))
+    rows = events.select("user_id", "ts", "event_id", state.alias("candidate"))
     hold = {"IDLE": 36000, "ACTIVE_UNALIGNED": 18000, "ACTIVE_ALIGNED": 0}
-    return jobs.run_available(stateful.fold_stream(rows, ["user_id"], ["ts", "event_id"], partial(folds.Hysteresis, hold), f"user_id bigint, {folds.Hysteresis.SCHEMA}"))
+    fold = lambda df: stateful.fold_stream(df, ["user_id"], ["ts", "event_id"], partial(folds.Hysteresis, hold), f"user_id bigint, {folds.Hysteresis.SCHEMA}", delay)
+    return stateful.run_fold(spark, rows, fold, "ts").filter("user_id is not null")
 
 
 @query("periodic_report", "I17 D39", with_views("scored") + """,
@@ -208,7 +213,8 @@ def stream_latent_tasks(spark, sf):
     rows = sig.svec(spark, sf).select("user_id", "session_id", "start_time", "vector")
     rows.write.parquet(path)
     stream = spark.readStream.schema(rows.schema).parquet(path).withColumn("owner", F.col("user_id"))
-    done = jobs.run_available(stateful.fold_stream(stream, ["owner"], ["start_time", "session_id"], folds.LatentTasks, f"user_id bigint, {folds.LatentTasks.SCHEMA}"))
+    fold = lambda df: stateful.fold_stream(df, ["owner"], ["start_time", "session_id"], folds.LatentTasks, f"user_id bigint, {folds.LatentTasks.SCHEMA}")
+    done = stateful.run_fold(spark, stream, fold, "start_time").filter("user_id is not null")
     return done.select("user_id", "session_id", "task_id", "confidence", "members")
 
 

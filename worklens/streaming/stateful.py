@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import json
 import sys
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from worklens.operators.folds import Step, _frame
+from worklens.session import shared_folder
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # see operators.folds
 
@@ -19,33 +23,80 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 
 
 class FoldProcessor(StatefulProcessor):
-    """Keeps a step's state as text; a key's rows of a micro-batch are fed in time order."""
+    """Keeps a step's state and the rows that the watermark has not passed yet, as text. When it passes them, a key's
+    rows are fed in time order; so the cut into micro-batches and the order of the files do not matter."""
 
     def __init__(self, make: Callable[[], Step], order: list[str], names: list[str]):
         self.make, self.order, self.names = make, order, names
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.state = handle.getValueState("step", StructType([StructField("text", StringType())]))
+        self.waiting = handle.getListState("waiting", StructType([StructField("at", LongType()), StructField("text", StringType())]))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        step = self.make()
-        if self.state.exists():
-            step.load(self.state.get()[0])
-        batch = pd.concat(list(rows)).sort_values(self.order)  # one key in one micro-batch
-        out = []
-        for values in batch.itertuples(index=False, name=None):
-            out += [tuple(key) + r for r in step.feed(dict(zip(batch.columns, values)))]
-        self.state.update((step.dump(),))
-        yield _frame(out, self.names)
+        first = None
+        for batch in rows:
+            new = []
+            for values in batch.itertuples(index=False, name=None):
+                row = dict(zip(batch.columns, values))
+                at = pd.Timestamp(row[self.order[0]]).value // 1_000_000
+                first = at if first is None else min(first, at)
+                new.append((at, json.dumps(row, default=lambda x: x.tolist() if hasattr(x, "tolist") else str(x))))
+            self.waiting.appendList(new)
+        if first is not None:
+            self.handle.registerTimer(first)
+        yield _frame([], self.names)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs()
+        held = [(int(at), text) for at, text in self.waiting.get()]
+        later = [r for r in held if r[0] > now]
+        ready = sorted((json.loads(text) for at, text in held if at <= now), key=lambda r: [r[c] for c in self.order])
+        if ready:
+            step = self.make()
+            if self.state.exists():
+                step.load(self.state.get()[0])
+            out = [tuple(key) + r for row in ready for r in step.feed(row)]
+            self.state.update((step.dump(),))
+            self.waiting.clear()
+            if later:
+                self.waiting.put(later)
+                self.handle.registerTimer(min(at for at, _ in later))
+            yield _frame(out, self.names)
 
     def close(self) -> None:
         pass
 
 
-def fold_stream(stream: DataFrame, keys: list[str], order: list[str], make: Callable[[], Step], schema: str) -> DataFrame:
-    """The fold of ``make`` per key over a stream. The micro-batch size bounds
-    what a key brings at once; the state store is RocksDB."""
-    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+def fold_stream(stream: DataFrame, keys: list[str], order: list[str], make: Callable[[], Step], schema: str, delay: str = "10 minutes") -> DataFrame:
+    """The fold of ``make`` per key over a stream, in event time.
+
+    ``order`` begins with the event time. Rows wait in the state until the watermark, ``delay`` behind the newest row,
+    has passed them; rows that come later than that are dropped, as in any windowed stream. The session must use the
+    RocksDB state store."""
     names = [part.split()[0] for part in schema.split(",")]
-    return stream.groupBy(*keys).transformWithStateInPandas(
-        statefulProcessor=FoldProcessor(make, order, names), outputStructType=schema, outputMode="Append", timeMode="None")
+    return stream.withWatermark(order[0], delay).groupBy(*keys).transformWithStateInPandas(
+        statefulProcessor=FoldProcessor(make, order, names), outputStructType=schema, outputMode="Append", timeMode="EventTime")
+
+
+def run_fold(spark: SparkSession, stream: DataFrame, fold: Callable[[DataFrame], DataFrame], ts: str) -> DataFrame:
+    """Run ``fold`` over everything there is in ``stream``, then close it: a second run from the same checkpoint reads one
+    row without a key, far ahead, whose watermark passes all rows that still wait. Returns the rows of both runs."""
+    provider = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    base = f"{shared_folder(spark)}/worklens-fold-{uuid.uuid4().hex[:8]}"
+    schema = StructType([StructField(f.name, f.dataType) for f in stream.schema])
+    ahead = spark.createDataFrame([(None,) * len(schema)], schema).withColumn(ts, F.lit("2200-01-01").cast("timestamp"))
+    ahead.limit(0).write.parquet(f"{base}/end")
+    closing = spark.readStream.schema(schema).parquet(f"{base}/end")
+    rows = fold(stream.unionByName(closing))
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    try:
+        for end in (False, True):
+            if end:
+                ahead.write.mode("append").parquet(f"{base}/end")
+            writer = rows.writeStream.outputMode("append").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True)
+            writer.format("parquet").option("path", f"{base}/rows").start().awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", provider)
+    return spark.read.schema(rows.schema).parquet(f"{base}/rows")
