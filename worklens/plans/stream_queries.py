@@ -12,7 +12,7 @@ from worklens.plans.prelude import view, with_views
 from worklens.plans import attribution_queries  # noqa: F401  (registers committed_states)
 from worklens.plans.registry import ORACLE, query
 from worklens.plans.text_queries import named
-from worklens.session import stored
+from worklens.session import shared_folder, stored
 from worklens.sources import tables as src
 from worklens.streaming import jobs, stateful
 
@@ -196,28 +196,42 @@ def online_segments(spark, sf):
     return folds.fold_rows(online_points(spark, sf), ["session_id"], ["ts", "event_id"], make, f"session_id string, {folds.OnlineSegments.SCHEMA}").drop("task_id")
 
 
-def assignments(spark, sf):
+def offered(spark, sf):
     rows = sig.nearest(spark, sf, 1).join(src.sessions(spark, sf).select("session_id", (F.col("keys") + F.col("clicks")).alias("inputs")), "session_id")
     best = F.col("nearest")[0]
-    points = rows.select("user_id", F.col("start_time").alias("ts"), "session_id", best["name"].alias("task_id"), vectors.match_confidence(best["distance"]).alias("confidence"), "inputs")
+    return rows.select("user_id", F.col("start_time").alias("ts"), "session_id", best["name"].alias("task_id"), vectors.match_confidence(best["distance"]).alias("confidence"), "inputs")
+
+
+def assignments(spark, sf):
     make = partial(folds.StreamingAssignment, every_seconds=2 * 86400)
-    return folds.fold_rows(points, ["user_id"], ["ts", "session_id"], make, f"user_id bigint, {folds.StreamingAssignment.SCHEMA}")
+    return folds.fold_rows(offered(spark, sf), ["user_id"], ["ts", "session_id"], make, f"user_id bigint, {folds.StreamingAssignment.SCHEMA}")
+
+
+def replayed(spark, rows, name):
+    """``rows`` written as a table and read back as a file stream."""
+    path = f"{shared_folder(spark)}/worklens-{name}-{uuid.uuid4().hex[:8]}"
+    rows.write.parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", jobs.FILES_PER_TRIGGER).parquet(path)
 
 
 @query("stream_latent_tasks", "I15", recursive(with_views("svec_n") + LATENT))
 def stream_latent_tasks(spark, sf):
-    """The session vectors written as a table and read back as a stream."""
-    from worklens.session import shared_folder
-
-    path = f"{shared_folder(spark)}/worklens-vectors-{uuid.uuid4().hex[:8]}"
     rows = sig.svec(spark, sf).select("user_id", "session_id", "start_time", "vector")
-    rows.write.parquet(path)
-    stream = spark.readStream.schema(rows.schema).parquet(path).withColumn("owner", F.col("user_id"))
+    stream = replayed(spark, rows, "vectors").withColumn("owner", F.col("user_id"))
     fold = lambda df: stateful.fold_stream(df, ["owner"], ["start_time", "session_id"], folds.LatentTasks, f"user_id bigint, {folds.LatentTasks.SCHEMA}")
     done = stateful.run_fold(spark, stream, fold, "start_time").filter("user_id is not null")
     return done.select("user_id", "session_id", "task_id", "confidence", "members")
 
 
+@query("stream_online_segments", "I07", recursive(with_views("points") + ONLINE))
+def stream_online_segments(spark, sf):
+    """Segments of running sessions; a session without a point for two days is finished."""
+    make = partial(folds.OnlineSegments, min_seconds=3600, minute=3600.0)
+    fold = lambda df: stateful.fold_stream(df, ["session_id"], ["ts", "event_id"], make, f"session_id string, {folds.OnlineSegments.SCHEMA}", close_after=2 * 86400)
+    done = stateful.run_fold(spark, replayed(spark, online_points(spark, sf), "points"), fold, "ts")
+    return done.filter("session_id is not null").drop("task_id")
+
+
 view("offers", ["near", "sess"], """
 SELECT n.user_id, n.start_time AS ts, n.name AS task_id, 1 - least(n.d / 0.35, 1.0) AS confidence, s.keys + s.clicks AS inputs FROM near n JOIN sess s ON s.session_id = n.session_id WHERE n.r = 1
 """)
@@ -244,3 +258,10 @@ def assignment_summary(spark, sf):
     top = rows.groupBy("user_id", "task_id").agg(F.max("confidence").alias("max_confidence"), F.count(F.lit(1)).alias("assignments"))
     now = rows.groupBy("user_id").agg(F.max_by("task_id", "ts").alias("current_task"), F.max_by("confidence", "ts").alias("current_confidence"))
     return top.join(now, "user_id")
+
+
+@query("stream_assignments", "I14", ORACLE["streaming_assignments"])
+def stream_assignments(spark, sf):
+    make = partial(folds.StreamingAssignment, every_seconds=2 * 86400)
+    fold = lambda df: stateful.fold_stream(df, ["user_id"], ["ts", "session_id"], make, f"user_id bigint, {folds.StreamingAssignment.SCHEMA}")
+    return stateful.run_fold(spark, replayed(spark, offered(spark, sf), "offers"), fold, "ts").filter("user_id is not null")

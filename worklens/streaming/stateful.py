@@ -26,12 +26,12 @@ class FoldProcessor(StatefulProcessor):
     """Keeps a step's state and the rows that the watermark has not passed yet, as text. When it passes them, a key's
     rows are fed in time order; so the cut into micro-batches and the order of the files do not matter."""
 
-    def __init__(self, make: Callable[[], Step], order: list[str], names: list[str]):
-        self.make, self.order, self.names = make, order, names
+    def __init__(self, make: Callable[[], Step], order: list[str], names: list[str], close_after: float | None = None):
+        self.make, self.order, self.names, self.close_after = make, order, names, close_after
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("step", StructType([StructField("text", StringType())]))
+        self.state = handle.getValueState("step", StructType([StructField("at", LongType()), StructField("text", StringType())]))
         self.waiting = handle.getListState("waiting", StructType([StructField("at", LongType()), StructField("text", StringType())]))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
@@ -53,31 +53,43 @@ class FoldProcessor(StatefulProcessor):
         held = [(int(at), text) for at, text in self.waiting.get()]
         later = [r for r in held if r[0] > now]
         ready = sorted((json.loads(text) for at, text in held if at <= now), key=lambda r: [r[c] for c in self.order])
+        if not ready and not self.state.exists():
+            return
+        step, last = self.make(), None
+        if self.state.exists():
+            last, text = self.state.get()
+            step.load(text)
+        out = [tuple(key) + r for row in ready for r in step.feed(row)]
         if ready:
-            step = self.make()
-            if self.state.exists():
-                step.load(self.state.get()[0])
-            out = [tuple(key) + r for row in ready for r in step.feed(row)]
-            self.state.update((step.dump(),))
+            last = max(at for at, _ in held if at <= now)
             self.waiting.clear()
             if later:
                 self.waiting.put(later)
                 self.handle.registerTimer(min(at for at, _ in later))
-            yield _frame(out, self.names)
+        closes = None if self.close_after is None else int(last) + int(self.close_after * 1000)
+        if closes is not None and closes <= now and not later:  # the key has been silent: end it and forget it
+            out += [tuple(key) + r for r in step.finish()]
+            self.state.clear()
+        else:
+            self.state.update((int(last), step.dump()))
+            if closes is not None and closes > now:
+                self.handle.registerTimer(closes)
+        yield _frame(out, self.names)
 
     def close(self) -> None:
         pass
 
 
-def fold_stream(stream: DataFrame, keys: list[str], order: list[str], make: Callable[[], Step], schema: str, delay: str = "10 minutes") -> DataFrame:
+def fold_stream(stream: DataFrame, keys: list[str], order: list[str], make: Callable[[], Step], schema: str, delay: str = "10 minutes",
+                close_after: float | None = None) -> DataFrame:
     """The fold of ``make`` per key over a stream, in event time.
 
     ``order`` begins with the event time. Rows wait in the state until the watermark, ``delay`` behind the newest row,
-    has passed them; rows that come later than that are dropped, as in any windowed stream. The session must use the
-    RocksDB state store."""
+    has passed them; rows that come later than that are dropped, as in any windowed stream. A key without a row for
+    ``close_after`` seconds is finished and its state dropped. The session must use the RocksDB state store."""
     names = [part.split()[0] for part in schema.split(",")]
     return stream.withWatermark(order[0], delay).groupBy(*keys).transformWithStateInPandas(
-        statefulProcessor=FoldProcessor(make, order, names), outputStructType=schema, outputMode="Append", timeMode="EventTime")
+        statefulProcessor=FoldProcessor(make, order, names, close_after), outputStructType=schema, outputMode="Append", timeMode="EventTime")
 
 
 def run_fold(spark: SparkSession, stream: DataFrame, fold: Callable[[DataFrame], DataFrame], ts: str) -> DataFrame:
