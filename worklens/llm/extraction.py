@@ -171,15 +171,17 @@ def elements(page: Page) -> np.ndarray:
     return np.array([k == 0 or t not in INLINE or bool(a) for k, (t, a) in enumerate(zip(page.tag, page.attrs, strict=True))])
 
 
-def extract(source: str | None, trees: Trees) -> str:
-    page = read(source or "")
-    if not page.text:
-        return ""
-    logit = trees.logit(features(page))
-    judged = elements(page)
-    for k in np.flatnonzero(~judged):
-        logit[k] = 8.0  # stands and falls with its parent
-    return blocks(page, decode(page, logit))
+def extract(sources: list[str | None], trees: Trees) -> list[str]:
+    """The main text of each page; the trees judge the elements of all of them at once."""
+    pages = [read(s or "") for s in sources]
+    logit = trees.logit(np.concatenate([features(p) for p in pages])) if pages else np.zeros(0)
+    out, at = [], 0
+    for page in pages:
+        own = logit[at : at + len(page.tag)]
+        at += len(page.tag)
+        own[~elements(page)] = 8.0  # stands and falls with its parent
+        out.append(blocks(page, decode(page, own)))
+    return out
 
 
 _REGION = re.compile(r"<(/?)(nav|footer|aside|header|form|article|main)\b([^>]*)>|<div class=\"ad\">(.*?)</div>", re.S | re.I)
@@ -329,7 +331,7 @@ def extract_pages(pages: DataFrame, trees: Trees) -> DataFrame:
         for b in batches:
             for at, rows in slices(b.column("html")):
                 part = b.slice(at, rows)
-                text = [extract(h.as_py(), model.value) for h in part.column("html")]
+                text = extract(part.column("html").to_pylist(), model.value)
                 yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(text, pa.string()), pa.array(list(map(len, text)), pa.int64())], schema.names)
 
     return base.mapInArrow(run, schema)
