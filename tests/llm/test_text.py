@@ -379,6 +379,6 @@ def test_extraction(spark):
     by_id = {r.page_id: r.text for r in got}
     assert sum(by_id[i] == text for i, _, text in pages) >= 0.97 * len(pages)
     assert by_id[200] == by_id[201] == ""
-    other = extraction.extract(pages[80][1].replace("<article>", '<div class="content">').replace("</article>", "</div>").replace("<nav>", '<div class="menu">').replace("</nav>", "</div>"), trees)
+    (other,) = extraction.extract([pages[80][1].replace("<article>", '<div class="content">').replace("</article>", "</div>").replace("<nav>", '<div class="menu">').replace("</nav>", "</div>")], trees)
     assert other == pages[80][2]
     assert extraction.extract_pages(df.limit(0), extraction.train(df.limit(0))).count() == 0
