@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -55,6 +57,14 @@ def slices(texts: pa.Array, size: int = 4_000_000) -> Iterator[tuple[int, int]]:
     yield from zip(starts.tolist(), np.diff(starts, append=len(run)).tolist(), strict=True)
 
 
+def free_memory() -> None:
+    """Give what a task has freed back to the machine: Python workers live on for the tasks of later stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """(node, component) for every node of ``edges``; the component is its smallest node.
 

@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from worklens.llm.common import with_fields, written
+from worklens.llm.common import free_memory, with_fields, written
 from worklens.llm.tokens import byte_bpe
 
 CAPACITY = 1024
@@ -121,6 +121,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int =
             kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
             arrays += [pa.array(c, k) for c, k in zip(columns, kinds, strict=False)]
             yield pa.RecordBatch.from_arrays(arrays, names)
+        free_memory()
 
     names = schema.names
     return ids.mapInArrow(cut, schema)

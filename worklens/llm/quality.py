@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from worklens.llm.common import crc_fold, slices, with_fields
+from worklens.llm.common import crc_fold, free_memory, slices, with_fields
 
 BITS = 20
 #: Labelled rows to learn from: a bounded sample in the order of the id's hash. Passes over them.
@@ -118,6 +118,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> np.ndar
         w = fit(got)
         at = np.flatnonzero(w)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(w[at], pa.float32())], ["bucket", "weight"])
+        del got, w, at
+        free_memory()
 
     w = np.zeros(2**BITS + 1, np.float32)
     got = sample.select("text", "quality").mapInArrow(learn, "bucket int, weight float").toArrow()
@@ -127,7 +129,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> np.ndar
 
 def score(texts: pa.Array, w: np.ndarray) -> np.ndarray:
     out = np.zeros(len(texts))
-    for first, rows in slices(texts):
+    for first, rows in slices(texts, 2_000_000):
         total = np.zeros(rows)
         for at, b, n in buckets(texts.slice(first, rows)):
             total += np.bincount(at, w[b], minlength=rows) if len(at) else 0.0
@@ -145,6 +147,7 @@ def score_documents(docs: DataFrame, w: np.ndarray, threshold: float = THRESHOLD
     def add(batches):
         for b in batches:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(score(b.column("text"), weights.value))], [*b.schema.names, "score"])
+        free_memory()
 
     out = base.mapInArrow(add, schema)
     return out.withColumn("held_out", crc_fold(F.col("doc_id")) == 0).withColumn("predicted", (F.col("score") >= threshold).cast("int"))

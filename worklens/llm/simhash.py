@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from worklens.llm.common import connected_components, with_fields, written
+from worklens.llm.common import connected_components, free_memory, with_fields, written
 
 SHINGLE = 3
 SEED = 42
@@ -52,6 +52,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             texts = b.column("text").cast(pa.large_binary()).to_pylist()
             fp = np.fromiter((fingerprint(t or b"", shingle) for t in texts), np.uint64, len(texts))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+        free_memory()
 
     ids = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     return ids.mapInArrow(make, with_fields(ids.select("doc_id"), "fp long"))
