@@ -12,6 +12,7 @@ most, whatever the corpus) pass through the driver.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,12 +23,14 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from worklens.llm.common import crc_fold, slices, with_fields, written
+from worklens.llm.common import crc_fold, free_memory, slices, with_fields, written
 
 DEPTH = 5
 #: Bytes of text in a block, and documents for one bucket of hashes.
 BLOCK = 32_000_000
 BUCKET_DOCS = 4000
+#: Bytes of text whose strings are held at a time.
+SLICE = 1_000_000
 #: Stands before and after each text; no UTF-8 text has it.
 EDGE = b"\xff"
 END_TOKEN = "\n"
@@ -179,71 +182,87 @@ def tokens(texts: pa.Array) -> tuple[np.ndarray, pa.DictionaryArray]:
     return rows[real.to_numpy(zero_copy_only=False)], flat.filter(real).dictionary_encode()
 
 
-def _pack_words(words: list[str]) -> bytes:
-    return zstandard.compress(" ".join(words).encode(), 1)
+def _pack_words(words: pa.Array) -> bytes:
+    """Words hold no blanks; the end is the empty word and stands alone."""
+    return zstandard.compress(" ".join(words.to_pylist()).encode(), 1)
 
 
 def _unpack_words(data: bytes) -> list[str]:
-    text = zstandard.decompress(data).decode()
-    return text.split(" ") if text else []
+    return zstandard.decompress(data).decode().split(" ")
 
 
 # --- stages
 
 
+class Block:
+    """Different strings and words of the texts read so far, with their training counts."""
+
+    def __init__(self):
+        self.size = self.ends = 0
+        self.strings: list[tuple[np.ndarray, np.ndarray]] = []
+        self.words: list[tuple[pa.Array, np.ndarray]] = []
+
+    def add(self, texts: pa.Array, train: np.ndarray) -> None:
+        key, starts = strings(texts.cast(pa.large_binary()).to_pylist())
+        use = np.repeat(train, np.diff(starts, append=len(key)))
+        coded = pa.array(key).dictionary_encode()
+        own = coded.dictionary.to_numpy()
+        self.strings.append((own, np.bincount(coded.indices.to_numpy()[use], minlength=len(own))))
+        row, word = tokens(texts)
+        self.words.append((word.dictionary, np.bincount(word.indices.to_numpy()[train[row]], minlength=len(word.dictionary))))
+        self.ends += int(train.sum())
+        self.size += texts.nbytes
+        if len(self.strings) >= 8:
+            self.shrink()
+
+    def shrink(self) -> None:
+        self.strings = [_sum_by(*map(np.concatenate, zip(*self.strings, strict=True)))]
+        coded = pa.concat_arrays([w for w, _ in self.words]).dictionary_encode()
+        total = np.zeros(len(coded.dictionary), np.int64)
+        np.add.at(total, coded.indices.to_numpy(), np.concatenate([c for _, c in self.words]))
+        self.words = [(coded.dictionary, total)]
+
+    def rows(self, n: int) -> Iterator[tuple[str, int, bytes, bytes]]:
+        """(kind, bucket, strings or words, counts), by the hash of the string or word."""
+        self.shrink()
+        ((key, count),), ((word, held),) = self.strings, self.words
+        for to, kind, pack, values, counts in (
+            (_owner(key, n), "strings", _pack, key, count),
+            (np.fromiter((xxhash.xxh64_intdigest(w.as_py()) % n for w in word), np.int64, len(word)), "words", _pack_words, word, held),
+        ):
+            order = np.argsort(to, kind="stable")
+            edges = np.searchsorted(to[order], np.arange(n + 1))
+            for k in np.flatnonzero(np.diff(edges)).tolist():
+                own = order[edges[k] : edges[k + 1]]
+                yield kind, k, pack(values.take(own)), _pack(counts[own].astype(np.int64))
+        yield "words", xxhash.xxh64_intdigest(END_TOKEN) % n, _pack_words(pa.array([""])), _pack(np.array([self.ends], np.int64))
+
+
 def _send(docs: DataFrame, n: int) -> DataFrame:
     """By block: its packed rows (kind body), and for each bucket its different strings and words with their training counts."""
 
-    def rows_of(block, held):
-        body = pa.concat_tables(held).combine_chunks()
-        sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, body.schema) as out:
-            out.write_table(body)
-        yield "body", -1, block, zstandard.compress(sink.getvalue(), 1), b""
-        texts, train = body["text"].combine_chunks(), ~body["held_out"].to_numpy()
-        keys, counts, words = [], [], {END_TOKEN: int(train.sum())} if len(body) else {}
-        for at, size in slices(texts):
-            part, learn = texts.slice(at, size), train[at : at + size]
-            key, starts = strings(part.cast(pa.large_binary()).to_pylist())
-            use = np.repeat(learn, np.diff(starts, append=len(key)))
-            coded = pa.array(key).dictionary_encode()
-            keys.append(coded.dictionary.to_numpy())
-            counts.append(np.bincount(coded.indices.to_numpy()[use], minlength=len(keys[-1])))
-            row, word = tokens(part)
-            c = np.bincount(word.indices.to_numpy()[learn[row]], minlength=len(word.dictionary))
-            for w, k in zip(word.dictionary.to_pylist(), c.tolist(), strict=True):
-                words[w] = words.get(w, 0) + k
-        key, count = _sum_by(np.concatenate(keys), np.concatenate(counts)) if keys else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        to = _owner(key, n)
-        order = np.argsort(to, kind="stable")
-        edges = np.searchsorted(to[order], np.arange(n + 1))
-        for b in range(n):
-            own = order[edges[b] : edges[b + 1]]
-            if len(own):
-                yield "strings", b, block, _pack(key[own]), _pack(count[own].astype(np.int64))
-        by: dict[int, list[str]] = {}
-        for w in words:
-            by.setdefault(xxhash.xxh64_intdigest(w) % n, []).append(w)
-        for b, own in by.items():
-            yield "words", b, block, _pack_words([w if w != END_TOKEN else "" for w in own]), _pack(np.array([words[w] for w in own], np.int64))
+    def row(*values):
+        return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(values, (pa.string(), pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["kind", "bucket", "block", "data", "counts"])
 
     def send(batches):
-        task, nth, held, size = TaskContext.get().partitionId(), 0, [], 0
-
-        def flush():
-            for row in rows_of(task << 24 | nth, held):
-                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.string(), pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["kind", "bucket", "block", "data", "counts"])
-
+        task, nth, block = TaskContext.get().partitionId(), 0, Block()
         for b in batches:
-            for at, rows in slices(b.column("text"), BLOCK):
-                part = b.slice(at, rows)
-                held.append(pa.Table.from_batches([part]))
-                size += part.column("text").nbytes
-                if size >= BLOCK:
-                    yield from flush()
-                    nth, held, size = nth + 1, [], 0
-        if held:
-            yield from flush()
+            for at, size in slices(b.column("text"), SLICE):
+                part = b.slice(at, size)
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, part.schema) as out:
+                    out.write_batch(part)
+                yield row("body", -1, task << 24 | nth, zstandard.compress(sink.getvalue(), 1), b"")
+                block.add(part.column("text"), ~part.column("held_out").to_numpy(zero_copy_only=False))
+                if block.size >= BLOCK:
+                    for kind, bucket, data, counts in block.rows(n):
+                        yield row(kind, bucket, task << 24 | nth, data, counts)
+                    nth, block = nth + 1, Block()
+        if block.strings:
+            for kind, bucket, data, counts in block.rows(n):
+                yield row(kind, bucket, task << 24 | nth, data, counts)
+        del block
+        free_memory()
 
     return docs.mapInArrow(send, "kind string, bucket int, block long, data binary, counts binary")
 
@@ -323,7 +342,7 @@ def _answer_words(sent: DataFrame) -> DataFrame:
     """Back to each block: its words with their training counts; block -1 has the numbers of tokens and of different words."""
 
     def answer(table: pa.Table) -> pa.Table:
-        words = [_unpack_words(x) or [""] for x in table["data"].to_pylist()]
+        words = [_unpack_words(x) for x in table["data"].to_pylist()]
         counts = [_unpack(x, np.int64) for x in table["counts"].to_pylist()]
         coded = pa.array([w for ws in words for w in ws]).dictionary_encode().indices.to_numpy()
         total = np.zeros(int(coded.max()) + 1, np.int64)
@@ -367,7 +386,7 @@ def score_documents(docs: DataFrame, held_out: Column | None = None) -> DataFram
         value = np.concatenate([_unpack(counts[x], np.float64) for x in pick["strings"]])
         order = np.argsort(key)
         key, value = key[order], value[order]
-        vocabulary = pa.array([w for x in pick["words"] for w in (_unpack_words(data[x]) or [""])], pa.large_string())
+        vocabulary = pa.array([w for x in pick["words"] for w in _unpack_words(data[x])], pa.large_string())
         seen = np.concatenate([_unpack(counts[x], np.int64) for x in pick["words"]])
         log = np.log10((seen + 0.5) / (total + 0.5 * (distinct + 1)))
         end = pc.index(vocabulary, pa.scalar("", pa.large_string())).as_py()
@@ -375,7 +394,7 @@ def score_documents(docs: DataFrame, held_out: Column | None = None) -> DataFram
         for x in pick["body"]:
             rows = pa.ipc.open_stream(zstandard.decompress(data[x])).read_all().combine_chunks()
             texts = rows["text"].combine_chunks()
-            for at, size in slices(texts):
+            for at, size in slices(texts, SLICE):
                 part = texts.slice(at, size)
                 k, starts = strings(part.cast(pa.large_binary()).to_pylist())
                 coded = pa.array(k).dictionary_encode()
@@ -390,6 +409,9 @@ def score_documents(docs: DataFrame, held_out: Column | None = None) -> DataFram
                 kept = rows.slice(at, size)
                 columns = [kept["doc_id"].combine_chunks(), kept["held_out"].combine_chunks(), *map(pa.array, (count.astype(np.int64), known, np.full(size, total), base, s, -s / lengths / math.log10(2)))]
                 out.append(pa.table(columns, schema.names))
-        return pa.concat_tables(out)
+        result = pa.concat_tables(out).combine_chunks()
+        del out, key, value, order, vocabulary, seen, log, data, counts
+        free_memory()
+        return result
 
     return answers.groupBy("block").applyInArrow(score, schema)
