@@ -201,7 +201,7 @@ def generic_task(reason: Column, task: Column) -> Column:
         .otherwise("unknown")
     )
     known = None
-    for cat in rules.KNOWN_CATEGORIES:
+    for cat in rules.ONEHOT_TASKS:
         hit = F.lower(task).contains(cat.replace("_", " "))
         known = F.when(hit, cat) if known is None else known.when(hit, cat)
     return F.when(first.isin("unknown", "context_change"), F.coalesce(known, first)).otherwise(first)
