@@ -1,6 +1,7 @@
 """Substring dedup by sliding sentence spans.
 
-A span is a run of consecutive sentences: for every sentence the shortest run that begins with it and the shortest
+Sentences of more than ``CLAUSES_FROM`` words count as the clauses between their commas, so that a passage that starts or ends inside
+one is found up to a clause. A span is a run of consecutive sentences: for every sentence the shortest run that begins with it and the shortest
 that ends with it, of two sentences and ``MIN_WORDS`` words at least (a very long sentence is a run of its own). Every span is
 hashed; a span repeats when another one, in any document, has the same hash; the first is the one at the smallest
 (doc_id, sentence). Sentences that any other repeat covers are removed.
@@ -16,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from worklens.llm.common import slices, with_fields
+from worklens.llm.common import free_memory, slices, with_fields
 
 MIN_WORDS = 20
 #: Words of a sentence that is a span alone.
@@ -26,13 +27,17 @@ BUCKET_DOCS = 4000
 #: Bytes of text whose spans are compared inside a task before they are sent out.
 BLOCK = 16_000_000
 
+#: Words from which a sentence is cut at commas, semicolons and colons.
+CLAUSES_FROM = 20
+_CLAUSE = re.compile(r"(?<=[,;:])(?=[ \t])")
 _END = re.compile(r"(?<=[.!?])(?=[ \t])")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 def lines_of(text: str) -> list[list[str]]:
-    """The sentences of each line. They end at a line end, or after full stops, ! and ? before a blank, which goes with the next."""
-    return [_END.split(line) for line in text.split("\n")]
+    """The sentences of each line. They end at a line end, or after full stops, ! and ? before a blank, which goes with the next;
+    long ones are cut into clauses in the same way."""
+    return [[c for s in _END.split(line) for c in (_CLAUSE.split(s) if s.count(" ") >= CLAUSES_FROM else (s,))] for line in text.split("\n")]
 
 
 def without(text: str, gone: set[int]) -> str:
@@ -132,7 +137,7 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         held, size = [], 0
         for b in batches:
             ids = b.column("doc_id").to_numpy()
-            for at, count in slices(b.column("text")):
+            for at, count in slices(b.column("text"), 2_000_000):
                 part = b.column("text").slice(at, count)
                 row, start, stop, h = spans(part.to_pylist(), min_words)
                 held.append((ids[at : at + count][row], start, stop, h))
@@ -142,6 +147,8 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
                     held, size = [], 0
         if held:
             yield local(held)
+        held = []
+        free_memory()
 
     def meet(table: pa.Table) -> pa.Table:
         h, doc, start, stop = np.concatenate([_unpack(x, 4) for x in table["firsts"].to_pylist()], axis=1)
