@@ -225,3 +225,34 @@ def trailing_totals(minutes: DataFrame, windows: list[float]) -> DataFrame:
     inside = lambda w, c: F.sum(F.when(F.col("age") < w, F.col(c)).otherwise(0))
     cols = [inside(w, c).alias(f"{c}_{int(w)}") for w in windows for c in ("keys", "clicks", "mouse_distance")]
     return rows.groupBy("session_id").agg(*cols, *[F.sum(c).alias(f"{c}_all") for c in ("keys", "clicks", "mouse_distance")])
+
+
+def recent_activity_vectors(intervals: DataFrame, keys: list[str], seconds: int = 60) -> DataFrame:
+    """The feature vector of every window of ``seconds`` without a session: what was done in it, by key.
+
+    Runs of one app are numbered inside the window; everything else is one aggregate over the runs, so a key's
+    rows meet only with those of the same window."""
+    at = F.timestamp_seconds(F.floor(F.unix_seconds("timestamp_start") / seconds) * seconds)
+    rows = intervals.withColumns({
+        "window_start": at, "app": F.coalesce("app", F.lit("unknown")), "named": F.col("app").isNotNull().cast("int"),
+        "inputs": F.col("keyboard_intensity") * scoring.interval_minutes() + F.col("mouse_clicks")})
+    part, order = [*keys, "window_start"], ["timestamp_start", "event_id"]
+    runs = islands(rows, part, order, F.col("window_start"), lambda: F.col("__app") != F.col("app"), out="run", lag={"__app": F.col("app")}, uses=["app"])
+    kb = F.when(F.col("keyboard_intensity") != 0, F.col("keyboard_intensity"))
+    per_run = runs.groupBy(*part, "run", "app", "named").agg(
+        F.min("timestamp_start").alias("start"), F.max(F.struct(*order, "timestamp_end", "window_title")).alias("last"), F.sum("inputs").alias("inputs"),
+        F.count(kb).alias("n"), F.sum(kb).alias("s"), F.sum(kb * kb).alias("q"))
+    per_run = per_run.withColumn("minutes", scoring.minutes_between("start", "last.timestamp_end"))
+    n, mean = F.sum("n"), F.sum("s") / F.sum("n")
+    whole = per_run.groupBy(*part).agg(
+        F.countDistinct(F.when(F.col("named") == 1, F.col("app"))).alias("apps"), F.max("minutes").alias("longest"), F.avg("minutes").alias("streak"), F.sum("inputs").alias("inputs"),
+        F.min("start").alias("first_start"), F.max_by(F.struct("last.timestamp_end", "app", "last.window_title"), "last").alias("end"),
+        F.when(n > 0, 1.0 / (1.0 + (F.sum("q") / n - mean * mean) / 1000.0)).otherwise(0.5).alias("focus_consistency"))
+    minutes = scoring.minutes_between("first_start", "end.timestamp_end")
+    cap = lambda c: F.least(c, F.lit(1.0))
+    whole = whole.withColumn("minutes", F.when(minutes == 0, 1.0).otherwise(minutes))
+    return whole.select(
+        *part, F.col("end.app").alias("active_app"), F.col("end.window_title").alias("active_window_title"),
+        cap(F.greatest(F.col("apps") - 1, F.lit(0)) / 5.0).alias("context_switch_entropy"), "focus_consistency", cap(F.col("longest") / 300.0).alias("max_sustained"),
+        cap(F.col("streak") / 120.0).alias("avg_focus_window"), cap(F.col("apps") / 10.0).alias("app_diversity"), cap(F.col("minutes") / 480.0).alias("duration"),
+        cap(F.col("inputs") / F.col("minutes") / 8.0).alias("input_intensity"), F.hour("first_start").alias("time_of_day_hour"))

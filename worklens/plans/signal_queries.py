@@ -365,3 +365,25 @@ SELECT session_id, {TRAIL}, sum(keys)::BIGINT AS keys_all, sum(clicks)::BIGINT A
   SELECT *, (epoch_us(max(minute) OVER (PARTITION BY session_id)) - epoch_us(minute)) / 6e7 AS age FROM session_minutes) t GROUP BY 1""")
 def session_signal_totals(spark, sf):
     return signals.trailing_totals(src.session_minutes(spark, sf), [60, 300, 600])
+
+
+RECENT = ["context_switch_entropy", "focus_consistency", "max_sustained", "avg_focus_window", "app_diversity", "duration", "input_intensity"]
+
+
+@query("recent_activity_vectors", "I12 J10", with_views("iv") + """,
+a AS (SELECT *, to_timestamp(floor(epoch_us(timestamp_start) / 1000000 / 21600) * 21600)::TIMESTAMP AS w, coalesce(app, 'unknown') AS one FROM iv),
+b AS (SELECT *, sum(CASE WHEN p = one THEN 0 ELSE 1 END) OVER (PARTITION BY user_id, w ORDER BY timestamp_start, event_id) AS run FROM (
+  SELECT *, lag(one) OVER (PARTITION BY user_id, w ORDER BY timestamp_start, event_id) AS p FROM a) x),
+r AS (SELECT user_id, w, run, (epoch_us(arg_max(timestamp_end, [epoch_us(timestamp_start), event_id])) - epoch_us(min(timestamp_start))) / 6e7 AS m FROM b GROUP BY 1, 2, 3),
+s AS (SELECT user_id, w, max(m) AS longest, avg(m) AS streak FROM r GROUP BY 1, 2),
+g AS (SELECT user_id, w, count(DISTINCT app) AS apps, sum(keyboard_intensity * minutes + mouse_clicks) AS inputs, min(timestamp_start) AS f,
+    arg_max({'e': timestamp_end, 'a': one, 't': window_title}, [epoch_us(timestamp_start), event_id]) AS l,
+    coalesce(1.0 / (1.0 + var_pop(nullif(keyboard_intensity, 0)) / 1000.0), 0.5) AS focus_consistency FROM a GROUP BY 1, 2),
+v AS (SELECT g.*, longest, streak, CASE WHEN epoch_us(l.e) = epoch_us(f) THEN 1.0 ELSE (epoch_us(l.e) - epoch_us(f)) / 6e7 END AS m FROM g JOIN s USING (user_id, w))
+SELECT user_id, w AS window_start, l.a AS active_app, l.t AS active_window_title, round(least(greatest(apps - 1, 0) / 5.0, 1.0), 6) AS context_switch_entropy, round(focus_consistency, 6) AS focus_consistency,
+  round(least(longest / 300.0, 1.0), 6) AS max_sustained, round(least(streak / 120.0, 1.0), 6) AS avg_focus_window, round(least(apps / 10.0, 1.0), 6) AS app_diversity, round(least(m / 480.0, 1.0), 6) AS duration,
+  round(least(inputs / m / 8.0, 1.0), 6) AS input_intensity, hour(f)::BIGINT AS time_of_day_hour FROM v""")
+def recent_activity_vectors(spark, sf):
+    """Windows of six hours, as the log is sparse."""
+    return signals.recent_activity_vectors(src.interval_signals(spark, sf), ["user_id"], 6 * 3600).select(
+        "user_id", "window_start", "active_app", "active_window_title", *RECENT, "time_of_day_hour")
