@@ -21,8 +21,9 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near SimHash fingerprints: the one with the smallest doc_id."""
-    return simhash.keep_documents(docs)
+    """One document of each group of near copies, the one with the smallest doc_id: near SimHash fingerprints of shingles of five
+    words whose sets of shingles have a similarity of 0.8."""
+    return simhash.keep_documents(docs, simhash.STAGE_SHINGLE, simhash.STAGE_BITS, simhash.STAGE_SIMILARITY)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 import xxhash
 
+import corpus_pipeline
 from worklens.llm import exact_dedup, pivots, simhash, substring
 from worklens.llm.common import connected_components
 
@@ -142,6 +143,49 @@ def test_simhash_keep(spark, rows):
     assert sorted(ids) == sorted(groups) and kept.where("doc_id IS NULL").count() == 2
 
 
+@pytest.mark.parametrize("block", [5, 2048])
+def test_byte_links_join_all_within_seven_bits(spark, block):
+    rng = random.Random(6)
+    fps = {rng.getrandbits(64) for _ in range(150)}
+    for f in sorted(fps):
+        for b in rng.sample(range(64), rng.randint(3, 9)):
+            f ^= 1 << b
+        fps.add(f)
+    signed = [f - 2**64 if f >= 2**63 else f for f in sorted(fps)]
+    got = simhash.byte_links(spark.createDataFrame([(f,) for f in signed], "fp long"), 7, block).collect()
+    want = roots(signed, [(a, b) for a in signed for b in signed if a < b and ((a ^ b) & (2**64 - 1)).bit_count() <= 7])
+    assert roots(signed, [tuple(r) for r in got]) == want
+
+
+@pytest.mark.parametrize("texts", [4, 256])
+def test_stage_keeps_one_of_near_copies(spark, texts, monkeypatch):
+    monkeypatch.setattr(simhash.similar_links, "__defaults__", (texts,))
+    rng = random.Random(8)
+    rows = []
+    for i in range(30):
+        base = words(rng, rng.choice([20, 80, 200])).split()
+        for k in range(rng.choice([1, 2, 3, 12])):
+            copy = list(base)
+            for at in rng.sample(range(len(copy)), len(copy) * (k > 0) // rng.choice([20, 40, 80])):
+                copy[at] = "zz"
+            rows.append((len(rows), " ".join(copy)))
+    rows += [(900, "Of three words"), (901, "of  three words"), (902, ""), (903, " "), (None, rows[0][1]), (7, rows[7][1])]
+    sets = []
+    for _, t in rows:
+        w = lower(t).split()
+        sets.append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))})
+    pairs = [(a, b) for a in range(len(rows)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    assert any((simhash.fingerprint(rows[a][1].encode(), 5) ^ simhash.fingerprint(rows[b][1].encode(), 5)).bit_count() > 7 for a, b in pairs)
+    root = roots(range(len(rows)), pairs)
+    want = {}
+    for k, (i, _) in enumerate(rows):
+        if i is not None:
+            want[root[k]] = min(i, want.get(root[k], i))
+    df = spark.createDataFrame([(i, t, "en") for i, t in rows], DOCS)
+    got = [r.doc_id for r in corpus_pipeline.drop_near_copies(spark, df, "").collect()]
+    assert sorted(got, key=str) == sorted([*want.values(), None], key=str)
+
+
 def brute_repeats(rows, min_words=substring.MIN_WORDS, long=substring.LONG):
     found, gone = {}, {}
     for i, t in rows:
