@@ -1,15 +1,17 @@
 """Window forms, batch folds and streams of the order-dependent rules against plain folds."""
 
+import os
 import random
 from functools import partial
 from datetime import datetime, timedelta
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from worklens.operators import folds, statelog
 import __spark_entry__  # noqa: F401  (loads the queries)
-from worklens.plans import registry
+from worklens.plans import registry, stream_queries
 from worklens.streaming import jobs, stateful
 from worklens.sources import tables as src
 
@@ -159,3 +161,27 @@ def test_steps_travel_without_the_package(tmp_path):
     code = "import pickle, sys; made = [m() for m in pickle.load(open('steps', 'rb'))]; assert 'worklens' not in sys.modules; print(len(made))"
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, env={"PATH": "/usr/bin:/bin"})
     assert done.stdout.strip() == "4", done.stderr
+
+
+def test_replayed_rows_are_never_late(spark):
+    rows = src.candidates(spark, SF).repartition(6, F.hash("event_id"))
+    hold = {"IDLE": 36000, "ACTIVE_UNALIGNED": 18000, "ACTIVE_ALIGNED": 0}
+    fold = lambda df: stateful.fold_stream(df, ["user_id"], ["ts", "event_id"], partial(folds.Hysteresis, hold), f"user_id bigint, {folds.Hysteresis.SCHEMA}")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        stream = stream_queries.replayed(spark, rows, "shuffled", "ts", files_per_trigger=1)
+        got = stateful.run_fold(spark, stream, fold, "ts").filter("user_id is not null")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    pick = lambda d: sorted((r.user_id, r.ts, r.to_state, r.since, r.duration_prev) for r in d.collect())
+    assert pick(got) == pick(statelog.committed_states(rows, ["user_id"], hold))
+
+
+def test_event_files_in_any_order_lose_no_rows(spark, tmp_path):
+    table = pq.read_table(f"{SF}/events.parquet").sort_by([("ts", "descending")])
+    step = -(-len(table) // 70)  # more files than a limited micro-batch takes, the newest first
+    for i in range(70):
+        pq.write_table(table.slice(i * step, step), tmp_path / f"events{i:02}.parquet")
+        os.utime(tmp_path / f"events{i:02}.parquet", (1_700_000_000 + i,) * 2)
+    count = lambda sf: jobs.run_available(jobs.tumbling_inputs(jobs.event_stream(spark, sf), 3600)).count()
+    assert count(str(tmp_path)) == count(SF)

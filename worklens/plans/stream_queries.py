@@ -207,17 +207,34 @@ def assignments(spark, sf):
     return folds.fold_rows(offered(spark, sf), ["user_id"], ["ts", "session_id"], make, f"user_id bigint, {folds.StreamingAssignment.SCHEMA}")
 
 
-def replayed(spark, rows, name):
-    """``rows`` written as a table and read back as a file stream."""
+def replayed(spark, rows, name, ts, files_per_trigger=jobs.FILES_PER_TRIGGER):
+    """``rows`` written as a table in the order of ``ts`` and read back as a file stream in that order, so that no file is late.
+    A store that does not take the files' times gives all files as one micro-batch."""
     path = f"{shared_folder(spark)}/worklens-{name}-{uuid.uuid4().hex[:8]}"
-    rows.write.parquet(path)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", jobs.FILES_PER_TRIGGER).parquet(path)
+    rows.repartitionByRange(ts).sortWithinPartitions(ts).write.parquet(path)
+    reader = spark.readStream.schema(rows.schema)
+    if _times_in_order(spark, path):
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    return reader.parquet(path)
+
+
+def _times_in_order(spark, folder):
+    """Set the change times of the part files of ``folder`` a second apart in the order of their names; whether they hold."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    parts = lambda: sorted((f for f in fs.listStatus(path) if f.getPath().getName().startswith("part-")), key=lambda f: f.getPath().getName())
+    files = parts()
+    last = max((f.getModificationTime() for f in files), default=0)
+    for i, f in enumerate(files):
+        fs.setTimes(f.getPath(), last - 1000 * (len(files) - i), -1)
+    times = [f.getModificationTime() for f in parts()]
+    return all(a < b for a, b in zip(times, times[1:]))
 
 
 @query("stream_latent_tasks", "I15", recursive(with_views("svec_n") + LATENT))
 def stream_latent_tasks(spark, sf):
     rows = sig.svec(spark, sf).select("user_id", "session_id", "start_time", "vector")
-    stream = replayed(spark, rows, "vectors").withColumn("owner", F.col("user_id"))
+    stream = replayed(spark, rows, "vectors", "start_time").withColumn("owner", F.col("user_id"))
     fold = lambda df: stateful.fold_stream(df, ["owner"], ["start_time", "session_id"], folds.LatentTasks, f"user_id bigint, {folds.LatentTasks.SCHEMA}")
     done = stateful.run_fold(spark, stream, fold, "start_time").filter("user_id is not null")
     return done.select("user_id", "session_id", "task_id", "confidence", "members")
@@ -228,7 +245,7 @@ def stream_online_segments(spark, sf):
     """Segments of running sessions; a session without a point for two days is finished."""
     make = partial(folds.OnlineSegments, min_seconds=3600, minute=3600.0)
     fold = lambda df: stateful.fold_stream(df, ["session_id"], ["ts", "event_id"], make, f"session_id string, {folds.OnlineSegments.SCHEMA}", close_after=2 * 86400)
-    done = stateful.run_fold(spark, replayed(spark, online_points(spark, sf), "points"), fold, "ts")
+    done = stateful.run_fold(spark, replayed(spark, online_points(spark, sf), "points", "ts"), fold, "ts")
     return done.filter("session_id is not null").drop("task_id")
 
 
@@ -264,4 +281,4 @@ def assignment_summary(spark, sf):
 def stream_assignments(spark, sf):
     make = partial(folds.StreamingAssignment, every_seconds=2 * 86400)
     fold = lambda df: stateful.fold_stream(df, ["user_id"], ["ts", "session_id"], make, f"user_id bigint, {folds.StreamingAssignment.SCHEMA}")
-    return stateful.run_fold(spark, replayed(spark, offered(spark, sf), "offers"), fold, "ts").filter("user_id is not null")
+    return stateful.run_fold(spark, replayed(spark, offered(spark, sf), "offers", "ts"), fold, "ts").filter("user_id is not null")

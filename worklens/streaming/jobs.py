@@ -14,12 +14,14 @@ from worklens.session import shared_folder
 from worklens.sources import tables as src
 
 WATERMARK = "10 minutes"
-#: Files of a micro-batch, so that the first one is not the whole history.
+#: Files of a micro-batch where their order does not matter, so that the first one is not the whole history.
 FILES_PER_TRIGGER = 64
 
 
-def event_stream(spark: SparkSession, sf_dir: str, files_per_trigger: int | None = FILES_PER_TRIGGER) -> DataFrame:
-    """The event table as a file stream; a checkpoint remembers which files were read."""
+def event_stream(spark: SparkSession, sf_dir: str, files_per_trigger: int | None = None) -> DataFrame:
+    """The event table as a file stream; a checkpoint remembers which files were read. All files that are there make one
+    micro-batch. ``files_per_trigger`` limits it, for files that come in time order or sinks that need none: under a watermark,
+    rows that come after much newer ones are dropped."""
     reader = spark.readStream.schema(src.EVENT_SCHEMA).option("pathGlobFilter", "events*.parquet")
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
