@@ -354,6 +354,14 @@ def test_decoding_drops_what_stands_in_dropped_elements():
     assert all(keep[p.parent[k]] for k in range(1, len(keep)) if keep[k])
 
 
+def test_bare_links_do_not_outvote_their_menu():
+    links = '<a href="/1">x</a><a href="/2">y</a><span><b>z</b></span>'
+    p = read(f"<div><p>a <a href='/3'>b</a> <i>c</i><p>d</div><nav>{links}</nav><footer>{links}</footer><ul><li>{links}</ul><div><span>e</span><p>f</div>")
+    logit = {"nav": -6.0, "footer": -2.0, "ul": -0.5, "li": -0.5, "div": -0.5, "p": 1.0}
+    keep = extraction.decode(p, np.array([logit.get(t, 3.0 if t == "#root" else 0.5) for t in p.tag]))
+    assert extraction.blocks(p, keep) == "a b c\nd\ne\nf"
+
+
 def some_pages(n):
     rng = random.Random(12)
 
@@ -382,3 +390,12 @@ def test_extraction(spark):
     (other,) = extraction.extract([pages[80][1].replace("<article>", '<div class="content">').replace("</article>", "</div>").replace("<nav>", '<div class="menu">').replace("</nav>", "</div>")], trees)
     assert other == pages[80][2]
     assert extraction.extract_pages(df.limit(0), extraction.train(df.limit(0))).count() == 0
+
+
+def test_menus_of_bare_links_are_dropped():
+    pages = some_pages(90)
+    trees = extraction.Trees.fit(*extraction.examples([h for _, h, _ in pages[:60]]))
+    bare = "".join(f'<a href="/{k}">{w}</a> ' for k, w in enumerate(pages[81][2].split()[:6]))
+    for region in (f"<nav>{bare}</nav>", f"<footer>{bare}</footer>", f"<aside>{bare}</aside>", f'<div class="sidebar">{bare}</div>', f"<nav><ul><li>{bare}</li><li>{bare}</li></ul></nav>"):
+        (other,) = extraction.extract([pages[80][1].replace("<article>", region + "<article>")], trees)
+        assert other == pages[80][2], region

@@ -139,8 +139,10 @@ class Trees:
 
 
 def decode(page: Page, logit: np.ndarray) -> np.ndarray:
-    """Elements to keep: the choice of the largest sum of log odds in which a dropped element keeps nothing inside it."""
-    gain = np.clip(logit, -8, 8).astype(float)
+    """Elements to keep: the choice of the largest sum of log odds in which a dropped element keeps nothing inside it.
+    Elements that are not judged add nothing of their own and stand and fall with their parent."""
+    judged = elements(page)
+    gain = np.where(judged, np.clip(logit, -8, 8), 0.0)
     gain[0] = 0
     for k in range(len(gain) - 1, 0, -1):
         if gain[k] > 0:
@@ -148,7 +150,7 @@ def decode(page: Page, logit: np.ndarray) -> np.ndarray:
     keep = gain > 0
     keep[0] = True
     for k in range(1, len(gain)):
-        keep[k] &= keep[page.parent[k]]
+        keep[k] = keep[page.parent[k]] and (keep[k] or not judged[k])
     return keep
 
 
@@ -179,7 +181,6 @@ def extract(sources: list[str | None], trees: Trees) -> list[str]:
     for page in pages:
         own = logit[at : at + len(page.tag)]
         at += len(page.tag)
-        own[~elements(page)] = 8.0  # stands and falls with its parent
         out.append(blocks(page, decode(page, own)))
     return out
 
