@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from worklens.functions import rules
-from worklens.operators import insights, scans, tasks
+from worklens.operators import insights, linkage, scans, tasks
 from worklens.plans import segment_queries, table_queries  # noqa: F401  (define the segment views)
 from worklens.plans.prelude import view, with_views
 from worklens.plans.registry import query
@@ -127,14 +127,16 @@ def dist_tokens(c: str) -> str:
     return f"list_filter({words_sql(c)}, lambda w: length(w) > 1 AND NOT list_contains({q(rules.DISTANCE_STOPWORDS)}, w))"
 
 
-view("nb", ["closed"], f"""
-SELECT *, CASE WHEN len(p_tok) = 0 OR len(tok) = 0 THEN 1.0 ELSE 1 - least(1.0, greatest(0.0, list_sum(list_transform(list_distinct(tok), lambda w: len(list_filter(tok, lambda v: v = w)) * len(list_filter(p_tok, lambda v: v = w))))
+PART_SQL = f"""CASE WHEN len(p_tok) = 0 OR len(tok) = 0 THEN 1.0 ELSE 1 - least(1.0, greatest(0.0, list_sum(list_transform(list_distinct(tok), lambda w: len(list_filter(tok, lambda v: v = w)) * len(list_filter(p_tok, lambda v: v = w))))
     / (sqrt(list_sum(list_transform(list_distinct(tok), lambda w: pow(len(list_filter(tok, lambda v: v = w)), 2)))) * sqrt(list_sum(list_transform(list_distinct(p_tok), lambda w: pow(len(list_filter(p_tok, lambda v: v = w)), 2))))))) END AS d_text,
   CASE WHEN lower(p_app) = lower(app) THEN 0.0 WHEN {CAT('p_app')} = {CAT('app')} THEN 0.3 ELSE 1.0 END AS d_app, least(abs(epoch_us(start_time) - epoch_us(p_start)) / 6e7 / 3600, 1.0) AS d_time,
   CASE WHEN p_task = 'unknown' OR generic_task = 'unknown' THEN 0.5 WHEN p_task = generic_task THEN 0.0 WHEN (p_task IN ('deep_development', 'technical_research') AND generic_task IN ('deep_development', 'technical_research'))
-    OR (p_task IN ('team_meeting', 'administrative_work') AND generic_task IN ('team_meeting', 'administrative_work')) THEN 0.4 ELSE 1.0 END AS d_task
+    OR (p_task IN ('team_meeting', 'administrative_work') AND generic_task IN ('team_meeting', 'administrative_work')) THEN 0.4 ELSE 1.0 END AS d_task"""
+TOK = dist_tokens("CASE WHEN normalized_title <> '' THEN normalized_title ELSE window_title END")
+view("nb", ["closed"], f"""
+SELECT *, {PART_SQL}
 FROM (SELECT *, lag(tok) OVER w AS p_tok, lag(app) OVER w AS p_app, lag(start_time) OVER w AS p_start, lag(generic_task) OVER w AS p_task FROM (
-  SELECT *, {dist_tokens("CASE WHEN normalized_title <> '' THEN normalized_title ELSE window_title END")} AS tok FROM closed) a WINDOW w AS (PARTITION BY session_id ORDER BY start_time, segment_id)) b
+  SELECT *, {TOK} AS tok FROM closed) a WINDOW w AS (PARTITION BY session_id ORDER BY start_time, segment_id)) b
 """)
 view("nd", ["nb"], "SELECT *, CASE WHEN p_start IS NOT NULL THEN 0.4 * d_text + 0.3 * d_app + 0.2 * d_time + 0.1 * d_task END AS distance FROM nb")
 
@@ -197,3 +199,83 @@ SELECT session_id, eps, rank FROM (SELECT *, row_number() OVER (PARTITION BY ses
 def best_thresholds(spark, sf):
     tried = tasks.sweep(distances(spark, sf), closed(spark, sf), [0.3, 0.4, 0.5, 0.6])
     return tasks.best_parameters(tried, 2).select("session_id", "eps", "rank")
+
+
+# ---- all segments of a session: links, clusters, thresholds --------------------------------------------
+
+view("tok", ["closed"], f"SELECT *, {TOK} AS tok FROM closed")
+view("sp", ["tok"], f"""
+SELECT session_id, segment_id, other, 0.4 * d_text + 0.3 * d_app + 0.2 * d_time + 0.1 * d_task AS distance FROM (SELECT *, {PART_SQL} FROM (
+  SELECT a.*, b.segment_id AS other, b.tok AS p_tok, b.app AS p_app, b.start_time AS p_start, b.generic_task AS p_task FROM tok a JOIN tok b ON a.session_id = b.session_id AND a.segment_id <> b.segment_id) x) y
+""")
+EPS = [0.3, 0.4, 0.5, 0.6]
+
+
+def all_links(eps: str) -> str:
+    """For every segment and threshold its links and the smallest segment that they lead to."""
+    return f"""
+r(eps, segment_id, reached) AS (SELECT e.eps, segment_id, segment_id FROM closed, (SELECT unnest({eps})::DOUBLE AS eps) e UNION SELECT r.eps, r.segment_id, sp.other FROM r JOIN sp ON sp.segment_id = r.reached AND sp.distance <= r.eps),
+ls AS (SELECT c.session_id, c.segment_id, c.start_time, r.eps, min(r.reached) AS component, (SELECT count(*) FROM sp WHERE sp.segment_id = c.segment_id AND sp.distance <= r.eps) AS links FROM closed c JOIN r ON r.segment_id = c.segment_id GROUP BY ALL)"""
+
+
+def links_sql(eps: str) -> str:
+    return with_views("sp").replace("WITH ", "WITH RECURSIVE ", 1) + "," + all_links(eps)
+
+
+def session_points(spark, sf):
+    return linkage.points_of(closed(spark, sf), max_gap_minutes=3600)
+
+
+@query("session_links", "C11 H31", links_sql("[0.4]") + f"""
+SELECT session_id, min(segment_id) AS segment_id, count(*) AS members, links, min(component) AS component FROM (
+  SELECT ls.*, t.start_time AS started, lower(app) AS app, generic_task, list_sort(tok) AS bag FROM ls JOIN tok t USING (session_id, segment_id)) x GROUP BY session_id, started, app, generic_task, bag, links""")
+def session_links(spark, sf):
+    return linkage.linked_points(session_points(spark, sf), 0.4).withColumnRenamed("point", "segment_id").select("session_id", "segment_id", "members", "links", "component")
+
+
+NUMBERED = """, nu AS (SELECT *, CASE WHEN links = 0 THEN -1 ELSE dense_rank() OVER (PARTITION BY session_id, links > 0 ORDER BY first, component) - 1 END AS cluster FROM (SELECT *, min(start_time) OVER (PARTITION BY session_id, component) AS first FROM ls) x)"""
+
+
+def session_labels(spark, sf):
+    return stored(spark, sf, "session_clusters", lambda: linkage.cluster_segments(session_points(spark, sf), 0.4))
+
+
+@query("session_clusters", "J03 J08", links_sql("[0.4]") + NUMBERED + "SELECT session_id, segment_id, links, cluster FROM nu")
+def session_clusters(spark, sf):
+    return session_labels(spark, sf)
+
+
+@query("session_merged_tasks", "J08 D16", links_sql("[0.4]") + NUMBERED + """
+, m1 AS (SELECT n.session_id, n.cluster, c.app, row_number() OVER (PARTITION BY n.session_id, n.cluster ORDER BY count(*) DESC, min(c.start_time)) AS r FROM nu n JOIN closed c USING (session_id, segment_id) WHERE cluster >= 0 GROUP BY 1, 2, 3),
+m2 AS (SELECT n.session_id, n.cluster, c.generic_task, row_number() OVER (PARTITION BY n.session_id, n.cluster ORDER BY count(*) DESC, min(c.start_time)) AS r FROM nu n JOIN closed c USING (session_id, segment_id) WHERE cluster >= 0 GROUP BY 1, 2, 3)
+SELECT b.*, m1.app, m2.generic_task FROM (SELECT n.session_id, n.cluster, min(c.start_time) AS start_time, arg_max(c.end_time, epoch_us(c.start_time)) AS end_time, round(sum(c.duration_seconds) / 60, 6) AS duration_minutes, count(*) AS segment_count,
+  round(avg(c.confidence), 6) AS confidence FROM nu n JOIN closed c USING (session_id, segment_id) WHERE cluster >= 0 GROUP BY 1, 2) b
+JOIN m1 ON m1.session_id = b.session_id AND m1.cluster = b.cluster AND m1.r = 1 JOIN m2 ON m2.session_id = b.session_id AND m2.cluster = b.cluster AND m2.r = 1""")
+def session_merged_tasks(spark, sf):
+    labels = session_labels(spark, sf).where("cluster >= 0").drop("links")
+    merged = tasks.merged_segments(closed(spark, sf).join(labels, ["session_id", "segment_id"]))
+    return merged.select("session_id", "cluster", "start_time", "end_time", "duration_minutes", "segment_count", "confidence", "app", "generic_task")
+
+
+SWEPT = links_sql(str(EPS)) + """
+, sw AS (SELECT session_id, eps, count(*) AS segments, count(DISTINCT CASE WHEN links > 0 THEN component END) AS clusters, count(CASE WHEN links = 0 THEN 1 END) AS noise FROM ls GROUP BY 1, 2)
+"""
+
+
+def session_sweeps(spark, sf):
+    def build():
+        points = session_points(spark, sf)
+        return linkage.sweep(points, linkage.session_forest(points, max(EPS), EPS), EPS)
+
+    return stored(spark, sf, "session_sweeps", build)
+
+
+@query("session_sweep", "J09", SWEPT + "SELECT session_id, eps, segments, clusters, noise, segments - clusters - noise AS merged, round(1.0 - clusters / segments, 6) AS reduction FROM sw")
+def session_sweep(spark, sf):
+    return session_sweeps(spark, sf)
+
+
+@query("session_best_thresholds", "F06", SWEPT + """
+SELECT session_id, eps, clusters, noise, score, rank FROM (SELECT *, clusters - noise * 0.5::DOUBLE AS score, row_number() OVER (PARTITION BY session_id ORDER BY clusters - noise * 0.5::DOUBLE DESC, eps) AS rank FROM sw WHERE clusters > 0) x WHERE rank <= 5""")
+def session_best_thresholds(spark, sf):
+    return linkage.best_thresholds(session_sweeps(spark, sf)).select("session_id", "eps", "clusters", "noise", "score", "rank")
