@@ -11,18 +11,19 @@ from worklens.functions.sequence import scan_rows
 
 
 def index_percentiles(
-    df: DataFrame, keys: Sequence[str], value: str, positions: dict[str, Column], width: float = 1.0
+    df: DataFrame, keys: Sequence[str], value: str, positions: dict[str, Column], width: float = 1.0, times: str | None = None
 ) -> DataFrame:
     """Order statistics by position (D44): for each name the value at a zero-based rank.
 
     Equal values are counted first; ranks then come from a running count cut into value ranges of
     ``width``, so a key with a third of all rows is spread over many tasks. ``positions`` maps a name
-    to an expression over ``n`` (the rows of the key).
+    to an expression over ``n`` (the rows of the key). ``times`` names a column that says how often a row counts.
     """
     present = df.filter(F.col(value).isNotNull())
-    counts = present.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__c"))
+    weight = F.sum(times) if times else F.count(F.lit(1))
+    counts = present.groupBy(*keys, value).agg(weight.alias("__c"))
     ranked = scan_rows(counts, keys, [value], F.floor(F.col(value) / width), run_sum={"__upto": F.col("__c")})
-    totals = present.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    totals = present.groupBy(*keys).agg(weight.alias("n"))
     joined = ranked.join(totals, list(keys))
 
     def at(rank: Column) -> Column:

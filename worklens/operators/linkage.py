@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from worklens.functions.graph import components, spanning_forest
 from worklens.functions.sequence import scan_rows
+from worklens.functions.stats import index_percentiles
 from worklens.operators.tasks import DISTANCE_WEIGHTS, distance_parts, with_counts
 from worklens.session import cut_lineage
 
@@ -260,23 +261,81 @@ def cluster_segments(p: Points, threshold: float = 0.4) -> DataFrame:
     return p.segments.join(labels, [KEY, "point"]).select(KEY, "segment_id", "links", "cluster")
 
 
-def sweep(p: Points, forest: DataFrame, thresholds: list[float]) -> DataFrame:
+def sweep(p: Points, forest: DataFrame, thresholds: list[float] | DataFrame) -> DataFrame:
     """session_id, eps, segments, clusters, noise, merged (segments less clusters and noise) and reduction for every threshold, from one
-    spanning forest: its links up to a threshold join as many parts as there are."""
+    spanning forest: its links up to a threshold join as many parts as there are. Thresholds are the same for all sessions, or rows (session_id, eps)."""
     own = with_parts(p.classes.select(KEY, F.col("class").alias("a"), F.col("class").alias("b")), p.classes)
     own = own.select(KEY, F.col("a").alias("class"), distance(F.lit(0), p.gap).alias("close"), distance(F.lit(None).cast("long"), p.gap).alias("apart"))
     ends = forest.select(KEY, F.col("u").alias("point"), "w").union(forest.select(KEY, "v", "w")).groupBy(KEY, "point").agg(F.min("w").alias("nearest"))
     points = p.points.join(own, [KEY, "class"]).join(ends, [KEY, "point"], "left")
     among = F.when(F.col("members") > 1, F.when(F.col("at").isNull(), F.col("apart")).otherwise(F.col("close")))
     points = points.select(KEY, "members", F.least("nearest", among).alias("nearest"))  # least leaves nulls out
-    each = F.explode(F.array(*[F.lit(float(e)) for e in thresholds])).alias("eps")
+    if isinstance(thresholds, DataFrame):
+        each = lambda rows: rows.join(thresholds.select(KEY, "eps"), KEY)
+    else:
+        each = lambda rows: rows.withColumn("eps", F.explode(F.array(*[F.lit(float(e)) for e in thresholds])))
     alone = F.col("nearest").isNull() | (F.col("nearest") > F.col("eps"))
-    nodes = points.select("*", each).groupBy(KEY, "eps").agg(F.sum("members").alias("segments"), F.count_if(~alone).alias("linked"), F.sum(F.when(alone, F.col("members")).otherwise(0)).alias("noise"))
-    joined = forest.select("*", each).where("w <= eps").groupBy(KEY, "eps").agg(F.count(F.lit(1)).alias("edges"))
+    nodes = each(points).groupBy(KEY, "eps").agg(F.sum("members").alias("segments"), F.count_if(~alone).alias("linked"), F.sum(F.when(alone, F.col("members")).otherwise(0)).alias("noise"))
+    joined = each(forest).where("w <= eps").groupBy(KEY, "eps").agg(F.count(F.lit(1)).alias("edges"))
     out = nodes.join(joined, [KEY, "eps"], "left").withColumn("clusters", F.col("linked") - F.coalesce("edges", F.lit(0)))
     return out.select(KEY, "eps", "segments", "clusters", "noise", (F.col("segments") - F.col("clusters") - F.col("noise")).alias("merged"), (1.0 - F.col("clusters") / F.col("segments")).alias("reduction"))
 
 
+def distance_counts(p: Points) -> DataFrame:
+    """(session_id, distance, pairs): how many pairs of segments have which distance.
+
+    Pairs that start within ``max_gap`` of each other are counted by class and time between them, inside time blocks. All others are as far apart in time
+    as can be, so they are counted by class alone: classes that share a word by their sizes, the rest by the sizes of their coarse classes."""
+    classes = p.classes.select(KEY, "class", "members", "sides")
+    names = p.points.select(KEY, "class", "coarse").distinct()
+    mine, beside = _sides_of_blocks(p, "class")
+    x, y = mine.alias("x"), beside.alias("y")
+    earlier = F.expr(f"x.{KEY} = y.{KEY} AND x.block = y.block AND (y.at < x.at OR (y.at = x.at AND y.point < x.point)) AND x.at - y.at < {p.gap}")
+    near = x.join(y, earlier).groupBy(f"x.{KEY}", F.least("x.a", "y.b").alias("a"), F.greatest("x.a", "y.b").alias("b"), F.expr("x.at - y.at").alias("gap")).agg(F.sum(F.expr("x.members * y.members")).alias("pairs"))
+    among = p.points.where("members > 1").select(KEY, F.col("class").alias("a"), F.col("class").alias("b"), F.when(F.col("at").isNotNull(), F.lit(0).cast("long")).alias("gap"), F.expr("members * (members - 1) div 2").alias("pairs"))
+    near = near.union(among)
+    near = cut_lineage(near.join(with_parts(near.select(KEY, "a", "b").distinct(), classes), [KEY, "a", "b"]))
+    listed = near.select(KEY, distance(F.col("gap"), p.gap).alias("distance"), "pairs")
+
+    size = lambda end: classes.select(KEY, F.col("class").alias(end), F.col("members").alias(f"n{end}"))
+    total = F.when(F.col("a") == F.col("b"), F.expr("na * (na - 1) div 2")).otherwise(F.expr("na * nb"))
+    sharing = with_parts(alike_classes(p.classes, None), p.classes).join(size("a"), [KEY, "a"]).join(size("b"), [KEY, "b"]).withColumn("total", total)
+    done = near.groupBy(KEY, "a", "b").agg(F.sum("pairs").alias("done"), F.first("text").alias("near_text"))
+    far = distance(F.lit(None).cast("long"), p.gap)
+    sharing = cut_lineage(sharing.join(done.drop("near_text"), [KEY, "a", "b"], "left").withColumn("left_", F.col("total") - F.coalesce("done", F.lit(0))))
+    worded = sharing.select(KEY, far.alias("distance"), F.col("left_").alias("pairs"))
+
+    def by_coarse(rows: DataFrame, count: str) -> DataFrame:
+        both = rows.join(names.toDF(KEY, "a", "ca"), [KEY, "a"]).join(names.toDF(KEY, "b", "cb"), [KEY, "b"])
+        return both.groupBy(KEY, F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).agg(F.sum(count).alias("counted"))
+
+    counted = by_coarse(sharing, "total").union(by_coarse(done.where("near_text = 1"), "done")).groupBy(KEY, "a", "b").agg(F.sum("counted").alias("counted"))
+    c = p.coarse.select(KEY, "class", "members")
+    coarse = with_parts(c.select(KEY, F.col("class").alias("a")).join(c.select(KEY, F.col("class").alias("b")), KEY).where("a <= b"), p.coarse)
+    coarse = coarse.join(c.toDF(KEY, "a", "na"), [KEY, "a"]).join(c.toDF(KEY, "b", "nb"), [KEY, "b"]).withColumn("total", total).join(counted, [KEY, "a", "b"], "left")
+    rest = coarse.select(KEY, far.alias("distance"), (F.col("total") - F.coalesce("counted", F.lit(0))).alias("pairs"))
+    out = listed.union(worded).union(rest).where("pairs > 0")
+    return out.groupBy(KEY, "distance").agg(F.sum("pairs").alias("pairs"))
+
+
+def distance_distribution(counts: DataFrame) -> DataFrame:
+    """session_id, pairs, range, mean, quartiles by position and bands of the distances of a session's pairs; none for a single segment."""
+    d, n = F.col("distance"), F.col("pairs")
+    band = lambda c: F.sum(F.when(c, n).otherwise(0))
+    base = counts.groupBy(KEY).agg(
+        F.sum(n).alias("pairs"), F.min(d).alias("lowest"), F.max(d).alias("highest"), (F.sum(d * n) / F.sum(n)).alias("mean"),
+        band(d < 0.3).alias("very_similar"), band((d >= 0.3) & (d < 0.5)).alias("similar"), band(d >= 0.5).alias("different"))
+    ranks = index_percentiles(counts, [KEY], "distance", {"q1": F.expr("n div 4"), "q2": F.expr("n div 2"), "q3": F.expr("3 * n div 4")}, width=0.01, times="pairs")
+    return base.join(ranks.drop("n"), KEY)
+
+
+def adaptive_clusters(p: Points, distribution: DataFrame, other: float = 0.4) -> DataFrame:
+    """J03 with the median distance of each session as its threshold (``other`` where there are no pairs): the columns of ``sweep``."""
+    forest = spanning_forest(links_to_join(p, sum(DISTANCE_WEIGHTS.values())), [KEY])
+    eps = p.segments.select(KEY).distinct().join(distribution.select(KEY, "q2"), KEY, "left").select(KEY, F.coalesce("q2", F.lit(other)).alias("eps"))
+    return sweep(p, forest, cut_lineage(eps))
+
+
 def best_thresholds(tried: DataFrame, n: int = 5) -> DataFrame:
     """the ``n`` best thresholds of each session by clusters less half the noise, of those that give any; the first tried wins a tie."""
     scored = tried.where("clusters > 0").withColumn("score", F.col("clusters") - F.col("noise") * 0.5)

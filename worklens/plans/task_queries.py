@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from worklens.functions import rules
-from worklens.operators import insights, linkage, scans, tasks
+from worklens.operators import cohesion, insights, linkage, scans, tasks
 from worklens.plans import segment_queries, table_queries  # noqa: F401  (define the segment views)
 from worklens.plans.prelude import view, with_views
 from worklens.plans.registry import query
@@ -18,13 +18,14 @@ def tokens_sql(c: str) -> str:
 
 
 FAMILY = "CASE WHEN p_app = app THEN 1.0 " + " ".join(f"WHEN {any_of('lower(p_app)', parts)} AND {any_of('lower(app)', parts)} THEN {score}" for parts, score in rules.SIMILARITY_FAMILIES) + " ELSE 0.0 END"
-view("pairs", ["seg"], f"""
-SELECT *, {FAMILY} AS s_app, CASE WHEN len(p_tok) = 0 OR len(tok) = 0 THEN 0.5 ELSE len(list_intersect(p_tok, tok)) / len(list_distinct(p_tok || tok)) END AS s_window,
+SIMILAR_SQL = f"""{FAMILY} AS s_app, CASE WHEN len(p_tok) = 0 OR len(tok) = 0 THEN 0.5 ELSE len(list_intersect(p_tok, tok)) / len(list_distinct(p_tok || tok)) END AS s_window,
   CASE WHEN gap <= 0 THEN 1.0 WHEN gap > 30 THEN 0.0 ELSE pow(2.0, -gap / 10) END AS s_temporal,
   (1 - abs(least(p_kb, 100) / 100 - least(keyboard_intensity_avg, 100) / 100) + 1 - abs(least(p_mouse, 20) / 20 - least(mouse_intensity_avg, 20) / 20) + 1 - abs(least(p_cp, 50) / 50.0 - least(total_copy_events + total_paste_events, 50) / 50.0)) / 3 AS s_interaction,
   (1 - abs(p_mic - mic_active_ratio)) * 0.4 + (1 - abs(p_cam - camera_active_ratio)) * 0.4 + (1 - abs(p_vol - max_audio_volume)) * 0.2 AS s_av,
   CASE WHEN p_gpu IS NULL OR mean_gpu_usage IS NULL THEN (2 - abs(p_cpu - mean_cpu_usage) - abs(p_ram - mean_ram_usage)) / 2 ELSE (3 - abs(p_cpu - mean_cpu_usage) - abs(p_ram - mean_ram_usage) - abs(p_gpu - mean_gpu_usage)) / 3 END AS s_system,
-  (1 - abs(p_mt - multitasking_score) + 1 - abs(p_act - activity_score) + CASE WHEN (p_act > 0.3) = (activity_score > 0.3) THEN 1.0 ELSE 0.3 END) / 3 AS s_behavior
+  (1 - abs(p_mt - multitasking_score) + 1 - abs(p_act - activity_score) + CASE WHEN (p_act > 0.3) = (activity_score > 0.3) THEN 1.0 ELSE 0.3 END) / 3 AS s_behavior"""
+view("pairs", ["seg"], f"""
+SELECT *, {SIMILAR_SQL}
 FROM (SELECT *, lag(end_time) OVER w AS p_end, (epoch_us(start_time) - epoch_us(lag(end_time) OVER w)) / 6e7 AS gap, lag(app) OVER w AS p_app, lag(tok) OVER w AS p_tok, lag(keyboard_intensity_avg) OVER w AS p_kb, lag(mouse_intensity_avg) OVER w AS p_mouse,
     lag(total_copy_events + total_paste_events) OVER w AS p_cp, lag(mic_active_ratio) OVER w AS p_mic, lag(camera_active_ratio) OVER w AS p_cam, lag(max_audio_volume) OVER w AS p_vol, lag(mean_cpu_usage) OVER w AS p_cpu, lag(mean_ram_usage) OVER w AS p_ram,
     lag(mean_gpu_usage) OVER w AS p_gpu, lag(multitasking_score) OVER w AS p_mt, lag(activity_score) OVER w AS p_act
@@ -47,6 +48,22 @@ def task_table(spark, sf):
     return stored(spark, sf, "tasks", lambda: tasks.tasks_of(chained(spark, sf), ["user_id"]))
 
 
+view("every_pair", ["chained"], f"""
+SELECT user_id, cluster, segment_no, s_app * 0.25 + s_window * 0.15 + s_temporal * 0.15 + s_interaction * 0.15 + s_av * 0.10 + s_system * 0.10 + s_behavior * 0.10 AS similarity FROM (SELECT *, {SIMILAR_SQL} FROM (
+  SELECT (epoch_us(c.start_time) - epoch_us(p.end_time)) / 6e7 AS gap, p.app AS p_app, p.tok AS p_tok, p.keyboard_intensity_avg AS p_kb, p.mouse_intensity_avg AS p_mouse, p.total_copy_events + p.total_paste_events AS p_cp, p.mic_active_ratio AS p_mic,
+    p.camera_active_ratio AS p_cam, p.max_audio_volume AS p_vol, p.mean_cpu_usage AS p_cpu, p.mean_ram_usage AS p_ram, p.mean_gpu_usage AS p_gpu, p.multitasking_score AS p_mt, p.activity_score AS p_act,
+    c.* EXCLUDE (gap, p_app, p_tok, p_kb, p_mouse, p_cp, p_mic, p_cam, p_vol, p_cpu, p_ram, p_gpu, p_mt, p_act, s_app, s_window, s_temporal, s_interaction, s_av, s_system, s_behavior, similarity)
+  FROM chained c JOIN chained p ON p.user_id = c.user_id AND p.cluster = c.cluster AND (p.start_time, p.segment_no) < (c.start_time, c.segment_no)) x) y
+""")
+
+
+@query("task_cohesion", "D13", with_views("every_pair") + """
+SELECT c.user_id, c.cluster, c.segments, round(coalesce(p.similarity, 1.0), 6) AS mean_similarity FROM (SELECT user_id, cluster, count(*) AS segments FROM chained GROUP BY 1, 2) c
+LEFT JOIN (SELECT user_id, cluster, avg(similarity) AS similarity FROM every_pair GROUP BY 1, 2) p ON p.user_id = c.user_id AND p.cluster = c.cluster""")
+def task_cohesion(spark, sf):
+    return cohesion.mean_similarity(chained(spark, sf), ["user_id", "cluster"])
+
+
 PARTS = {"app": "s_app", "window": "s_window", "temporal": "s_temporal", "interaction": "s_interaction", "audio_video": "s_av", "system": "s_system", "behavioral": "s_behavior"}
 
 
@@ -279,3 +296,28 @@ def session_sweep(spark, sf):
 SELECT session_id, eps, clusters, noise, score, rank FROM (SELECT *, clusters - noise * 0.5::DOUBLE AS score, row_number() OVER (PARTITION BY session_id ORDER BY clusters - noise * 0.5::DOUBLE DESC, eps) AS rank FROM sw WHERE clusters > 0) x WHERE rank <= 5""")
 def session_best_thresholds(spark, sf):
     return linkage.best_thresholds(session_sweeps(spark, sf)).select("session_id", "eps", "clusters", "noise", "score", "rank")
+
+
+def session_distance_counts(spark, sf):
+    return stored(spark, sf, "session_distances", lambda: linkage.distance_counts(session_points(spark, sf)))
+
+
+view("each", ["sp"], "SELECT session_id, distance FROM sp WHERE segment_id < other")
+DISTRIBUTED = f"""SELECT session_id, count(*) AS pairs, round(min(distance), 6) AS lowest, round(max(distance), 6) AS highest, round(avg(distance), 6) AS mean, count(CASE WHEN distance < 0.3 THEN 1 END) AS very_similar,
+  count(CASE WHEN distance >= 0.3 AND distance < 0.5 THEN 1 END) AS similar, count(CASE WHEN distance >= 0.5 THEN 1 END) AS different, {at('count(*) // 4')} AS q1, {at('count(*) // 2')} AS q2, {at('3 * count(*) // 4')} AS q3 FROM each GROUP BY 1"""
+
+
+@query("session_distance_distribution", "D17 D44", with_views("each") + DISTRIBUTED)
+def session_distance_distribution(spark, sf):
+    return linkage.distance_distribution(session_distance_counts(spark, sf))
+
+
+@query("session_adaptive_clusters", "J03 J09", with_views("sp").replace("WITH ", "WITH RECURSIVE ", 1) + """,
+es AS (SELECT c.session_id, c.segment_id, coalesce(m.eps, 0.4) AS eps FROM closed c LEFT JOIN (SELECT session_id, list_sort(list(distance))[count(*) // 2 + 1] AS eps FROM sp WHERE segment_id < other GROUP BY 1) m USING (session_id)),
+r(segment_id, eps, reached) AS (SELECT segment_id, eps, segment_id FROM es UNION SELECT r.segment_id, r.eps, sp.other FROM r JOIN sp ON sp.segment_id = r.reached AND sp.distance <= r.eps + 1e-12),
+ls AS (SELECT es.session_id, es.segment_id, es.eps, min(r.reached) AS component, count(*) AS size FROM es JOIN r USING (segment_id) GROUP BY ALL)
+SELECT session_id, round(eps, 6) AS eps, count(*) AS segments, count(DISTINCT CASE WHEN size > 1 THEN component END) AS clusters, count(CASE WHEN size = 1 THEN 1 END) AS noise,
+  count(CASE WHEN size > 1 THEN 1 END) - count(DISTINCT CASE WHEN size > 1 THEN component END) AS merged, round(1.0 - count(DISTINCT CASE WHEN size > 1 THEN component END) / count(*), 6) AS reduction FROM ls GROUP BY session_id, eps""")
+def session_adaptive_clusters(spark, sf):
+    points = session_points(spark, sf)
+    return linkage.adaptive_clusters(points, linkage.distance_distribution(session_distance_counts(spark, sf)))
