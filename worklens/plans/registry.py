@@ -31,8 +31,8 @@ def tidy(df: DataFrame) -> DataFrame:
     return df.select(*out)
 
 
-def query(name: str, covers: str, sql: str | None = None):
-    """Register ``fn(spark, sf_dir)`` under ``name``; ``covers`` lists the SURVEY ids."""
+def query(name: str, covers: str, sql: str | None = None, like: str | None = None):
+    """Register ``fn(spark, sf_dir)`` under ``name``; ``covers`` lists the SURVEY ids. ``like`` names an earlier query with the same rows and SQL."""
 
     def wrap(fn):
         if name in QUERIES:
@@ -41,6 +41,8 @@ def query(name: str, covers: str, sql: str | None = None):
         COVERS[name] = covers
         if sql is not None:
             ORACLE[name] = _outer(sql)
+        if like is not None:
+            ORACLE[name] = ORACLE[like]
         return fn
 
     return wrap

@@ -223,10 +223,13 @@ x AS (SELECT *, sum(CASE WHEN p = task_id THEN 0 ELSE 1 END) OVER (PARTITION BY
 SELECT session_id, w::BIGINT AS window_no, task_id, start_time, lead(start_time) OVER (PARTITION BY session_id ORDER BY w) AS end_time, keys, clicks, mouse_distance, active_app FROM (
   SELECT session_id, w, task_id, min(timestamp_start) AS start_time, sum(trunc(keyboard_intensity))::BIGINT AS keys, sum(mouse_clicks)::BIGINT AS clicks, sum(trunc(mouse_distance))::BIGINT AS mouse_distance, max_by(app, epoch_us(timestamp_start)) AS active_app FROM x GROUP BY 1, 2, 3) b""")
 def signal_windows(spark, sf):
-    rows = src.interval_signals(spark, sf).filter("session_id is not null").select(
+    return signals.signal_windows(signal_rows(spark, sf), ["session_id"])
+
+
+def signal_rows(spark, sf):
+    return src.interval_signals(spark, sf).filter("session_id is not null").select(
         "session_id", F.col("timestamp_start").alias("ts"), "event_id", "task_id", F.col("keyboard_intensity").cast("long").alias("keys"),
         F.col("mouse_clicks").alias("clicks"), F.col("mouse_distance").cast("long").alias("distance"), "app")
-    return signals.signal_windows(rows, ["session_id"])
 
 
 @query("activity_states", "H24", with_views("ev") + """

@@ -6,7 +6,7 @@ from functools import partial
 from pyspark.sql import functions as F
 
 from worklens.functions import text
-from worklens.operators import classify, folds, scans, vectors
+from worklens.operators import classify, folds, live, scans, vectors
 from worklens.plans import signal_queries as sig
 from worklens.plans.prelude import view, with_views
 from worklens.plans import attribution_queries  # noqa: F401  (registers committed_states)
@@ -20,44 +20,48 @@ def recursive(sql: str) -> str:
     return sql.replace("WITH ", "WITH RECURSIVE ", 1)
 
 
-# a window is emitted once the watermark (newest event minus ten minutes) has passed its end
-CLOSED = "(SELECT max(ts) - INTERVAL 10 MINUTE FROM events)"
+YEAR = 366 * 86400
+
+
+def closed_windows(spark, sf, windows):
+    """All windows of the event stream, the last ones too: a closing run moves the watermark past them."""
+    return stateful.run_fold(spark, jobs.event_stream(spark, sf), windows, "ts").filter("user_id is not null")
 
 
 @query("stream_tumbling_inputs", "I01 A28", with_views("hour_inputs") + f"""
-SELECT user_id, w AS timestamp_start, round(kb, 6) AS keyboard_intensity, clicks AS mouse_clicks, round(dist, 6) AS mouse_distance, app, title AS window_title FROM hour_inputs WHERE w + INTERVAL 1 HOUR <= {CLOSED}""")
+SELECT user_id, w AS timestamp_start, round(kb, 6) AS keyboard_intensity, clicks AS mouse_clicks, round(dist, 6) AS mouse_distance, app, title AS window_title FROM hour_inputs""")
 def stream_tumbling_inputs(spark, sf):
-    return jobs.run_available(jobs.tumbling_inputs(jobs.event_stream(spark, sf), 3600)).drop("timestamp_end")
+    return closed_windows(spark, sf, partial(jobs.tumbling_inputs, seconds=3600)).drop("timestamp_end")
 
 
 @query("stream_sliding_metrics", "I02", with_views("raw_inputs") + f""",
 x AS (SELECT *, unnest([0, 1, 2, 3, 4]) AS o FROM raw_inputs)
 SELECT user_id, date_trunc('hour', ts) + to_hours(o + 1) AS window_end, count(CASE WHEN kind = 'key' THEN 1 END) AS keys, count(CASE WHEN kind = 'click' THEN 1 END) AS clicks, round(coalesce(sum(CASE WHEN kind = 'move' THEN amount END), 0.0), 6) AS mouse_distance,
-  count(CASE WHEN k % 3 = 0 THEN 1 END) AS app_changes, max_by(app, epoch_us(ts)) AS active_app FROM x GROUP BY 1, 2 HAVING window_end <= {CLOSED}""")
+  count(CASE WHEN k % 3 = 0 THEN 1 END) AS app_changes, max_by(app, epoch_us(ts)) AS active_app FROM x GROUP BY 1, 2""")
 def stream_sliding_metrics(spark, sf):
-    rows = jobs.run_available(jobs.sliding_metrics(jobs.event_stream(spark, sf), 5 * 3600, 3600))
+    rows = closed_windows(spark, sf, partial(jobs.sliding_metrics, seconds=5 * 3600, slide=3600))
     return rows.drop("intensity", "confidence", "input_activity_score")
 
 
 @query("stream_minute_timeline", "I03", with_views("raw_inputs") + f"""
 SELECT user_id, date_trunc('minute', ts) AS minute, count(CASE WHEN kind = 'key' THEN 1 END) AS keys, count(CASE WHEN kind = 'click' THEN 1 END) AS clicks, round(coalesce(sum(CASE WHEN kind = 'move' THEN amount END), 0.0), 6) AS mouse_distance
-FROM raw_inputs GROUP BY 1, 2 HAVING date_trunc('minute', ts) + INTERVAL 1 MINUTE <= {CLOSED}""".replace("HAVING date_trunc('minute', ts)", "HAVING minute"))
+FROM raw_inputs GROUP BY 1, 2""")
 def stream_minute_timeline(spark, sf):
-    return jobs.run_available(jobs.minute_timeline(jobs.event_stream(spark, sf)))
+    return closed_windows(spark, sf, jobs.minute_timeline)
 
 
 @query("stream_input_summaries", "I04", with_views("raw_inputs") + f"""
 SELECT user_id, date_trunc('day', ts) AS window_start, count(*) AS input_count, count(CASE WHEN kind = 'key' THEN 1 END) AS keyboard_events, count(CASE WHEN kind <> 'key' THEN 1 END) AS mouse_events
-FROM raw_inputs GROUP BY 1, 2 HAVING count(*) >= 2 AND window_start + INTERVAL 1 DAY <= {CLOSED}""")
+FROM raw_inputs GROUP BY 1, 2 HAVING count(*) >= 2""")
 def stream_input_summaries(spark, sf):
-    return jobs.run_available(jobs.input_summaries(jobs.event_stream(spark, sf), 86400))
+    return closed_windows(spark, sf, partial(jobs.input_summaries, seconds=86400))
 
 
 @query("stream_gap_sessions", "G02", with_views("ev") + f""",
 g AS (SELECT *, sum(CASE WHEN epoch_us(ts) - epoch_us(p) < 18000000000 THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM ev) t)
-SELECT user_id, min(ts) AS start_time, max(ts) AS last_input, count(*) AS inputs FROM g GROUP BY user_id, s HAVING max(ts) + INTERVAL 5 HOUR <= {CLOSED}""")
+SELECT user_id, min(ts) AS start_time, max(ts) AS last_input, count(*) AS inputs FROM g GROUP BY user_id, s""")
 def stream_gap_sessions(spark, sf):
-    return jobs.run_available(jobs.gap_sessions(jobs.event_stream(spark, sf), 5 * 3600))
+    return closed_windows(spark, sf, partial(jobs.gap_sessions, idle_seconds=5 * 3600))
 
 
 @query("stream_task_moments", "I16", with_views("ev") + """
@@ -282,3 +286,76 @@ def stream_assignments(spark, sf):
     make = partial(folds.StreamingAssignment, every_seconds=2 * 86400)
     fold = lambda df: stateful.fold_stream(df, ["user_id"], ["ts", "session_id"], make, f"user_id bigint, {folds.StreamingAssignment.SCHEMA}")
     return stateful.run_fold(spark, replayed(spark, offered(spark, sf), "offers", "ts"), fold, "ts").filter("user_id is not null")
+
+
+# ---- live rules in event time --------------------------------------------------------------------------
+
+def event_fold(spark, stream, keys, order, make, schema, close_after=YEAR, delay="10 minutes"):
+    """All rows of a live rule over a stream, silent keys finished."""
+    fold = lambda df: stateful.fold_stream(df, keys, order, make, schema, delay, close_after)
+    return stateful.run_fold(spark, stream, fold, order[0]).filter(F.col(keys[0]).isNotNull())
+
+
+def engagement_stream(spark, events, close_after=YEAR):
+    rows = src.raw_input_columns(events).select("user_id", "ts", "event_id", "app", "window_title")
+    make = partial(live.Engagement, warmup=43200, at_least=3, within=86400, stable=1)
+    return event_fold(spark, rows, ["user_id"], ["ts", "event_id"], make, f"user_id bigint, {live.Engagement.SCHEMA}", close_after)
+
+
+@query("stream_engagement", "I05", like="engagement")
+def stream_engagement(spark, sf):
+    return engagement_stream(spark, jobs.event_stream(spark, sf))
+
+
+@query("stream_smoothed_predictions", "I13 I11", like="smoothed_predictions")
+def stream_smoothed_predictions(spark, sf):
+    rows = sig.live(spark, sf).select("user_id", "start_time", "session_id", "task", "confidence")
+    done = event_fold(spark, replayed(spark, rows, "predictions", "start_time"), ["user_id"], ["start_time", "session_id"], live.Smoothing, f"user_id bigint, {live.Smoothing.SCHEMA}")
+    return done.drop("user_id")
+
+
+@query("stream_signal_windows", "I18", like="signal_windows")
+def stream_signal_windows(spark, sf):
+    """Windows of running sessions; a session's last one is closed when it has been silent for a year, as the log is sparse."""
+    stream = replayed(spark, sig.signal_rows(spark, sf), "signals", "ts")
+    return event_fold(spark, stream, ["session_id"], ["ts", "event_id"], live.SignalWindows, f"session_id string, {live.SignalWindows.SCHEMA}")
+
+
+def span_stream(spark, events, close_after=YEAR):
+    marker = F.when(F.col("event_type") == "signup", "START").when(F.col("event_type") == "error", "STOP")
+    rows = events.select("user_id", "ts", marker.alias("marker"), "event_id", (F.col("event_type") == "view").alias("background"))
+    rows = rows.withColumn("side", F.when(F.col("marker").isNull(), 1).otherwise(0))
+    make = partial(live.CollectionSpans, folds.seconds(src.AS_OF))
+    return event_fold(spark, rows, ["user_id"], ["ts", "side", "event_id"], make, f"user_id bigint, {live.CollectionSpans.SCHEMA}", close_after)
+
+
+@query("stream_collection_spans", "I19", like="collection_spans")
+def stream_collection_spans(spark, sf):
+    return span_stream(spark, jobs.event_stream(spark, sf))
+
+
+def window_stream(spark, events, free, close_after=YEAR):
+    """Windows of one day, as the log is sparse."""
+    rows = src.interval_columns(events).select("user_id", "timestamp_start", "event_id", "timestamp_end", "app", "keyboard_intensity", "mouse_clicks")
+    make = partial(live.WindowVectors, 86400, free)
+    done = event_fold(spark, rows, ["user_id"], ["timestamp_start", "event_id"], make, f"user_id bigint, {live.WindowVectors.SCHEMA}", close_after)
+    return done.withColumn("day", F.to_date("window_start").cast("string")).drop("window_start")
+
+
+@query("stream_live_vectors", "I09 I11", like="live_vectors")
+def stream_live_vectors(spark, sf):
+    return window_stream(spark, jobs.event_stream(spark, sf), False)
+
+
+@query("stream_activity_vectors", "I10 I12", like="activity_vectors")
+def stream_activity_vectors(spark, sf):
+    return window_stream(spark, jobs.event_stream(spark, sf), True)
+
+
+@query("stream_rolling_features", "I08", like="rolling_session_features")
+def stream_rolling_features(spark, sf):
+    """The features of every session as they are at its end."""
+    rows = src.interval_signals(spark, sf).filter("session_id is not null").select("session_id", "timestamp_start", "event_id", "timestamp_end", "app", "keyboard_intensity", "mouse_clicks")
+    make = partial(live.RollingFeatures, minutes=300)
+    done = event_fold(spark, replayed(spark, rows, "intervals", "timestamp_start"), ["session_id"], ["timestamp_start", "event_id"], make, f"session_id string, {live.RollingFeatures.SCHEMA}")
+    return done.filter("final").drop("at", "final")
