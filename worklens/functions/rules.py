@@ -151,75 +151,6 @@ NAMING_NOISE = [
     "untitled", "new",
 ]
 
-# fixed values: indicator words of the segment features, in feature order
-DOMAIN_WORDS = [
-    ("domain_coding", ["code", "git", "github", "vscode", "python", "javascript", "programming", "develop", "debug", "commit", "branch", "repo"]),
-    ("domain_docs", ["doc", "documentation", "readme", "wiki", "guide", "tutorial", "manual", "help", "reference"]),
-    ("domain_comm", ["chat", "slack", "teams", "email", "message", "meet", "zoom", "call", "discord", "telegram"]),
-    ("domain_research", ["search", "google", "stackoverflow", "research", "article", "blog", "news", "reddit"]),
-    ("domain_prod", ["calendar", "todo", "task", "notion", "trello", "jira", "confluence", "spreadsheet", "excel"]),
-    ("domain_content", ["youtube", "video", "music", "spotify", "netflix", "twitter", "facebook", "instagram", "social"]),
-]
-TITLE_PARTS = ["— mozilla firefox", "- google chrome", "- microsoft edge", "- safari", "["]
-APP_DISPLAY_NAMES = {
-    "code": "VSCode", "chrome": "Chrome", "firefox": "Firefox", "msedge": "Edge", "notepad++": "Notepad++",
-    "sublime_text": "Sublime", "pycharm64": "PyCharm", "idea64": "IntelliJ", "slack": "Slack", "discord": "Discord",
-    "teams": "Teams", "zoom": "Zoom",
-}
-SYSTEM_APPS = ["dwm.exe", "explorer.exe", "taskmgr.exe", "SystemSettings.exe", "ApplicationFrameHost.exe"]
-GENERIC_TITLES = ["desktop", "task manager", "settings", "start menu", "notification"]
-
-# fixed values: domain detection; (domain, task category, title words, file endings, site parts, app parts)
-DOMAINS = [
-    ("coding", "deep_development",
-     ["code", "python", "javascript", "typescript", "html", "css", "github", "git", "vscode", "visual studio", "pycharm",
-      "intellij", "sublime", "editor", "function", "class", "debug", "terminal", "console", "repository"],
-     [".py", ".js", ".ts", ".html", ".css", ".json", ".yaml", ".md"], [],
-     ["code.exe", "pycharm64.exe", "sublime_text.exe", "notepad++.exe"]),
-    ("documentation", "technical_research",
-     ["docs", "documentation", "api", "reference", "guide", "tutorial", "readme", "wiki", "manual", "help"],
-     [], ["docs.", "documentation.", "readthedocs", "github.io"], []),
-    ("communication", "team_meeting",
-     ["slack", "discord", "teams", "zoom", "meet", "chat", "message", "email", "gmail", "outlook", "mail", "conversation"],
-     [], [], ["slack.exe", "discord.exe", "teams.exe", "zoom.exe"]),
-    ("research", "technical_research",
-     ["google", "search", "stackoverflow", "reddit", "wikipedia", "article", "blog", "tutorial", "how to", "learn"],
-     [], ["google.com", "stackoverflow.com", "reddit.com", "wikipedia.org"], []),
-    ("productivity", "administrative_work",
-     ["notion", "trello", "asana", "jira", "ticket", "task", "project", "calendar", "schedule", "meeting", "todo", "checklist"],
-     [], [], ["notion.exe", "trello.exe", "asana.exe"]),
-    ("content", "context_switching",
-     ["youtube", "video", "watch", "stream", "netflix", "spotify", "music", "podcast", "article", "news"],
-     [], ["youtube.com", "netflix.com", "spotify.com"], []),
-]
-
-# fixed values: named tools found in titles, one pattern per group, tried in order
-TOOL_PATTERNS = [
-    r"\b(react|vue|angular|node|python|javascript|typescript|java|c\+\+|rust|go)\b",
-    r"\b(git|github|gitlab|bitbucket)\b",
-    r"\b(vscode|pycharm|intellij|sublime)\b",
-    r"\b(aws|azure|gcp|docker|kubernetes)\b",
-]
-NAME_PATTERN = r"\b([A-Z][a-z]+(?:[A-Z][a-z]+)*)\b"
-
-# fixed values: word lists of the tokenizers
-FEATURE_STOPWORDS = [
-    "the", "a", "an", "and", "or", "but", "in", "on", "at", "to", "for", "of", "with", "by", "from", "as", "is", "was",
-    "are", "were", "been", "be", "have", "has", "had", "do", "does", "did", "will", "would", "could", "should", "may",
-    "might", "can", "this", "that", "these", "those", "it", "its", "there", "here",
-]
-DISTANCE_STOPWORDS = [
-    "the", "a", "an", "and", "or", "but", "in", "on", "at", "to", "for", "of", "with", "by", "from", "as", "is", "was",
-    "are", "were",
-]
-CLUSTER_STOPWORDS = [
-    "the", "a", "an", "and", "or", "but", "in", "on", "at", "to", "for",
-]
-NAMING_NOISE = [
-    "the", "a", "an", "and", "or", "but", "in", "on", "at", "to", "for", "of", "with", "by", "from", "page", "tab",
-    "untitled", "new",
-]
-
 # fixed values: indicator words of the segment features, in feature order
 DOMAIN_WORDS = [
     ("domain_coding", ["code", "git", "github", "vscode", "python", "javascript", "programming", "develop", "debug", "commit", "branch", "repo"]),
