@@ -21,7 +21,7 @@ from worklens.session import cut_lineage
 BLOCK = 200_000
 
 
-def _merged(u: np.ndarray, v: np.ndarray, order: Iterable[int]) -> tuple[list[int], np.ndarray, np.ndarray]:
+def merged(u: np.ndarray, v: np.ndarray, order: Iterable[int]) -> tuple[list[int], np.ndarray, np.ndarray]:
     """Union-find over ``u`` and ``v``: the positions in ``order`` that join two parts, all nodes, and the smallest node of each one's part."""
     nodes, at = np.unique(np.concatenate((u, v)), return_inverse=True)
     a, b, up, used = at[: len(u)].tolist(), at[len(u) :].tolist(), list(range(len(nodes))), []
@@ -42,13 +42,13 @@ def _merged(u: np.ndarray, v: np.ndarray, order: Iterable[int]) -> tuple[list[in
 
 def _forest_of_block(table: pa.Table) -> pa.Table:
     u, v, w = (table[c].to_numpy() for c in ("u", "v", "w"))
-    used, _, _ = _merged(u, v, np.lexsort((np.maximum(u, v), np.minimum(u, v), w)).tolist())
+    used, _, _ = merged(u, v, np.lexsort((np.maximum(u, v), np.minimum(u, v), w)).tolist())
     return table.take(pa.array(sorted(used), pa.int64()))
 
 
 def _labels_of_block(table: pa.Table) -> pa.Table:
     u, v = table["u"].to_numpy(), table["v"].to_numpy()
-    _, nodes, low = _merged(u, v, range(len(u)))
+    _, nodes, low = merged(u, v, range(len(u)))
     return pa.table([pa.array(nodes), pa.array(low)], ["node", "component"])
 
 

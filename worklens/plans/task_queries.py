@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from worklens.functions import rules
-from worklens.operators import cohesion, insights, linkage, scans, tasks
+from worklens.operators import cohesion, density, insights, linkage, scans, tasks
 from worklens.plans import segment_queries, table_queries  # noqa: F401  (define the segment views)
 from worklens.plans.prelude import view, with_views
 from worklens.plans.registry import query
@@ -321,3 +321,37 @@ SELECT session_id, round(eps, 6) AS eps, count(*) AS segments, count(DISTINCT CA
 def session_adaptive_clusters(spark, sf):
     points = session_points(spark, sf)
     return linkage.adaptive_clusters(points, linkage.distance_distribution(session_distance_counts(spark, sf)))
+
+
+# ---- all segments of a user: density clusters ----------------------------------------------------------
+
+PAIR_COLUMNS = """(epoch_us(c.start_time) - epoch_us(p.end_time)) / 6e7 AS gap, p.app AS p_app, p.tok AS p_tok, p.keyboard_intensity_avg AS p_kb, p.mouse_intensity_avg AS p_mouse, p.total_copy_events + p.total_paste_events AS p_cp, p.mic_active_ratio AS p_mic,
+    p.camera_active_ratio AS p_cam, p.max_audio_volume AS p_vol, p.mean_cpu_usage AS p_cpu, p.mean_ram_usage AS p_ram, p.mean_gpu_usage AS p_gpu, p.multitasking_score AS p_mt, p.activity_score AS p_act"""
+view("stok", ["seg"], f"SELECT *, primary_app AS app, {tokens_sql('primary_window_title')} AS tok FROM seg")
+view("user_links", ["stok"], f"""
+SELECT user_id, segment_no, other FROM (SELECT *, {SIMILAR_SQL} FROM (SELECT c.*, p.segment_no AS other, {PAIR_COLUMNS} FROM stok c JOIN stok p ON p.user_id = c.user_id AND (p.start_time, p.segment_no) < (c.start_time, c.segment_no)) x) y
+WHERE 1.0 - (s_app * 0.25 + s_window * 0.15 + s_temporal * 0.15 + s_interaction * 0.15 + s_av * 0.10 + s_system * 0.10 + s_behavior * 0.10) <= 0.3
+""")
+DENSE = with_views("user_links").replace("WITH ", "WITH RECURSIVE ", 1) + """,
+ul AS (SELECT user_id, segment_no, other FROM user_links UNION ALL SELECT user_id, other, segment_no FROM user_links),
+r(user_id, segment_no, reached) AS (SELECT user_id, segment_no, segment_no FROM seg UNION SELECT r.user_id, r.segment_no, ul.other FROM r JOIN ul ON ul.user_id = r.user_id AND ul.segment_no = r.reached),
+f AS (SELECT r.user_id, r.segment_no, min(s.start_time) AS first FROM r JOIN seg s ON s.user_id = r.user_id AND s.segment_no = r.reached GROUP BY 1, 2),
+dc AS (SELECT user_id, segment_no, dense_rank() OVER (PARTITION BY user_id ORDER BY first) - 1 AS cluster FROM f)
+"""
+
+
+def dense(spark, sf):
+    return stored(spark, sf, "density_clusters", lambda: density.cluster_all(src.segments(spark, sf), ["user_id"]))
+
+
+@query("density_clusters", "J02 C10", DENSE + "SELECT user_id, segment_no, cluster FROM dc")
+def density_clusters(spark, sf):
+    return dense(spark, sf).select("user_id", "segment_no", "cluster")
+
+
+@query("density_tasks", "J02 J07 D11", DENSE + """
+SELECT d.user_id, cluster, min(start_time) AS start_time, arg_max(end_time, epoch_us(start_time)) AS end_time, count(*) AS segments, round(sum(duration_minutes), 6) AS duration_minutes, round(avg(activity_score), 6) AS avg_activity
+FROM dc d JOIN seg s ON s.user_id = d.user_id AND s.segment_no = d.segment_no GROUP BY 1, 2 HAVING sum(duration_minutes) >= 10""")
+def density_tasks(spark, sf):
+    rows = tasks.tasks_of(dense(spark, sf).withColumn("link_similarity", F.lit(None).cast("double")), ["user_id"])
+    return rows.select("user_id", "cluster", "start_time", "end_time", "segments", "duration_minutes", "avg_activity")
