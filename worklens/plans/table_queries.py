@@ -1,5 +1,6 @@
 """Scans, sinks, retention and maintenance of the stored tables."""
 
+import datetime
 import uuid
 
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from worklens.plans.prelude import view, with_views
 from worklens.plans.registry import query
 from worklens.plans.text_queries import clean_sql
 from worklens.session import shared_folder
-from worklens.sources import sinks
+from worklens.sources import dated, sinks
 from worklens.sources import tables as src
 
 NOW = "TIMESTAMP '2024-01-31 00:00:00'"
@@ -396,3 +397,67 @@ def maintenance_run(spark, sf):
 @query("mouse_moves_kept", "B15", with_views("raw_inputs") + "SELECT event_id, round(amount, 6) AS amount FROM raw_inputs WHERE kind = 'move' AND amount > 50")
 def mouse_moves_kept(spark, sf):
     return src.raw_inputs(spark, sf).filter((F.col("kind") == "move") & (F.col("amount") > 50)).select("event_id", "amount")
+
+
+# ---- changes of tables kept by date --------------------------------------------------------------------
+
+def dated_sessions(spark, sf, name):
+    path = _folder(spark, name)
+    dated.create(src.sessions(spark, sf).select("session_id", "user_id", "keys", "start_time", "end_time", F.col("end_time").alias("updated_at")), path, "start_time")
+    return path
+
+
+def dated_segments(spark, sf, name):
+    path = _folder(spark, name)
+    dated.create(src.task_segments(spark, sf).select("segment_id", "session_id", "task_id", "start_time", "end_time"), path, "start_time")
+    return path
+
+
+@query("sessions_upserted_by_date", "A18", with_views("sess") + """
+SELECT session_id, CAST(start_time AS DATE)::VARCHAR AS date, CASE WHEN user_id % 5 = 0 AND start_time >= TIMESTAMP '2024-01-20' THEN keys + 1000 ELSE keys END AS keys,
+  CASE WHEN user_id % 5 = 0 AND start_time >= TIMESTAMP '2024-01-20' THEN end_time + INTERVAL 1 HOUR ELSE end_time END AS updated_at FROM sess""")
+def sessions_upserted_by_date(spark, sf):
+    path = dated_sessions(spark, sf, "sessions")
+    some = src.sessions(spark, sf).filter("user_id % 5 = 0 AND start_time >= TIMESTAMP '2024-01-20'")
+    changes = some.select("session_id", "user_id", (F.col("keys") + 1000).alias("keys"), "start_time", "end_time", (F.col("end_time") + F.expr("interval 1 hour")).alias("updated_at"))
+    dated.upsert(spark, path, changes, ["session_id"], ["updated_at"], "start_time")
+    return dated.read(spark, path).select("session_id", F.col("date").cast("string").alias("date"), "keys", "updated_at")
+
+
+@query("segments_replaced_by_date", "A19", with_views("task_segments") + """
+SELECT segment_id, session_id, CASE WHEN hash THEN 'new' ELSE task_id END AS task_id, CAST(start_time AS DATE)::VARCHAR AS date FROM (SELECT *, user_id % 3 = 0 AS hash FROM task_segments) x WHERE NOT hash OR segment_id % 4 <> 0""")
+def segments_replaced_by_date(spark, sf):
+    path = dated_segments(spark, sf, "segments")
+    some = src.task_segments(spark, sf).filter("user_id % 3 = 0").withColumn("task_id", F.when(F.col("segment_id") % 4 != 0, "new"))
+    dated.replace(spark, path, some.select("segment_id", "session_id", "task_id", "start_time", "end_time"), ["session_id"], ["task_id"], "start_time")
+    return dated.read(spark, path).select("segment_id", "session_id", "task_id", F.col("date").cast("string").alias("date"))
+
+
+@query("sessions_deleted_by_date", "A22", with_views("sess", "task_segments") + """
+SELECT 'sessions' AS table, CAST(start_time AS DATE)::VARCHAR AS date, count(*) AS rows FROM sess WHERE keys % 7 <> 0 GROUP BY ALL
+UNION ALL SELECT 'segments', CAST(start_time AS DATE)::VARCHAR, count(*) FROM task_segments WHERE session_id IN (SELECT session_id FROM sess WHERE keys % 7 <> 0) GROUP BY ALL""")
+def sessions_deleted_by_date(spark, sf):
+    gone = src.sessions(spark, sf).filter("keys % 7 = 0")
+    out = []
+    for name, path in (("sessions", dated_sessions(spark, sf, "gone-sessions")), ("segments", dated_segments(spark, sf, "gone-segments"))):
+        dated.delete(spark, path, gone, ["session_id"])
+        out.append(dated.read(spark, path).groupBy(F.lit(name).alias("table"), F.col("date").cast("string").alias("date")).agg(F.count(F.lit(1)).alias("rows")))
+    return out[0].unionByName(out[1])
+
+
+@query("retained_dates", "B01 B02 B03", with_views("flat", "task_segments") + f"""
+SELECT 'intervals' AS table, CAST(timestamp_start AS DATE)::VARCHAR AS date, count(*) AS rows FROM flat WHERE timestamp_start >= {NOW} - INTERVAL 20 DAY GROUP BY ALL
+UNION ALL SELECT 'enriched_tasks', CAST(e AS DATE)::VARCHAR, count(*) FROM (SELECT coalesce(end_time, start_time) AS e FROM task_segments) x WHERE e >= {NOW} - INTERVAL 10 DAY GROUP BY ALL
+UNION ALL SELECT 'live_predictions', CAST(start_time AS DATE)::VARCHAR, count(*) FROM task_segments WHERE start_time >= {NOW} - INTERVAL 7 DAY GROUP BY ALL""")
+def retained_dates(spark, sf):
+    segments = src.task_segments(spark, sf).select("segment_id", "start_time", F.coalesce("end_time", "start_time").alias("closed"))
+    tables = {"intervals": (src.intervals_flat(spark, sf).select("event_id", "timestamp_start"), "timestamp_start", 20), "enriched_tasks": (segments, "closed", 10),
+              "live_predictions": (segments, "start_time", retention.KEEP_DAYS["live_predictions"])}
+    out = None
+    for name, (rows, ts, days) in tables.items():
+        path = _folder(spark, name)
+        dated.create(rows, path, ts)
+        dated.expire(spark, path, ts, datetime.datetime.fromisoformat(src.AS_OF), days)
+        kept = dated.read(spark, path).groupBy(F.lit(name).alias("table"), F.col("date").cast("string").alias("date")).agg(F.count(F.lit(1)).alias("rows"))
+        out = kept if out is None else out.unionByName(kept)
+    return out
