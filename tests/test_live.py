@@ -54,16 +54,16 @@ def test_a_silent_key_is_finished_and_forgotten(spark, tmp_path):
     assert {r["user_id"] for r in got} == whole and len(got) >= len(whole)
 
 
-def fed(step, rows, store=False):
-    out = []
+def fed(make, rows, store=False):
+    step, out = make(), []
     for row in rows:
         out += step.feed(row)
         if store:
-            step = type(step)(*([0.0] if isinstance(step, live.CollectionSpans) else [])).load(step.dump())
+            step = make().load(step.dump())
     return out + step.finish()
 
 
-@pytest.mark.parametrize("name", ["Engagement", "Smoothing", "SignalWindows", "CollectionSpans", "WindowVectors", "RollingFeatures"])
+@pytest.mark.parametrize("name", ["Engagement", "Smoothing", "SignalWindows", "CollectionSpans", "WindowVectors", "RollingFeatures", "AppChanges", "SessionAssignments"])
 def test_steps_survive_being_stored_after_every_row(name):
     rng = random.Random(2)
     rows = []
@@ -71,12 +71,13 @@ def test_steps_survive_being_stored_after_every_row(name):
         at = 1_700_000_000 + 7 * i + rng.randint(0, 6)
         rows.append({
             "ts": folds.stamp(at), "start_time": folds.stamp(at), "timestamp_start": folds.stamp(at), "timestamp_end": folds.stamp(at + rng.choice([0, 4, 90])), "event_id": i, "side": 0,
-            "app": rng.choice(["code.exe", "chrome.exe", None]), "window_title": rng.choice("ab"), "task": rng.choice("xyz"), "task_id": rng.choice(["x", "y", None]), "session_id": str(i),
+            "app": rng.choice(["code.exe", "chrome.exe", None]), "window_title": rng.choice("ab"), "task": rng.choice("xyz"), "task_id": rng.choice(["x", "y", None]), "session_id": str(i // 60),
             "confidence": rng.choice([0.2, 0.5, 0.9]), "keys": 1, "clicks": 2, "distance": 3, "marker": rng.choice(["START", "STOP", None, None]), "background": rng.random() < 0.5,
-            "keyboard_intensity": rng.choice([None, 0.0, 40.0]), "mouse_clicks": rng.choice([None, 3])})
-    make = partial(live.CollectionSpans, 1_700_009_000.0) if name == "CollectionSpans" else getattr(live, name)
-    plain = fed(make(), rows)
-    assert plain and repr(plain) == repr(fed(make(), rows, store=True))
+            "keyboard_intensity": rng.choice([None, 0.0, 40.0]), "mouse_clicks": rng.choice([None, 3]), "user_id": 1, "kind": rng.choice(["key", "click", "move"]), "amount": 4.0})
+    makers = {"CollectionSpans": partial(live.CollectionSpans, 1_700_009_000.0), "SessionAssignments": partial(live.SessionAssignments, at_least=5)}
+    make = makers.get(name, getattr(live, name))
+    plain = fed(make, rows)
+    assert plain and repr(plain) == repr(fed(make, rows, store=True))
 
 
 def test_engagement_by_its_rule():
@@ -94,7 +95,7 @@ def test_engagement_by_its_rule():
             if t - folds.seconds(rows[0]["ts"]) >= 30 and recent >= 5 and r["app"] not in signals.SYSTEM_PROCESSES and t - folds.seconds(rows[since]["ts"]) >= 10:
                 want = r["ts"]
                 break
-        assert [r[1] for r in fed(live.Engagement(), rows)] == [want]
+        assert [r[1] for r in fed(live.Engagement, rows)] == [want]
 
 
 def test_live_steps_travel_without_the_package(tmp_path):
@@ -103,8 +104,39 @@ def test_live_steps_travel_without_the_package(tmp_path):
 
     from pyspark import cloudpickle
 
-    makers = [live.Engagement, live.Smoothing, live.SignalWindows, partial(live.CollectionSpans, 1.0), live.WindowVectors, live.RollingFeatures]
+    makers = [live.Engagement, live.Smoothing, live.SignalWindows, partial(live.CollectionSpans, 1.0), live.WindowVectors, live.RollingFeatures, live.AppChanges, live.SessionAssignments]
     (tmp_path / "steps").write_bytes(cloudpickle.dumps(makers))
     code = "import pickle, sys; made = [m() for m in pickle.load(open('steps', 'rb'))]; assert 'worklens' not in sys.modules; print(len(made))"
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, env={"PATH": "/usr/bin:/bin"})
-    assert done.stdout.strip() == "6", done.stderr
+    assert done.stdout.strip() == "8", done.stderr
+
+
+def test_session_assignments_by_their_rule(spark):
+    """Plainly: all inputs of a session are kept, the last five minutes are taken from them, and the tasks are one list."""
+    rng = random.Random(9)
+    at, rows = 0.0, []
+    for i in range(900):
+        at += rng.choice([1, 2, 5, 40])
+        rows.append({"ts": folds.stamp(at), "event_id": i, "user_id": 1, "session_id": rng.choice(["a", "a", "b", f"c{i // 300}"]), "kind": rng.choice(["key", "click", "move"]), "amount": float(rng.randint(1, 300)), "app": rng.choice(["code.exe", "chrome.exe", "slack.exe"])})
+    tasks, last, seen, want = folds.LatentTasks(), {}, {}, []
+    for r in rows:
+        name, t = r["session_id"], folds.seconds(r["ts"])
+        seen.setdefault(name, []).append(r)
+        inside = [k for k, q in enumerate(seen[name]) if folds.seconds(q["ts"]) >= t - 300]
+        moved = sum(k == 0 or seen[name][k - 1]["app"] != seen[name][k]["app"] for k in inside)
+        of = lambda kind: [seen[name][k] for k in inside if seen[name][k]["kind"] == kind]
+        if (name in last and t - last[name] < 60) or len(inside) < 30:
+            continue
+        share = min(1, len(of("key")) / 35) * 0.45 + min(1, len(of("click")) / 6) * 0.2 + min(1, sum(q["amount"] for q in of("move")) / 300) * 0.25 + min(1, moved / 1.5) * 0.1
+        vector = [0.5, 0.5, 0, 0, 0.5, len({q["app"] for q in seen[name]}) / 10, 0, round(share * 100, 1) / 100]
+        got = tasks.feed({"session_id": name, "user_id": 1, "vector": vector})[0]
+        if got[2] >= (0.7 if len(inside) >= 100 else 0.6):
+            last[name] = t
+            want.append((name, r["ts"], got[1], got[2], len(inside)))
+    assert len(want) > 10 and [r[:5] for r in fed(live.SessionAssignments, rows)] == want
+
+
+def test_session_assignments_and_window_states_over_the_table(spark):
+    assert picked(stream_queries.stream_session_assignments(spark, SF)) == picked(stream_queries.session_assignments(spark, SF))
+    states = {r["state"] for r in signal_queries.window_states(spark, SF).select("state").distinct().collect()}
+    assert states == {"IDLE", "ACTIVE_ALIGNED", "ACTIVE_UNALIGNED"}

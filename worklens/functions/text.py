@@ -42,8 +42,9 @@ def clean_title(title: Column, keep_spaces: bool = False) -> Column:
     else:
         t = F.regexp_replace(t, rf"(?i) - {rules.BROWSER_SUFFIXES[0]}\z", "")
         t = F.replace(t, F.lit(" "), F.lit(""))
-    t = F.regexp_replace(t, rf"{BLANK}*[-–—|]{BLANK}*[-–—|]+{BLANK}*", " | ")
-    t = F.regexp_replace(t, rf"{BLANK}*[-–—]{BLANK}*", " | ")
+    # both look for blanks first, at every place; most titles have no such mark
+    parted = F.regexp_replace(F.regexp_replace(t, rf"{BLANK}*[-–—|]{BLANK}*[-–—|]+{BLANK}*", " | "), rf"{BLANK}*[-–—]{BLANK}*", " | ")
+    t = F.when(F.translate(t, "-–—|", "") == t, t).otherwise(parted)
     t = F.regexp_replace(t, r"\A[ |\-–—]+|[ |\-–—]+\z", "")
     noisy = F.lower(title).contains("system tray overflow")
     return F.when(title.isNull() | (title == "") | noisy, "").otherwise(t)
@@ -93,10 +94,14 @@ def cluster_tokens(title: Column) -> Column:
     """Words without surrounding punctuation, three or more characters. The punctuation is taken
     off in one pass over the whole title: marks after or before a blank."""
     blank, marks = r"\t-\r\x1c-\x1f \x{85}\p{Z}", r"""\[\](){}:;,."'"""
-    bare = F.regexp_replace(F.lower(title), f"(?<![^{blank}])[{marks}]+|[{marks}]+(?![^{blank}])", "")
+    bare = F.regexp_replace(F.lower(title), f"(?=[{marks}])(?:(?<![^{blank}])[{marks}]+|[{marks}]+(?![^{blank}]))", "")
     return F.filter(F.split(bare, f"{BLANK}+"), lambda w: (F.length(w) > 2) & ~w.isin(rules.CLUSTER_STOPWORDS))
 
 
+def without_distance_stopwords(tokens: Column) -> Column:
+    return F.filter(tokens, lambda w: ~w.isin(rules.DISTANCE_STOPWORDS))
+
+
 def distance_tokens(title: Column) -> Column:
     return F.filter(_split_words(title), lambda w: (F.length(w) > 1) & ~w.isin(rules.DISTANCE_STOPWORDS))
 

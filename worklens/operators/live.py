@@ -6,12 +6,14 @@ little: the last few inputs, one open window or span, the apps of a window. The
 
 from __future__ import annotations
 
+import json
 import math
 import sys
 
 from pyspark import cloudpickle
 
-from worklens.operators.folds import Step, seconds, stamp
+from worklens.operators.folds import LatentTasks, Step, StreamingAssignment, seconds, stamp
+from worklens.operators.metrics import PRESETS
 from worklens.operators.signals import SYSTEM_PROCESSES
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # see operators.folds
@@ -217,3 +219,62 @@ class RollingFeatures(Step):
 
     def finish(self) -> list[tuple]:
         return self.features(True) if self.buckets else []
+
+
+class AppChanges(Step):
+    """Rows ts, event_id, kind, amount, app. Gives each with app_change: 1 if another app was before it, or none."""
+
+    SCHEMA = "ts timestamp, event_id bigint, kind string, amount double, app string, app_change int"
+
+    def __init__(self):
+        self.app = None
+
+    def feed(self, row: dict) -> list[tuple]:
+        changed, self.app = int(self.app is None or self.app != row["app"]), row["app"]
+        return [(stamp(seconds(row["ts"])), int(row["event_id"]), row["kind"], row["amount"], row["app"], changed)]
+
+
+class SessionAssignments(Step):
+    """Rows ts, session_id, kind, amount, app of a user, whose latent tasks (J05) all sessions share. At every input a session that has not been assigned for ``every`` seconds
+    and had ``at_least`` inputs in the last ``span`` seconds is matched with the tasks, which learn from it; it is assigned if the match is sure enough for that many inputs.
+
+    What is held of a session are its inputs of the last ``span`` seconds, its apps and its last assignment; a session silent for ``forget`` seconds is
+    forgotten. Features that the inputs do not tell take the middle."""
+
+    SCHEMA = "session_id string, ts timestamp, task_id string, confidence double, inputs bigint, reason string"
+
+    def __init__(self, span: float = 300, every: float = 60, at_least: int = 30, base: float = 0.60, preset: str = "DEFAULT", forget: float = 86400):
+        self.span, self.every, self.at_least, self.forget = span, every, at_least, forget
+        self.rule, self.model = StreamingAssignment(every, at_least, base), LatentTasks()
+        self.baselines, self.weights = PRESETS[preset]
+        self.sessions: dict[str, dict] = {}
+
+    def dump(self) -> str:
+        return json.dumps([self.model.tasks, self.sessions])
+
+    def load(self, text: str) -> Step:
+        self.model.tasks, self.sessions = json.loads(text)
+        return self
+
+    def intensity(self, recent: list[list]) -> float:
+        scale = max(1.0, self.span / 60.0) / 5.0
+        counts = [sum(r[1] == "key" for r in recent), sum(r[1] == "click" for r in recent), sum(r[2] for r in recent if r[1] == "move"), sum(r[3] for r in recent)]
+        return round(sum(min(1.0, n / (b * scale)) * w for n, b, w in zip(counts, self.baselines, self.weights)) * 100.0, 1)
+
+    def feed(self, row: dict) -> list[tuple]:
+        now, name = seconds(row["ts"]), row["session_id"]
+        self.sessions = {k: s for k, s in self.sessions.items() if k == name or now - s["seen"] <= self.forget}
+        s = self.sessions.setdefault(name, {"last": None, "recent": [], "apps": [], "app": None})
+        changed, s["app"], s["seen"] = int(s["app"] != row["app"]), row["app"], now
+        if row["app"] is not None and row["app"] not in s["apps"]:
+            s["apps"].append(row["app"])
+        s["recent"] = [r for r in s["recent"] if r[0] >= now - self.span] + [[now, row["kind"], float(row["amount"] or 0.0), changed]]
+        count = len(s["recent"])
+        if (s["last"] is not None and now - s["last"] < self.every) or count < self.at_least:
+            return []
+        vector = [0.5, 0.5, 0.0, 0.0, 0.5, min(1.0, len(s["apps"]) / 10.0), 0.0, self.intensity(s["recent"]) / 100.0]
+        _, task, sure, *_ = self.model.feed({"session_id": name, "user_id": row["user_id"], "vector": vector})[0]
+        if sure < self.rule.need(count):
+            return []
+        s["last"] = now
+        return [(name, stamp(now), task, sure, count, "high_confidence" if sure >= 0.85 else "good_match" if sure >= 0.70 else "sufficient_data")]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from worklens.functions import scoring
+from worklens.functions.ranges import asof_join
 from worklens.functions.sequence import day_chunk, islands, scan_rows
 from worklens.operators.metrics import intensity, intensity_share
 from worklens.session import cut_lineage
@@ -68,6 +69,15 @@ def sliding_metrics(inputs: DataFrame, seconds: int = 300, slide: int = 10, pres
         intensity(*args, seconds, preset).alias("intensity"), F.least(F.lit(1.0), intensity_share(*args, seconds, preset)).alias("confidence"))
 
 
+def window_states(windows: DataFrame, tasks: DataFrame, idle_below: float = 0.1) -> DataFrame:
+    """The state of every window (user_id, window_end, intensity) by its intensity and the task that is active at its end. ``tasks`` has
+    user_id, ts, event_id and task: the active one from then on, or null."""
+    log = tasks.select("user_id", "ts", "event_id", F.coalesce("task", F.lit("")).alias("task"))
+    rows = asof_join(windows, log, ["user_id"], "window_end", "ts", "task", "active_task", "event_id").withColumn("active_task", F.nullif("active_task", F.lit("")))
+    state = F.when(F.col("intensity") / 100.0 < idle_below, "IDLE").when(F.col("active_task").isNull(), "ACTIVE_UNALIGNED").otherwise("ACTIVE_ALIGNED")
+    return rows.withColumn("state", state)
+
+
 def minute_timeline(inputs: DataFrame) -> DataFrame:
     """Keys, clicks and mouse distance per user and minute."""
     return inputs.groupBy("user_id", F.date_trunc("minute", "ts").alias("minute")).agg(

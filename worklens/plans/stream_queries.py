@@ -6,7 +6,7 @@ from functools import partial
 from pyspark.sql import functions as F
 
 from worklens.functions import text
-from worklens.operators import classify, folds, live, scans, vectors
+from worklens.operators import classify, folds, live, scans, signals, vectors
 from worklens.plans import signal_queries as sig
 from worklens.plans.prelude import view, with_views
 from worklens.plans import attribution_queries  # noqa: F401  (registers committed_states)
@@ -359,3 +359,48 @@ def stream_rolling_features(spark, sf):
     make = partial(live.RollingFeatures, minutes=300)
     done = event_fold(spark, replayed(spark, rows, "intervals", "timestamp_start"), ["session_id"], ["timestamp_start", "event_id"], make, f"session_id string, {live.RollingFeatures.SCHEMA}")
     return done.filter("final").drop("at", "final")
+
+
+@query("stream_sliding_intensity", "I02 H25", like="sliding_intensity")
+def stream_sliding_intensity(spark, sf):
+    """Two streams: the first marks the inputs that open another app window, the second reads its table and keeps the windows."""
+    rows = src.raw_input_columns(jobs.event_stream(spark, sf)).select("user_id", "ts", "event_id", "kind", "amount", "app")
+    marked = event_fold(spark, rows, ["user_id"], ["ts", "event_id"], live.AppChanges, f"user_id bigint, {live.AppChanges.SCHEMA}", close_after=None)
+    windows = lambda df: signals.sliding_metrics(df.withWatermark("ts", jobs.WATERMARK), 5 * 3600, 3600)
+    done = stateful.run_fold(spark, replayed(spark, marked, "changes", "ts"), windows, "ts").filter("user_id is not null")
+    return done.drop("intensity")
+
+
+def session_inputs(spark, sf):
+    sessions = src.interval_signals(spark, sf).filter("session_id is not null").select("event_id", "session_id")
+    rows = src.raw_inputs(spark, sf).join(sessions, "event_id").select("user_id", "ts", "event_id", "session_id", "kind", "amount", "app")
+    return rows.withColumn("owner", F.col("user_id"))
+
+
+#: Five hours for five minutes, as the log is sparse, and three inputs for thirty.
+ASSIGNING = partial(live.SessionAssignments, span=5 * 3600, every=3600, at_least=3)
+
+
+@query("session_assignments", "I14")
+def session_assignments(spark, sf):
+    done = folds.fold_rows(session_inputs(spark, sf), ["owner"], ["ts", "event_id"], ASSIGNING, f"owner bigint, {live.SessionAssignments.SCHEMA}")
+    return done.withColumnRenamed("owner", "user_id")
+
+
+@query("stream_session_assignments", "I14")
+def stream_session_assignments(spark, sf):
+    stream = replayed(spark, session_inputs(spark, sf), "inputs", "ts")
+    return event_fold(spark, stream, ["owner"], ["ts", "event_id"], ASSIGNING, f"owner bigint, {live.SessionAssignments.SCHEMA}").withColumnRenamed("owner", "user_id")
+
+
+@query("stream_window_predictions", "I12 I11 C13", with_views("act_vec", "sig") + """
+SELECT user_id, day::VARCHAR AS day, task, round(CASE WHEN 1 - distance < min_confidence THEN (1 - distance) * 0.7 ELSE 1 - distance END, 6) AS confidence FROM (
+  SELECT *, row_number() OVER (PARTITION BY user_id, day ORDER BY distance, rank) AS r FROM (
+    SELECT n.user_id, n.day, s.task, s.rank, s.min_confidence, least(1.0, sqrt(1.5 * pow(v7 - s.intensity, 2) + 1.2 * pow(v1 - s.continuity, 2) + 1.5 * pow(v5 / 2 - s.entropy, 2) + 0.8 * pow(v5 - s.diversity, 2) + 0.6 * pow(least(1, v6 * 2) - s.duration, 2)) / 3.5) AS distance
+    FROM act_vec n CROSS JOIN sig s) a) b WHERE r = 1""")
+def stream_window_predictions(spark, sf):
+    """The nearest signature of every window of activity, from the features of the window itself."""
+    rows = window_stream(spark, jobs.event_stream(spark, sf), True)
+    best = classify.nearest_signature(F.col("input_intensity") * 100, F.col("focus_continuity_score"), F.col("app_diversity") * 10, F.col("app_diversity"), F.col("session_duration_minutes") * 8)
+    rows = rows.select("user_id", "day", best.alias("b"))
+    return rows.select("user_id", "day", F.col("b.task").alias("task"), classify.signature_confidence(F.col("b")).alias("confidence"))

@@ -161,14 +161,32 @@ def segments_with_position(spark, sf):
     return scans.session_segments_flat(src.task_segments(spark, sf), src.sessions(spark, sf), since).select("session_id", "session_start", "segment_id", "task_id", "position")
 
 
-@query("segment_metrics", "A21", with_views("task_segments", "front") + """
-SELECT t.segment_id, round(avg(f.cpu_usage), 6) AS avg_cpu, round(avg(f.ram_usage), 6) AS avg_ram, round(coalesce(avg(f.gpu_usage), 0.0), 6) AS avg_gpu, round(avg(f.audio_volume), 6) AS avg_audio,
-  trunc(sum(f.keyboard_intensity) + sum(f.mouse_clicks) + 1e-7)::BIGINT AS event_count
-FROM task_segments t JOIN front f ON f.session_id = t.session_id AND f.timestamp_start < t.end_time AND f.timestamp_end > t.start_time GROUP BY 1""")
+MEASURED = """SELECT t.segment_id, avg(f.cpu_usage) AS cpu, avg(f.ram_usage) AS ram, coalesce(avg(f.gpu_usage), 0.0) AS gpu, avg(f.audio_volume) AS audio, sum(f.keyboard_intensity) + sum(f.mouse_clicks) AS input
+FROM task_segments t JOIN {0} f ON f.session_id = t.session_id AND f.timestamp_start < t.end_time + INTERVAL {1} SECOND AND f.timestamp_end > t.start_time - INTERVAL {1} SECOND GROUP BY 1"""
+PICKED = """SELECT a.segment_id, round(CASE WHEN dark THEN coalesce(b.cpu, a.cpu) ELSE a.cpu END, 6) AS avg_cpu, round(CASE WHEN dark THEN coalesce(b.ram, a.ram) ELSE a.ram END, 6) AS avg_ram, round(CASE WHEN dark THEN coalesce(b.gpu, a.gpu) ELSE a.gpu END, 6) AS avg_gpu,
+  round(a.audio, 6) AS avg_audio, trunc(CASE WHEN dark THEN coalesce(b.input, a.input) ELSE a.input END + 1e-7)::BIGINT AS event_count FROM (SELECT *, cpu = 0 AND ram = 0 AND gpu = 0 AS dark FROM m1) a LEFT JOIN m2 b USING (segment_id)"""
+
+
+def measured_sql(table: str) -> str:
+    return f",\nm1 AS ({MEASURED.format(table, 0)}),\nm2 AS ({MEASURED.format(table, 120)})\n{PICKED}"
+
+
+@query("segment_metrics", "A21", with_views("task_segments", "front") + measured_sql("front"))
 def segment_metrics(spark, sf):
     return scans.segment_metrics(src.task_segments(spark, sf), src.interval_signals(spark, sf))
 
 
+view("dark_front", ["front"], "SELECT * REPLACE (CASE WHEN event_id % 2 = 0 THEN 0.0 ELSE cpu_usage END AS cpu_usage, CASE WHEN event_id % 2 = 0 THEN 0.0 ELSE ram_usage END AS ram_usage, CASE WHEN event_id % 2 = 0 THEN NULL ELSE gpu_usage END AS gpu_usage) FROM front")
+
+
+@query("dark_segment_metrics", "A21", with_views("task_segments", "dark_front") + measured_sql("dark_front"))
+def dark_segment_metrics(spark, sf):
+    """Half of the intervals without measured values, so that many segments are tried again in a wider span."""
+    dark = F.col("event_id") % 2 == 0
+    iv = src.interval_signals(spark, sf).withColumns({c: F.when(~dark, F.col(c)).otherwise(0.0 if c != "gpu_usage" else None) for c in ("cpu_usage", "ram_usage", "gpu_usage")})
+    return scans.segment_metrics(src.task_segments(spark, sf), iv)
+
+
 @query("segment_contexts", "C06", with_views("task_segments", "front") + """,
 p AS (SELECT t.segment_id, f.app, f.window_title, f.event_id % 3 <> 0 AS win, f.timestamp_start AS ts FROM task_segments t JOIN front f ON f.session_id = t.session_id AND f.timestamp_start BETWEEN t.start_time AND t.end_time),
 a AS (SELECT segment_id, app, row_number() OVER (PARTITION BY segment_id ORDER BY count(*) DESC, min(ts)) AS r FROM p WHERE win GROUP BY 1, 2),

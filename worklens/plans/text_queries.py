@@ -73,8 +73,7 @@ def document_tokens(spark, sf):
     t = F.col("text")
     lists = src.documents(spark, sf).select(
         "doc_id", text.feature_tokens(t).alias("f"), text.naming_keywords(t).alias("n"), text.cluster_tokens(t).alias("c"),
-        text.distance_tokens(t).alias("d"),
-    )
+    ).withColumn("d", text.without_distance_stopwords(F.col("f")))
     joined = lambda c: F.md5(F.array_join(c, " "))
     return lists.select(
         "doc_id", F.size("f").alias("feature_tokens"), joined("f").alias("feature_md5"),
