@@ -116,7 +116,7 @@ def test_session_assignments_by_their_rule(spark):
     rng = random.Random(9)
     at, rows = 0.0, []
     for i in range(900):
-        at += rng.choice([1, 2, 5, 40])
+        at += rng.choice([1, 2, 3, 9])
         rows.append({"ts": folds.stamp(at), "event_id": i, "user_id": 1, "session_id": rng.choice(["a", "a", "b", f"c{i // 300}"]), "kind": rng.choice(["key", "click", "move"]), "amount": float(rng.randint(1, 300)), "app": rng.choice(["code.exe", "chrome.exe", "slack.exe"])})
     tasks, last, seen, want = folds.LatentTasks(), {}, {}, []
     for r in rows:
