@@ -396,14 +396,14 @@ def recent_activity_vectors(spark, sf):
 x AS (SELECT *, unnest([0, 1, 2, 3, 4]) AS o FROM changed),
 g AS (SELECT user_id, date_trunc('hour', ts) + to_hours(o + 1) AS window_end, count(CASE WHEN kind = 'key' THEN 1 END) AS keys, count(CASE WHEN kind = 'click' THEN 1 END) AS clicks, round(coalesce(sum(CASE WHEN kind = 'move' THEN amount END), 0.0), 4) AS mouse_distance,
   sum(app_change)::BIGINT AS app_changes FROM x GROUP BY 1, 2),
-i AS (SELECT user_id, window_end, round_even((least(1.0, keys / 35.0) * 0.45 + least(1.0, clicks / 6.0) * 0.20 + least(1.0, mouse_distance / 300.0) * 0.25 + least(1.0, app_changes / 1.5) * 0.10) * 100, 1) AS intensity FROM g),
+i AS (SELECT user_id, window_end, round_even(round((least(1.0, keys / 35.0) * 0.45 + least(1.0, clicks / 6.0) * 0.20 + least(1.0, mouse_distance / 300.0) * 0.25 + least(1.0, app_changes / 1.5) * 0.10) * 100, 9), 1) AS intensity FROM g),
 a AS (SELECT user_id, ts, CASE WHEN state = 'ACTIVE' THEN task_id END AS task FROM task_events)
 SELECT i.user_id, i.window_end, round(i.intensity, 6) AS intensity, a.task AS active_task, CASE WHEN i.intensity / 100 < 0.1 THEN 'IDLE' WHEN a.task IS NULL THEN 'ACTIVE_UNALIGNED' ELSE 'ACTIVE_ALIGNED' END AS state
 FROM i ASOF LEFT JOIN a ON i.user_id = a.user_id AND i.window_end >= a.ts""")
 def window_states(spark, sf):
     """Windows of five hours with the baselines of five minutes, as the log is sparse."""
     windows = signals.sliding_metrics(signals.with_app_changes(src.raw_inputs(spark, sf)), 5 * 3600, 3600)
-    share = metrics.intensity(F.col("keys"), F.col("clicks"), F.round("mouse_distance", 4), F.col("app_changes"), 300)
-    windows = windows.select("user_id", "window_end", share.alias("intensity"))
+    share = metrics.intensity_share(F.col("keys"), F.col("clicks"), F.round("mouse_distance", 4), F.col("app_changes"), 300)
+    windows = windows.select("user_id", "window_end", F.bround(F.round(share * 100.0, 9), 1).alias("intensity"))
     log = src.task_events(spark, sf).select("user_id", "ts", "event_id", F.when(F.col("state") == "ACTIVE", F.col("task_id")).alias("task"))
     return signals.window_states(windows, log)
