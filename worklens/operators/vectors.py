@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from worklens.functions.sequence import day_chunk, scan_rows
+from worklens.session import cut_lineage
 
 DIMENSIONS = 8
 MATCH_DISTANCE = 0.35
@@ -46,22 +47,57 @@ def nearest_tasks(rows: DataFrame, centres: DataFrame, keys: list[str], name: st
     return rows.join(packed, keys).withColumn("nearest", F.slice(F.array_sort(scored), 1, k)).drop("__c")
 
 
-def nearest_in_space(rows: DataFrame, centres: DataFrame, row_id: str, name: str, k: int = 1, vector: str = "vector", dimensions: int = DIMENSIONS, block: int = 1024) -> DataFrame:
+def balls_of(centres: DataFrame, name: str, balls: int, block: int, dimensions: int = DIMENSIONS) -> tuple[DataFrame, DataFrame]:
+    """Every centroid in the ball of its nearest pivot (name, centroid, members, ball, part), and one row with the balls: number, pivot,
+    radius, centroids and parts of about ``block``. Pivots are ``balls`` centroids in the order of a hash, so the second row has a fixed size."""
+    pivots = centres.select("centroid", F.xxhash64(name).alias("h"), F.col(name).alias("n")).orderBy("h", "n").limit(balls)
+    listed = pivots.agg(F.transform(F.array_sort(F.collect_list(F.struct("h", "n", "centroid"))), lambda p: p["centroid"]).alias("__pivots"))
+    far = lambda c, p: _apart(c, p, dimensions)
+    placed = centres.join(F.broadcast(listed)).withColumn("__at", F.array_min(F.transform("__pivots", lambda p, i: F.struct(far(F.col("centroid"), p).alias("d"), i.alias("i")))))
+    placed = cut_lineage(placed.select(F.col(name).alias("name"), "centroid", "members", F.col("__at.i").alias("ball"), F.col("__at.d").alias("d"), F.col("__pivots")[F.col("__at.i")].alias("pivot")))
+    each = placed.groupBy("ball").agg(F.first("pivot").alias("pivot"), F.max("d").alias("radius"), F.count(F.lit(1)).alias("n"))
+    top = each.agg(F.collect_list(F.struct("ball", "pivot", "radius", "n", F.ceil(F.col("n") / block).cast("int").alias("parts"))).alias("__balls"))
+    parts = each.select("ball", F.ceil(F.col("n") / block).cast("int").alias("parts"))
+    return placed.join(parts, "ball").select("name", "centroid", "members", "ball", F.pmod(F.xxhash64("name"), F.col("parts")).cast("int").alias("part")), top
+
+
+def _apart(a: Column, b: Column, dimensions: int) -> Column:
+    """The distance without its cap, for which the triangle inequality holds."""
+    return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v) / float(dimensions))
+
+
+def reachable_balls(balls: Column, vector: Column, k: int, dimensions: int) -> Column:
+    """The balls that may hold one of the ``k`` nearest centroids of ``vector``. Each pivot is a centroid, so the k-th nearest pivot bounds the k-th distance, and
+    so does the far end of the balls that hold ``k``; balls whose near end is beyond it are left out. At a bound of 1 or more capped distances tie, and
+    none is."""
+    seen = F.transform(balls, lambda b: F.struct(_apart(vector, b["pivot"], dimensions).alias("d"), b["radius"].alias("radius"), b["n"].alias("n"), b["ball"].alias("ball"), b["parts"].alias("parts")))
+    far = F.array_sort(F.transform(seen, lambda b: F.struct((b["d"] + b["radius"]).alias("far"), b["n"].alias("n"))))
+    start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("bound"))
+    step = lambda s, b: F.when(s["n"] >= k, s).otherwise(F.struct((s["n"] + b["n"]).alias("n"), b["far"].alias("bound")))
+    held = F.aggregate(far, start, step, lambda s: s["bound"])
+    pivots = F.get(F.array_sort(F.transform(seen, lambda b: b["d"])), F.lit(k - 1))
+    bound = F.least(held, pivots)  # least leaves a null out
+    return F.filter(seen, lambda b: (b["d"] - b["radius"] <= bound + 1e-9) | (bound >= 1.0 - 1e-9))
+
+
+def nearest_in_space(rows: DataFrame, centres: DataFrame, row_id: str, name: str, k: int = 1, vector: str = "vector", dimensions: int = DIMENSIONS, block: int = 1024, most_balls: int = 1024) -> DataFrame:
     """C12 / C14 without a key: the ``k`` nearest of all centroids for every row.
 
-    The centroids are counted first. Up to ``block`` of them are one short array that is broadcast; above
-    that they are cut into blocks, every row meets the blocks by block number, keeps its ``k`` best of
-    each, and the bests are merged per row.
+    The centroids are counted first. Up to ``block`` of them are one short array that is broadcast; above that they are put into balls, at most
+    ``most_balls``, which are broadcast instead: every row meets only the balls that may hold its nearest (``reachable_balls``), in parts of about
+    ``block``, keeps its ``k`` best of each, and the bests are merged per row.
     """
-    blocks = max(1, -(-centres.count() // block))
-    packed = centres.withColumn("__b", F.pmod(F.xxhash64(name), F.lit(blocks)).cast("int")).groupBy("__b").agg(
-        F.collect_list(F.struct(F.col(name).alias("name"), "centroid", "members")).alias("__c"))
+    n = centres.count()
     scored = F.transform("__c", lambda c: F.struct(distance(F.col(vector), c["centroid"], dimensions).alias("distance"), c["name"].alias("name"), c["members"].alias("members")))
     best = F.slice(F.array_sort(scored), 1, k)
-    if blocks == 1:
+    if n <= block:
+        packed = centres.groupBy(F.lit(0).alias("__b")).agg(F.collect_list(F.struct(F.col(name).alias("name"), "centroid", "members")).alias("__c"))
         return rows.withColumn("__b", F.lit(0)).join(F.broadcast(packed), "__b").withColumn("nearest", best).drop("__b", "__c")
-    tried = rows.select(row_id, vector, F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("__b")).join(packed, "__b")
-    per_row = tried.select(row_id, F.explode(best).alias("n")).groupBy(row_id).agg(F.slice(F.array_sort(F.collect_list("n")), 1, k).alias("nearest"))
+    placed, top = balls_of(centres, name, min(most_balls, max(2, 4 * n // block)), block, dimensions)
+    packed = placed.groupBy("ball", "part").agg(F.collect_list(F.struct("name", "centroid", "members")).alias("__c"))
+    met = rows.select(row_id, vector).join(F.broadcast(top)).select(row_id, vector, F.explode(reachable_balls(F.col("__balls"), F.col(vector), k, dimensions)).alias("__r"))
+    met = met.select(row_id, vector, F.col("__r.ball").alias("ball"), F.explode(F.sequence(F.lit(0), F.col("__r.parts") - 1)).alias("part"))
+    per_row = met.join(packed, ["ball", "part"]).select(row_id, F.explode(best).alias("n")).groupBy(row_id).agg(F.slice(F.array_sort(F.collect_list("n")), 1, k).alias("nearest"))
     return rows.join(per_row, row_id)
 
 
