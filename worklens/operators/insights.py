@@ -96,6 +96,18 @@ def heatmap(intervals: DataFrame, keys: list[str] | None = None) -> DataFrame:
     )
 
 
+def heatmap_sums(intervals: DataFrame, by: list[str]) -> DataFrame:
+    """What ``heatmap`` needs of its intervals, as sums by ``by`` that can be added up: rows, and sum and count of each mean."""
+    of = {"focus": scoring.focus_score(), "input": scoring.input_score(), "system": scoring.system_score(), "audio": _zero("audio_volume")}
+    return intervals.groupBy(*by).agg(F.max("timestamp_start").alias("newest"), *[f(c).alias(f"{n}_{m}") for n, c in of.items() for m, f in (("sum", F.sum), ("count", F.count))])
+
+
+def heatmap_of(sums: DataFrame) -> DataFrame:
+    """``heatmap`` out of sums that have an hour."""
+    mean = lambda n: (F.sum(f"{n}_sum") / F.sum(f"{n}_count")).alias(f"{n}_avg")
+    return fill_hours(sums.groupBy("hour").agg(*[mean(n) for n in ("focus", "input", "system", "audio")]), None)
+
+
 def system_by_session(intervals: DataFrame) -> DataFrame:
     """Resource use per session; intervals without a session fall under 'unassigned'."""
     return intervals.groupBy(F.coalesce("session_id", F.lit("unassigned")).alias("session_id")).agg(

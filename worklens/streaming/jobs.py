@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
+import datetime
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from worklens.functions import scoring
 from worklens.operators import insights, signals
 from worklens.session import shared_folder
 from worklens.sources import tables as src
@@ -105,17 +105,32 @@ def periodic_report(spark: SparkSession, sf_dir: str, lookback_minutes: int = 12
     """With every micro-batch the hourly heat-map of the last ``lookback_minutes`` of the log so far is
     written; on a running stream the trigger is 60 seconds of processing time. Returns the newest report.
 
-    The intervals of a batch go to the stored log first and the report reads the log, so it does not matter how the log is cut into batches or in which order the files come."""
+    A batch leaves two tables, by date: its intervals, and their sums by minute. The report adds up the sums of the minutes in the lookback, whatever batch they
+    came in, and reads single intervals of its first minute only; dates before it are not listed. So it does not matter how the log is cut into
+    batches or in which order the files come, and a report's work follows its lookback, not the log."""
     base = f"{shared_folder(spark)}/worklens-report-{uuid.uuid4().hex[:8]}"
     newest = {}
 
+    def by_date(rows: DataFrame, name: str, batch_id: int) -> DataFrame:
+        rows.write.mode("overwrite").partitionBy("date").parquet(f"{base}/{name}/batch_id={batch_id}")
+        return spark.read.schema(rows.schema).parquet(f"{base}/{name}")
+
     def report(batch: DataFrame, batch_id: int) -> None:
-        rows = src.interval_columns(batch)
-        _replace_batch(rows, f"{base}/log", batch_id)
-        log = spark.read.schema(rows.schema).parquet(f"{base}/log")
-        last = log.agg(F.max("timestamp_start").alias("__last"))  # footers' statistics; one row
-        recent = log.join(F.broadcast(last)).filter(scoring.minutes_between(F.col("timestamp_start"), F.col("__last")) <= lookback_minutes).drop("__last")
-        _replace_batch(insights.heatmap(recent), f"{base}/report", batch_id)
+        rows = src.interval_columns(batch).withColumns({"date": F.to_date("timestamp_start"), "minute": F.date_trunc("minute", "timestamp_start")})
+        log = by_date(rows, "log", batch_id)
+        sums = by_date(insights.heatmap_sums(rows, ["date", "minute"]), "sums", batch_id)
+        top = log.agg(F.max("date").alias("date"))  # of folder names
+        last = sums.where(F.col("date") == top.first()["date"]).agg(F.max("newest").alias("n"))
+        first = last.select((F.unix_micros("n") - lookback_minutes * 60_000_000).alias("m")).first()["m"]
+        if first is None:
+            return
+        at = F.timestamp_micros(F.lit(first))
+        start = F.date_trunc("minute", at)
+        day = F.lit(datetime.datetime.fromtimestamp(first / 1e6, datetime.timezone.utc).date())
+        whole = sums.where((F.col("date") >= day) & (F.col("minute") > start))
+        edge = log.where((F.col("date") == day) & (F.col("minute") == start) & (F.col("timestamp_start") >= at))
+        both = whole.withColumn("hour", F.hour("minute")).drop("date", "minute", "batch_id").unionByName(insights.heatmap_sums(edge.withColumn("hour", F.hour("minute")), ["hour"]))
+        _replace_batch(insights.heatmap_of(both), f"{base}/report", batch_id)
         newest["batch"] = batch_id
 
     run_available(event_stream(spark, sf_dir, files_per_trigger), each=report)
