@@ -399,3 +399,42 @@ def test_menus_of_bare_links_are_dropped():
     for region in (f"<nav>{bare}</nav>", f"<footer>{bare}</footer>", f"<aside>{bare}</aside>", f'<div class="sidebar">{bare}</div>', f"<nav><ul><li>{bare}</li><li>{bare}</li></ul></nav>"):
         (other,) = extraction.extract([pages[80][1].replace("<article>", region + "<article>")], trees)
         assert other == pages[80][2], region
+
+
+def test_articles_keep_lists_tables_captions_and_lines():
+    """Forms of an article that no page of the sample has; comments without a name are left out."""
+    pages = some_pages(90)
+    trees = extraction.Trees.fit(*extraction.examples([h for _, h, _ in pages[:60]]))
+    rng = random.Random(6)
+    text = lambda k: " ".join(rng.choice(["alder", "stone", "river", "quiet", "seven", "north"]) for _ in range(k)).capitalize() + "."
+    one = lambda tag, k: f"<{tag}>{text(k)}</{tag}>"
+    forms = {
+        "ul": lambda: "<ul>" + one("li", 12) * 4 + "</ul>", "ol": lambda: "<ol>" + one("li", 9) * 3 + "</ol>",
+        "table": lambda: "<table>" + f"<tr>{one('td', 3)}{one('td', 2)}</tr>" * 4 + "</table>", "quote": lambda: one("blockquote", 40),
+        "quoted p": lambda: f"<blockquote>{one('p', 40)}</blockquote>", "pre": lambda: one("pre", 20), "figure": lambda: f'<figure><img src="x"><figcaption>{text(12)}</figcaption></figure>',
+        "h2": lambda: one("h2", 4) + one("p", 30), "dl": lambda: "<dl>" + (one("dt", 2) + one("dd", 12)) * 3 + "</dl>", "link": lambda: f'<p><a href="/x">{text(12)}</a></p>',
+    }
+
+    def article(name):
+        body = [text(rng.randint(25, 60)) for _ in range(4)]
+        if name == "div":
+            return one("h1", 5) + "".join(f"<div>{b}</div>" for b in body)
+        if name == "br":
+            return one("h1", 5) + "<br><br>".join(body)
+        return one("h1", 5) + "".join(f"<p>{b}</p>" for b in body[:2]) + (forms[name]() if name else "") + "".join(f"<p>{b}</p>" for b in body[2:])
+
+    def page(body, after=""):
+        return f'<html><body><nav><a href="/1">One</a> <a href="/2">Two</a> <a href="/3">Three</a></nav><article>{body}</article>{after}<footer><p>&copy; {text(3)}</p></footer></body></html>'
+
+    def whole(body):
+        p = read(body)
+        return extraction.blocks(p, np.ones(len(p.tag), bool))
+
+    for name in [*forms, "div", "br"]:
+        bodies = [article(name) for _ in range(10)]
+        got = extraction.extract([page(b) for b in bodies], trees)
+        assert sum(g == whole(b) for g, b in zip(got, bodies, strict=True)) >= 9, name
+    comments = lambda: "<div>" + f"<div>{one('b', 2)}{one('p', 12)}</div>" * 3 + "</div>"
+    bodies = [article("") for _ in range(10)]
+    got = extraction.extract([page(b, comments()) for b in bodies], trees)
+    assert sum(g == whole(b) for g, b in zip(got, bodies, strict=True)) >= 9

@@ -2,7 +2,8 @@
 
 Training pages come from the table itself: a bounded sample whose article is marked up as such (or else is the element with most
 paragraph text). Each is also taken in other layouts, where regions get other tags and class names or none at all and other
-regions (menus, side bars, notices, forms, reader comments) are added from other pages' text, so that the trees learn from density,
+regions (menus, side bars, notices, forms, reader comments) are added from other pages' text, and where the article's paragraphs become lists,
+tables, quotes, captions, plain ``div`` or lines, so that the trees learn from density,
 position and neighbours and not from the names alone. A decoding over the tree then keeps or drops: what stands in a dropped element is dropped.
 """
 
@@ -188,6 +189,57 @@ def extract(sources: list[str | None], trees: Trees) -> list[str]:
 _REGION = re.compile(r"<(/?)(nav|footer|aside|header|form|article|main)\b([^>]*)>|<div class=\"ad\">(.*?)</div>", re.S | re.I)
 
 
+_ARTICLE = re.compile(r"(<(article|main)\b[^>]*>)(.*?)(</\2>)", re.S | re.I)
+_PARAGRAPH = re.compile(r"<p>([^<]+)</p>")
+
+
+def reshaped(source: str, rng: random.Random) -> str:
+    """``source`` with the same article text in other elements: some paragraphs as lists, tables, quotes, captions or behind sub-heads, or all
+    of them as ``div`` or parted by line breaks."""
+
+    def parts(text: str, low: int, high: int) -> list[str]:
+        w = text.split()
+        size = max(1, len(w) // rng.randint(low, high))
+        return [" ".join(w[k : k + size]) for k in range(0, len(w), size)]
+
+    def form(m: re.Match) -> str:
+        text, kind = m[1], rng.randrange(13)
+        first, rest = " ".join(text.split()[:4]), " ".join(text.split()[4:]) or text
+        if kind < 2:
+            tag = ("ul", "ol")[kind]
+            return f"<{tag}>" + "".join(f"<li>{x}</li>" for x in parts(text, 2, 6)) + f"</{tag}>"
+        if kind == 2:
+            return "<table>" + "".join(f"<tr><td>{x}</td><td>{first}</td></tr>" for x in parts(text, 2, 8)) + "</table>"
+        if kind == 3:
+            return "<dl>" + "".join(f"<dt>{first}</dt><dd>{x}</dd>" for x in parts(text, 1, 4)) + "</dl>"
+        if kind == 4:
+            return f'<figure><img src="i.png"><figcaption>{" ".join(text.split()[: rng.randint(4, 20)])}</figcaption></figure><p>{rest}</p>'
+        if kind == 5:
+            tag = rng.choice(["h2", "h3", "h4"])
+            return f"<{tag}>{first}</{tag}><p>{rest}</p>"
+        if kind < 9:
+            tag = ("blockquote", "pre", "div")[kind - 6]
+            return f"<{tag}>{text}</{tag}>"
+        if kind == 9:
+            return f'<p><a href="/a">{text}</a></p>'
+        if kind == 10:
+            return "<blockquote>" + "".join(f"<p>{x}</p>" for x in parts(text, 1, 2)) + "</blockquote>"
+        tag = ("div", "section")[kind - 11]
+        return f"<{tag}>" + f"<h3>{first}</h3>" * rng.randint(0, 1) + f"<p>{text}</p></{tag}>"
+
+    def inside(m: re.Match) -> str:
+        mode, body = rng.random(), m[3]
+        if mode < 0.45:
+            body = _PARAGRAPH.sub(lambda p: form(p) if rng.random() < 0.4 else p[0], body)
+        elif mode < 0.6:
+            body = _PARAGRAPH.sub(r"<div>\1</div>", body)
+        elif mode < 0.7:
+            body = _PARAGRAPH.sub(r"\1<br><br>", body)
+        return m[1] + body + m[4]
+
+    return _ARTICLE.sub(inside, source)
+
+
 def layouts(sources: list[str], variants: int = LAYOUTS) -> list[str]:
     """Pages with ``data-y`` marks on their regions: each source as it stands, and in other layouts."""
     rng = random.Random(11)
@@ -206,8 +258,9 @@ def layouts(sources: list[str], variants: int = LAYOUTS) -> list[str]:
         items = "".join(f'<li><a href="/{k}">{words(rng.randint(1, 6))}</a></li>' for k in range(rng.randint(3, 9)))
         name = rng.choice
         if kind == 0:  # reader comments
-            box = name(['<section class="comments">', '<div id="comments">', '<div class="comment-list">', '<section id="replies">', '<div class="disqus">'])
-            body = "".join(f'<div class="{name(["comment", "reply", "comment-body"])}">' + f"<b>{words(2)}</b>" * rng.randint(0, 1) + "".join(f"<p>{t}</p>" for t in some(1, 2)) + "</div>" for _ in range(rng.randint(1, 5)))
+            box = name(['<section class="comments">', '<div id="comments">', '<div class="comment-list">', '<section id="replies">', '<div class="disqus">', "<div>", "<section>", "<div>"])
+            one = "<div>" if "=" not in box else f'<div class="{name(["comment", "reply", "comment-body"])}">'
+            body = "".join(one + f"<b>{words(2)}</b>" * rng.randint(0, 1) + "".join(f"<p>{t}</p>" for t in some(1, 2)) + "</div>" for _ in range(rng.randint(1, 5)))
             body = f"<h3>{words(2)}</h3>" * rng.randint(0, 1) + body
         elif kind == 1:
             box, body = name(["<aside>", '<div class="sidebar">', '<div id="sidebar">', '<aside class="related">']), f"<h3>{words(2)}</h3><ul>{items}</ul>"
@@ -251,7 +304,7 @@ def layouts(sources: list[str], variants: int = LAYOUTS) -> list[str]:
                 lead = "".join(extra() for _ in range(rng.randint(0, 2))) if y and v else ""
                 return lead + box.replace(">", f' data-y="{y}">', 1)
 
-            page = _REGION.sub(mark, s)
+            page = _REGION.sub(mark, reshaped(s, rng) if v else s)
             if v and rng.random() < 0.5:
                 page = re.sub(r"(<body[^>]*>)(.*?)(</body>|\Z)", rf'\1<div class="{rng.choice(["wrapper", "container", "page", "site"])}">\2</div>\3', page, count=1, flags=re.S)
             if v and rng.random() < 0.4:  # menus and notices also stand inside articles
