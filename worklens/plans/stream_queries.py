@@ -11,7 +11,7 @@ from worklens.plans import signal_queries as sig
 from worklens.plans.prelude import view, with_views
 from worklens.plans import attribution_queries  # noqa: F401  (registers committed_states)
 from worklens.plans.registry import ORACLE, query
-from worklens.plans.text_queries import named
+from worklens.plans.text_queries import name_sql, named
 from worklens.session import shared_folder, stored
 from worklens.sources import tables as src
 from worklens.streaming import jobs, stateful
@@ -172,32 +172,32 @@ def online_points(spark, sf):
     return titled.select("session_id", "ts", "event_id", "until", "app", text.clean_title(F.col("window_title")).alias("clean_title"), "task", "confidence", "task_name")
 
 
-view("points", ["recommended_task", "naming", "front"], """
-SELECT f.session_id, n.timestamp_start AS ts, n.event_id, f.timestamp_end AS until, n.app, n.clean AS title, r.task, r.confidence, row_number() OVER (PARTITION BY f.session_id ORDER BY n.timestamp_start, n.event_id) AS p
+view("points", ["recommended_task", "naming", "front"], f"""
+SELECT {name_sql('r.task')} AS name, f.session_id, n.timestamp_start AS ts, n.event_id, f.timestamp_end AS until, n.app, n.clean AS title, r.task, r.confidence, row_number() OVER (PARTITION BY f.session_id ORDER BY n.timestamp_start, n.event_id) AS p
 FROM recommended_task r JOIN naming n USING (event_id) JOIN front f USING (event_id)
 """)
 STICKY = "('" + "', '".join(sorted(folds.STICKY)) + "')"
 ONLINE = f"""
 , walk AS (
-  SELECT session_id, p, ts, until, task AS base, ts AS start_time, confidence AS sure, app, title, 'initial_' || task AS reason, 1::BIGINT AS seg FROM points WHERE p = 1
+  SELECT session_id, p, ts, until, name, task AS base, ts AS start_time, confidence AS sure, app, title, 'initial_' || task AS reason, 1::BIGINT AS seg FROM points WHERE p = 1
   UNION ALL
-  SELECT session_id, p, ts, until, CASE WHEN moved OR ctx IS NOT NULL THEN task ELSE base END, CASE WHEN moved OR ctx IS NOT NULL THEN ts ELSE start_time END,
+  SELECT session_id, p, ts, until, CASE WHEN moved OR ctx IS NOT NULL THEN name ELSE held END, CASE WHEN moved OR ctx IS NOT NULL THEN task ELSE base END, CASE WHEN moved OR ctx IS NOT NULL THEN ts ELSE start_time END,
     CASE WHEN moved OR ctx IS NOT NULL THEN confidence WHEN task = base THEN greatest(sure, confidence) ELSE sure END, app, title,
     CASE WHEN moved AND ctx IS NOT NULL THEN 'behavioral_and_context_change' WHEN ctx IS NOT NULL THEN ctx WHEN moved THEN 'behavioral_transition_' || base || '_to_' || task ELSE reason END,
     CASE WHEN moved OR ctx IS NOT NULL THEN seg + 1 ELSE seg END
-  FROM (SELECT q.*, w.base, w.start_time, w.sure, w.reason, w.seg,
+  FROM (SELECT q.*, w.name AS held, w.base, w.start_time, w.sure, w.reason, w.seg,
       CASE WHEN w.base = q.task THEN false WHEN w.base IN {STICKY} THEN q.confidence - w.sure >= 0.10 OR ((epoch_us(q.ts) - epoch_us(w.start_time)) / 1e6 / 3600 >= 10 AND q.confidence - w.sure >= -0.05)
         ELSE q.confidence - w.sure > 0.03 OR (abs(q.confidence - w.sure) <= 0.15 AND (epoch_us(q.ts) - epoch_us(w.start_time)) / 1e6 / 3600 >= 3) OR ((epoch_us(q.ts) - epoch_us(w.start_time)) / 1e6 / 3600 >= 5 AND q.confidence > 0.5) END AS moved,
       CASE WHEN epoch_us(q.ts) - epoch_us(w.start_time) < 3600000000 OR q.confidence < 0.6 THEN NULL WHEN w.app <> q.app THEN 'app_change_' || w.app || '_to_' || q.app WHEN w.title <> q.title THEN 'window_change' END AS ctx
     FROM walk w JOIN points q ON q.session_id = w.session_id AND q.p = w.p + 1) x),
-segs AS (SELECT session_id, seg, any_value(base) AS base_category, any_value(start_time) AS start_time, max(until) FILTER (WHERE true) AS u, arg_max(until, p) AS last_until, arg_max(sure, p) AS sure, any_value(reason) AS reason, arg_max(app, p) AS app, arg_max(title, p) AS window_title FROM walk GROUP BY 1, 2)
-SELECT session_id, base_category, start_time, coalesce(lead(start_time) OVER (PARTITION BY session_id ORDER BY seg), last_until) AS end_time, round(sure, 6) AS confidence, reason, app, window_title FROM segs"""
+segs AS (SELECT session_id, seg, any_value(name) AS task_id, any_value(base) AS base_category, any_value(start_time) AS start_time, max(until) FILTER (WHERE true) AS u, arg_max(until, p) AS last_until, arg_max(sure, p) AS sure, any_value(reason) AS reason, arg_max(app, p) AS app, arg_max(title, p) AS window_title FROM walk GROUP BY 1, 2)
+SELECT session_id, task_id, base_category, start_time, coalesce(lead(start_time) OVER (PARTITION BY session_id ORDER BY seg), last_until) AS end_time, round(sure, 6) AS confidence, reason, app, window_title FROM segs"""
 
 
 @query("online_segments", "I07", recursive(with_views("points") + ONLINE))
 def online_segments(spark, sf):
     make = partial(folds.OnlineSegments, min_seconds=3600, minute=3600.0)
-    return folds.fold_rows(online_points(spark, sf), ["session_id"], ["ts", "event_id"], make, f"session_id string, {folds.OnlineSegments.SCHEMA}").drop("task_id")
+    return folds.fold_rows(online_points(spark, sf), ["session_id"], ["ts", "event_id"], make, f"session_id string, {folds.OnlineSegments.SCHEMA}")
 
 
 def offered(spark, sf):
@@ -250,7 +250,7 @@ def stream_online_segments(spark, sf):
     make = partial(folds.OnlineSegments, min_seconds=3600, minute=3600.0)
     fold = lambda df: stateful.fold_stream(df, ["session_id"], ["ts", "event_id"], make, f"session_id string, {folds.OnlineSegments.SCHEMA}", close_after=2 * 86400)
     done = stateful.run_fold(spark, replayed(spark, online_points(spark, sf), "points", "ts"), fold, "ts")
-    return done.filter("session_id is not null").drop("task_id")
+    return done.filter("session_id is not null")
 
 
 view("offers", ["near", "sess"], """

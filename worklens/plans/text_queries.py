@@ -157,12 +157,16 @@ def shorten_sql(c: str) -> str:
     return f"CASE WHEN length({c}) <= 50 THEN {c} WHEN {back} > 0 AND 50 - {back} > 35 THEN {head}[1:50 - {back}] || '...' ELSE {head} || '...' END"
 
 
-@query("smart_task_names", "H15", with_views("naming") + f"""
-SELECT event_id, CASE WHEN detail IS NULL AND app_hint IS NULL THEN CASE WHEN clean <> '' THEN label || ': ' || {shorten_sql('clean')} ELSE label END
-  ELSE concat_ws(' - ', label, detail, app_hint) END AS name
-FROM (SELECT *, {title_case_sql("replace(CASE WHEN hint IS NOT NULL AND continuity < 0.7 THEN hint ELSE 'deep_development' END, '_', ' ')")} AS label,
-  CASE WHEN len(ents) > 0 THEN CASE WHEN length(ents[1]) > 2 THEN ents[1] END WHEN len(words) > 0 THEN {title_case_sql('words[1]')} END AS detail,
-  CASE WHEN shown <> '' AND shown NOT IN ('Firefox', 'Chrome', 'Edge', 'Safari') THEN '(' || shown || ')' END AS app_hint FROM naming) t""")
+def name_sql(task: str) -> str:
+    """Names of the rows of ``naming`` (alias n) joined to whatever gives ``task``."""
+    label = title_case_sql(f"replace(CASE WHEN n.hint IS NOT NULL AND n.continuity < 0.7 THEN n.hint ELSE {task} END, '_', ' ')")
+    detail = f"CASE WHEN len(n.ents) > 0 THEN CASE WHEN length(n.ents[1]) > 2 THEN n.ents[1] END WHEN len(n.words) > 0 THEN {title_case_sql('n.words[1]')} END"
+    hint = "CASE WHEN n.shown <> '' AND n.shown NOT IN ('Firefox', 'Chrome', 'Edge', 'Safari') THEN '(' || n.shown || ')' END"
+    bare = f"CASE WHEN n.clean <> '' THEN {label} || ': ' || {shorten_sql('n.clean')} ELSE {label} END"
+    return f"CASE WHEN {detail} IS NULL AND {hint} IS NULL THEN {bare} ELSE concat_ws(' - ', {label}, {detail}, {hint}) END"
+
+
+@query("smart_task_names", "H15", with_views("naming") + f"SELECT event_id, {name_sql("'deep_development'")} AS name FROM naming n")
 def smart_task_names(spark, sf):
     done = text.with_task_name(named(spark, sf), F.lit("deep_development"), F.col("continuity"))
     return done.select("event_id", F.col("task_name").alias("name"))
