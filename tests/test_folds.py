@@ -185,3 +185,34 @@ def test_event_files_in_any_order_lose_no_rows(spark, tmp_path):
         os.utime(tmp_path / f"events{i:02}.parquet", (1_700_000_000 + i,) * 2)
     count = lambda sf: jobs.run_available(jobs.tumbling_inputs(jobs.event_stream(spark, sf), 3600)).count()
     assert count(str(tmp_path)) == count(SF)
+
+
+class RowsOfKey(folds.Step):
+    SCHEMA = "n bigint"
+
+    def __init__(self):
+        self.n = 0
+
+    def feed(self, row):
+        self.n += 1
+        return []
+
+    def finish(self):
+        return [(self.n,)]
+
+
+def test_fold_after_a_join_that_turns_into_a_broadcast(spark):
+    """All rows of a user meet in one task, although the join before is by the user and its small side is broadcast at run time."""
+    rows = spark.range(40000, numPartitions=8).select((F.col("id") % 50).alias("user_id"), "id")
+    few = spark.range(0, 100000, numPartitions=4).groupBy((F.col("id") % 50).alias("user_id")).agg(F.count(F.lit(1)).alias("m"))
+    # the sum is small enough only once its size is known; the rows stay in more tasks than one
+    changed = {"spark.sql.autoBroadcastJoinThreshold": "100k", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {c: spark.conf.get(c) for c in changed}
+    for name, value in changed.items():
+        spark.conf.set(name, value)
+    try:
+        done = folds.fold_rows(rows.join(few, "user_id"), ["user_id"], ["id"], RowsOfKey, f"user_id bigint, {RowsOfKey.SCHEMA}").collect()
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    assert sorted((r.user_id, r.n) for r in done) == [(u, 800) for u in range(50)]

@@ -16,6 +16,7 @@ from collections.abc import Callable, Iterator, Sequence
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from worklens.functions import rules
 from worklens.operators.statelog import HOLD_SECONDS
@@ -46,7 +47,9 @@ def fold_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], make: Ca
 
     names = [part.split()[0] for part in schema.split(",")]
     rest = [c for c in df.columns if c not in keys]
-    return df.select(*keys, *rest).repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
+    # dealt by a hash of the key: a plain repartition(*keys) is dropped when a join before has dealt the rows by the key already, and
+    # once that join turns into a broadcast at run time, its rows stay in the tasks that read them
+    return df.select(*keys, *rest).repartition(F.xxhash64(*keys)).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
 
 
 def _frame(rows: list[tuple], names: list[str]) -> pd.DataFrame:
