@@ -57,7 +57,7 @@ def _sized(edges: DataFrame, keys: list[str], block: int) -> DataFrame:
     counts = edges.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
     total = counts.agg(F.coalesce(F.sum("__n"), F.lit(0))).first()[0]
     counts = counts.withColumn("__blocks", F.ceil(F.col("__n") / block)).withColumn("__part", F.pmod(F.xxhash64(*keys), F.lit(1 + total // block)))
-    return edges.join(counts.drop("__n"), keys)
+    return edges.join(counts.drop("__n").hint("merge"), keys)
 
 
 def _order() -> Column:
@@ -83,7 +83,7 @@ def spanning_forest(edges: DataFrame, keys: list[str], block: int = BLOCK) -> Da
         done = done.union(picked.select(*columns))
         labels = components(picked.select(*keys, F.col("a").alias("u"), F.col("b").alias("v")), keys, block).drop(*keys)
         for end in ("a", "b"):
-            live = live.join(labels.select(F.col("node").alias(end), F.col("component").alias("__c")), end, "left").withColumn(end, F.coalesce("__c", end)).drop("__c")
+            live = live.join(labels.select(F.col("node").alias(end), F.col("component").alias("__c")).hint("merge"), end, "left").withColumn(end, F.coalesce("__c", end)).drop("__c")
         live = live.where("a <> b")
         # of several edges between two parts only the lightest can be picked
         live = cut_lineage(live.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min_by(F.struct(*columns), _order()).alias("x")).select("x.*", "a", "b"))
@@ -98,7 +98,7 @@ def components(edges: DataFrame, keys: list[str], block: int = BLOCK) -> DataFra
     if not large.isEmpty():
         done = done.union(_stars(cut_lineage(large)))
     key_of = e.select(F.col("u").alias("node"), *keys).union(e.select("v", *keys)).distinct()
-    return key_of.join(done, "node").select(*keys, "node", "component")
+    return key_of.join(done.hint("merge"), "node").select(*keys, "node", "component")
 
 
 def _stars(e: DataFrame) -> DataFrame:
@@ -107,9 +107,9 @@ def _stars(e: DataFrame) -> DataFrame:
     while True:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.where("v > u").join(low.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         down = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(down, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = large.join(down.hint("merge"), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = cut_lineage(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).union(down.select("u", F.col("m").alias("v"))).distinct())
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:

@@ -24,7 +24,7 @@ def index_percentiles(
     counts = present.groupBy(*keys, value).agg(weight.alias("__c"))
     ranked = scan_rows(counts, keys, [value], F.floor(F.col(value) / width), run_sum={"__upto": F.col("__c")})
     totals = present.groupBy(*keys).agg(weight.alias("n"))
-    joined = ranked.join(totals, list(keys))
+    joined = ranked.join(totals.hint("merge"), list(keys))
 
     def at(rank: Column) -> Column:
         return F.max(F.when((F.col("__upto") > rank) & (F.col("__upto") - F.col("__c") <= rank), F.col(value)))

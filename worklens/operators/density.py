@@ -75,11 +75,11 @@ def budgets(classes: DataFrame, keys: list[str], eps: float) -> DataFrame:
     c = classes.select(*keys, "class", "app", "words", F.explode(family).alias("family"))
     side = lambda df, x: df.select(*keys, "family", *(["word"] if "word" in df.columns else []), F.col("class").alias(x), F.struct("app", "words").alias(f"_{x}"))
     if left > w["window"] + SLACK:
-        both = side(c, "a").join(side(c, "b"), [*keys, "family"])
+        both = side(c, "a").join(side(c, "b").hint("merge"), [*keys, "family"])
     else:  # without a word in common nothing is left, but for titles without words, which count as half alike
         words = c.withColumn("word", F.explode("words"))
-        both = side(words, "a").join(side(words, "b"), [*keys, "family", "word"]).drop("word")
-        both = both.union(side(c.where(F.size("words") < 1), "a").join(side(c, "b"), [*keys, "family"]))
+        both = side(words, "a").join(side(words, "b").hint("merge"), [*keys, "family", "word"]).drop("word")
+        both = both.union(side(c.where(F.size("words") < 1), "a").join(side(c, "b").hint("merge"), [*keys, "family"]))
     both = both.select(*keys, F.least(F.struct("a", "_a"), F.struct(F.col("b").alias("a"), F.col("_b").alias("_a"))).alias("x"), F.greatest(F.struct("a", "_a"), F.struct(F.col("b").alias("a"), F.col("_b").alias("_a"))).alias("y"))
     both = both.select(*keys, F.col("x.a").alias("a"), F.col("y.a").alias("b"), F.col("x._a").alias("p"), F.col("y._a").alias("q")).dropDuplicates([*keys, "a", "b"])
     cost = w["window"] * (1 - jaccard(F.col("p.words"), F.col("q.words"))) + w["app"] * (1 - app_family_similarity(F.col("p.app"), F.col("q.app")))
@@ -152,35 +152,35 @@ def far_links(rows: DataFrame, keys: list[str], eps: float, side: int = SIDE) ->
     bound = lambda f: F.array(*[f(F.col("at")[k]) for k in range(len(named))])
     cells = points.groupBy(*keys, "class", "cell").agg(F.min("node").alias("first"), F.first("gpu").alias("gpu"), F.min_by("at", "node").alias("at"), bound(F.min).alias("low"), bound(F.max).alias("high"))
     cells = cut_lineage(cells.withColumnRenamed("first", "node"))
-    members = points.select(*keys, F.col("node").alias("v"), "class", "cell").join(cells.select(*keys, "class", "cell", F.col("node").alias("u")), [*keys, "class", "cell"])
+    members = points.select(*keys, F.col("node").alias("v"), "class", "cell").join(cells.select(*keys, "class", "cell", F.col("node").alias("u")).hint("merge"), [*keys, "class", "cell"])
     chains = members.where("u <> v").select(*keys, "u", "v")
 
     sizes = cells.groupBy(*keys, "class").agg(F.ceil(F.count(F.lit(1)) / side).cast("int").alias("blocks"))
     pairs = budgets(rows.where("app IS NOT NULL").groupBy(*keys, "class").agg(F.first("app").alias("app"), F.first("words").alias("words")), keys, eps)
-    pairs = pairs.join(sizes.toDF(*keys, "a", "a_blocks"), [*keys, "a"]).join(sizes.toDF(*keys, "b", "b_blocks"), [*keys, "b"])
+    pairs = pairs.join(sizes.toDF(*keys, "a", "a_blocks").hint("merge"), [*keys, "a"]).join(sizes.toDF(*keys, "b", "b_blocks").hint("merge"), [*keys, "b"])
     pairs = pairs.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("a_blocks") - 1))).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("b_blocks") - 1)))
     pairs = cut_lineage(pairs.where("a < b OR i <= j").withColumn("square", F.concat_ws(" ", *keys, "a", "b", "i", "j")))
-    blocks = sizes.join(cells, [*keys, "class"]).withColumn("block", F.pmod(F.xxhash64("cell"), F.col("blocks")).cast("int"))
+    blocks = sizes.join(cells.hint("merge"), [*keys, "class"]).withColumn("block", F.pmod(F.xxhash64("cell"), F.col("blocks")).cast("int"))
 
     def sides(cells: DataFrame, columns: list[str]) -> list[DataFrame]:
-        return [pairs.select(*keys, F.col(c).alias("class"), F.col(b).alias("block"), "square", "budget").join(cells, [*keys, "class", "block"]).select("square", "budget", "node", "gpu", *columns) for c, b in (("a", "i"), ("b", "j"))]
+        return [pairs.select(*keys, F.col(c).alias("class"), F.col(b).alias("block"), "square", "budget").join(cells.hint("merge"), [*keys, "class", "block"]).select("square", "budget", "node", "gpu", *columns) for c, b in (("a", "i"), ("b", "j"))]
 
     sure = _meet(*sides(blocks, ["at"]), _forest, "u long, v long").where("u <> v")
     owner = cut_lineage(points.select("node", *keys))
-    sure = cut_lineage(owner.withColumnRenamed("node", "u").join(sure, "u").select(*keys, "u", "v").union(chains))
+    sure = cut_lineage(owner.withColumnRenamed("node", "u").join(sure.hint("merge"), "u").select(*keys, "u", "v").union(chains))
     label = components(sure, keys).select("node", "component")
-    labelled = cut_lineage(blocks.join(label, "node", "left").withColumn("component", F.coalesce("component", "node")))
+    labelled = cut_lineage(blocks.join(label.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node")))
     opened = cut_lineage(_meet(*sides(labelled, ["low", "high", "component"]), _open, "u long, v long").distinct())
     # members of opened cells, in blocks again; one candidate for each pair of cells
-    held = members.select(F.col("u").alias("first"), F.col("v").alias("node")).join(points.select("node", "gpu", "at"), "node")
+    held = members.select(F.col("u").alias("first"), F.col("v").alias("node")).join(points.select("node", "gpu", "at").hint("merge"), "node")
     parts = held.groupBy("first").agg(F.ceil(F.count(F.lit(1)) / side).cast("int").alias("blocks"))
-    held = held.join(parts, "first").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    asked = opened.join(parts.toDF("u", "n"), "u").join(parts.toDF("v", "m"), "v").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
+    held = held.join(parts.hint("merge"), "first").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    asked = opened.join(parts.toDF("u", "n").hint("merge"), "u").join(parts.toDF("v", "m").hint("merge"), "v").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
     asked = asked.withColumn("square", F.concat_ws(" ", "u", "v", "i", "j"))
-    ends = [asked.select(F.col(c).alias("first"), F.col(b).alias("block"), "square").join(held, ["first", "block"]).select("square", "node", "gpu", "at") for c, b in (("u", "i"), ("v", "j"))]
+    ends = [asked.select(F.col(c).alias("first"), F.col(b).alias("block"), "square").join(held.hint("merge"), ["first", "block"]).select("square", "node", "gpu", "at") for c, b in (("u", "i"), ("v", "j"))]
     nearest = _meet(*ends, _nearest, "x long, y long, u long, v long, d double").groupBy("x", "y").agg(F.min_by(F.struct("u", "v"), "d").alias("e")).select("e.u", "e.v")
     s = points.select("node", F.struct("node", *SIMILARITY_COLUMNS).alias("s"), *keys)
-    both = nearest.join(s.toDF("u", "x", *keys), "u").join(s.select("node", "s").toDF("v", "y"), "v")
+    both = nearest.join(s.toDF("u", "x", *keys).hint("merge"), "u").join(s.select("node", "s").toDF("v", "y").hint("merge"), "v")
     first = F.struct(F.col("x.start_time"), "u") <= F.struct(F.col("y.start_time"), F.col("v").alias("u"))
     both = both.select(*keys, "u", "v", F.when(first, F.col("x")).otherwise(F.col("y")).alias("p"), F.when(first, F.col("y")).otherwise(F.col("x")).alias("c"))
     return sure.union(both.where(linked(both, eps)).select(*keys, "u", "v"))
@@ -198,8 +198,8 @@ def cluster_all(segments: DataFrame, keys: list[str], eps: float = 0.3, side: in
     if eps > SIMILARITY_WEIGHTS["temporal"] + SLACK:
         links = links.union(far_links(rows, keys, eps, side))
     label = components(links, keys).select("node", "component")
-    rows = rows.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    rows = rows.join(label.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     first = rows.groupBy(*keys, "component").agg(F.min(F.struct("start_time", "segment_no")).alias("first"))
     number = F.row_number().over(Window.partitionBy(*keys).orderBy("first")) - 1
     first = first.withColumn("cluster", number.cast("long")).drop("first")
-    return rows.join(first, [*keys, "component"]).select(*segments.columns, "cluster")
+    return rows.join(first.hint("merge"), [*keys, "component"]).select(*segments.columns, "cluster")
