@@ -87,4 +87,5 @@ def intensity_share(keys: Column, clicks: Column, mouse: Column, app_changes: Co
 
 
 def intensity(keys: Column, clicks: Column, mouse: Column, app_changes: Column, seconds: float, preset: str = "DEFAULT") -> Column:
-    return F.bround(intensity_share(keys, clicks, mouse, app_changes, seconds, preset) * 100.0, 1)
+    # first to nine places, so that halves fall alike in whatever order the distances were added
+    return F.bround(F.round(intensity_share(keys, clicks, mouse, app_changes, seconds, preset) * 100.0, 9), 1)
