@@ -155,7 +155,8 @@ def stable_patterns(daily: DataFrame, app_days: DataFrame) -> DataFrame:
     )
     share = F.col("secs") / F.sum("secs").over(Window.partitionBy("user_id", "target")) * 100.0
     top = (
-        app_week.withColumn("pct", share).filter("pct >= 50.0").groupBy("user_id", "target")
+        # a share of one half is one half in whatever order the parts were added
+        app_week.withColumn("pct", share).filter("pct >= 50.0 - 1e-9").groupBy("user_id", "target")
         .agg(F.min_by("app", F.struct(-F.round("pct", 6), "app")).alias("dominant_app"), F.max("pct").alias("dominant_pct"))
     )
     f0, f1, f2, f3 = F.col("fragmentation_index"), *[F.lag("fragmentation_index", i).over(_days()) for i in (1, 2, 3)]
