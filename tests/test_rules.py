@@ -1,12 +1,12 @@
 """Small hand-made cases for rules with traps."""
 
-from datetime import datetime, timedelta
+from datetime import date, datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
 from worklens.functions import scoring, text
-from worklens.operators import attribution, classify, features, retention, scans, statelog, tasks
+from worklens.operators import attribution, classify, features, insights, metrics, retention, scans, statelog, tasks, trends
 from worklens.sources import sinks
 
 T0 = datetime(2024, 3, 1, 9, 0)
@@ -147,3 +147,26 @@ def test_filters_and_columns_reach_the_scan(spark):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(ts), LessThan(ts," in plan
     assert "ReadSchema: struct<event_id:bigint,ts:timestamp>" in plan
+
+
+def test_means_at_a_bound_count_in_any_order_of_adding(spark):
+    low = (0.7 + 0.7 + 0.7) / 3
+    assert low < 0.7
+    rows = spark.createDataFrame([(1, "s1", "a", low, 0.1, None, 5.0, "x"), (2, "s2", "a", 0.1, 0.7999999999999999, 0.1, 5.0, "x"), (3, "s3", "a", 0.69, 0.79, 0.59, 5.0, "x")],
+                                 "user_id long, segment_id string, primary_app string, mean_cpu_usage double, mean_ram_usage double, mean_gpu_usage double, duration_minutes double, x string")
+    assert sorted(r.segment_id for r in insights.heavy_segments(rows).collect()) == ["s1", "s2"]
+    assert sorted(r.user_id for r in insights.heavy_tasks(insights.task_resource_usage(rows, ["user_id"])).collect()) == [1, 2]
+
+
+def test_halves_of_an_intensity_fall_alike_in_any_order_of_adding(spark):
+    rows = spark.createDataFrame([(145.8,), (145.79999999999998,)], "m double")
+    none = F.lit(0.0)
+    assert [r[0] for r in rows.select(metrics.intensity(none, none, F.col("m"), none, 300)).collect()] == [12.2, 12.2]
+
+
+def test_an_app_with_half_of_the_week_dominates_in_any_order_of_adding(spark):
+    days = [date(2024, 1, 1), date(2024, 1, 2)]
+    daily = spark.createDataFrame([(1, d, 60.0, 0.5, 0.1, 60.0, 1.0) for d in days], "user_id long, day date, avg_session_seconds double, focus_ratio double, fragmentation_index double, total_active_seconds double, input_density double")
+    apps = spark.createDataFrame([(1, days[0], "z.exe", 0.1), (1, days[1], "z.exe", 0.2), (1, days[0], "a.exe", 0.3)], "user_id long, day date, app string, app_seconds double")
+    found = {r.day: r.dominant_app for r in trends.stable_patterns(daily, apps).collect()}
+    assert found == {days[0]: "a.exe", days[1]: "a.exe"}

@@ -148,7 +148,7 @@ def meeting_periods(segments: DataFrame) -> DataFrame:
 
 def heavy_segments(segments: DataFrame) -> DataFrame:
     """Segments with cpu >= .7, ram >= .8 or gpu >= .6 (unmeasured gpu counts as 0)."""
-    heavy = (F.col("mean_cpu_usage") >= 0.7) | (F.col("mean_ram_usage") >= 0.8) | (_zero("mean_gpu_usage") >= 0.6)
+    heavy = scoring.at_least(F.col("mean_cpu_usage"), 0.7) | scoring.at_least(F.col("mean_ram_usage"), 0.8) | scoring.at_least(_zero("mean_gpu_usage"), 0.6)
     return segments.filter(heavy).select(
         "segment_id", "primary_app", F.col("mean_cpu_usage").alias("cpu_avg"),
         F.col("mean_ram_usage").alias("ram_avg"), F.col("mean_gpu_usage").alias("gpu_avg"),
@@ -157,7 +157,7 @@ def heavy_segments(segments: DataFrame) -> DataFrame:
 
 def heavy_tasks(tasks: DataFrame) -> DataFrame:
     """Tasks with cpu >= .7 or ram >= .8."""
-    return tasks.filter((F.col("cpu_avg") >= 0.7) | (F.col("ram_avg") >= 0.8))
+    return tasks.filter(scoring.at_least(F.col("cpu_avg"), 0.7) | scoring.at_least(F.col("ram_avg"), 0.8))
 
 
 def context_switches(intervals: DataFrame, keys: list[str]) -> DataFrame:

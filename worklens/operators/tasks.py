@@ -116,7 +116,7 @@ def tasks_of(clustered: DataFrame, keys: list[str], min_task_minutes: float = 10
         F.sum("duration_minutes").alias("m"), F.min(F.struct("start_time", "segment_no")).alias("f"))
     primary = apps.groupBy(*group).agg(
         F.min_by("primary_app", F.struct(-F.round("m", 6), F.col("f"))).alias("primary_app"), F.count(F.lit(1)).alias("apps_used"))
-    named = base.join(primary, group, "left").join(title_patterns(clustered, group), group, "left")
+    named = base.join(primary.hint("merge"), group, "left").join(title_patterns(clustered, group).hint("merge"), group, "left")
     name = F.coalesce(text.title_case(F.replace(F.replace("primary_app", F.lit(".exe"), F.lit("")), F.lit("_"), F.lit(" "))), F.lit("Unknown Task"))
     pattern = F.when(F.length("title_pattern") > 3, F.concat(F.lit(": "), text.title_case(F.col("title_pattern")))).otherwise("")
     kind = F.when(F.col("is_multitasking"), " (Multitasking)").when(F.col("is_active"), " (Active)").otherwise(" (Passive)")
@@ -155,12 +155,12 @@ def enriched_records(clustered: DataFrame, tasks: DataFrame, keys: list[str]) ->
     group = [*keys, "cluster"]
     sums = clustered.groupBy(*group).agg(
         F.coalesce(F.avg("mean_gpu_usage"), F.lit(0.0)).alias("avg_gpu"), F.avg("max_audio_volume").alias("audio_volume"),
-        (F.avg("mic_active_ratio") >= 0.5).alias("mic_on"), (F.avg("camera_active_ratio") >= 0.5).alias("camera_on"),
+        scoring.at_least(F.avg("mic_active_ratio"), 0.5).alias("mic_on"), scoring.at_least(F.avg("camera_active_ratio"), 0.5).alias("camera_on"),
         F.sum("total_copy_events").alias("copy_count"), F.sum("total_paste_events").alias("paste_count"),
         F.avg("keyboard_intensity_avg").alias("keyboard_intensity"), F.sum("total_mouse_clicks").alias("mouse_activity"))
     sessions = clustered.filter("session_id is not null").groupBy(*group, "session_id").agg(F.count(F.lit(1)).alias("n"), F.min("start_time").alias("f"))
     session = sessions.groupBy(*group).agg(F.min_by("session_id", F.struct(-F.col("n"), F.col("f"))).alias("session_id"))
-    return tasks.join(sums, group).join(session, group, "left")
+    return tasks.join(sums.hint("merge"), group).join(session.hint("merge"), group, "left")
 
 
 # ---- distance of stored segments -------------------------------------------------------------------
@@ -229,14 +229,14 @@ def distance_distribution(distances: DataFrame, keys: list[str]) -> DataFrame:
         F.count_if(d < 0.3).alias("very_similar"), F.count_if((d >= 0.3) & (d < 0.5)).alias("similar"), F.count_if(d >= 0.5).alias("different"))
     n = F.col("n")
     ranks = index_percentiles(distances, keys, "distance", {"q1": F.floor(n / 4), "q2": F.floor(n / 2), "q3": F.floor(n * 3 / 4)}, width=0.01)
-    return base.join(ranks.drop("n"), keys)
+    return base.join(ranks.drop("n").hint("merge"), keys)
 
 
 def merge_neighbours(distances: DataFrame, segments: DataFrame, eps: float = 0.4) -> DataFrame:
     """J03 / J08 on neighbours: segments of a session chained while the distance to the one before is at
     most ``eps``. Adds the cluster number, from 0 per session."""
     near = distances.select("segment_id", "distance")
-    rows = segments.join(near, "segment_id", "left").withColumn("opens", F.when(F.col("distance") <= eps, 0).otherwise(1))
+    rows = segments.join(near.hint("merge"), "segment_id", "left").withColumn("opens", F.when(F.col("distance") <= eps, 0).otherwise(1))
     done = scan_rows(rows, ["session_id"], ["start_time", "segment_id"], day_chunk("start_time"), run_sum={"cluster": F.col("opens")})
     return done.withColumn("cluster", F.col("cluster") - 1).drop("opens")
 
@@ -260,7 +260,7 @@ def merged_segments(clustered: DataFrame) -> DataFrame:
     top = counts.withColumn("r", F.row_number().over(w)).filter("r <= 3").withColumn("word", F.concat(F.upper(F.substring("word", 1, 1)), F.expr("substring(word, 2)")))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "word"))), lambda s: s["word"]), " ")  # three words
     title = F.when(F.col("titles") == 0, "Unknown").when(F.col("titles") == 1, F.col("first_title")).otherwise(F.coalesce("words", "first_title"))
-    rows = base.join(modal("app", "app"), group).join(modal("generic_task", "generic_task"), group).join(top.groupBy(*group).agg(joined.alias("words")), group, "left")
+    rows = base.join(modal("app", "app").hint("merge"), group).join(modal("generic_task", "generic_task").hint("merge"), group).join(top.groupBy(*group).agg(joined.alias("words")).hint("merge"), group, "left")
     label = text.title_case(F.replace("generic_task", F.lit("_"), F.lit(" ")))
     return rows.withColumn("window_context", title).withColumn("task_name", F.concat_ws(" - ", label, "window_context")).drop("words", "titles", "first_title")
 
@@ -268,7 +268,7 @@ def merged_segments(clustered: DataFrame) -> DataFrame:
 def sweep(distances: DataFrame, segments: DataFrame, eps_values: list[float]) -> DataFrame:
     """Clusters, merged segments and score per session and threshold, in one pass: a cluster
     opens wherever the distance to the segment before exceeds the threshold."""
-    rows = segments.select("session_id", "segment_id").join(distances.select("segment_id", "distance"), "segment_id", "left")
+    rows = segments.select("session_id", "segment_id").join(distances.select("segment_id", "distance").hint("merge"), "segment_id", "left")
     per = F.explode(F.array(*[F.lit(e) for e in eps_values]))
     n, opened = F.count(F.lit(1)), F.sum(F.when(F.col("distance") <= F.col("eps"), 0).otherwise(1))
     tried = rows.withColumn("eps", per).groupBy("session_id", "eps").agg(n.alias("segments"), opened.alias("clusters"))
