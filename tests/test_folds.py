@@ -216,3 +216,16 @@ def test_fold_after_a_join_that_turns_into_a_broadcast(spark):
         for name, value in before.items():
             spark.conf.set(name, value)
     assert sorted((r.user_id, r.n) for r in done) == [(u, 800) for u in range(50)]
+
+
+@pytest.mark.parametrize("files", [1, 3])
+def test_keys_that_share_their_state_stay_apart(spark, tmp_path, monkeypatch, files):
+    monkeypatch.setattr(stateful, "SHARES", 1)
+    rows = src.candidates(spark, SF)
+    hold = {"IDLE": 36000, "ACTIVE_UNALIGNED": 18000, "ACTIVE_ALIGNED": 0}
+    rows.repartitionByRange(files, "ts").sortWithinPartitions("ts").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+    make, schema = partial(folds.Hysteresis, hold), f"user_id bigint, {folds.Hysteresis.SCHEMA}"
+    done = stateful.run_fold(spark, stream, lambda df: stateful.fold_stream(df, ["user_id"], ["ts", "event_id"], make, schema), "ts").filter("user_id is not null")
+    pick = lambda d: sorted((r.user_id, r.ts, r.from_state or "", r.to_state, r.since, r.duration_prev) for r in d.collect())
+    assert pick(done) == pick(folds.fold_rows(rows, ["user_id"], ["ts", "event_id"], make, schema))

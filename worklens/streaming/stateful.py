@@ -20,18 +20,20 @@ from worklens.session import shared_folder
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # see operators.folds
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Groups of keys whose state is read and written at once.
+SHARES = 2048
 
 
 class FoldProcessor(StatefulProcessor):
-    """Keeps a step's state and the rows that the watermark has not passed yet, as text. When it passes them, a key's
+    """Keeps the steps of a share of the keys and the rows that the watermark has not passed yet, as text. When it passes them, a key's
     rows are fed in time order; so the cut into micro-batches and the order of the files do not matter."""
 
-    def __init__(self, make: Callable[[], Step], order: list[str], names: list[str], close_after: float | None = None):
-        self.make, self.order, self.names, self.close_after = make, order, names, close_after
+    def __init__(self, make: Callable[[], Step], keys: list[str], order: list[str], names: list[str], close_after: float | None = None):
+        self.make, self.keys, self.order, self.names, self.close_after = make, keys, order, names, close_after
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("step", StructType([StructField("at", LongType()), StructField("text", StringType())]))
+        self.state = handle.getValueState("steps", StructType([StructField("text", StringType())]))
         self.waiting = handle.getListState("waiting", StructType([StructField("at", LongType()), StructField("text", StringType())]))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
@@ -52,28 +54,43 @@ class FoldProcessor(StatefulProcessor):
         now = timerValues.getCurrentWatermarkInMs()
         held = [(int(at), text) for at, text in self.waiting.get()]
         later = [r for r in held if r[0] > now]
-        ready = sorted((json.loads(text) for at, text in held if at <= now), key=lambda r: [r[c] for c in self.order])
-        if not ready and not self.state.exists():
+        found = self.state.get()
+        steps = {tuple(k): (last, text) for k, last, text in json.loads(found[0])} if found else {}
+        ready: dict[tuple, list[tuple]] = {}
+        for at, text in held:
+            if at <= now:
+                row = json.loads(text)
+                ready.setdefault(tuple(row[k] for k in self.keys), []).append((at, row))
+        waits = {tuple(row[k] for k in self.keys) for row in (json.loads(text) for _, text in later)}
+        closes = lambda last: None if self.close_after is None else last + int(self.close_after * 1000)
+        silent = [k for k, (last, _) in steps.items() if k not in ready and k not in waits and closes(last) is not None and closes(last) <= now]
+        if not ready and not silent:
             return
-        step, last = self.make(), None
-        if self.state.exists():
-            last, text = self.state.get()
-            step.load(text)
-        out = [tuple(key) + r for row in ready for r in step.feed(row)]
+        out = []
+        for k in [*ready, *silent]:
+            step, last = self.make(), None
+            if k in steps:
+                last, text = steps[k]
+                step.load(text)
+            rows = sorted(ready.get(k, []), key=lambda r: [r[1][c] for c in self.order])
+            out += [k + r for _, row in rows for r in step.feed(row)]
+            last = max((at for at, _ in rows), default=last)
+            if closes(last) is not None and closes(last) <= now and k not in waits:  # the key has been silent: end it and forget it
+                out += [k + r for r in step.finish()]
+                steps.pop(k, None)
+            else:
+                steps[k] = (last, step.dump())
         if ready:
-            last = max(at for at, _ in held if at <= now)
             self.waiting.clear()
             if later:
                 self.waiting.put(later)
-                self.handle.registerTimer(min(at for at, _ in later))
-        closes = None if self.close_after is None else int(last) + int(self.close_after * 1000)
-        if closes is not None and closes <= now and not later:  # the key has been silent: end it and forget it
-            out += [tuple(key) + r for r in step.finish()]
-            self.state.clear()
+        if steps:
+            self.state.update((json.dumps([[list(k), last, text] for k, (last, text) in steps.items()]),))
         else:
-            self.state.update((int(last), step.dump()))
-            if closes is not None and closes > now:
-                self.handle.registerTimer(closes)
+            self.state.clear()
+        ahead = [at for at, _ in later] + [c for c in (closes(last) for last, _ in steps.values()) if c is not None and c > now]
+        if ahead:
+            self.handle.registerTimer(min(ahead))
         yield _frame(out, self.names)
 
     def close(self) -> None:
@@ -86,10 +103,12 @@ def fold_stream(stream: DataFrame, keys: list[str], order: list[str], make: Call
 
     ``order`` begins with the event time. Rows wait in the state until the watermark, ``delay`` behind the newest row,
     has passed them; rows that come later than that are dropped, as in any windowed stream. A key without a row for
-    ``close_after`` seconds is finished and its state dropped. The session must use the RocksDB state store."""
+    ``close_after`` seconds is finished and its state dropped. Keys are dealt into SHARES groups that keep their state together, since every
+    call to the state store costs as much as feeding many rows. The session must use the RocksDB state store."""
     names = [part.split()[0] for part in schema.split(",")]
-    return stream.withWatermark(order[0], delay).groupBy(*keys).transformWithStateInPandas(
-        statefulProcessor=FoldProcessor(make, order, names, close_after), outputStructType=schema, outputMode="Append", timeMode="EventTime")
+    share = F.pmod(F.xxhash64(*keys), F.lit(SHARES))
+    return stream.withWatermark(order[0], delay).withColumn("__share", share).groupBy("__share").transformWithStateInPandas(
+        statefulProcessor=FoldProcessor(make, keys, order, names, close_after), outputStructType=schema, outputMode="Append", timeMode="EventTime")
 
 
 def run_fold(spark: SparkSession, stream: DataFrame, fold: Callable[[DataFrame], DataFrame], ts: str) -> DataFrame:
