@@ -2,6 +2,7 @@
 
 import __spark_entry__ as entry
 import pytest
+from worklens import session
 from worklens.session import shared_folder
 from worklens.streaming import jobs
 
@@ -75,3 +76,20 @@ def test_task_moments_and_live_scores_do_not_depend_on_the_batches(spark, tmp_pa
     assert rows(jobs.run_complete(jobs.task_moments(jobs.event_stream(spark, cut, 1)))) == rows(jobs.run_complete(jobs.task_moments(jobs.event_stream(spark, SF))))
     predict = lambda batch: batch.select("event_id", "k")
     assert rows(jobs.live_scores(spark, cut, predict, 1)) == rows(jobs.live_scores(spark, SF, predict))
+
+
+def test_stored_tables_are_built_with_shuffles_in_proportion_to_their_source(spark, tmp_path, monkeypatch):
+    """So that one task does not hold more of a larger input."""
+    spark.read.parquet(f"{SF}/events.parquet").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    names = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    before, seen = [spark.conf.get(n) for n in names], []
+
+    def build():
+        seen.extend(int(spark.conf.get(n)) for n in names)
+        return spark.range(1)
+
+    monkeypatch.setattr(session, "SHARE", 1000)
+    session.stored(spark, str(tmp_path), "sized", build)
+    size = sum(f.stat().st_size for f in (tmp_path / "events.parquet").iterdir() if f.name.startswith(("part-", "_SUCCESS")))
+    assert seen == [-(-size // 1000), session.TASK_BYTES] and seen[0] > int(before[0])
+    assert [spark.conf.get(n) for n in names] == before
