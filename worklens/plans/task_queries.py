@@ -240,7 +240,7 @@ def links_sql(eps: str) -> str:
 
 
 def session_points(spark, sf):
-    return linkage.points_of(closed(spark, sf), max_gap_minutes=3600)
+    return linkage.points_of(closed(spark, sf), max_gap_minutes=3600, short=linkage.SHORT)
 
 
 @query("session_links", "C11 H31", links_sql("[0.4]") + f"""
