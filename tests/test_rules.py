@@ -170,3 +170,17 @@ def test_an_app_with_half_of_the_week_dominates_in_any_order_of_adding(spark):
     apps = spark.createDataFrame([(1, days[0], "z.exe", 0.1), (1, days[1], "z.exe", 0.2), (1, days[0], "a.exe", 0.3)], "user_id long, day date, app string, app_seconds double")
     found = {r.day: r.dominant_app for r in trends.stable_patterns(daily, apps).collect()}
     assert found == {days[0]: "a.exe", days[1]: "a.exe"}
+
+
+def test_whole_inputs_of_a_segment_stay_whole(spark):
+    """.7 + .1 + .2 falls just short of 1."""
+    from datetime import datetime, timedelta
+
+    from worklens.operators import scans
+
+    t0 = datetime(2024, 3, 1, 9)
+    value = [0.7, 0.1, 0.2]
+    iv = [("s", t0 + timedelta(minutes=i), t0 + timedelta(minutes=i + 1), 0.5, 0.5, 0.5, 0.0, v, 0) for i, v in enumerate(value)]
+    signals = spark.createDataFrame(iv, "session_id string, timestamp_start timestamp, timestamp_end timestamp, cpu_usage double, ram_usage double, gpu_usage double, audio_volume double, keyboard_intensity double, mouse_clicks int").coalesce(1)
+    spans = spark.createDataFrame([(1, "s", t0, t0 + timedelta(hours=1))], "segment_id long, session_id string, start_time timestamp, end_time timestamp")
+    assert [r["event_count"] for r in scans.segment_metrics(spans, signals).collect()] == [1]
