@@ -3,6 +3,8 @@
 import random
 from datetime import timedelta
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -70,3 +72,34 @@ def test_edges_of_density(spark):
     one = df.limit(1)
     far = one.union(one.withColumns({"start_time": F.col("start_time") + timedelta(days=9), "end_time": F.col("end_time") + timedelta(days=9), "segment_no": F.col("segment_no") + 50}))
     assert T0 and density.cluster_all(far.fillna("Report draft", ["primary_window_title"]).fillna("code.exe", ["primary_app"]), ["user_id"]).select("cluster").distinct().count() == 1
+
+
+@pytest.mark.parametrize("pairs", [1, 7, 1 << 18])
+def test_small_squares_are_compared_together(monkeypatch, pairs):
+    rng, n = np.random.default_rng(pairs), 300
+    monkeypatch.setattr(density, "PAIRS", pairs)
+
+    def side(first, most):
+        squares = np.repeat(np.arange(n), rng.integers(0, most, n))
+        rng.shuffle(squares)
+        at = rng.random((len(squares), len(density.WEIGHTS)))
+        names = [f"{s} {s + 1} 0 0" for s in squares]
+        return pd.DataFrame({"square": names, "budget": 0.05 + squares / 1e4, "node": np.arange(len(squares)) + first, "gpu": rng.random(len(squares)) < 0.5, "at": list(at)})
+
+    x, y = side(0, 4), side(10_000, 5)
+    full, bare = (np.array([w[k] for w in density.WEIGHTS.values()]) for k in (0, 1))
+    apart = {(a.node, b.node): (abs(a.at - b.at) * (full if a.gpu and b.gpu else bare)).sum() for a in x.itertuples() for b in y.itertuples() if a.square == b.square}
+    calls, merged = [], density.merged
+    monkeypatch.setattr(density, "merged", lambda *a: calls.append(1) or merged(*a))
+    got = density._forest(x, y)
+    budget = dict(zip(x.node, x.budget))
+    links = [p for p, d in apart.items() if d <= budget[p[0]] - density.SLACK]
+    parts = lambda u, v: dict(zip(*merged(np.array(u), np.array(v), range(len(u)))[1:]))
+    assert links and parts(got["u"], got["v"]) == parts(*zip(*links))
+    assert pairs < 1 << 18 or len(calls) == 1  # not one pass for each square
+    best = {}
+    for (u, v), d in apart.items():
+        s = x.square[x.node == u].iloc[0]
+        best[s] = min(best.get(s, (9, 0, 0)), (d, u, v))
+    found = {f"{r.x} {r.y} 0 0": (r.u, r.v) for r in density._nearest(x, y).itertuples()}
+    assert found == {s: (u, v) for s, (_, u, v) in best.items()}

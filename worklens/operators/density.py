@@ -30,6 +30,8 @@ from worklens.session import cut_lineage
 NEAR = 30
 #: Cells on a side of a square, and members on a side of an opened pair of cells.
 SIDE = 1024
+#: Pairs of cells that are compared at once, and squares that share a group of a task.
+PAIRS, SHARED = 1 << 18, 1 << 14
 #: What rounding may add to a distance; anything closer to a bound than this is decided by the similarity itself.
 SLACK = 1e-9
 
@@ -86,56 +88,72 @@ def budgets(classes: DataFrame, keys: list[str], eps: float) -> DataFrame:
     return both.select(*keys, "a", "b", (F.lit(left) - cost).alias("budget")).where(F.col("budget") > SLACK)
 
 
-def _distances(x: pd.DataFrame, y: pd.DataFrame, low: str = "at", high: str = "at") -> np.ndarray:
-    """Weighted L1 distance of every row of ``x`` and ``y``, or of their boxes: nothing where ranges of a measure overlap."""
-    a0, a1, b0, b1 = (np.stack(df[c].to_numpy()) for df, c in ((x, low), (x, high), (y, low), (y, high)))
-    both = x["gpu"].to_numpy()[:, None] & y["gpu"].to_numpy()[None, :]
-    out = np.zeros((len(x), len(y)))
-    for k, (full, bare) in enumerate(WEIGHTS.values()):
-        apart = np.maximum(np.maximum(b0[None, :, k] - a1[:, None, k], a0[:, None, k] - b1[None, :, k]), 0.0)
-        out += apart * np.where(both, full, bare)
-    return out
-
-
-def _squares(left: pd.DataFrame, right: pd.DataFrame) -> Iterator[tuple[pd.DataFrame, pd.DataFrame]]:
-    others = dict(list(right.groupby("square", sort=False)))
-    for name, x in left.groupby("square", sort=False):
-        if name in others:
-            yield x, others[name]
+def _pairs(left: pd.DataFrame, right: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Positions of the rows of ``left`` and ``right`` that share a square, every one with every other, and the square's number, in
+    order: whole squares, as many at once as have about PAIRS pairs, since most squares are small."""
+    codes, names = pd.factorize(pd.concat([left["square"], right["square"]]))
+    a, b = codes[: len(left)], codes[len(left) :]
+    row_a, row_b = a.argsort(kind="stable"), b.argsort(kind="stable")
+    n_a, n_b = np.bincount(a, minlength=len(names)), np.bincount(b, minlength=len(names))
+    from_a, from_b, n = n_a.cumsum() - n_a, n_b.cumsum() - n_b, n_a * n_b
+    run = (n.cumsum() - n) // PAIRS
+    for squares in np.split(np.arange(len(names)), np.flatnonzero(np.diff(run)) + 1):
+        square = np.repeat(squares, n[squares])
+        at = np.arange(len(square)) - np.repeat(n[squares].cumsum() - n[squares], n[squares])
+        if len(square):
+            yield row_a[from_a[square] + at // n_b[square]], row_b[from_b[square] + at % n_b[square]], square
+
+
+def _distances(x: pd.DataFrame, y: pd.DataFrame, low: str = "at", high: str = "at") -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """The runs of ``_pairs`` with the weighted L1 distance of the two rows, or of their boxes: nothing where ranges of a measure overlap."""
+    if not len(x) or not len(y):
+        return
+    a0, a1, b0, b1 = (np.stack(df[c].to_numpy()).T.copy() for df, c in ((x, low), (x, high), (y, low), (y, high)))
+    gpu_x, gpu_y = x["gpu"].to_numpy(), y["gpu"].to_numpy()
+    for i, j, square in _pairs(x, y):
+        both, out = gpu_x[i] & gpu_y[j], np.zeros(len(i))
+        for k, (full, bare) in enumerate(WEIGHTS.values()):
+            apart = np.maximum(np.maximum(b0[k][j] - a1[k][i], a0[k][i] - b1[k][j]), 0.0)
+            out += apart * np.where(both, full, bare)
+        yield i, j, square, out
 
 
 def _forest(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-    """A spanning forest of the sure links of each square: first members within the budget."""
-    out = []
-    for x, y in _squares(left, right):
-        i, j = np.nonzero(_distances(x, y) <= x["budget"].iloc[0] - SLACK)
-        u, v = x["node"].to_numpy()[i], y["node"].to_numpy()[j]
-        used, _, _ = merged(u, v, range(len(u)))
+    """A spanning forest of the sure links of the squares: first members within the budget."""
+    out, budget = [], left["budget"].to_numpy()
+    for i, j, _, d in _distances(left, right):
+        near = d <= budget[i] - SLACK
+        u, v = left["node"].to_numpy()[i[near]], right["node"].to_numpy()[j[near]]
+        used, _, _ = merged(u, v, np.flatnonzero(u != v).tolist())
         out.append(pd.DataFrame({"u": u[used], "v": v[used]}))
     return pd.concat(out) if out else pd.DataFrame({"u": [], "v": []}, dtype=np.int64)
 
 
 def _open(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
     """Cells of different components whose boxes are within the budget."""
-    out = []
-    for x, y in _squares(left, right):
-        apart = x["component"].to_numpy()[:, None] != y["component"].to_numpy()[None, :]
-        i, j = np.nonzero(apart & (_distances(x, y, "low", "high") <= x["budget"].iloc[0] + SLACK))
-        out.append(pd.DataFrame({"u": x["node"].to_numpy()[i], "v": y["node"].to_numpy()[j]}))
+    out, budget, x, y = [], left["budget"].to_numpy(), left["component"].to_numpy(), right["component"].to_numpy()
+    for i, j, _, d in _distances(left, right, "low", "high"):
+        near = (x[i] != y[j]) & (d <= budget[i] + SLACK)
+        out.append(pd.DataFrame({"u": left["node"].to_numpy()[i[near]], "v": right["node"].to_numpy()[j[near]]}))
     return pd.concat(out) if out else pd.DataFrame({"u": [], "v": []}, dtype=np.int64)
 
 
 def _nearest(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
     """The nearest two members of each opened pair of cells."""
-    out = [(*x["square"].iloc[0].split(" ")[:2], x["node"].iloc[i], y["node"].iloc[j], d[i, j]) for x, y in _squares(left, right) for d in (_distances(x, y),) for i, j in (np.unravel_index(d.argmin(), d.shape),)]
-    out = pd.DataFrame(out, columns=["x", "y", "u", "v", "d"])
-    return out.astype({"x": np.int64, "y": np.int64})
+    out = []
+    for i, j, square, d in _distances(left, right):
+        order = np.lexsort((d, square))
+        best = order[np.r_[True, np.diff(square[order]) > 0]]
+        ends = left["square"].iloc[i[best]].str.split(" ", expand=True)
+        out.append(pd.DataFrame({"x": ends[0].to_numpy(), "y": ends[1].to_numpy(), "u": left["node"].to_numpy()[i[best]], "v": right["node"].to_numpy()[j[best]], "d": d[best]}))
+    out = pd.concat(out) if out else pd.DataFrame({"x": [], "y": [], "u": [], "v": [], "d": []})
+    return out.astype({"x": np.int64, "y": np.int64, "u": np.int64, "v": np.int64, "d": np.float64})
 
 
-def _meet(left: DataFrame, right: DataFrame, fn, schema: str) -> DataFrame:
-    """``fn`` over both sides of every square; small squares share a task."""
+def _meet(squares: DataFrame, left: DataFrame, right: DataFrame, fn, schema: str) -> DataFrame:
+    """``fn`` over both sides of every square; small squares share a task, SHARED of them at most on the average."""
     right = right.toDF(*right.columns)  # columns of its own, for the cogroup
-    n = F.pmod(F.xxhash64("square"), F.lit(max(8, left.sparkSession.sparkContext.defaultParallelism * 4)))
+    n = F.pmod(F.xxhash64("square"), F.lit(max(8, left.sparkSession.sparkContext.defaultParallelism * 4, squares.count() // SHARED)))
     return left.withColumn("task", n).groupBy("task").cogroup(right.withColumn("task", n).groupBy("task")).applyInPandas(lambda x, y: fn(x, y), schema)
 
 
@@ -159,26 +177,26 @@ def far_links(rows: DataFrame, keys: list[str], eps: float, side: int = SIDE) ->
     pairs = budgets(rows.where("app IS NOT NULL").groupBy(*keys, "class").agg(F.first("app").alias("app"), F.first("words").alias("words")), keys, eps)
     pairs = pairs.join(sizes.toDF(*keys, "a", "a_blocks").hint("merge"), [*keys, "a"]).join(sizes.toDF(*keys, "b", "b_blocks").hint("merge"), [*keys, "b"])
     pairs = pairs.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("a_blocks") - 1))).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("b_blocks") - 1)))
-    pairs = cut_lineage(pairs.where("a < b OR i <= j").withColumn("square", F.concat_ws(" ", *keys, "a", "b", "i", "j")))
+    pairs = cut_lineage(pairs.where("a < b OR i <= j").withColumn("square", F.monotonically_increasing_id()))
     blocks = sizes.join(cells.hint("merge"), [*keys, "class"]).withColumn("block", F.pmod(F.xxhash64("cell"), F.col("blocks")).cast("int"))
 
     def sides(cells: DataFrame, columns: list[str]) -> list[DataFrame]:
         return [pairs.select(*keys, F.col(c).alias("class"), F.col(b).alias("block"), "square", "budget").join(cells.hint("merge"), [*keys, "class", "block"]).select("square", "budget", "node", "gpu", *columns) for c, b in (("a", "i"), ("b", "j"))]
 
-    sure = _meet(*sides(blocks, ["at"]), _forest, "u long, v long").where("u <> v")
+    sure = _meet(pairs, *sides(blocks, ["at"]), _forest, "u long, v long").where("u <> v")
     owner = cut_lineage(points.select("node", *keys))
     sure = cut_lineage(owner.withColumnRenamed("node", "u").join(sure.hint("merge"), "u").select(*keys, "u", "v").union(chains))
     label = components(sure, keys).select("node", "component")
     labelled = cut_lineage(blocks.join(label.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node")))
-    opened = cut_lineage(_meet(*sides(labelled, ["low", "high", "component"]), _open, "u long, v long").distinct())
+    opened = cut_lineage(_meet(pairs, *sides(labelled, ["low", "high", "component"]), _open, "u long, v long").distinct())
     # members of opened cells, in blocks again; one candidate for each pair of cells
     held = members.select(F.col("u").alias("first"), F.col("v").alias("node")).join(points.select("node", "gpu", "at").hint("merge"), "node")
     parts = held.groupBy("first").agg(F.ceil(F.count(F.lit(1)) / side).cast("int").alias("blocks"))
     held = held.join(parts.hint("merge"), "first").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     asked = opened.join(parts.toDF("u", "n").hint("merge"), "u").join(parts.toDF("v", "m").hint("merge"), "v").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
-    asked = asked.withColumn("square", F.concat_ws(" ", "u", "v", "i", "j"))
+    asked = cut_lineage(asked.withColumn("square", F.concat_ws(" ", "u", "v", "i", "j")))
     ends = [asked.select(F.col(c).alias("first"), F.col(b).alias("block"), "square").join(held.hint("merge"), ["first", "block"]).select("square", "node", "gpu", "at") for c, b in (("u", "i"), ("v", "j"))]
-    nearest = _meet(*ends, _nearest, "x long, y long, u long, v long, d double").groupBy("x", "y").agg(F.min_by(F.struct("u", "v"), "d").alias("e")).select("e.u", "e.v")
+    nearest = _meet(asked, *ends, _nearest, "x long, y long, u long, v long, d double").groupBy("x", "y").agg(F.min_by(F.struct("u", "v"), "d").alias("e")).select("e.u", "e.v")
     s = points.select("node", F.struct("node", *SIMILARITY_COLUMNS).alias("s"), *keys)
     both = nearest.join(s.toDF("u", "x", *keys).hint("merge"), "u").join(s.select("node", "s").toDF("v", "y").hint("merge"), "v")
     first = F.struct(F.col("x.start_time"), "u") <= F.struct(F.col("y.start_time"), F.col("v").alias("u"))
