@@ -1,10 +1,12 @@
 """Window forms, batch folds and streams of the order-dependent rules against plain folds."""
 
+import json
 import os
 import random
 from functools import partial
 from datetime import datetime, timedelta
 
+import pandas as pd
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
@@ -229,3 +231,21 @@ def test_keys_that_share_their_state_stay_apart(spark, tmp_path, monkeypatch, fi
     done = stateful.run_fold(spark, stream, lambda df: stateful.fold_stream(df, ["user_id"], ["ts", "event_id"], make, schema), "ts").filter("user_id is not null")
     pick = lambda d: sorted((r.user_id, r.ts, r.from_state or "", r.to_state, r.since, r.duration_prev) for r in d.collect())
     assert pick(done) == pick(folds.fold_rows(rows, ["user_id"], ["ts", "event_id"], make, schema))
+
+
+def test_waiting_rows_of_a_batch_are_one_entry():
+    kept, timers = [], []
+
+    class Handle:
+        getValueState = staticmethod(lambda *a: None)
+        getListState = staticmethod(lambda *a: type("Kept", (), {"appendList": staticmethod(kept.append)}))
+        registerTimer = staticmethod(timers.append)
+
+    processor = stateful.FoldProcessor(RowsOfKey, ["user_id"], ["ts"], ["user_id", "n"])
+    processor.init(Handle)
+    batch = pd.DataFrame({"user_id": [1] * 500, "ts": pd.date_range("2024-01-01", periods=500, freq="s")[::-1]})
+    list(processor.handleInputRows((0,), iter([batch, batch.iloc[:0], batch]), None))
+    first = 1_704_067_200_000
+    assert timers == [first] and [[at for at, _ in entry] for entry in kept] == [[first], [first]]
+    columns, rows = json.loads(kept[0][0][1])
+    assert columns == ["user_id", "ts"] and len(rows) == 500 and rows[0] == [first + 499_000, 1, "2024-01-01 00:08:19"]

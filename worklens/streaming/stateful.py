@@ -24,6 +24,10 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 SHARES = 2048
 
 
+def _text(columns: list[str], rows: list[list]) -> str:
+    return json.dumps([columns, rows], default=lambda x: x.tolist() if hasattr(x, "tolist") else str(x))
+
+
 class FoldProcessor(StatefulProcessor):
     """Keeps the steps of a share of the keys and the rows that the watermark has not passed yet, as text. When it passes them, a key's
     rows are fed in time order; so the cut into micro-batches and the order of the files do not matter."""
@@ -39,29 +43,36 @@ class FoldProcessor(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         first = None
         for batch in rows:
-            new = []
-            for values in batch.itertuples(index=False, name=None):
-                row = dict(zip(batch.columns, values))
-                at = pd.Timestamp(row[self.order[0]]).value // 1_000_000
-                first = at if first is None else min(first, at)
-                new.append((at, json.dumps(row, default=lambda x: x.tolist() if hasattr(x, "tolist") else str(x))))
-            self.waiting.appendList(new)
+            if batch.empty:
+                continue
+            at = batch[self.order[0]].to_numpy("datetime64[ns]").astype("int64") // 1_000_000
+            first = int(at.min()) if first is None else min(first, int(at.min()))
+            # the rows of a batch are one entry, since writing an entry costs more than its rows do
+            held = [[int(a), *values] for a, values in zip(at, batch.itertuples(index=False, name=None))]
+            self.waiting.appendList([(int(at.min()), _text(list(batch.columns), held))])
         if first is not None:
             self.handle.registerTimer(first)
         yield _frame([], self.names)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs()
-        held = [(int(at), text) for at, text in self.waiting.get()]
-        later = [r for r in held if r[0] > now]
         found = self.state.get()
         steps = {tuple(k): (last, text) for k, last, text in json.loads(found[0])} if found else {}
         ready: dict[tuple, list[tuple]] = {}
-        for at, text in held:
-            if at <= now:
-                row = json.loads(text)
-                ready.setdefault(tuple(row[k] for k in self.keys), []).append((at, row))
-        waits = {tuple(row[k] for k in self.keys) for row in (json.loads(text) for _, text in later)}
+        later, waits = [], set()
+        for _, text in self.waiting.get():
+            columns, held = json.loads(text)
+            late = []
+            for at, *values in held:
+                row = dict(zip(columns, values))
+                key = tuple(row[k] for k in self.keys)
+                if at <= now:
+                    ready.setdefault(key, []).append((at, row))
+                else:
+                    waits.add(key)
+                    late.append([at, *values])
+            if late:
+                later.append((min(r[0] for r in late), text if len(late) == len(held) else _text(columns, late)))
         closes = lambda last: None if self.close_after is None else last + int(self.close_after * 1000)
         silent = [k for k, (last, _) in steps.items() if k not in ready and k not in waits and closes(last) is not None and closes(last) <= now]
         if not ready and not silent:
