@@ -121,6 +121,24 @@ def test_latent_tasks_first_session_opens_a_task_and_equal_ones_join(spark):
     assert got["c"] == ("latent-1-2", 0.5, 1) and got["d"] == ("latent-2-1", 1.0, 1)
 
 
+def test_latent_tasks_add_gaps_as_the_studied_code_does(spark):
+    """The third session lies half way between the two tasks, and its gaps differ in their last bit only when squares are added one by one."""
+    day = lambda minutes, focus, steady: [0.0, focus, 1.0, 1.0, steady, 0.05, minutes / 480, 1.0]
+    low, high, mid = day(196, 0.7432819599068261, 0.7311320754716981), day(424, 0.7432819599068261, 0.7311320754716981), day(310, 1.0, 1.0)
+
+    def gap(a, b):  # agent/task/inference.py:72-91
+        squares = 0.0
+        for x, y in zip(a, b):
+            squares += (x - y) * (x - y)
+        return min((squares / len(a)) ** 0.5, 1.0)
+
+    assert gap(mid, high) < gap(mid, low) < gap(mid, high) + 1e-15
+    rows = [(1, s, T0 + timedelta(i), v) for i, (s, v) in enumerate([("a", low), ("b", high), ("c", mid)])]
+    df = spark.createDataFrame(rows, "user_id long, session_id string, start_time timestamp, vector array<double>")
+    got = {r.session_id: (r.task_id, r.members) for r in folds.fold_rows(df, ["user_id"], ["start_time"], folds.LatentTasks, f"user_id bigint, {folds.LatentTasks.SCHEMA}").collect()}
+    assert got == {"a": ("latent-1-1", 1), "b": ("latent-1-2", 1), "c": ("latent-1-2", 2)}
+
+
 def test_a_step_survives_being_stored():
     step = folds.LatentTasks()
     step.feed({"session_id": "a", "user_id": 1, "vector": [0.1] * 8})

@@ -10,8 +10,10 @@ from __future__ import annotations
 
 import json
 import math
+import operator
 import sys
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark import cloudpickle
@@ -83,6 +85,12 @@ def stamp(s: float | None):
     return None if s is None else pd.Timestamp(round(s * 1e6) * 1000)
 
 
+def added(values: Iterable[float]) -> float:
+    """Values added one after the other, as the studied code does. ``sum`` makes up for lost bits from Python 3.12 on, so gaps that are
+    equal but for them would fall otherwise there."""
+    return reduce(operator.add, values, 0.0)
+
+
 class Hysteresis(Step):
     """Candidate states to committed states, see ``statelog.committed_states``."""
 
@@ -127,7 +135,7 @@ class LatentTasks(Step):
 
     @staticmethod
     def gap(a: list[float], b: list[float]) -> float:
-        return min(1.0, math.sqrt(sum((x - y) ** 2 for x, y in zip(a, b)) / len(a)))
+        return min(1.0, math.sqrt(added((x - y) ** 2 for x, y in zip(a, b)) / len(a)))
 
     def feed(self, row: dict) -> list[tuple]:
         v = [float(x) for x in row["vector"]]
@@ -154,16 +162,16 @@ class LatentTasks(Step):
         t["mean"] = [blend(m, x) for m, x in zip(old, v)]
         t["var"] = [(1 - a) * (s + a * (x - m) ** 2) for m, s, x in zip(old, t["var"], v)]
         t["move"] = [blend(p, abs(x - m)) for m, p, x in zip(old, t["move"], v)]
-        shift, move = self.gap(old, t["mean"]), sum(t["move"]) / len(v)
+        shift, move = self.gap(old, t["mean"]), added(t["move"]) / len(v)
         t["far"] = min(t["far"] + shift, 10.0)
         t["drift"] = max(0.0, min(t["drift"] * 0.5 + shift * 0.3 + move * 0.2, 1.0))
-        calm = max(0.0, 1.0 - sum(t["var"]) / len(v))
+        calm = max(0.0, 1.0 - added(t["var"]) / len(v))
         t["sure"] = max(0.0, min(0.4 * min(t["n"] / self.stable_members, 1.5) + 0.35 * calm + 0.25 * max(0.0, 1.0 - 2 * t["drift"]), 1.0))
 
     def row(self, row: dict, i: int, sure: float) -> tuple:
         t = self.tasks[i]
         return (row["session_id"], f"latent-{row['user_id']}-{i + 1}", sure, t["n"], t["sure"], t["drift"], t["far"],
-                sum(t["move"]) / len(t["move"]), t["mean"][0], t["mean"][1])
+                added(t["move"]) / len(t["move"]), t["mean"][0], t["mean"][1])
 
 
 STICKY = {s[0] for s in rules.SIGNATURES if s[7]}
