@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from worklens.functions.ranges import asof_join, merge_intervals, overlap_join
 from worklens.functions.sequence import day_chunk, islands, scan_rows, span_islands
 from worklens.functions.stats import index_percentiles, percent_rank_at
+from worklens.operators import features
 
 T0 = datetime(2024, 1, 1)
 
@@ -135,3 +136,20 @@ def test_index_percentile_is_a_position_not_an_interpolation(spark):
         s = sorted(values[g.k])
         for p in (25, 50, 90, 100):
             assert g[f"p{p}"] == s[min(int(len(s) * p / 100), len(s) - 1)]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_sequence_context_is_one_scan_and_equals_a_fold(spark, tmp_path, seed):
+    """Days of one row make the task of two segments ago lie one or two days back; nothing is checkpointed between the two look-backs."""
+    rnd = random.Random(seed)
+    data = [(rnd.choice("ppqr"), T0 + timedelta(hours=rnd.choice([3, 12, 40]) * rnd.randint(0, 60)), i, rnd.choice(["x", "y", None])) for i in range(120)]
+    spark.createDataFrame(data, "session_id string, start_time timestamp, segment_id long, generic_task string").write.parquet(str(tmp_path / "in"))
+    got = features.sequence_context(spark.read.parquet(str(tmp_path / "in")))
+    want = []
+    for session in "pqr":
+        tasks = []
+        for _, _, i, task in sorted((r for r in data if r[0] == session), key=lambda r: r[1:3]):
+            want.append((i, tasks[-1] if tasks else None, len(tasks), len(tasks) > 1 and task is not None and tasks[-2] == task))
+            tasks.append(task)
+    assert sorted((r.segment_id, r.previous_task, r.position, r.is_task_return) for r in got.collect()) == sorted(want)
+    assert "ExistingRDD" not in got._jdf.queryExecution().toString()

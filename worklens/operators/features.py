@@ -6,8 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from worklens.functions import rules, scoring, text
-from worklens.functions.sequence import day_chunk, scan_rows
-from worklens.session import cut_lineage
+from worklens.functions.sequence import CHUNK, day_chunk
 
 
 def one_hot(value: Column, values: list[str], other_last: bool = False) -> Column:
@@ -54,21 +53,31 @@ def duration_history(segments: DataFrame, newest: int | None = None) -> DataFram
 
 def keyword_vocabulary(titles: DataFrame, title: str, size: int = 50) -> DataFrame:
     """the most frequent title words with their position."""
-    words = titles.select(F.explode(text.feature_keywords(text.feature_tokens(F.col(title)))).alias("word"))
-    counts = words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "word").limit(size)
+    counted = titles.groupBy(F.col(title).alias("title")).agg(F.count(F.lit(1)).alias("n"))  # a title that comes often is split once
+    words = counted.select(F.explode(text.feature_keywords(text.feature_tokens(F.col("title")))).alias("word"), "n")
+    counts = words.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(size)
     ranked = counts.agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "word"))).alias("v"))  # at most ``size`` rows
     return ranked.select(F.transform("v", lambda w: w["word"]).alias("vocabulary"))
 
 
 def sequence_context(segments: DataFrame) -> DataFrame:
     """Previous task, position in the session, and whether the segment goes back to the task of
-    two segments ago."""
-    order = ["start_time", "segment_id"]
-    one = scan_rows(segments, ["session_id"], order, day_chunk("start_time"), lag={"previous_task": F.col("generic_task")}, run_sum={"__n": F.lit(1)})
-    one = cut_lineage(one)
-    two = scan_rows(one, ["session_id"], order, day_chunk("start_time"), lag={"__two": F.col("previous_task")})
-    return two.withColumns({
-        "position": F.col("__n") - 1, "is_task_return": F.coalesce((F.col("__n") > 2) & (F.col("__two") == F.col("generic_task")), F.lit(False))}).drop("__n", "__two")
+    two segments ago. A row looks back inside its day (see ``functions.sequence``); the first two rows of a
+    day take the last two tasks of the session's days before, all in one scan."""
+    order, part = ["start_time", "segment_id"], ["session_id", CHUNK]
+    local, across = Window.partitionBy(*part).orderBy(*order), Window.partitionBy("session_id").orderBy(CHUNK)
+    task = F.struct(F.col("generic_task").alias("v"))
+    rows = segments.withColumn(CHUNK, day_chunk("start_time")).withColumns({
+        "__one": F.lag(task).over(local), "__two": F.lag(task, 2).over(local), "__n": F.row_number().over(local)})
+    days = rows.groupBy(*part).agg(F.max("__n").alias("__rows"), F.max_by(F.struct(task.alias("one"), F.col("__one").alias("two")), F.struct(*order)).alias("__last"))
+    carry = days.select(
+        *part, F.lag("__last.one").over(across).alias("__day_one"),
+        F.coalesce(F.lag("__last.two").over(across), F.lag("__last.one", 2).over(across)).alias("__day_two"),
+        F.coalesce(F.sum("__rows").over(across.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__seen"))
+    two = F.coalesce("__two", F.when(F.col("__n") == 1, F.col("__day_two")).otherwise(F.col("__day_one")))["v"]
+    return rows.join(carry.hint("merge"), part).select(
+        *segments.columns, F.coalesce("__one", "__day_one")["v"].alias("previous_task"), (F.col("__n") + F.col("__seen") - 1).alias("position"),
+        F.coalesce((F.col("__n") + F.col("__seen") > 2) & (two == F.col("generic_task")), F.lit(False)).alias("is_task_return"))
 
 
 def segment_vectors(segments: DataFrame, history: DataFrame, vocabulary: DataFrame) -> DataFrame:
